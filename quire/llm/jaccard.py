@@ -42,6 +42,8 @@ EDGES = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, *(2**k for k in range(6, 60))]
 PAIRS, CHUNK, BINS = 8, 256, 64
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Of signatures that stand for single tokens.
+TOKEN_SALT = np.uint64(0x5851F42D4C957F2D)
 S30, S27, S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
@@ -141,7 +143,9 @@ def signatures(t: np.ndarray) -> np.ndarray:
         elif family == "subset":
             full = np.zeros(m, np.uint64)
             full[ids.astype(np.int64)] = sums
-            found = np.array([mix(np.array([full[list(c)].sum() + mix(np.array([i], np.uint64) + salt)[0]], np.uint64))[0] for i, c in enumerate(combinations(range(m), m - d)) if full[list(c)].any()], np.uint64)
+            chosen = np.array(list(combinations(range(m), m - d)))
+            unions = full[chosen].sum(1)
+            found = mix(unions + mix(np.arange(len(chosen), dtype=np.uint64) + salt))[full[chosen].any(1)]
             unlucky |= len(first) < d + 1
         else:
             sizes = np.diff(np.append(first, n))
@@ -151,7 +155,7 @@ def signatures(t: np.ndarray) -> np.ndarray:
             unlucky |= 2 * int((sizes > 1).sum()) < d + 1
         out.append(found)
     if unlucky:
-        out.append(mix(t[: n - (PERCENT * n + 99) // 100 + 1] + GOLDEN * np.uint64(3)))
+        out.append(mix(t[: n - (PERCENT * n + 99) // 100 + 1] + TOKEN_SALT))
     return np.unique(np.concatenate(out))
 
 
@@ -388,5 +392,20 @@ def linked(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "rep", "doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without those that link, directly or over others, with one of smaller doc_id; of rows that repeat a doc_id one stays.
+
+    Rows without doc_id stay.
+    """
+    groups = saved(linked(docs).filter("doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__first")))
+    first = groups.filter("__id = __first").groupBy("__id").agg(F.count("*").alias("__n"))
+    kept = docs.join(small(first), F.col("doc_id") == F.col("__id"), "left").filter("doc_id is null or __id is not null")
+    once = kept.filter("coalesce(__n, 1) = 1").select(*docs.columns)
+    repeated = kept.filter("__n > 1").select(*docs.columns)
+    if first.filter("__n > 1").limit(1).count():
+        once = once.unionByName(repeated.dropDuplicates(["doc_id"]))
+    return once
+
+
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))

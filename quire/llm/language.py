@@ -120,21 +120,21 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     return fit(np.stack([np.frombuffer(r["x"], "<f4") for r in rows]), [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: dict | None, kept: list[str]) -> DataFrame:
-    """The columns kept, then lang_pred and score, for every row."""
+def identify(docs: DataFrame, model: dict | None, kept: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns kept, then prediction and score under the names given, for every row."""
+    rows = docs.select(*kept, *[c for c in ["text"] if c not in kept])
+    at, wide = rows.columns.index("text"), len(kept)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class_table(False)
         for b in batches:
             said = []
-            for t in b.column(0).to_pylist():
+            for t in b.column(at).to_pylist():
                 x = features(t) if model else None
                 said.append(("und", 0.0) if x is None else predict(model, x))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], [*b.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:wide], pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], [*b.schema.names[:wide], *names])
 
-    rows = docs.select(F.col("text").alias("_text"), *kept)
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(of, schema)
+    return rows.mapInArrow(of, docs.select(*kept).schema.add(names[0], "string").add(names[1], "double"))
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:

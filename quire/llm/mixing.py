@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, table
+from .common import ranked, small, table
 
 SEED = 17
 #: exp(-PART) is far from underflow.
@@ -42,33 +42,33 @@ def source_key() -> Column:
 
 
 def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, rows: int | None = None, seed: int = SEED) -> DataFrame:
-    """docs with every row as often as its source's rate asks, plus copy (from 1) and shuffle_key.
+    """docs with every row as often as its source's rate asks, plus __copy (from 1) and __shuffle, the place in the global order.
 
     weights: by source, of any sum; none: all sources alike. rows: about so many are returned, as many as docs has if none.
     """
-    keyed = docs.withColumn("_key", source_key())
-    counts = keyed.groupBy("_key").agg(F.count("*").alias("_rows"))
+    keyed = docs.withColumn("__key", source_key())
+    counts = keyed.groupBy("__key").agg(F.count("*").alias("__rows"))
     if weights is None:
-        counts = counts.withColumn("_weight", F.lit(1.0))
+        counts = counts.withColumn("__weight", F.lit(1.0))
     else:
         given = [("null" if k is None else f"s:{k}", float(v)) for k, v in weights.items()]
-        counts = counts.join(docs.sparkSession.createDataFrame(given, "_key string, _weight double"), "_key")
-    whole = counts.agg(F.sum("_rows").alias("n"), F.sum("_weight").alias("w")).first()
+        counts = counts.join(docs.sparkSession.createDataFrame(given, "__key string, __weight double"), "__key")
+    whole = counts.agg(F.sum("__rows").alias("n"), F.sum("__weight").alias("w")).first()
     n, w = rows or whole["n"] or 0, whole["w"] or 1.0
-    rates = counts.select("_key", (F.lit(float(n)) * F.col("_weight") / (F.lit(float(w)) * F.col("_rows"))).alias("_rate"))
+    rates = counts.select("__key", (F.lit(float(n)) * F.col("__weight") / (F.lit(float(w)) * F.col("__rows"))).alias("__rate"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_rate") / PART)).cast("int")
-    copies = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda acc, j: acc + poisson(F.col("_rate") / parts, uniform(F.lit(str(seed)), name, j.cast("string"))))
-    out = keyed.join(rates, "_key").withColumn("_copies", copies).filter("_copies > 0")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"shuffle{seed}"), name, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    return out.withColumn("shuffle_key", key).select(*docs.columns, "copy", "shuffle_key")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / PART)).cast("int")
+    copies = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda acc, j: acc + poisson(F.col("__rate") / parts, uniform(F.lit(str(seed)), name, j.cast("string"))))
+    out = keyed.join(small(rates), "__key").withColumn("__copies", copies).filter("__copies > 0")
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"shuffle{seed}"), name, F.col("__copy").cast("string"))), 1, 15), 16, 10).cast("long")
+    return out.withColumn("__shuffle", key).select(*docs.columns, "__copy", "__shuffle")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     """doc_id, source, copy and position in the global shuffle, all sources at equal weight."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return ranked(replicate(docs), ["shuffle_key", "doc_id", "copy"]).select("doc_id", "source", "copy", F.col("pos").alias("position"))
+    return ranked(replicate(docs), ["__shuffle", "doc_id", "__copy"]).select("doc_id", "source", F.col("__copy").alias("copy"), F.col("pos").alias("position"))
 
 
 ORACLE = f"""

@@ -7,7 +7,7 @@ words turns it into the score. As only documents are labelled, training repeats:
 toxic documents count as toxic as far as the last round found them to be, those of other documents never do.
 An unseen misspelling shares runs, and so vectors, with the word it comes from.
 
-Learned from at most about SAMPLE rows per label, of those whose crc32(doc_id) mod 4 is not 2, chosen by a hash of
+Learned from at most about SAMPLE toxic and CLEAN_SAMPLE other rows, of those whose crc32(doc_id) mod 4 is not 2, chosen by a hash of
 doc_id. Texts without words, and every text where nothing is labelled, get the score of a text without a toxic word. Rows that
 repeat give rows each; a null doc_id is not held out and not learned from; a null label is none.
 """
@@ -25,7 +25,7 @@ from .codes import class_table, gram_hashes, spaced
 from .common import table
 from .language import HELD_OUT, remainder
 
-BITS, DIMS, SAMPLE, THRESHOLD = 17, 8, 1500, 0.3
+BITS, DIMS, SAMPLE, CLEAN_SAMPLE, THRESHOLD = 17, 8, 1500, 4000, 0.3
 GRAMS = (3, 4, 5)
 #: A text without any word counts as having a word of these log-odds.
 FLOOR = -12.0
@@ -168,14 +168,14 @@ def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([distinct_words(t) for t in b.column(0).to_pylist()], pa.list_(pa.string())), b.column(1)], ["words", "toxic"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, clean_sample: int = CLEAN_SAMPLE) -> dict | None:
     """None unless both labels occur."""
     labels = labels.filter("toxic in (0, 1) and doc_id is not null").filter(remainder() != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return None
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
-    chosen = F.broadcast(labels.filter(u < F.when(F.col("toxic") == 1, min(1.0, sample / n[1])).otherwise(min(1.0, sample / n[0]))))
+    chosen = F.broadcast(labels.filter(u < F.when(F.col("toxic") == 1, min(1.0, sample / n[1])).otherwise(min(1.0, clean_sample / n[0]))))
     rows = docs.filter("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic").mapInArrow(bags, "words array<string>, toxic int").collect()
     if len({r["toxic"] for r in rows}) < 2:
         return None

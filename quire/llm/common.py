@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,6 +31,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of queries that are over, which it does as their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, use) -> Column:
     """use(value) with value evaluated once, also where use refers to it inside a lambda."""
     return F.transform(F.array(value), use)[0]

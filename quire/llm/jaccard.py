@@ -11,7 +11,7 @@ hashes the tokens into segments and indexes, whichever of these costs least for
 * deletion: every segment and all its neighbours with one token less, as two differences are needed to spoil one.
 
 A set whose tokens leave too many segments empty for the argument also enters an index of such sets, by token
-prefix. Candidates are thinned by the distance of 64-bin histograms, a lower bound of the difference, and
+prefix. Candidates are thinned by the distance of histograms, a lower bound of the difference, and
 verified exactly on the sets. In buckets of more than PAIRS sets, only links to the first are tried at first; once components are
 known, the pairs left between different components are tried too, so no link between components is lost and
 groups of copies cost no pairs.
@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small, table
+from .common import freed, saved, small, table
 from .components import components
 
 WORDS, PERCENT = 5, 75
 EDGES = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, *(2**k for k in range(6, 60))]
 #: Largest bucket whose pairs are all tried at once; members a pivot meets in one task.
-PAIRS, CHUNK, BINS = 8, 256, 64
+PAIRS, CHUNK, BINS, WIDE = 8, 256, 64, 1024
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Of signatures that stand for single tokens.
@@ -54,25 +54,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> S31)
 
 
+#: Random numbers of the bytes, alike for A-Z and a-z, 0 for blanks; an odd base and its inverse modulo 2 ** 64.
+SOLID = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+BYTE_VALUES = mix(np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) * GOLDEN + np.uint64(1)) * SOLID
+BASE = 0x2545F4914F6CDD1D
+INVERSE = pow(BASE, -1, 1 << 64)
+#: Of the words of a shingle.
+PLACES = mix(np.arange(1, 1 + WORDS, dtype=np.uint64)) | np.uint64(1)
+
+
+@lru_cache(maxsize=None)
+def powers(base: int, bits: int) -> np.ndarray:
+    """base ** i modulo 2 ** 64 for i below 2 ** bits."""
+    out = np.ones(1, np.uint64)
+    for i in range(bits):
+        out = np.concatenate((out, out * np.array(pow(base, 1 << i, 1 << 64), np.uint64)))
+    return out
+
+
 def tokens(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes."""
     if not text:
         return np.zeros(0, np.uint64)
     a = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    a = a + ((a >= 65) & (a <= 90)) * np.uint8(32)
-    solid = ~((a == 32) | ((a >= 9) & (a <= 13)))
-    begins = np.flatnonzero(solid & ~np.concatenate(([False], solid[:-1])))
+    solid = SOLID[a]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    begins = np.flatnonzero(begins)
     if not len(begins):
         return np.zeros(0, np.uint64)
-    at = np.flatnonzero(solid)
-    first = np.searchsorted(at, begins)
-    lengths = np.diff(np.append(first, len(at)))
-    place = np.arange(len(at)) - np.repeat(first, lengths)
-    words = mix(np.add.reduceat(mix((a[at].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1)) * GOLDEN), first))
+    bits = max(16, len(a).bit_length())
+    values = BYTE_VALUES[a]
+    values *= powers(BASE, bits)[: len(a)]
+    words = mix(np.add.reduceat(values, begins) * powers(INVERSE, bits)[begins])
     k = min(WORDS, len(words))
     h = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
-        h = mix(h * GOLDEN + words[i : len(words) - k + 1 + i])
+        h += words[i : len(words) - k + 1 + i] * PLACES[i]
+    h = mix(h)
     return np.unique(h)
 
 
@@ -81,7 +100,14 @@ def class_of(t: np.ndarray) -> int:
 
 
 def histogram(t: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((t >> np.uint64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """Counts of the tokens by their leading bits, up to 255; large sets have WIDE bins."""
+    bins = WIDE if len(t) >= WIDE else BINS
+    return np.minimum(np.bincount((t // np.uint64((1 << 64) // bins)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def stacked(hists: list[bytes], bins: int) -> np.ndarray:
+    """As rows of so many bins. Counts cut off at 255 and added up still differ by no more than the sets do."""
+    return np.stack([np.frombuffer(h, np.uint8).reshape(bins, -1).sum(1, dtype=np.int32) for h in hists])
 
 
 def band_of(n: int) -> int:
@@ -130,10 +156,8 @@ def signatures(t: np.ndarray) -> np.ndarray:
             continue
         family, m, d = allocation(p)
         salt = mix(np.array([p * 4 + 1], np.uint64))[0]
-        hashed = mix(t ^ salt)
+        hashed = np.sort(mix(t ^ salt))
         segment = ((hashed >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        order = np.argsort(segment, kind="stable")
-        segment, hashed = segment[order], hashed[order]
         first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
         sums, ids = np.add.reduceat(hashed, first), segment[first]
         if family == "exact":
@@ -281,11 +305,14 @@ def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, na, nb, ha, hb) to the pairs that sizes and histograms allow."""
     for b in batches:
         na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
-        if not len(na):
-            continue
-        ha = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-        hb = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-        ok = (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (np.abs(ha - hb).sum(1) <= (na + nb) // 7)
+        ok = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
+        wide = np.minimum(na, nb) >= WIDE
+        ha, hb = b.column(4), b.column(5)
+        for rows, bins in ((np.flatnonzero(ok & wide), WIDE), (np.flatnonzero(ok & ~wide), BINS)):
+            for at in np.array_split(rows, len(rows) // 2000 + 1):
+                if len(at):
+                    x, y = stacked(ha.take(pa.array(at)).to_pylist(), bins), stacked(hb.take(pa.array(at)).to_pylist(), bins)
+                    ok[at] = np.abs(x - y).sum(1) <= (na[at] + nb[at]) // 7
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
 
 
@@ -300,7 +327,7 @@ def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
             return
         cls, comp, n = (np.array([x[i] for x in held], np.int64) for i in range(3))
-        h = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(-1, BINS).astype(np.int16)
+        h = stacked([x[3] for x in held], min(len(x[3]) for x in held))
         for i in range(len(held) - 1):
             j = slice(i + 1, None)
             ok = (comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))
@@ -319,20 +346,15 @@ def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from compare()
 
 
-def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [tokens(t) for t in b.column(0).to_pylist()]
-        cls = pa.array([class_of(t) if len(t) else None for t in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([*b.columns[1:], cls, pa.array([t.tobytes() for t in sets], pa.binary())], ["pivot", "chunk", "member", "cls", "tokens"])
-
-
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (pivot, chunk, member, cls, tokens), each pivot before its members: the linked pairs."""
+    """From rows (pivot, chunk, member, cls, text), each pivot before its members: the linked pairs."""
     pivot, own = None, np.zeros(0, np.uint64)
     for b in batches:
         u, v = [], []
-        for p, _, member, cls, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            t = np.frombuffer(blob, np.uint64)
+        for p, _, member, cls, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            t = tokens(text)
+            if not len(t) or class_of(t) != cls:  # another row with the doc_id asked for
+                continue
             if not member:
                 pivot, own = p, t
             elif p == pivot:
@@ -350,11 +372,36 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     dealt = saved(dealt)
     asked = dealt.select(F.col("a").alias("pivot"), "chunk", F.lit(True).alias("member"), F.col("b").alias("cls")).unionByName(dealt.select(F.col("a").alias("pivot"), "chunk", F.lit(False).alias("member"), F.col("a").alias("cls")).distinct())
     asked = saved(asked.join(reps.select("cls", "rep"), "cls").select(F.col("rep").alias("doc_id"), "pivot", "chunk", "member", F.col("cls").alias("asked")))
-    # a table of one row per text asked for, so that a text passes the join once
+    # one row per text asked for, so that a text passes the join once
     lists = asked.groupBy("doc_id", "asked").agg(F.collect_list(F.struct("pivot", "chunk", "member")).alias("to"))
-    texts = docs.select("doc_id", "text").join(small(lists, 100_000), "doc_id").select("text", F.explode("to").alias("x"), "asked").select("text", "x.pivot", "x.chunk", "x.member", "asked")
-    sets = texts.select("text", "pivot", "chunk", "member").mapInArrow(as_sets, "pivot long, chunk int, member boolean, cls long, tokens binary")
-    return sets.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "member").mapInArrow(verified, "u long, v long").distinct()
+    texts = docs.select("doc_id", "text").join(small(lists, 100_000), "doc_id").select("text", F.explode("to").alias("x"), F.col("asked").alias("cls")).select("x.pivot", "x.chunk", "x.member", "cls", "text")
+    return texts.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "member").mapInArrow(verified, "u long, v long").distinct()
+
+
+def all_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, links: DataFrame | None = None, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links and components once every pair is verified or within a component.
+
+    At first each class meets only the least of its candidates, which joins most groups of copies by a tree; what is left
+    between components then follows.
+    """
+    tested = None
+    for k in range(3):
+        todo = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        if groups is not None:
+            of = groups.select(F.col("node").alias("x"), F.col("component").alias("c"))
+            todo = todo.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        pick = saved(todo.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if k < 2 else todo)
+        if not pick.limit(1).count():
+            break
+        new = saved(verify(docs, reps, pick))
+        freed(docs.sparkSession)
+        links = new if links is None else links.unionByName(new)
+        groups = saved(components(links))
+        tested = pick if tested is None else tested.unionByName(pick)
+    if links is None:
+        links = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("false")
+        groups = saved(components(links))
+    return links, groups
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -366,6 +413,7 @@ def linked(docs: DataFrame) -> DataFrame:
     reps = saved(reps)
     index = docs.filter("doc_id is not null").select("text").mapInArrow(index_rows, "sig long, cls long")
     found = saved(index.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(bucket_pairs, "a long, b long, big boolean"))
+    freed(docs.sparkSession)
 
     def thinned(pairs: DataFrame) -> DataFrame:
         one = reps.select("cls", "n", "hist")
@@ -373,8 +421,7 @@ def linked(docs: DataFrame) -> DataFrame:
         return both.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(near, "a long, b long")
 
     tried = saved(thinned(found.filter("not big").select("a", "b").distinct()))
-    links = saved(verify(docs, reps, tried))
-    groups = saved(components(links))
+    links, groups = all_links(docs, reps, tried)
     large = found.filter("big").select(F.col("a").alias("sig"), F.col("b").alias("cls"))
     placed = large.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("comp"))
     placed = saved(placed)
@@ -382,9 +429,7 @@ def linked(docs: DataFrame) -> DataFrame:
     open_rows = placed.join(mixed, "sig", "left_semi").join(reps.select("cls", "n", "hist"), "cls").select("sig", "cls", "comp", "n", "hist")
     more = open_rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(cross_pairs, "a long, b long").distinct()
     more = saved(more.join(tried, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links = links.unionByName(saved(verify(docs, reps, more)))
-        groups = saved(components(links))
+    groups = all_links(docs, reps, more, links, groups)[1]
     least = groups.withColumnRenamed("node", "cls").join(reps.select("cls", "rep"), "cls")
     whole = least.groupBy("component").agg(F.min("rep").alias("first"))
     of_class = least.join(whole, "component").select("cls", "first")

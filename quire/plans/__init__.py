@@ -1,4 +1,42 @@
 """Registered queries with their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quire.sources.fixtures import PARTS, prefix, translated
+
+from .catalog import OPS
+
+TABLES = ("documents", "pages", "events", "lineitem")
+
+
+def text_of(needs: list[str], sql: str, dialect: str) -> str:
+    parts = prefix([x for x in needs if x not in TABLES], dialect)
+    body = translated(sql.strip(), dialect)
+    if dialect == "duck":
+        body = body.replace("LEFT SEMI JOIN", "SEMI JOIN").replace("LEFT ANTI JOIN", "ANTI JOIN")
+    out = translated(parts, dialect) + (body.lstrip(", \n") if not parts else body)
+    if not parts and body.startswith(","):
+        out = "WITH " + out
+    return out
+
+
+def query(needs: list[str], sql: str):
+    spark_sql = text_of(needs, sql, "spark")
+    read = [t for t in TABLES if re.search(rf"\b{t}\b", spark_sql)]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in read}
+        # views are bound when the text is analysed, so a later call may replace them
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(spark_sql)
+
+    return run
+
+
+QUERIES = {name: query(needs, sql) for name, needs, sql in OPS}
+ORACLES = {name: text_of(needs, sql, "duck") for name, needs, sql in OPS}

@@ -1,7 +1,7 @@
 """Copies among images, by local descriptors.
 
 Corners (Harris) are found on several scales; each is described by 256 binary intensity tests turned by its orientation (the direction of
-its intensity centroid). Descriptors meet in hash tables of 32 bits each, so any two that differ in
+its intensity centroid). Descriptors meet in hash tables of 64 bits each, so any two that differ in
 fewer bits than there are tables share a bucket; images that meet are compared descriptor by descriptor and linked if at least
 INLIERS matches agree on one similarity transform. Crops, shifts, turns, rescaling and changes of brightness
 keep enough corners. Equal images are one class; in a bucket of many images only links to the first are tried until
@@ -29,7 +29,7 @@ from .common import saved, table
 from .components import components
 from .jaccard import bucket_pairs, mix
 
-SCALES, CORNERS, RADIUS, BITS, TABLES = (1.0, 0.75, 0.5625), 16, 7, 256, 8
+SCALES, CORNERS, RADIUS, BITS, TABLES = (1.0, 0.75, 0.5625), 16, 7, 256, 4
 #: Largest Hamming distance of a match, largest error of an inlier in pixels, inliers asked for.
 HAMMING, ERROR, INLIERS = 40, 3.0, 6
 #: x, y, scale, angle of a corner, then its descriptor.
@@ -156,8 +156,8 @@ def buckets(k: np.ndarray) -> np.ndarray:
     """A hash of every table's part of every descriptor."""
     if not len(k):
         return np.zeros(0, np.uint64)
-    parts = np.ascontiguousarray(k["bits"]).view("<u4").astype(np.uint64)
-    return np.unique(mix(parts + (np.arange(1, TABLES + 1, dtype=np.uint64) << np.uint64(32))))
+    parts = np.ascontiguousarray(k["bits"]).view("<u8")
+    return np.unique(mix(parts ^ mix(np.arange(1, TABLES + 1, dtype=np.uint64))))
 
 
 def agree(a: np.ndarray, b: np.ndarray) -> int:

@@ -25,7 +25,7 @@ from .codes import class_table, gram_hashes, spaced
 from .common import table
 from .language import HELD_OUT, remainder
 
-BITS, DIMS, SAMPLE, CLEAN_SAMPLE, THRESHOLD = 17, 8, 1500, 4000, 0.3
+BITS, DIMS, SAMPLE, CLEAN_SAMPLE, THRESHOLD = 17, 8, 1500, 2500, 0.3
 GRAMS = (3, 4, 5)
 #: A text without any word counts as having a word of these log-odds.
 FLOOR = -12.0
@@ -121,9 +121,12 @@ def fit(texts: list[list[str]], labels: list[int], prior: float, rounds: int = 4
     order = rng.permutation(n)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    grams, of, _ = word_grams(" ".join(vocabulary[i] for i in order))
-    sort = np.argsort(of, kind="stable")
-    grams, of = grams[sort], of[sort]
+    parts = []
+    for lo in range(0, n, 20_000):  # in pieces, for memory
+        g, o, _ = word_grams(" ".join(vocabulary[i] for i in order[lo : lo + 20_000]))
+        sort = np.argsort(o, kind="stable")
+        parts.append((g[sort].astype(np.int32), (o[sort] + lo).astype(np.int32)))
+    grams, of = (np.concatenate([p[i] for p in parts]) for i in range(2))
     docs = [place[[number[w] for w in t]] for t in texts]
     y = np.array(labels, np.float64)
     good, bad = np.zeros(n), np.zeros(n)

@@ -378,8 +378,8 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return texts.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "member").mapInArrow(verified, "u long, v long").distinct()
 
 
-def all_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, links: DataFrame | None = None, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Links and components once every pair is verified or within a component.
+def all_links(check, pairs: DataFrame, links: DataFrame | None = None, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) and components once every pair (a, b) is verified by check() or within a component.
 
     At first each class meets only the least of its candidates, which joins most groups of copies by a tree; what is left
     between components then follows.
@@ -393,8 +393,8 @@ def all_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, links: DataFra
         pick = saved(todo.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if k < 2 else todo)
         if not pick.limit(1).count():
             break
-        new = saved(verify(docs, reps, pick))
-        freed(docs.sparkSession)
+        new = saved(check(pick))
+        freed(pairs.sparkSession)
         links = new if links is None else links.unionByName(new)
         groups = saved(components(links))
         tested = pick if tested is None else tested.unionByName(pick)
@@ -415,13 +415,16 @@ def linked(docs: DataFrame) -> DataFrame:
     found = saved(index.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(bucket_pairs, "a long, b long, big boolean"))
     freed(docs.sparkSession)
 
+    def checked(pairs: DataFrame) -> DataFrame:
+        return verify(docs, reps, pairs)
+
     def thinned(pairs: DataFrame) -> DataFrame:
         one = reps.select("cls", "n", "hist")
         both = pairs.join(one.toDF("a", "na", "ha"), "a").join(one.toDF("b", "nb", "hb"), "b")
         return both.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(near, "a long, b long")
 
     tried = saved(thinned(found.filter("not big").select("a", "b").distinct()))
-    links, groups = all_links(docs, reps, tried)
+    links, groups = all_links(checked, tried)
     large = found.filter("big").select(F.col("a").alias("sig"), F.col("b").alias("cls"))
     placed = large.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("comp"))
     placed = saved(placed)
@@ -429,7 +432,7 @@ def linked(docs: DataFrame) -> DataFrame:
     open_rows = placed.join(mixed, "sig", "left_semi").join(reps.select("cls", "n", "hist"), "cls").select("sig", "cls", "comp", "n", "hist")
     more = open_rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(cross_pairs, "a long, b long").distinct()
     more = saved(more.join(tried, ["a", "b"], "left_anti"))
-    groups = all_links(docs, reps, more, links, groups)[1]
+    groups = all_links(checked, more, links, groups)[1]
     least = groups.withColumnRenamed("node", "cls").join(reps.select("cls", "rep"), "cls")
     whole = least.groupBy("component").agg(F.min("rep").alias("first"))
     of_class = least.join(whole, "component").select("cls", "first")

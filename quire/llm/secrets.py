@@ -56,7 +56,7 @@ def symbols(token: Column) -> Column:
 
 def counts(token: Column) -> Column:
     """How often each symbol of the token occurs."""
-    return F.transform(F.array_distinct(symbols(token)), lambda c: F.length(token) - F.length(F.replace(token, c, F.lit(""))))
+    return F.transform(F.array_distinct(symbols(token)), lambda c: (F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"))
 
 
 def battery(start: Column, end: Column, token: Column) -> Column:
@@ -79,7 +79,7 @@ def battery(start: Column, end: Column, token: Column) -> Column:
         return F.struct(runs.alias("runs"), serial.alias("serial"))
 
     z = let(values, lambda v: let(F.array_sort(v), lambda s: tests(v, s[F.floor((F.size(s) - 1) / 2).cast("int")], F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n)))
-    squares = F.aggregate(counts(token), F.lit(0), lambda a, x: a + x * x)
+    squares = F.aggregate(counts(token), F.lit(0.0), lambda a, x: a + x * x)
     return F.struct(start.alias("start"), end.alias("end"), n.alias("n"), k.alias("k"), squares.alias("squares"), z.alias("z"))
 
 

@@ -25,7 +25,7 @@ from .codes import class_table, gram_hashes, spaced
 from .common import table
 from .language import HELD_OUT, remainder
 
-BITS, DIMS, SAMPLE, CLEAN_SAMPLE, THRESHOLD = 17, 8, 1500, 2500, 0.3
+BITS, DIMS, SAMPLE, CLEAN_SAMPLE, THRESHOLD = 17, 8, 1500, 3000, 0.3
 GRAMS = (3, 4, 5)
 #: A text without any word counts as having a word of these log-odds.
 FLOOR = -12.0

@@ -30,6 +30,7 @@ from math import comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,14 +101,14 @@ def class_of(t: np.ndarray) -> int:
 
 
 def histogram(t: np.ndarray) -> bytes:
-    """Counts of the tokens by their leading bits, up to 255; large sets have WIDE bins."""
-    bins = WIDE if len(t) >= WIDE else BINS
+    """Counts of the tokens by their leading bits, up to 255, in about as many bins as there are tokens (BINS to WIDE)."""
+    bins = min(WIDE, max(BINS, 1 << len(t).bit_length()))
     return np.minimum(np.bincount((t // np.uint64((1 << 64) // bins)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
 
 
 def stacked(hists: list[bytes], bins: int) -> np.ndarray:
     """As rows of so many bins. Counts cut off at 255 and added up still differ by no more than the sets do."""
-    return np.stack([np.frombuffer(h, np.uint8).reshape(bins, -1).sum(1, dtype=np.int32) for h in hists])
+    return np.stack([np.frombuffer(h, np.uint8).reshape(bins, -1).sum(1, dtype=np.int16) for h in hists])
 
 
 def band_of(n: int) -> int:
@@ -306,12 +307,13 @@ def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
         ok = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
-        wide = np.minimum(na, nb) >= WIDE
         ha, hb = b.column(4), b.column(5)
-        for rows, bins in ((np.flatnonzero(ok & wide), WIDE), (np.flatnonzero(ok & ~wide), BINS)):
+        bins = np.minimum(pc.binary_length(ha).to_numpy(), pc.binary_length(hb).to_numpy())
+        for width in np.unique(bins):
+            rows = np.flatnonzero(ok & (bins == width))
             for at in np.array_split(rows, len(rows) // 2000 + 1):
                 if len(at):
-                    x, y = stacked(ha.take(pa.array(at)).to_pylist(), bins), stacked(hb.take(pa.array(at)).to_pylist(), bins)
+                    x, y = stacked(ha.take(pa.array(at)).to_pylist(), width), stacked(hb.take(pa.array(at)).to_pylist(), width)
                     ok[at] = np.abs(x - y).sum(1) <= (na[at] + nb[at]) // 7
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
 
@@ -319,23 +321,33 @@ def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (sig, cls, comp, n, hist) sorted by sig: the pairs of different components that sizes and histograms allow.
 
-    Compared in blocks; equal pairs of several buckets are dropped later.
+    Each set meets those up to a third larger, first by few bins, then by all. Equal pairs of several buckets are dropped later.
     """
     sig, held = None, []
 
     def compare() -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
             return
+        held.sort(key=lambda x: x[2])
         cls, comp, n = (np.array([x[i] for x in held], np.int64) for i in range(3))
-        h = stacked([x[3] for x in held], min(len(x[3]) for x in held))
+        if (comp == comp[0]).all():
+            return
+        hists = [x[3] for x in held]
+        coarse, fine = stacked(hists, BINS), stacked(hists, min(map(len, hists)))
+        ends = np.searchsorted(n, 100 * n // PERCENT, "right")
+        a, b, size = [], [], 0
         for i in range(len(held) - 1):
-            j = slice(i + 1, None)
-            ok = (comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))
-            if ok.any():
-                at = np.flatnonzero(ok) + i + 1
-                at = at[np.abs(h[at] - h[i]).sum(1) <= (n[at] + n[i]) // 7]
+            at = np.flatnonzero(comp[i + 1 : ends[i]] != comp[i]) + i + 1
+            for h in (coarse, fine):
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[at], cls[i])), pa.array(np.maximum(cls[at], cls[i]))], ["a", "b"])
+                    at = at[np.abs(h[at] - h[i]).sum(1) <= (n[at] + n[i]) // 7]
+            if len(at):
+                a.append(np.minimum(cls[at], cls[i]))
+                b.append(np.maximum(cls[at], cls[i]))
+                size += len(at)
+            if size > 100_000 or size and i == len(held) - 2:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                a, b, size = [], [], 0
 
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):

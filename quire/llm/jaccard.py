@@ -41,6 +41,8 @@ WORDS, PERCENT = 5, 75
 EDGES = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, *(2**k for k in range(6, 60))]
 #: Largest bucket whose pairs are all tried at once; members a pivot meets in one task.
 PAIRS, CHUNK, BINS, WIDE = 8, 256, 64, 1024
+#: Rows asked for in a verification that are broadcast; beyond them it shuffles.
+ASKED = 100_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Of signatures that stand for single tokens.
@@ -381,39 +383,39 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets link. Each set travels once per pivot and CHUNK members."""
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     dealt = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
-    dealt = saved(dealt)
     asked = dealt.select(F.col("a").alias("pivot"), "chunk", F.lit(True).alias("member"), F.col("b").alias("cls")).unionByName(dealt.select(F.col("a").alias("pivot"), "chunk", F.lit(False).alias("member"), F.col("a").alias("cls")).distinct())
     asked = saved(asked.join(reps.select("cls", "rep"), "cls").select(F.col("rep").alias("doc_id"), "pivot", "chunk", "member", F.col("cls").alias("asked")))
     # one row per text asked for, so that a text passes the join once
     lists = asked.groupBy("doc_id", "asked").agg(F.collect_list(F.struct("pivot", "chunk", "member")).alias("to"))
-    texts = docs.select("doc_id", "text").join(small(lists, 100_000), "doc_id").select("text", F.explode("to").alias("x"), F.col("asked").alias("cls")).select("x.pivot", "x.chunk", "x.member", "cls", "text")
+    lists = F.broadcast(lists) if asked.limit(ASKED + 1).count() <= ASKED else lists
+    texts = docs.select("doc_id", "text").join(lists, "doc_id").select("text", F.explode("to").alias("x"), F.col("asked").alias("cls")).select("x.pivot", "x.chunk", "x.member", "cls", "text")
     return texts.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "member").mapInArrow(verified, "u long, v long").distinct()
 
 
-def all_links(check, pairs: DataFrame, links: DataFrame | None = None, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v) and components once every pair (a, b) is verified by check() or within a component.
+def all_links(check, pairs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Components (node, component) once every pair (a, b) is verified by check() or lies within a component.
 
     At first each class meets only the least of its candidates, which joins most groups of copies by a tree; what is left
-    between components then follows.
+    between components then follows. Components found before, as groups, count as links.
     """
-    tested = None
-    for k in range(3):
-        todo = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    for last in (False, True):
+        todo = pairs
         if groups is not None:
             of = groups.select(F.col("node").alias("x"), F.col("component").alias("c"))
             todo = todo.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        pick = saved(todo.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if k < 2 else todo)
-        if not pick.limit(1).count():
+        if last:
+            todo = todo.join(tested, ["a", "b"], "left_anti")
+        tested = saved(todo if last else todo.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        if not tested.limit(1).count():
             break
-        new = saved(check(pick))
-        freed(pairs.sparkSession)
-        links = new if links is None else links.unionByName(new)
-        groups = saved(components(links))
-        tested = pick if tested is None else tested.unionByName(pick)
-    if links is None:
-        links = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("false")
+        links = check(tested)
+        if groups is not None:
+            links = links.unionByName(groups.select(F.col("node").alias("u"), F.col("component").alias("v")))
         groups = saved(components(links))
-    return links, groups
+        freed(pairs.sparkSession)
+    if groups is None:
+        groups = saved(components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("false")))
+    return groups
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -436,7 +438,7 @@ def linked(docs: DataFrame) -> DataFrame:
         return both.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(near, "a long, b long")
 
     tried = saved(thinned(found.filter("not big").select("a", "b").distinct()))
-    links, groups = all_links(checked, tried)
+    groups = all_links(checked, tried)
     large = found.filter("big").select(F.col("a").alias("sig"), F.col("b").alias("cls"))
     placed = large.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("comp"))
     placed = saved(placed)
@@ -444,7 +446,7 @@ def linked(docs: DataFrame) -> DataFrame:
     open_rows = placed.join(mixed, "sig", "left_semi").join(reps.select("cls", "n", "hist"), "cls").select("sig", "cls", "comp", "n", "hist")
     more = open_rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(cross_pairs, "a long, b long").distinct()
     more = saved(more.join(tried, ["a", "b"], "left_anti"))
-    groups = all_links(checked, more, links, groups)[1]
+    groups = all_links(checked, more, groups)
     least = groups.withColumnRenamed("node", "cls").join(reps.select("cls", "rep"), "cls")
     whole = least.groupBy("component").agg(F.min("rep").alias("first"))
     of_class = least.join(whole, "component").select("cls", "first")

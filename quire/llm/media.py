@@ -239,13 +239,13 @@ def copies(images: DataFrame) -> DataFrame:
         return both.mapInArrow(compared, "u long, v long")
 
     tried = saved(found.filter("not big").select("a", "b").distinct())
-    links, groups = all_links(tested, tried)
+    groups = all_links(tested, tried)
     large = found.filter("big").select(F.col("a").alias("sig"), F.col("b").alias("cls"))
     placed = saved(large.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("comp")))
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig")
     more = placed.join(mixed, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig").mapInArrow(crossing, "a long, b long").distinct()
     more = saved(more.join(tried, ["a", "b"], "left_anti"))
-    groups = all_links(tested, more, links, groups)[1]
+    groups = all_links(tested, more, groups)
     least = groups.withColumnRenamed("node", "cls").join(reps.select("cls", "rep"), "cls")
     of_class = least.join(least.groupBy("component").agg(F.min("rep").alias("first")), "component").select("cls", "first")
     out = rows.select("id", "n_corners", "cls").join(reps.select("cls", "rep"), "cls", "left").join(of_class, "cls", "left")

@@ -155,4 +155,11 @@ OPS: list[tuple[str, list[str], str]] = [
     ("T9_candidates", ["attempts"], "SELECT doc_id, min_by(rung, rank * 1000000 + attempt) AS chosen FROM attempts WHERE ok GROUP BY doc_id"),
     ("T10_retry_class", ["attempts"], "SELECT attempt, code, CASE WHEN code BETWEEN 400 AND 409 THEN CASE WHEN attempt % 7 = 0 THEN 'retry' ELSE 'fatal' END ELSE 'retry' END AS class FROM attempts"),
     ("T11_render_fallback", ["page_state"], "SELECT doc_id, page, CASE WHEN rung IS NULL THEN 'plain paragraphs' ELSE 'layout' END AS rendered, rung IS NULL AS warned FROM page_state"),
+    # further small forms
+    ("F20_asset_name", ["pages"], "SELECT page_id, rx[url;'^.*/';'']! AS name FROM pages"),
+    ("O4_best_fill", ["blocks", "fills"], """, s AS (SELECT b.doc_id, b.page, b.n, f.f, row_number() OVER (PARTITION BY b.doc_id, b.page, b.n ORDER BY least(b.y + b.h, f.y + f.h) - greatest(b.y, f.y) DESC, f.f) AS k
+        FROM blocks AS b JOIN fills AS f ON b.doc_id = f.doc_id AND b.page = f.page AND b.y < f.y + f.h AND f.y < b.y + b.h) SELECT doc_id, page, n, f FROM s WHERE k = 1"""),
+    ("X6_json_slice", ["events"], ", s AS (SELECT event_id, concat('Result: ', props, ' end') AS raw FROM events WHERE props IS NOT NULL) SELECT event_id, substr(raw, instr(raw, '{'), length(raw) - instr(reverse(raw), '}') + 2 - instr(raw, '{')) AS layout FROM s"),
+    ("X10_caption_label", ["blocks"], "SELECT doc_id, n, regexp_extract(text, '^((Figure|Table) [0-9]+)[.:]? *(.*)$', 1) AS label, regexp_extract(text, '^((Figure|Table) [0-9]+)[.:]? *(.*)$', 3) AS caption FROM blocks WHERE text LIKE 'Figure %' OR text LIKE 'Table %'"),
+    ("X14_rgb_hex", ["fills"], "SELECT doc_id, page, f, concat('#', lpad(hex(CAST((doc_id * 7919 + f * 104729) % 16777216 AS BIGINT)), 6, '0')) AS hex FROM fills"),
 ]

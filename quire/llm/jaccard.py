@@ -75,6 +75,12 @@ def powers(base: int, bits: int) -> np.ndarray:
     return out
 
 
+def unique(x: np.ndarray) -> np.ndarray:
+    """x sorted in place, without repeats."""
+    x.sort()
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def tokens(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes."""
     if not text:
@@ -94,8 +100,7 @@ def tokens(text: str | None) -> np.ndarray:
     h = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
         h += words[i : len(words) - k + 1 + i] * PLACES[i]
-    h = mix(h)
-    return np.unique(h)
+    return unique(mix(h))
 
 
 def class_of(t: np.ndarray) -> int:
@@ -183,7 +188,7 @@ def signatures(t: np.ndarray) -> np.ndarray:
         out.append(found)
     if unlucky:
         out.append(mix(t[: n - (PERCENT * n + 99) // 100 + 1] + TOKEN_SALT))
-    return np.unique(np.concatenate(out))
+    return unique(np.concatenate(out))
 
 
 def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,3 +40,8 @@ def query(needs: list[str], sql: str):
 
 QUERIES = {name: query(needs, sql) for name, needs, sql in OPS}
 ORACLES = {name: text_of(needs, sql, "duck") for name, needs, sql in OPS}
+
+from . import packages  # noqa: E402  (uses query)
+
+QUERIES |= packages.QUERIES
+ORACLES |= packages.ORACLES

@@ -30,8 +30,8 @@ PARTS = [
         60 + (n % 40) * 16 + CAST(floor((n % 40) / 7) AS INT) * 24 AS y,
         CASE WHEN (doc_id + n) % 17 = 0 THEN 460 WHEN doc_id % 4 = 0 THEN 220 ELSE 400 END AS w, 12 AS h,
         CASE WHEN n = 0 THEN 18 WHEN (doc_id * 7 + n * 13) % 11 = 0 THEN 14 ELSE 11 END AS size,
-        CASE WHEN (doc_id + n) % 9 = 1 THEN concat('• ', substr(line, 1, 60)) WHEN (doc_id + n) % 9 = 2 THEN concat(CAST(n AS STRING), '. ', substr(line, 1, 60))
-             WHEN (doc_id + n) % 23 = 3 THEN concat('Figure ', CAST(n AS STRING), ' ', substr(line, 1, 20)) WHEN (doc_id + n) % 13 = 5 THEN '  ' ELSE substr(line, 1, 80) END AS text
+        CASE WHEN (doc_id + n) % 9 = 1 THEN concat('• ', line) WHEN (doc_id + n) % 9 = 2 THEN concat(CAST(n AS STRING), '. ', line)
+             WHEN (doc_id + n) % 23 = 3 THEN concat('Figure ', CAST(n AS STRING), ' ', line) WHEN (doc_id + n) % 13 = 5 THEN '  ' ELSE line END AS text
         FROM raw_lines""", ["raw_lines"]),
     ("blocks", "SELECT * FROM layout WHERE trim(text) <> ''", ["layout"]),
     ("body", """SELECT doc_id, page, max_by(size, weight * 100000 - first_n) AS body FROM
@@ -56,7 +56,7 @@ PARTS = [
     ("doc_words", "{words}", []),
     ("page_words", "{page_words}", []),
     ("block_words", "{block_words}", ["html_blocks"]),
-    ("running", """SELECT doc_id AS page, k, band, CASE WHEN k = 0 THEN concat('Report ', CAST(doc_id % 7 AS STRING)) WHEN k = 1 THEN CAST(doc_id + 530 AS STRING) ELSE concat('Only on ', substr(text, 1, 12)) END AS raw
+    ("running", """SELECT doc_id AS page, k, band, CASE WHEN k = 0 THEN concat('Report ', CAST(doc_id % 7 AS STRING)) WHEN k = 1 THEN CAST(doc_id + 530 AS STRING) ELSE concat('Only on ', text) END AS raw
         FROM documents CROSS JOIN (SELECT 0 AS k, 'top' AS band UNION ALL SELECT 1, 'bottom' UNION ALL SELECT 2, 'bottom') AS ks""", []),
 ]
 

@@ -3,6 +3,7 @@ import pytest
 
 import __spark_entry__ as entry
 from quire import plans
+from quire.sources.fixtures import prefix, translated
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +32,9 @@ def test_both_branches_of_the_slice(spark):
 
 def test_every_query_but_folds_has_an_oracle():
     assert set(plans.QUERIES) - set(plans.ORACLES) == {"W2_merged_paragraphs", "W4_table_regions", "W17_pagination"}  # folds, tested by hand
+
+
+def test_layout_keeps_whole_lines(spark, oracle):
+    longest, text = oracle.execute("select max(length(line)), (select max(length(text)) from documents) from (select unnest(string_split(text, chr(10))) as line from documents)").fetchone()
+    assert plans.QUERIES["S7_spans"](spark, SF).selectExpr("max(length(text)) as n").first()["n"] >= longest > 80
+    assert oracle.execute(translated(prefix(["running"], "duck"), "duck") + "select max(length(raw)) from running").fetchone()[0] == text + len("Only on ")

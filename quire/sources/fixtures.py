@@ -46,7 +46,7 @@ PARTS = [
         CASE WHEN l_linenumber = 1 THEN 'Head' WHEN c = 0 THEN l_returnflag WHEN c = 1 THEN CAST(CAST(l_quantity AS INT) AS STRING) WHEN c = 2 THEN concat(CAST(CAST(l_discount * 100 AS INT) AS STRING), '%') ELSE CASE WHEN l_partkey % 5 = 0 THEN l_linestatus ELSE concat('$', CAST(l_suppkey AS STRING)) END END AS text,
         (l_partkey + c) % 2 = 0 AS bold, (l_suppkey + c) % 3 = 0 AS italic
         FROM lineitem CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) AS cs
-        WHERE l_orderkey % 10 = 1 AND (c < 3 OR l_linenumber % 2 = 1) AND NOT (c = 2 AND (l_orderkey + l_linenumber) % 5 = 0)""", []),
+        WHERE (c < 3 OR l_linenumber % 2 = 1) AND NOT (c = 2 AND (l_orderkey + l_linenumber) % 5 = 0)""", []),
     ("attempts", """SELECT user_id AS doc_id, CAST(event_id % 20 AS INT) AS page, event_id AS attempt, CASE event_type WHEN 'click' THEN 'json' WHEN 'view' THEN 'json_escalated' WHEN 'purchase' THEN 'code_text' ELSE 'code_image' END AS rung,
         CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS rank, event_id % 3 = 0 AS ok, CAST(400 + event_id % 120 AS INT) AS code FROM events""", []),
     ("page_state", """SELECT doc_id, page, CASE WHEN bool_or(ok) THEN 'completed' WHEN count(*) > 2 THEN 'failed' ELSE 'pending' END AS status, count(*) AS tries,

@@ -38,3 +38,8 @@ def test_layout_keeps_whole_lines(spark, oracle):
     longest, text = oracle.execute("select max(length(line)), (select max(length(text)) from documents) from (select unnest(string_split(text, chr(10))) as line from documents)").fetchone()
     assert plans.QUERIES["S7_spans"](spark, SF).selectExpr("max(length(text)) as n").first()["n"] >= longest > 80
     assert oracle.execute(translated(prefix(["running"], "duck"), "duck") + "select max(length(raw)) from running").fetchone()[0] == text + len("Only on ")
+
+
+def test_every_order_is_a_grid(spark, oracle):
+    orders = oracle.execute("select count(distinct l_orderkey) from lineitem").fetchone()[0]
+    assert plans.QUERIES["F5_tabular_content"](spark, SF).count() == orders

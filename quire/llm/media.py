@@ -1,8 +1,8 @@
 """Copies among images, by local descriptors.
 
 Corners (Harris) are found on several scales; each is described by 256 binary intensity tests turned by its orientation (the direction of
-its intensity centroid). Descriptors meet in hash tables of 64 bits each, so any two that differ in
-fewer bits than there are tables share a bucket; images that meet are compared descriptor by descriptor and linked if at least
+its intensity centroid). Descriptors meet in TABLES hash tables, each keyed by KEY bits drawn at random, so
+two that differ in d bits share a bucket with chance 1 - (1 - (1 - d / BITS) ** KEY) ** TABLES if the bits fall at random; images that meet are compared descriptor by descriptor and linked if at least
 INLIERS matches agree on one similarity transform. Crops, shifts, turns, rescaling and changes of brightness
 keep enough corners. Equal images are one class; in a bucket of many images only links to the first are tried until
 components are known, then the pairs left between components.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import saved, table
 from .jaccard import all_links, bucket_pairs, mix
 
-SCALES, CORNERS, RADIUS, BITS, TABLES = (1.0, 0.75, 0.5625), 16, 7, 256, 4
+SCALES, CORNERS, RADIUS, BITS, TABLES, KEY = (1.0, 0.75, 0.5625), 16, 7, 256, 16, 32
 #: Largest Hamming distance of a match, largest error of an inlier in pixels, inliers asked for.
 HAMMING, ERROR, INLIERS = 40, 3.0, 6
 #: x, y, scale, angle of a corner, then its descriptor.
@@ -151,11 +151,19 @@ def corners(image: np.ndarray | None) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, CORNER)
 
 
+@lru_cache(maxsize=1)
+def keys() -> np.ndarray:
+    """The bits of each table."""
+    rng = np.random.default_rng(13)
+    return np.stack([rng.permutation(BITS)[:KEY] for _ in range(TABLES)])
+
+
 def buckets(k: np.ndarray) -> np.ndarray:
     """A hash of every table's part of every descriptor."""
     if not len(k):
         return np.zeros(0, np.uint64)
-    parts = np.ascontiguousarray(k["bits"]).view("<u8")
+    bits = np.unpackbits(k["bits"], axis=1)
+    parts = bits[:, keys()].astype(np.uint64) @ (np.uint64(1) << np.arange(KEY, dtype=np.uint64))
     return np.unique(mix(parts ^ mix(np.arange(1, TABLES + 1, dtype=np.uint64))))
 
 

@@ -184,3 +184,14 @@ def test_media_finds_edits(change):
 
 def test_base_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_descriptors_that_differ_meet():
+    rng = np.random.default_rng(6)
+    a = np.zeros(400, media.CORNER)
+    a["bits"] = rng.integers(0, 256, a["bits"].shape)
+    b = a.copy()
+    for row in b["bits"]:
+        row ^= np.packbits(np.isin(np.arange(media.BITS), rng.permutation(media.BITS)[: media.HAMMING // 2]))
+    met = [bool(set(media.buckets(a[i : i + 1]).tolist()) & set(media.buckets(b[i : i + 1]).tolist())) for i in range(len(a))]
+    assert sum(met) > len(met) / 2

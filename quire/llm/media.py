@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import saved, table
 from .jaccard import all_links, bucket_pairs, mix
 
-SCALES, CORNERS, RADIUS, BITS, TABLES, KEY = (1.0, 0.75, 0.5625), 16, 7, 256, 16, 32
+SCALES, CORNERS, CELL, RADIUS, BITS, TABLES, KEY = (1.0, 0.75, 0.5625), 16, 32, 7, 256, 16, 32
 #: Largest Hamming distance of a match, largest error of an inlier in pixels, inliers asked for.
 HAMMING, ERROR, INLIERS = 40, 3.0, 6
 #: x, y, scale, angle of a corner, then its descriptor.
@@ -114,7 +114,7 @@ def tests() -> np.ndarray:
 
 
 def corners(image: np.ndarray | None) -> np.ndarray:
-    """The CORNERS strongest of each scale, described."""
+    """The CORNERS strongest of each cell of CELL pixels, on each scale, described."""
     found = []
     for s in SCALES:
         if image is None or min(image.shape) * s < 2 * RADIUS + 4:
@@ -133,7 +133,9 @@ def corners(image: np.ndarray | None) -> np.ndarray:
         y, x = np.nonzero(peak)
         if not len(y):
             continue
-        best = np.argsort(-core[y, x], kind="stable")[:CORNERS]
+        order = np.lexsort((-core[y, x], x // CELL, y // CELL))
+        cell = (y // CELL * (core.shape[1] // CELL + 1) + x // CELL)[order]
+        best = order[np.arange(len(order)) - np.searchsorted(cell, cell) < CORNERS]
         y, x = y[best] + m, x[best] + m
         off = np.arange(-RADIUS, RADIUS + 1)
         disc = (off[:, None] ** 2 + off[None] ** 2) <= RADIUS**2
@@ -171,9 +173,15 @@ def agree(a: np.ndarray, b: np.ndarray) -> int:
     """The most matches that one similarity transform from a to b explains."""
     if len(a) < INLIERS or len(b) < INLIERS:
         return 0
-    d = np.bitwise_count(a["bits"][:, None] ^ b["bits"][None]).sum(2, dtype=int)
-    j = d.argmin(1)
-    i = np.flatnonzero(d[np.arange(len(a)), j] <= HAMMING)
+    # part by part, as large images have many corners
+    step = max(1, 4_000_000 // (len(b) * BITS // 8))
+    j, least = [], []
+    for at in range(0, len(a), step):
+        d = np.bitwise_count(a["bits"][at : at + step, None] ^ b["bits"][None]).sum(2, dtype=int)
+        j.append(d.argmin(1))
+        least.append(d.min(1))
+    j = np.concatenate(j)
+    i = np.flatnonzero(np.concatenate(least) <= HAMMING)
     if len(i) < INLIERS:
         return 0
     p, q = a[i], b[j[i]]
@@ -181,7 +189,7 @@ def agree(a: np.ndarray, b: np.ndarray) -> int:
     m = grow * np.exp(1j * turn)
     z, w = p["x"] + 1j * p["y"], q["x"] + 1j * q["y"]
     shift = w - m * z
-    near = np.abs(m[:, None] * z[None] + shift[:, None] - w[None]) <= ERROR * np.maximum(1, np.abs(m))[:, None]
+    near = (np.abs(m[k] * z + shift[k] - w) <= ERROR * max(1, np.abs(m[k])) for k in range(len(i)))
     # distinct places count, not the scales they are seen on
     spots = np.rint(z.real / 4) + 1j * np.rint(z.imag / 4)
     return max(len(set(spots[row])) for row in near)

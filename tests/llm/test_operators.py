@@ -195,3 +195,16 @@ def test_descriptors_that_differ_meet():
         row ^= np.packbits(np.isin(np.arange(media.BITS), rng.permutation(media.BITS)[: media.HAMMING // 2]))
     met = [bool(set(media.buckets(a[i : i + 1]).tolist()) & set(media.buckets(b[i : i + 1]).tolist())) for i in range(len(a))]
     assert sum(met) > len(met) / 2
+
+
+def test_media_finds_small_crops_of_large_images(spark):
+    rng = np.random.default_rng(8)
+    a = np.zeros((480, 640))
+    for _ in range(700):
+        y, x, h, w = rng.integers(0, 480), rng.integers(0, 640), rng.integers(5, 30), rng.integers(5, 30)
+        a[y : y + h, x : x + w] += rng.normal() * 60
+    a = np.clip(a + 128, 0, 255)
+    pgm = lambda m: bytearray(b"P5 %d %d 255\n" % (m.shape[1], m.shape[0]) + m.astype(np.uint8).tobytes())
+    rows = [(1, pgm(a)), (2, pgm(a[100:196, 200:328])), (3, pgm(a[300:390, 50:170])), (4, pgm(rng.integers(0, 256, (96, 128))))]
+    got = {r.id: r.component_id for r in media.copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}

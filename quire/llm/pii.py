@@ -2,8 +2,9 @@
 
 Protected entities are the values that the patterns find. A term (a word of 3 letters or more, as written) reveals an entity e
 as far as pointwise mutual information says: PMI(t; e) = log p(t, e) / (p(t) p(e)), estimated over the texts of
-the corpus with t within WINDOW words of e; equal texts count once, so copies are no evidence. A term whose PMI
-reaches ALPHA of the information content -log p(e) discloses e, provided SUPPORT different texts say so. Disclosing
+the corpus that hold both; equal texts count once, so copies are no evidence. Joint counts are lowered by
+DISCOUNT, so an entity of one text counts, and its evidence less than that of many. A term whose PMI
+reaches ALPHA of the information content -log p(e) discloses e. Disclosing
 terms are added as kind term wherever they occur: removed if PMI reaches REMOVE of it, else generalised.
 
 Offsets are code points, end exclusive. A null text counts as empty. Every row gives a row, repeated or not.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import saved, small, table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-WINDOW, SUPPORT, ALPHA, REMOVE = 8, 3, 0.8, 0.97
+DISCOUNT, ALPHA, REMOVE = 0.5, 0.8, 0.97
 TERMS = 200_000
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -72,7 +73,7 @@ def entity(kind: int, value: str) -> str:
 
 
 def context_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, term, text) for each entity and term near it; term is empty once per entity and text."""
+    """(entity, term, text) for each entity and term of its text; term is empty once per entity and text."""
     for batch in batches:
         rows: list[tuple[str, str, bytes]] = []
         for text in batch.column(0).to_pylist():
@@ -80,20 +81,10 @@ def context_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if not spans:
                 continue
             digest = hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
-            found = set()
-            taken = sorted((a, b) for _, a, b in spans)
-            for k, a, b in spans:
-                e = entity(k, text[a:b])
-                found.add((e, ""))
-                # the window is cut from 64 characters a word on either side
-                left = [(m.start(), m[0]) for m in WORD.finditer(text, max(0, a - 64 * WINDOW), a)][-WINDOW:]
-                right = []
-                for m in WORD.finditer(text, b, min(len(text), b + 64 * WINDOW)):
-                    right.append((m.start(), m[0]))
-                    if len(right) == WINDOW:
-                        break
-                found.update((e, w) for at, w in left + right if not any(x <= at < y for x, y in taken))
-            rows += [(e, w, digest) for e, w in found]
+            taken = [(a, b) for _, a, b in spans]
+            terms = {m[0] for m in WORD.finditer(text) if not any(a < m.end() and m.start() < b for a, b in taken)}
+            found = {entity(k, text[a:b]) for k, a, b in spans}
+            rows += [(e, w, digest) for e in found for w in {"", *terms}]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], ["entity", "term", "text"])
 
 
@@ -125,10 +116,10 @@ def scanner(terms: frozenset[str]):
 def disclosing(docs: DataFrame, terms_limit: int = TERMS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, base, words, rid) per row of docs, and (term, share) of the terms that disclose an entity.
 
-    share: the largest PMI(t; e) / -log p(e), 1 if the term occurs only with e.
+    share: the largest discounted PMI(t; e) / -log p(e), near 1 if the term occurs only with e.
     """
     pairs = saved(docs.select("text").mapInArrow(context_pairs, "entity string, term string, text binary").distinct())
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n"))
     known = saved(joint)
     seen = known.filter("term = ''").select("entity", F.col("n").alias("n_entity"))
     candidates = saved(known.filter("term <> ''").select("term").distinct())
@@ -143,7 +134,7 @@ def disclosing(docs: DataFrame, terms_limit: int = TERMS) -> tuple[DataFrame, Da
     n_term = rows.filter("digest is not null").select("digest", F.explode(F.array_distinct(F.transform("words", lambda x: x["term"]))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     n_texts = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("m")).agg(F.approx_count_distinct("m", 0.01).alias("n")).first()["n"] or 1
     both = known.filter("term <> ''").join(seen, "entity").join(n_term, "term")
-    pmi = F.log(F.col("n") * float(n_texts) / (F.col("n_term") * F.col("n_entity")))
+    pmi = F.log((F.col("n") - DISCOUNT) * float(n_texts) / (F.col("n_term") * F.col("n_entity")))
     content = F.log(float(n_texts) / F.col("n_entity"))
     share = F.least(F.lit(1.0), F.when(content > 0, pmi / content).otherwise(0.0))
     return rows, both.groupBy("term").agg(F.max(share).alias("share")).filter(F.col("share") >= ALPHA)

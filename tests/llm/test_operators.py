@@ -208,3 +208,10 @@ def test_media_finds_small_crops_of_large_images(spark):
     rows = [(1, pgm(a)), (2, pgm(a[100:196, 200:328])), (3, pgm(a[300:390, 50:170])), (4, pgm(rng.integers(0, 256, (96, 128))))]
     got = {r.id: r.component_id for r in media.copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_pii_terms_of_entities_seen_once(spark):
+    filler = " ".join(["the number is fine today and so on"] * 3)
+    rows = [(i, f"the number is fine today and so on {i}") for i in range(400)] + [(1000, f"Zaphod {filler} zq@mail.example")]
+    got = {r.term for r in pii.disclosing(docs(spark, rows))[1].collect()}
+    assert got == {"Zaphod"}

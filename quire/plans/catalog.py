@@ -110,7 +110,7 @@ OPS: list[tuple[str, list[str], str]] = [
     ("W8_list_coalescing", ["blocks"], f""", k AS (SELECT doc_id, page, n, text, CASE WHEN like[text;{BULLET}]! THEN 'bullet' WHEN like[text;{NUMBERED}]! THEN 'ordered' ELSE 'paragraph' END AS kind FROM blocks), b AS (SELECT *, CASE WHEN kind <> 'paragraph' AND kind = lag(kind) OVER (PARTITION BY doc_id, page ORDER BY n) THEN 0 ELSE 1 END AS brk FROM k), s AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY doc_id, page ORDER BY n) AS INT) AS g FROM b)
         SELECT doc_id, page, g, kind, count(*) AS items, agg[text; '|'; n]! AS text FROM s GROUP BY doc_id, page, g, kind"""),
     ("W9_break_mark", ["layout"], ", s AS (SELECT doc_id, page, n, trim(text) = '' OR w = 460 AS consumed FROM layout) SELECT doc_id, page, n, coalesce(lag(consumed) OVER (PARTITION BY doc_id, page ORDER BY n), false) AND NOT consumed AS break_before FROM s"),
-    ("W10_figure_gaps", ["blocks"], ", s AS (SELECT doc_id, page, n, text, y, lag(y + h) OVER (PARTITION BY doc_id, page ORDER BY y, n) AS bottom FROM blocks) SELECT doc_id, page, n, greatest(coalesce(bottom, 0), y - 500) AS top, y AS bottom FROM s WHERE like[lower(text);'^(fig[.]?|figure) *[0-9]+']! AND y - greatest(coalesce(bottom, 0), y - 500) >= 12"),
+    ("W10_figure_gaps", ["blocks"], ", s AS (SELECT doc_id, page, n, text, y, lag(y + h) OVER (PARTITION BY doc_id, page ORDER BY y, n) AS bottom FROM blocks) SELECT doc_id, page, n, greatest(coalesce(bottom, 0), y - 500) AS top, y AS bottom FROM s WHERE like[lower(text);'^(fig[.]?|figure) *[0-9]+']! AND y - greatest(coalesce(bottom, 0), y - 500) >= 60"),
     ("W11_xy_cut", ["blocks"], ", s AS (SELECT doc_id, page, n, y, CASE WHEN w = 460 THEN 1 ELSE 0 END AS sp, CASE WHEN x + w / 2 < 306 THEN 'L' ELSE 'R' END AS side FROM blocks) SELECT doc_id, page, n, CAST(sum(sp) OVER (PARTITION BY doc_id, page ORDER BY y, n) AS INT) AS band, side FROM s"),
     ("W12_page_attach", ["layout"], ", s AS (SELECT doc_id, n, CASE WHEN n % 3 <> 1 THEN page + 1 END AS p, page FROM layout) SELECT doc_id, n, coalesce(max(p) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS page_no FROM s"),
     ("W13_page_ordinal", ["page_state"], "SELECT doc_id, page, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY page) AS INT) AS ordinal FROM page_state"),

@@ -43,3 +43,7 @@ def test_layout_keeps_whole_lines(spark, oracle):
 def test_every_order_is_a_grid(spark, oracle):
     orders = oracle.execute("select count(distinct l_orderkey) from lineitem").fetchone()[0]
     assert plans.QUERIES["F5_tabular_content"](spark, SF).count() == orders
+
+
+def test_figure_gaps_are_wide(spark):
+    assert all(r.bottom - r.top >= 60 for r in plans.QUERIES["W10_figure_gaps"](spark, SF).collect())

@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share, as the session names it; without a name one of our own, in local mode only."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quire-')}"
         sc.setCheckpointDir(found)
     return found
@@ -28,7 +30,27 @@ def saved(df: DataFrame) -> DataFrame:
     """Written as a table to the shared folder and read back, which cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/quire-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what saved() wrote, once no result reads it any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it in any case, for columns that are added for a while."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def freed(spark: SparkSession) -> None:
@@ -42,13 +64,28 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-#: Rows that a broadcast side may have; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes that a broadcast side may have; beyond them the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+
+
+def weight(df: DataFrame) -> Column:
+    """About how many bytes a row holds."""
+    out = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            out = out + F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        elif kind.startswith(("array", "map", "struct")):
+            out = out + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            out = out + 8
+    return out
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, hinted for broadcast if a count shows that it has at most that many (narrow) rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, hinted for broadcast if a look at it shows that it has at most so many rows and bytes."""
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(weight(df)), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if seen["n"] <= rows and seen["b"] <= size else df
 
 
 def ranked(df: DataFrame, keys: list[str], total: str | None = None) -> DataFrame:

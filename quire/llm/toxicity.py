@@ -1,15 +1,17 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its runs of 3 to 5 characters, ends marked; their embeddings are averaged and a linear softmax
-gives the word's log-odds. Embeddings and softmax are trained together in numpy. A document is as toxic as its worst word,
-so its log-odds are the maximum over all its words, however long it is; a logistic curve over that maximum and the number of
-words turns it into the score. As only documents are labelled, training repeats: the words of
-toxic documents count as toxic as far as the last round found them to be, those of other documents never do.
+gives its probability of being toxic. A document is as toxic as its worst word, however long it is: its score is the softmax
+of that word's average. Embeddings and softmax are trained together in numpy, in two parts. First words: as only documents are
+labelled, the words of toxic documents count as toxic as far as the last round found them to be, those of other documents
+never do. Then documents: the worst word of each, as the last round has it, is trained on the document's label, with
+the weights that labels have outside the sample, so the softmax is that of documents.
 An unseen misspelling shares runs, and so vectors, with the word it comes from.
 
 Learned from at most about SAMPLE toxic and CLEAN_SAMPLE other rows, of those whose crc32(doc_id) mod 4 is not 2, chosen by a hash of
-doc_id. Texts without words, and every text where nothing is labelled, get the score of a text without a toxic word. Rows that
-repeat give rows each; a null doc_id is not held out and not learned from; a null label is none.
+doc_id. Texts without words get the score of log-odds FLOOR, and every text 0 where the labels lack one of both values. Rows that
+repeat give rows each; a null doc_id is not held out and not learned from; a null label is none, and of several labels of a
+doc_id the larger counts. An empty table gives no rows; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .language import HELD_OUT, remainder
 
 BITS, DIMS, SAMPLE, CLEAN_SAMPLE, THRESHOLD = 17, 8, 1500, 3000, 0.3
 GRAMS = (3, 4, 5)
-#: A text without any word counts as having a word of these log-odds.
+#: Log-odds of a text without words.
 FLOOR = -12.0
 
 
@@ -97,21 +99,6 @@ def projected(state: dict) -> np.ndarray:
     return (state["e"] @ du + (state["b"][1] - state["b"][0])).astype(np.float64)
 
 
-def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton's method, slightly regularised."""
-    w = np.zeros(x.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(x.shape[1])
-        w += np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-2 * w)
-    return w
-
-
-def inputs(worst: np.ndarray, words: np.ndarray) -> np.ndarray:
-    worst = np.clip(worst, FLOOR, -FLOOR)
-    return np.stack([np.ones(len(worst)), worst, np.log1p(words) / 10], 1)
-
-
 def fit(texts: list[list[str]], labels: list[int], prior: float, rounds: int = 4, seed: int = 5) -> dict:
     """texts: the distinct words of each document. prior: the share of toxic documents among all labelled ones."""
     rng = np.random.default_rng(seed)
@@ -147,10 +134,18 @@ def fit(texts: list[list[str]], labels: list[int], prior: float, rounds: int = 4
             if label and len(d):
                 s = logit[d]
                 blame[d[s >= max(bar, s.max() - 2)]] += 1
-    worst = np.array([logit[d].max() if len(d) else FLOOR for d in docs])
     share = max(y.mean(), 1e-9)
     weight = np.where(y == 1, prior / share, (1 - prior) / max(1 - share, 1e-9))
-    return {"scalar": scalar.astype(np.float32), "curve": curve(inputs(worst, np.array([len(d) for d in docs])), y, weight)}
+    wordy = np.array([i for i, d in enumerate(docs) if len(d)], np.int64)
+    first = np.searchsorted(of, np.arange(n + 1))
+    for _ in range(rounds):
+        worst = np.array([docs[i][logit[docs[i]].argmax()] for i in wordy], np.int64)
+        sizes = first[worst + 1] - first[worst]
+        at = np.repeat(first[worst] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        state = train(grams[at], np.repeat(np.arange(len(wordy)), sizes), len(wordy), y[wordy], weight[wordy], state, 5, rng)
+        scalar = projected(state)
+        logit = np.bincount(of, scalar[grams], n) / np.maximum(1, np.bincount(of, minlength=n))
+    return {"scalar": scalar.astype(np.float32)}
 
 
 def distinct_words(text: str | None) -> list[str]:
@@ -158,12 +153,11 @@ def distinct_words(text: str | None) -> list[str]:
 
 
 def score(model: dict | None, text: str | None) -> float:
+    """The softmax of the worst word."""
     if model is None:
         return 0.0
-    s = word_scores(text, model["scalar"]) if text else np.zeros(0)
-    n = len(s)
-    x = inputs(np.array([s.max() if n else FLOOR]), np.array([n]))
-    return float(1 / (1 + np.exp(-np.clip(x @ model["curve"], -30, 30)))[0])
+    odds = word_scores(text, model["scalar"]) if text else np.zeros(0)
+    return float(1 / (1 + np.exp(-np.clip(odds.max() if len(odds) else FLOOR, -30, 30))))
 
 
 def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,16 +5,17 @@ link when 100 * intersection >= 75 * union. Linked sets of sizes a and b differ
 in size by a factor of 4/3, so each set is indexed in its size band and, as the smaller one, in the next. A band
 hashes the tokens into segments and indexes, whichever of these costs least for its sizes:
 
-* exact: every non-empty segment; of D differences each spoils one segment, so more than D segments share one, and the first
-  D + 1 signatures by hash value are enough;
+* exact: every non-empty segment; as each of D differences spoils one segment, more than D segments share one, and the first
+  D + 1 signatures by hash value are enough. A set whose tokens leave too many segments empty for that is also
+  indexed by deletion, in about half as many segments; both counts are weighed against each other;
 * subset: every union of all but D segments;
 * deletion: every segment and all its neighbours with one token less, as two differences are needed to spoil one.
 
-A set whose tokens leave too many segments empty for the argument also enters an index of such sets, by token
-prefix. Candidates are thinned by the distance of histograms, a lower bound of the difference, and
-verified exactly on the sets. In buckets of more than PAIRS sets, only links to the first are tried at first; once components are
-known, the pairs left between different components are tried too, so no link between components is lost and
-groups of copies cost no pairs.
+Sets that neither argument covers also enter an index of such sets, by token prefix. Candidates are thinned by the
+distance of histograms, a lower bound of the difference, and verified exactly on the sets. In buckets of more than PAIRS
+sets, only links to the first are tried at first; once components are known, the members left in buckets of several components
+meet block by block, and only links that join components leave a block, so no link between components is lost and no pairs are
+written.
 
 Equal sets are one class (64-bit sum of token hashes); copies never meet as pairs. Words are maximal runs without 0x20 and
 0x09-0x0D, with A-Z lower-cased. Null, empty and blank texts have an empty set and link with nothing; rows without
@@ -26,21 +27,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import comb, exp, sqrt
+from math import comb, erfc, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import freed, saved, small, table
+from .common import forget, freed, fresh, saved, small, table
 from .components import components
 
 WORDS, PERCENT = 5, 75
 EDGES = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, *(2**k for k in range(6, 60))]
 #: Largest bucket whose pairs are all tried at once; members a pivot meets in one task.
 PAIRS, CHUNK, BINS, WIDE = 8, 256, 64, 1024
+#: Members of a bucket that one task compares with as many others; tokens per matrix product.
+BLOCK, COLUMNS = 512, 4096
 #: Rows asked for in a verification that are broadcast; beyond them it shuffles.
 ASKED = 100_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -127,31 +130,58 @@ def most_apart(n: int, p: int) -> int:
     return (n + min(EDGES[p + 1] - 1, 100 * n // PERCENT)) // 7
 
 
+def too_few(n: int, m: int, least: int) -> float:
+    """Probability that n random tokens fill fewer than `least` of m segments, by the normal approximation."""
+    x = n / m
+    mean, sd = m * (1 - exp(-x)), sqrt(max(1e-9, m * (exp(-x) - (1 + x) * exp(-2 * x))))
+    return 0.5 * erfc((mean - least + 0.5) / sd / sqrt(2))
+
+
 @lru_cache(maxsize=None)
-def allocation(p: int) -> tuple[str, int, int]:
-    """(family, segments, differences allowed for) of band p, by the least cost per set.
+def allocation(p: int) -> tuple[str, int, int, int]:
+    """(family, segments, differences allowed for, segments of the deletion index) of band p, by the least cost per set.
 
     The cost is the number of signatures, each dearer the fewer tokens it stands on, as such buckets hold sets that don't link.
     """
     n = EDGES[p + 1] - 1
     d = most_apart(n, p)
-
-    def filled(m: int) -> float:
-        x = n / m
-        return m * (1 - exp(-x)) - 2.5 * sqrt(max(0.0, m * (exp(-x) - (1 + x) * exp(-2 * x))))
-
+    dear = lambda signatures, t: signatures * (1 + 8 * exp(-t))
+    halves = d // 2 + 2
+    by_deletion = dear(n + halves, n / halves)
+    options = []
     m = d + 1
-    while m > 1 and filled(m) < d + 1 and m < 4 * n:
+    while True:
+        options.append((dear(d + 1, n / m) + too_few(n, m, d + 1) * by_deletion, "exact", m))
+        if m >= 4 * n:
+            break
         m += max(1, m // 50)
-    dear = lambda signatures, t: signatures * (1 + 8 * exp(-t))
-    options = [(dear(d + 1, n / m), "exact", m)]
+    options.append((by_deletion, "deletion", halves))
     if 0 < d <= 4:
         for s in range(d + 2, d + 5):
             options.append((dear(comb(s, d), n * (s - d) / s), "subset", s))
-        for s in range(d // 2 + 1, d // 2 + 3):
-            options.append((dear(n + s, n / s), "deletion", s))
     _, family, m = min(options)
-    return family, m, d
+    return family, m, d, halves
+
+
+def segments(t: np.ndarray, salt: np.uint64, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens hashed and sorted, where segments begin among them, their sums and numbers."""
+    hashed = np.sort(mix(t ^ salt))
+    segment = ((hashed >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+    return hashed, first, np.add.reduceat(hashed, first), segment[first]
+
+
+def neighbours(t: np.ndarray, salt: np.uint64, m: int, apart: int) -> tuple[np.ndarray, bool]:
+    """Signatures of the segments and of each with one token less; whether more than `apart` differences are needed to spoil all.
+
+    A segment of one token is spoilt by one difference, a larger one by two.
+    """
+    hashed, first, sums, ids = segments(t, salt, m)
+    sizes = np.diff(np.append(first, len(t)))
+    places = mix(ids + salt)
+    less = np.repeat(sums, sizes) - hashed
+    found = np.concatenate((mix(sums + places), mix(less + np.repeat(places, sizes))[np.repeat(sizes, sizes) > 1]))
+    return found, int(np.minimum(sizes, 2).sum()) > apart
 
 
 def signatures(t: np.ndarray) -> np.ndarray:
@@ -162,29 +192,27 @@ def signatures(t: np.ndarray) -> np.ndarray:
     for p in (own, own + 1):
         if p > own and 100 * n // PERCENT < EDGES[p]:
             continue
-        family, m, d = allocation(p)
-        salt = mix(np.array([p * 4 + 1], np.uint64))[0]
-        hashed = np.sort(mix(t ^ salt))
-        segment = ((hashed >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-        sums, ids = np.add.reduceat(hashed, first), segment[first]
-        if family == "exact":
-            h = most_apart(n, p)
-            found = np.sort(mix(sums + mix(ids + salt)))[: h + 1]
-            unlucky |= len(first) < h + 1
-        elif family == "subset":
-            full = np.zeros(m, np.uint64)
-            full[ids.astype(np.int64)] = sums
-            chosen = np.array(list(combinations(range(m), m - d)))
-            unions = full[chosen].sum(1)
-            found = mix(unions + mix(np.arange(len(chosen), dtype=np.uint64) + salt))[full[chosen].any(1)]
-            unlucky |= len(first) < d + 1
+        family, m, d, halves = allocation(p)
+        salt, other = mix(np.array([p * 4 + 1, p * 4 + 2], np.uint64))
+        apart = most_apart(n, p)
+        if family == "deletion":
+            found, sure = neighbours(t, other, halves, apart)
+            unlucky |= not sure
         else:
-            sizes = np.diff(np.append(first, n))
-            places = mix(ids + salt)
-            less = np.repeat(sums, sizes) - hashed
-            found = np.concatenate((mix(sums + places), mix(less + np.repeat(places, sizes))[np.repeat(sizes, sizes) > 1]))
-            unlucky |= 2 * int((sizes > 1).sum()) < d + 1
+            _, first, sums, ids = segments(t, salt, m)
+            if family == "exact":
+                found = np.sort(mix(sums + mix(ids + salt)))[: apart + 1]
+                enough = len(first) > apart
+            else:
+                full = np.zeros(m, np.uint64)
+                full[ids.astype(np.int64)] = sums
+                chosen = np.array(list(combinations(range(m), m - d)))
+                found = mix(full[chosen].sum(1) + mix(np.arange(len(chosen), dtype=np.uint64) + salt))[full[chosen].any(1)]
+                enough = len(first) > d
+            if not enough:
+                more, sure = neighbours(t, other, halves, apart)
+                found = np.concatenate((found, more))
+                unlucky |= not sure
         out.append(found)
     if unlucky:
         out.append(mix(t[: n - (PERCENT * n + 99) // 100 + 1] + TOKEN_SALT))
@@ -325,44 +353,129 @@ def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
 
 
-def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (sig, cls, comp, n, hist) sorted by sig: the pairs of different components that sizes and histograms allow.
+def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that follow each other with equal first columns: (their values, the rest of each row)."""
+    key, held = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:keys] != key:
+                if held:
+                    yield key, held
+                key, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield key, held
+
+
+def joins(near: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs (i, j in near[i]) so many as connect what all of them connect; label, changed in place, names the parts at first."""
+    out = []
+    for i, at in enumerate(near):
+        at = at[label[at] != label[i]]
+        others, first = np.unique(label[at], return_index=True)
+        for c, j in zip(others, at[first], strict=True):
+            out.append((i, int(j)))
+            label[label == c] = label[i]
+    return out
 
-    Each set meets those up to a third larger, first by few bins, then by all. Equal pairs of several buckets are dropped later.
-    """
-    sig, held = None, []
 
-    def compare() -> Iterator[pa.RecordBatch]:
-        if len(held) < 2:
-            return
-        held.sort(key=lambda x: x[2])
-        cls, comp, n = (np.array([x[i] for x in held], np.int64) for i in range(3))
+def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (sig, lo, hi, part, cls, comp, n, hist), block by block: edges (u, v) that connect all members
+    which sizes and histograms let link across components, fewer than the rows that came in.
+
+    Each set meets those up to a third larger, first by few bins, then by all.
+    """
+    for key, held in runs_of(batches, 3):
+        held.sort(key=lambda x: x[3])
+        part, cls, comp, n = (np.array([x[i] for x in held], np.int64) for i in range(4))
         if (comp == comp[0]).all():
-            return
-        hists = [x[3] for x in held]
+            continue
+        apart = key[1] != key[2]
+        hists = [x[4] for x in held]
         coarse, fine = stacked(hists, BINS), stacked(hists, min(map(len, hists)))
         ends = np.searchsorted(n, 100 * n // PERCENT, "right")
-        a, b, size = [], [], 0
-        for i in range(len(held) - 1):
-            at = np.flatnonzero(comp[i + 1 : ends[i]] != comp[i]) + i + 1
+        near = []
+        for i in range(len(held)):
+            other = comp[i + 1 : ends[i]] != comp[i]
+            if apart:
+                other &= part[i + 1 : ends[i]] != part[i]
+            at = np.flatnonzero(other) + i + 1
             for h in (coarse, fine):
                 if len(at):
                     at = at[np.abs(h[at] - h[i]).sum(1) <= (n[at] + n[i]) // 7]
-            if len(at):
-                a.append(np.minimum(cls[at], cls[i]))
-                b.append(np.maximum(cls[at], cls[i]))
-                size += len(at)
-            if size > 100_000 or size and i == len(held) - 2:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                a, b, size = [], [], 0
+            near.append(at)
+        found = np.array(joins(near, np.arange(len(held))), np.int64).reshape(-1, 2)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(cls[found[:, 0]]), pa.array(cls[found[:, 1]])], ["u", "v"])
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs, by products over the tokens that occur twice, COLUMNS at a time."""
+    rows = np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times[column] > 1
+    rows, column = rows[often], column[often]
+    column = np.unique(column, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[rows[lo:hi], column[lo:hi] - at] = 1
+        out += m @ m.T
+    return out
+
 
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (sig, lo, hi, part, cls, comp, tokens), block by block: links between components, no more than join them."""
+    for key, held in runs_of(batches, 3):
+        part, cls, comp = (np.array([x[i] for x in held], np.int64) for i in range(3))
+        if len(held) < 2 or (comp == comp[0]).all():
+            continue
+        sets = [np.frombuffer(x[3], np.uint64) for x in held]
+        n = np.array([len(t) for t in sets])
+        both = overlaps(sets)
+        link = 100 * both >= PERCENT * (n[:, None] + n[None] - both)
+        if key[1] != key[2]:
+            link &= part[:, None] != part[None]
+        found = np.array(joins([np.flatnonzero(row) for row in link], comp.copy()), np.int64).reshape(-1, 2)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(cls[found[:, 0]]), pa.array(cls[found[:, 1]])], ["u", "v"])
+
+
+def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cls, text) to (cls, tokens); other texts of the doc_id asked for are left out."""
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[0] != sig:
-                yield from compare()
-                sig, held = row[0], []
-            held.append(row[1:])
-    yield from compare()
+        found = [(c, t) for c, t in zip(b.column(0).to_pylist(), map(tokens, b.column(1).to_pylist()), strict=True) if len(t) and class_of(t) == c]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([t.tobytes() for _, t in found], pa.binary())], ["cls", "tokens"])
+
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """Rows (sig, cls, ..) dealt so that any two of a sig meet: a sig of m rows is cut into m / BLOCK parts, and each two parts are a block (sig, lo, hi)."""
+    parts = rows.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = rows.join(parts, "sig").withColumn("part", F.pmod(F.xxhash64("cls", "sig"), F.col("parts")).cast("long"))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+    return met.withColumn("lo", F.least("part", "with")).withColumn("hi", F.greatest("part", "with")).drop("with", "parts")
+
+
+def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select("sig", "lo", "hi", "part", *columns).repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+
+
+def left_over(docs: DataFrame, reps: DataFrame, placed: DataFrame) -> DataFrame:
+    """Links (u, v) between components among the rows (sig, cls, comp) of large buckets, so many that no link is missed.
+
+    Members of a bucket meet by histogram, block by block, and what may link is joined into groups over all buckets; the sets of a group
+    then meet, once each and a block, however many buckets they shared. What leaves a task are edges of forests, never pairs.
+    """
+    mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig")
+    rows = blocked(placed.join(mixed, "sig", "left_semi")).join(reps.select("cls", "n", "hist"), "cls")
+    groups = saved(components(dealt(rows, "cls", "comp", "n", "hist").mapInArrow(suspects, "u long, v long").distinct()))
+    members = groups.select(F.col("component").alias("sig"), F.col("node").alias("cls")).join(placed.select("cls", "comp").distinct(), "cls")
+    asked = groups.select(F.col("node").alias("cls")).join(reps.select("cls", "rep"), "cls").select("cls", F.col("rep").alias("doc_id"))
+    sets = docs.join(small(asked), "doc_id").select("cls", "text").mapInArrow(token_rows, "cls long, tokens binary").dropDuplicates(["cls"])
+    return dealt(blocked(members).join(saved(sets), "cls"), "cls", "comp", "tokens").mapInArrow(settled, "u long, v long")
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,8 +536,8 @@ def all_links(check, pairs: DataFrame, groups: DataFrame | None = None) -> DataF
     return groups
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, n, cls, node (the component's least class) and first (its least doc_id) of every row; the last three null without a set or doc_id."""
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     rows = saved(docs.mapInArrow(narrow, f"doc_id {kind}, n long, cls long, hist binary"))
@@ -445,33 +558,58 @@ def linked(docs: DataFrame) -> DataFrame:
     tried = saved(thinned(found.filter("not big").select("a", "b").distinct()))
     groups = all_links(checked, tried)
     large = found.filter("big").select(F.col("a").alias("sig"), F.col("b").alias("cls"))
-    placed = large.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("comp"))
-    placed = saved(placed)
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig")
-    open_rows = placed.join(mixed, "sig", "left_semi").join(reps.select("cls", "n", "hist"), "cls").select("sig", "cls", "comp", "n", "hist")
-    more = open_rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(cross_pairs, "a long, b long").distinct()
-    more = saved(more.join(tried, ["a", "b"], "left_anti"))
-    groups = all_links(checked, more, groups)
+    open_rows = saved(large.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("comp")))
+    forget(found, tried)
+    links = left_over(docs.filter("doc_id is not null"), reps, open_rows)
+    links = saved(links.unionByName(groups.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    forget(open_rows, groups)
+    groups = saved(components(links))
+    forget(links)
     least = groups.withColumnRenamed("node", "cls").join(reps.select("cls", "rep"), "cls")
     whole = least.groupBy("component").agg(F.min("rep").alias("first"))
-    of_class = least.join(whole, "component").select("cls", "first")
+    of_class = least.join(whole, "component").select("cls", "component", "first")
     out = rows.select("doc_id", "n", "cls").join(reps.select("cls", "rep"), "cls", "left").join(of_class, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "rep", "doc_id")).alias("component_id"))
+    known = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n", "cls", F.when(known, F.coalesce("component", "cls")).alias("node"), F.when(known, F.coalesce("first", "rep")).alias("first"))
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    return placed(docs).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+
+
+def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Appends the class of the text, which comes last, in its stead."""
+    for b in batches:
+        sets = [tokens(t) for t in b.column(b.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([class_of(t) if len(t) else None for t in sets], pa.int64())], [*b.schema.names[:-1], "cls"])
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that link, directly or over others, with one of smaller doc_id; of rows that repeat a doc_id one stays.
+    """docs with one row of each component, of the smallest doc_id; of rows of that doc_id, of the smallest class, then hash, then at random of equals.
 
-    Rows without doc_id stay.
+    Rows of a doc_id whose texts don't link are documents of their own here and each stay; so do rows without doc_id, and
+    one of the rows of a doc_id without words. Columns of any other names are passed on.
     """
-    groups = saved(linked(docs).filter("doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__first")))
-    first = groups.filter("__id = __first").groupBy("__id").agg(F.count("*").alias("__n"))
-    kept = docs.join(small(first), F.col("doc_id") == F.col("__id"), "left").filter("doc_id is null or __id is not null")
-    once = kept.filter("coalesce(__n, 1) = 1").select(*docs.columns)
-    repeated = kept.filter("__n > 1").select(*docs.columns)
-    if first.filter("__n > 1").limit(1).count():
-        once = once.unionByName(repeated.dropDuplicates(["doc_id"]))
-    return once
+    rows = saved(placed(docs).filter("doc_id is not null").select("doc_id", "cls", "node", "first"))
+    mine, times, keep = fresh(docs, "id", "times", "keep")
+    # rows that hold the only text of their doc_id are the most, and decided by doc_id alone
+    each = saved(rows.groupBy(F.col("doc_id").alias(mine)).agg(F.count("*").alias(times), F.max((F.coalesce("first", "doc_id") == F.col("doc_id")).cast("int")).alias(keep)))
+    gone = each.filter(f"`{keep}` = 0").select(mine)
+    left = docs.join(small(gone), F.col("doc_id") == F.col(mine), "left_anti")
+    many = each.filter(f"`{keep}` = 1 and `{times}` > 1").select(mine)
+    if not many.limit(1).count():
+        return left
+    once = left.join(small(many), F.col("doc_id") == F.col(mine), "left_anti")
+    twice = left.join(small(many), F.col("doc_id") == F.col(mine), "left_semi")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    held = twice.select("doc_id", F.struct(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)]).alias("row"), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]).alias("hash"), "text")
+    held = held.mapInArrow(classes, held.drop("text").schema.add("cls", "long"))
+    of = rows.join(small(many), F.col("doc_id") == F.col(mine), "left_semi").filter("cls is not null").select(F.col("doc_id").alias("d"), F.col("cls").alias("c"), "node", "first").distinct()
+    held = held.join(of, (F.col("doc_id") == F.col("d")) & F.col("cls").eqNullSafe(F.col("c")), "left").filter("coalesce(first, doc_id) = doc_id")
+    w = Window.partitionBy("doc_id", "node").orderBy("cls", "hash")
+    chosen = held.withColumn("k", F.row_number().over(w)).filter("k = 1").select(*[F.col(f"row.{k}").alias(c) for c, k in zip(docs.columns, names, strict=True)])
+    return once.unionByName(chosen)
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ REGULAR = [
     352, 572, 667, 600, 667, 615, 393, 662, 573, 229, 229, 548, 229, 908, 573, 655, 667, 667, 338, 509, 388, 573, 517, 797, 487, 536, 449, 317, 300, 317, 606,
 ]
 BOLD = [
-    178, 371, 498, 915, 647, 1046, 793, 311, 379, 379, 540, 660, 357, 600, 378, 506, 708, 403, 597, 622, 655, 632, 602, 559, 632, 602, 378, 398, 660, 660, 660, 583,
-    927, 712, 691, 774, 740, 595, 586, 808, 733, 279, 393, 679, 543, 893, 741, 878, 648, 878, 661, 647, 542, 718, 697, 1020, 661, 661, 571, 416, 506, 415, 660, 663,
+    178, 371, 498, 915, 647, 1046, 793, 311, 379, 379, 540, 660, 357, 600, 378, 506, 708, 403, 597, 611, 654, 615, 602, 559, 632, 602, 378, 398, 660, 660, 660, 583,
+    927, 712, 691, 774, 740, 595, 586, 808, 733, 279, 393, 679, 543, 893, 741, 878, 648, 878, 661, 647, 542, 718, 697, 1020, 661, 660, 571, 416, 506, 415, 660, 663,
     381, 580, 672, 608, 672, 612, 406, 652, 593, 252, 252, 577, 252, 924, 593, 652, 672, 672, 374, 514, 413, 593, 566, 883, 558, 586, 481, 398, 395, 398, 660,
 ]
 AVERAGE, AVERAGE_BOLD = 540, 574

@@ -1,8 +1,9 @@
-"""Registered queries with their SQL counterparts."""
+"""Registered queries with their SQL counterparts, and the rules on tables of one's own."""
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,29 +12,56 @@ from quire.sources.fixtures import PARTS, prefix, translated
 from .catalog import OPS
 
 TABLES = ("documents", "pages", "events", "lineitem")
+RULES = {name: (needs, sql) for name, needs, sql in OPS}
 
 
-def text_of(needs: list[str], sql: str, dialect: str) -> str:
-    parts = prefix([x for x in needs if x not in TABLES], dialect)
-    body = translated(sql.strip(), dialect)
+def text_of(needs: list[str], sql: str, dialect: str, given: tuple[str, ...] = ()) -> str:
+    parts = prefix([x for x in needs if x not in TABLES], dialect, given)
+    body = sql.strip()
     if dialect == "duck":
-        body = body.replace("LEFT SEMI JOIN", "SEMI JOIN").replace("LEFT ANTI JOIN", "ANTI JOIN")
-    out = translated(parts, dialect) + (body.lstrip(", \n") if not parts else body)
+        body, parts = (x.replace("LEFT SEMI JOIN", "SEMI JOIN").replace("LEFT ANTI JOIN", "ANTI JOIN") for x in (body, parts))
+    out = translated(parts, dialect) + translated(body if parts else body.lstrip(", \n"), dialect)
     if not parts and body.startswith(","):
         out = "WITH " + out
     return out
 
 
+def bound(spark: SparkSession, sql: str, frames: dict[str, DataFrame]) -> DataFrame:
+    """sql over the frames by name. They are views under names of their own only while the text is analysed."""
+    names = {k: f"quire_{uuid.uuid4().hex}" for k in frames}
+    ctes = ",\n".join(f"{k} AS (SELECT * FROM {v})" for k, v in names.items())
+    tail = re.sub(r"^WITH (RECURSIVE )?", ", ", sql.lstrip()) if sql.lstrip().startswith("WITH ") else f" {sql}"
+    try:
+        for k, df in frames.items():
+            df.createOrReplaceTempView(names[k])
+        return spark.sql(f"WITH {ctes}{tail}" if frames else sql)
+    finally:
+        for v in names.values():
+            spark.catalog.dropTempView(v)
+
+
+def apply(rule: str, **tables: DataFrame) -> DataFrame:
+    """A rule of the catalogue on one's own records.
+
+    tables: any of the relations that the rule needs, or of those they build on, by name (`layout` with one row a line is enough
+    for most): columns as in quire.sources.fixtures.PARTS. Relations not given are derived from those given.
+    """
+    needs, sql = RULES[rule]
+    spark = next(iter(tables.values())).sparkSession
+    return bound(spark, text_of(needs, sql, "spark", tuple(tables)), tables)
+
+
+def fixture(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    """A relation of the fixtures, from the test tables."""
+    return query([part], f"SELECT * FROM {part}")(spark, sf_dir)
+
+
 def query(needs: list[str], sql: str):
     spark_sql = text_of(needs, sql, "spark")
     read = [t for t in TABLES if re.search(rf"\b{t}\b", spark_sql)]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        views = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in read}
-        # views are bound when the text is analysed, so a later call may replace them
-        for name, df in views.items():
-            df.createOrReplaceTempView(name)
-        return spark.sql(spark_sql)
+        return bound(spark, spark_sql, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in read})
 
     return run
 

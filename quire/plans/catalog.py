@@ -1,8 +1,9 @@
-"""The operators as queries: (name, fixture parts, tables, SQL). One text serves Spark and the oracle."""
+"""The operators as queries: (name, fixture parts, SQL). One text serves Spark and the oracle; hand-worked rows test the rules themselves."""
 
 from __future__ import annotations
 
-BULLET, NUMBERED = "'^[•▪◦·–-] '", "'^[0-9]{1,3}[.)] '"
+#: A bulleted and a numbered line, a numeric cell.
+BULLET, NUMBERED = r"'^\s*[•·▪◦‣*-]\s+'", r"'^\s*[0-9]+[.)]\s+'"
 NUMERIC = "'^-?[$]?[0-9,]*[.]?[0-9]+%?$'"
 
 OPS: list[tuple[str, list[str], str]] = [
@@ -12,78 +13,108 @@ OPS: list[tuple[str, list[str], str]] = [
         c AS (SELECT page_id, sum(length(text)) AS chars, count(*) AS blocks FROM html_blocks GROUP BY page_id)
         SELECT c.page_id, CAST(c.chars AS BIGINT) AS chars, CASE WHEN c.chars < 90 THEN 'scanned' ELSE 'text' END AS mode, coalesce(w.n, 0) AS words, coalesce(h.hits, 0) AS hits,
         coalesce(h.hits, 0) * 10 >= coalesce(w.n, 0) * 6 AS ok FROM c LEFT JOIN w ON c.page_id = w.page_id LEFT JOIN h ON c.page_id = h.page_id"""),
-    # sources
     ("S2_page_text", ["documents"], "SELECT doc_id, text, length(text) AS chars FROM documents"),
-    ("S6_page_size", ["layout"], "SELECT doc_id, page, max(x + w) AS width, max(y + h) AS height FROM layout GROUP BY doc_id, page"),
+    ("S6_page_size", ["page_box"], r"SELECT doc_id, page, width, height FROM page_box"),
     ("S7_spans", ["layout"], "SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY y, x, n) AS place, text, size, x, y FROM layout WHERE trim(text) <> ''"),
-    ("S9_drawings", ["fills"], "SELECT doc_id, page, f, CASE WHEN h <= 3 OR w <= 3 THEN 'line' ELSE 'rect' END AS kind, fill AS color, x, y FROM fills WHERE fill IS NOT NULL AND fill <> '#FFFFFF'"),
+    ("S9_drawings", ["drawings"], r"SELECT doc_id, page, d, CASE WHEN h <= 3 OR w <= 3 THEN 'line' ELSE 'rect' END AS kind, coalesce(stroke, fill) AS color, width, x, y, x + w AS x1, y + h AS y1 FROM drawings WHERE coalesce(stroke, fill) IS NOT NULL AND coalesce(stroke, fill) <> '#FFFFFF'"),
     ("S17_markdown_lines", ["raw_lines"], "SELECT doc_id, n, CASE WHEN like[line;'^#{1,6} ']! THEN 'heading' WHEN like[line;'^ *[-*+] ']! THEN 'bullet' WHEN like[line;'^ *[0-9]+[.] ']! THEN 'number' WHEN like[line;'[|]']! THEN 'table' WHEN trim(line) = '' THEN 'blank' ELSE 'text' END AS kind FROM raw_lines"),
     ("S20_html_blocks", ["html_blocks"], "SELECT page_id, i, type, text FROM html_blocks"),
-    # sinks
-    ("K3_markdown", ["html_blocks"], "SELECT page_id, agg[CASE type WHEN 'heading' THEN concat('# ', text) WHEN 'list' THEN concat('- ', text) ELSE text END; chr(10); i]! AS markdown FROM html_blocks GROUP BY page_id"),
-    ("K4_html", ["html_blocks"], "SELECT page_id, agg[concat(CASE type WHEN 'heading' THEN '<h1>' WHEN 'list' THEN '<li>' ELSE '<p>' END, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), CASE type WHEN 'heading' THEN '</h1>' WHEN 'list' THEN '</li>' ELSE '</p>' END); ''; i]! AS html FROM html_blocks GROUP BY page_id"),
-    ("K12_summary", ["blocks"], "SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS blocks, CAST(sum(length(text)) AS BIGINT) AS chars FROM blocks GROUP BY doc_id"),
-    ("K13_text_prompt", ["blocks", "body"], "SELECT b.doc_id, b.page, agg[concat('[', CAST(b.x AS STRING), ',', CAST(b.y AS STRING), '] ', CASE WHEN b.size * 100 >= o.body * 115 THEN '(H) ' ELSE '' END, b.text); chr(10); b.y, b.x, b.n]! AS prompt FROM blocks AS b JOIN body AS o ON b.doc_id = o.doc_id AND b.page = o.page GROUP BY b.doc_id, b.page"),
+    ("K3_markdown", ["html_blocks"], r""", b AS (SELECT *, CASE WHEN type = coalesce(lag(type) OVER (PARTITION BY page_id ORDER BY i), '') AND type = 'list' THEN chr(10) ELSE concat(chr(10), chr(10)) END AS gap, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k FROM html_blocks WHERE text <> '')
+        SELECT page_id, agg[concat(CASE WHEN k = 1 THEN '' ELSE gap END, CASE type WHEN 'heading' THEN concat(repeat('#', least(6, level)), ' ', text) WHEN 'list' THEN concat('- ', text) ELSE text END); ''; i]! AS markdown FROM b GROUP BY page_id"""),
+    ("K4_html", ["html_blocks"], r""", b AS (SELECT *, coalesce(lag(type) OVER (PARTITION BY page_id ORDER BY i), '') AS before, coalesce(lead(type) OVER (PARTITION BY page_id ORDER BY i), '') AS after, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS esc FROM html_blocks WHERE text <> '')
+        SELECT page_id, agg[CASE type WHEN 'heading' THEN concat('<h', CAST(level AS STRING), '>', esc, '</h', CAST(level AS STRING), '>') WHEN 'list' THEN concat(CASE WHEN before <> 'list' THEN '<ul>' ELSE '' END, '<li>', esc, '</li>', CASE WHEN after <> 'list' THEN '</ul>' ELSE '' END) ELSE concat('<p>', esc, '</p>') END; ''; i]! AS html FROM b GROUP BY page_id"""),
+    ("K12_summary", ["page_box", "blocks", "images", "fills"], r""", b AS (SELECT doc_id, page, count(*) AS n, sum(length(text)) AS chars FROM blocks GROUP BY doc_id, page), i AS (SELECT doc_id, page, count(*) AS n FROM images GROUP BY doc_id, page), f AS (SELECT doc_id, page, count(*) AS n FROM fills GROUP BY doc_id, page)
+        SELECT p.doc_id, count(*) AS pages, CAST(sum(coalesce(b.n, 0)) AS BIGINT) AS blocks, CAST(sum(coalesce(b.chars, 0)) AS BIGINT) AS chars, CAST(sum(coalesce(i.n, 0)) AS BIGINT) AS images, CAST(sum(coalesce(f.n, 0)) AS BIGINT) AS fills
+        FROM page_box AS p LEFT JOIN b ON p.doc_id = b.doc_id AND p.page = b.page LEFT JOIN i ON p.doc_id = i.doc_id AND p.page = i.page LEFT JOIN f ON p.doc_id = f.doc_id AND p.page = f.page GROUP BY p.doc_id"""),
+    ("K13_text_prompt", ["layout", "all_blocks", "body", "page_box", "fill_text", "fills", "borders"], r""", l AS (SELECT l.doc_id, l.page, CAST(floor(b.y / 4.0 + 0.5) AS INT) AS band, b.x AS bx, l.block, l.n, concat('  x=', rpad(CAST(l.x AS STRING), 5, ' '), ' y=', rpad(CAST(l.y AS STRING), 5, ' '), ' | ', rx[l.text;'\s+$';'']!,
+        CASE WHEN l.size * 100 >= o.body * 115 THEN concat(' [HEADING ~', CAST(l.size AS STRING), 'pt]') WHEN l.flags >= 16 OR lower(l.font) LIKE '%bold%' OR lower(l.font) LIKE '%black%' OR lower(l.font) LIKE '%heavy%' THEN ' [bold]' ELSE '' END) AS line
+        FROM layout AS l JOIN all_blocks AS b ON l.doc_id = b.doc_id AND l.page = b.page AND l.block = b.n JOIN body AS o ON l.doc_id = o.doc_id AND l.page = o.page WHERE trim(l.text) <> ''),
+        t AS (SELECT doc_id, page, agg[line; chr(10); band, bx, block, n]! AS lines FROM l GROUP BY doc_id, page),
+        c AS (SELECT f.doc_id, f.page, agg[concat('  ', f.fill, '  at x=', rpad(CAST(f.x AS STRING), 4, ' '), ' y=', rpad(CAST(f.y AS STRING), 4, ' '), ' w=', rpad(CAST(f.w AS STRING), 4, ' '), ' h=', rpad(CAST(f.h AS STRING), 3, ' '), '  behind: "', t.text, '"'); chr(10); f.f]! AS fills FROM fills AS f JOIN fill_text AS t ON f.doc_id = t.doc_id AND f.page = t.page AND f.f = t.f GROUP BY f.doc_id, f.page),
+        r AS (SELECT doc_id, page, agg[concat(color, ' ', CAST(CAST(width AS DECIMAL(5, 1)) AS STRING), 'pt (x', CAST(n AS STRING), ')'); ', '; place]! AS borders FROM borders GROUP BY doc_id, page)
+        SELECT p.doc_id, p.page, concat('PAGE ', CAST(p.width AS STRING), 'x', CAST(p.height AS STRING), ' pt (body text ~', CAST(o.body AS STRING), '.0pt). Reading order:', CASE WHEN t.lines IS NULL THEN '' ELSE concat(chr(10), t.lines) END,
+        CASE WHEN c.fills IS NULL THEN '' ELSE concat(chr(10), chr(10), 'FILLS', chr(10), c.fills) END, CASE WHEN r.borders IS NULL THEN '' ELSE concat(chr(10), 'BORDERS ', r.borders) END) AS prompt
+        FROM page_box AS p JOIN body AS o ON p.doc_id = o.doc_id AND p.page = o.page LEFT JOIN t ON p.doc_id = t.doc_id AND p.page = t.page LEFT JOIN c ON p.doc_id = c.doc_id AND p.page = c.page LEFT JOIN r ON p.doc_id = r.doc_id AND p.page = r.page"""),
     ("K8_page_json_rows", ["blocks"], "SELECT doc_id, page, count(*) AS blocks FROM blocks GROUP BY doc_id, page"),
-    # filters
     ("F1_nonblank", ["layout"], "SELECT doc_id, n, trim(text) <> '' AS has_text FROM layout"),
-    ("F2_route", ["blocks"], """, s AS (SELECT doc_id, page, sum(length(text)) AS chars, count(*) AS n, count(CASE WHEN x + w < 310 THEN 1 END) AS l, count(CASE WHEN x > 310 THEN 1 END) AS r FROM blocks GROUP BY doc_id, page)
-        SELECT doc_id, page, CAST(chars AS BIGINT) AS chars, CASE WHEN chars < 90 THEN 'llm' ELSE 'text' END AS mode, CASE WHEN chars < 90 THEN 'scanned' WHEN n >= 6 AND l >= 3 AND r >= 3 AND l * 4 > n AND r * 4 > n THEN 'multi-column' ELSE 'clean' END AS reason FROM s"""),
-    ("F3_multi_column", ["blocks"], "SELECT doc_id, page, count(*) >= 6 AND count(CASE WHEN x + w / 2 < 286 THEN 1 END) >= 3 AND count(CASE WHEN x + w / 2 > 326 THEN 1 END) >= 3 AND count(CASE WHEN x + w / 2 < 286 THEN 1 END) * 4 > count(*) AND count(CASE WHEN x + w / 2 > 326 THEN 1 END) * 4 > count(*) AS multi FROM blocks GROUP BY doc_id, page"),
-    ("F4_tabular_geometry", ["blocks"], """, s AS (SELECT doc_id, page, CAST(floor(x / 5.0 + 0.5) AS INT) AS b, count(*) AS n FROM blocks WHERE length(text) - length(replace(text, ' ', '')) <= 3 GROUP BY doc_id, page, CAST(floor(x / 5.0 + 0.5) AS INT))
-        SELECT doc_id, page, CAST(sum(n) AS BIGINT) AS short_lines, sum(n) >= 8 AND count(CASE WHEN n >= 3 THEN 1 END) >= 2 AS tabular FROM s GROUP BY doc_id, page"""),
-    ("F5_tabular_content", ["cells"], f""", s AS (SELECT t, r, count(CASE WHEN like[text;{NUMERIC}]! THEN 1 END) AS nums FROM cells GROUP BY t, r) SELECT t, count(CASE WHEN nums >= 2 THEN 1 END) >= 3 AS tabular FROM s GROUP BY t"""),
-    ("F6_reroute", ["blocks", "fills"], """, f AS (SELECT doc_id, page, count(CASE WHEN fill = '#3C78D8' AND f = 0 THEN 1 END) AS n FROM fills GROUP BY doc_id, page), s AS (SELECT doc_id, page, sum(length(text)) AS chars FROM blocks GROUP BY doc_id, page)
-        SELECT s.doc_id, s.page, CASE WHEN chars < 90 OR f.n > 0 THEN 'llm' ELSE 'text' END AS mode FROM s JOIN f ON s.doc_id = f.doc_id AND s.page = f.page"""),
+    ("F2_route", ["routes"], r"SELECT doc_id, page, llm, chars, mode, reason FROM routes"),
+    ("F3_multi_column", ["multi_pages"], r"SELECT doc_id, page, multi FROM multi_pages"),
+    ("F4_tabular_geometry", ["tabular_pages"], r"SELECT doc_id, page, by_geometry AS tabular FROM tabular_pages"),
+    ("F5_tabular_content", ["numeric_lines"], r"SELECT doc_id, page, count(CASE WHEN is_numeric THEN 1 END) AS numeric_lines, count(CASE WHEN is_numeric THEN 1 END) >= 3 AS tabular FROM numeric_lines GROUP BY doc_id, page"),
+    ("F6_reroute", ["routes", "fills", "frames"], r""", v AS (SELECT doc_id, page, bool_or(has_fill) AS has_fill, bool_or(has_frame) AS has_frame FROM (SELECT doc_id, page, true AS has_fill, false AS has_frame FROM fills UNION ALL SELECT doc_id, page, false, true FROM frames) AS u GROUP BY doc_id, page)
+        SELECT r.doc_id, r.page, r.llm, r.mode AS before, CASE WHEN r.mode = 'text' AND r.llm = 'auto' AND (coalesce(v.has_fill, false) OR coalesce(v.has_frame, false)) THEN 'llm' ELSE r.mode END AS mode,
+        CASE WHEN r.mode = 'text' AND r.llm = 'auto' AND (coalesce(v.has_fill, false) OR coalesce(v.has_frame, false)) THEN concat('vector fills/frame present (', r.reason, ')') ELSE r.reason END AS reason FROM routes AS r LEFT JOIN v ON r.doc_id = v.doc_id AND r.page = v.page"""),
     ("F7_row_shaped", ["cells"], ", g AS (SELECT t, r, x - lag(x_end) OVER (PARTITION BY t, r ORDER BY c) AS gap FROM cells) SELECT t, r, count(gap) >= 1 AND count(CASE WHEN gap < 25 THEN 1 END) = 0 AS row_shaped FROM g GROUP BY t, r"),
-    ("F8_spanning", ["blocks"], "SELECT doc_id, page, n, w * 100 > 62 * 612 OR (x * 100 < 45 * 612 AND (x + w) * 100 > 55 * 612) AS spanning FROM blocks"),
-    ("F9_margin_band", ["blocks"], "SELECT doc_id, page, n, CASE WHEN (y + 6) * 100 < 12 * 860 THEN 'top' WHEN (y + 6) * 100 > 88 * 860 THEN 'bottom' ELSE 'middle' END AS band FROM blocks"),
-    ("F10_furniture", ["running"], "SELECT page, k, band = 'top' OR raw LIKE 'Only%' AS furniture FROM running"),
-    ("F11_page_number", ["running"], "SELECT page, k, like[lower(raw);'^(page )?[0-9]+( (of|/) [0-9]+)?$']! AS is_number FROM running"),
-    ("F12_stray_marks", ["blocks"], "SELECT doc_id, page, n FROM blocks WHERE NOT (length(trim(text)) <= 2 AND length(trim(text)) * 5 < 10)"),
+    ("F8_spanning", ["blocks", "page_box"], r"SELECT b.doc_id, b.page, b.n, b.w * 100 > 62 * p.width OR (b.x * 100 < 45 * p.width AND (b.x + b.w) * 100 > 55 * p.width) AS spanning FROM blocks AS b JOIN page_box AS p ON b.doc_id = p.doc_id AND b.page = p.page"),
+    ("F9_margin_band", ["running"], r"SELECT page, k, CASE WHEN cy * 100 > 88 * page_h THEN 'header' WHEN cy * 100 < 12 * page_h THEN 'footer' END AS band FROM running"),
+    ("F10_furniture", ["running"], r"SELECT page, k, layer = 'furniture' OR label IN ('page_header', 'page_footer') AS furniture FROM running"),
+    ("F11_page_number", ["running"], r"SELECT page, k, like[raw;'^[0-9]+$']! OR like[lower(raw);'^[0-9]+\s+of\s+[0-9]+$']! OR like[lower(raw);'^page\s+[0-9]+(\s+of\s+[0-9]+)?$']! AS is_number FROM running"),
+    ("F12_stray_marks", ["layout"], r"SELECT doc_id, page, n FROM layout WHERE trim(text) <> '' AND NOT (length(trim(text)) <= 2 AND w < 10)"),
     ("F13_numeric_cell", ["cells"], f"SELECT t, r, c, like[text;{NUMERIC}]! AS is_numeric FROM cells"),
-    ("F14_list_line", ["blocks"], f"SELECT doc_id, page, n, like[text;{BULLET}]! AS bullet, like[text;{NUMBERED}]! AS numbered FROM blocks"),
-    ("F15_caption", ["blocks"], "SELECT doc_id, page, n, like[lower(text);'^(fig[.]?|figure) *[0-9]+']! AS caption FROM blocks"),
-    ("F16_background", ["fills"], "SELECT doc_id, page, f, w * (f + 1) >= 612 - 2 AND h * (f + 1) * 8 >= 792 - 2 AS background FROM fills"),
-    ("F17_frame_candidate", ["fills"], "SELECT doc_id, page, f, w * (f + 1) * 100 >= 60 * 612 AND w * (f + 1) < 611 AS frame FROM fills"),
+    ("F14_list_line", ["layout"], rf"SELECT doc_id, page, n, like[text;{BULLET}]! AS bullet, like[text;{NUMBERED}]! AS numbered, CASE WHEN like[text;{BULLET}]! THEN trim(rx[text;'^\s*[•·▪◦‣*-]\s+';'']!) WHEN like[text;{NUMBERED}]! THEN trim(rx[text;'^\s*[0-9]+[.)]\s+';'']!) END AS item FROM layout"),
+    ("F15_caption", ["blocks"], r"SELECT doc_id, page, n, like[lower(text);'^(fig[.]?|figure)\s*[0-9]+']! AS caption FROM blocks"),
+    ("F16_background", ["drawings", "page_box"], r"SELECT d.doc_id, d.page, d.d, d.w >= p.width - 2 AND d.h >= p.height - 2 AS background FROM drawings AS d JOIN page_box AS p ON d.doc_id = p.doc_id AND d.page = p.page WHERE d.fill IS NOT NULL"),
+    ("F17_frame_candidate", ["drawings", "page_box"], r"SELECT d.doc_id, d.page, d.d, d.w * 100 >= 60 * p.width AND d.w < p.width - 1 AND d.h * 100 >= 60 * p.height AND d.h < p.height - 1 AS frame FROM drawings AS d JOIN page_box AS p ON d.doc_id = p.doc_id AND d.page = p.page WHERE d.stroke IS NOT NULL"),
     ("F18_has_text", ["layout"], "SELECT doc_id, page, count(CASE WHEN trim(text) <> '' THEN 1 END) > 0 AS has_text FROM layout GROUP BY doc_id, page"),
     ("F19_pending", ["page_state"], "SELECT doc_id, page, status FROM page_state WHERE status <> 'completed'"),
     ("F22_column_bands", ["blocks"], """, o AS (SELECT doc_id, page, length(text) AS v, w, x, row_number() OVER (PARTITION BY doc_id, page ORDER BY length(text), n) - 1 AS i, count(*) OVER (PARTITION BY doc_id, page) AS c FROM blocks)
         SELECT doc_id, page, max(CASE WHEN i = floor(c / 2) THEN v END) AS median_chars, max(c) >= 6 AND max(CASE WHEN i = floor(c / 2) THEN v END) >= 40 AND count(CASE WHEN x < 200 THEN 1 END) >= 3 AND count(CASE WHEN x > 200 THEN 1 END) >= 3 AS multi FROM o GROUP BY doc_id, page"""),
     ("F23_full_width", ["blocks"], """, o AS (SELECT doc_id, page, n, w, row_number() OVER (PARTITION BY doc_id, page ORDER BY w, n) - 1 AS i, count(*) OVER (PARTITION BY doc_id, page) AS c FROM blocks), m AS (SELECT doc_id, page, max(CASE WHEN i = floor(c / 2) THEN w END) AS m FROM o GROUP BY doc_id, page)
         SELECT b.doc_id, b.page, b.n, b.w * 10 >= m.m * 16 AS is_full FROM blocks AS b JOIN m ON b.doc_id = m.doc_id AND b.page = m.page"""),
-    ("F24_injected", ["fills"], "SELECT doc_id, page, count(*) AS n_fills, min(f) AS first_fill FROM fills WHERE fill IS NOT NULL GROUP BY doc_id, page"),
-    ("F25_prompt_tag", ["blocks", "body"], "SELECT b.doc_id, b.page, b.n, CASE WHEN b.size * 100 >= o.body * 115 THEN 'H' WHEN b.n % 5 = 0 THEN 'B' ELSE '' END AS tag FROM blocks AS b JOIN body AS o ON b.doc_id = o.doc_id AND b.page = o.page"),
-    ("F27_frame_wanted", ["fills"], "SELECT doc_id, page, count(*) > 1 AND max(w) > 299 AS frame_wanted FROM fills GROUP BY doc_id, page"),
-    ("F28_classify", ["blocks", "levels"], f"SELECT b.doc_id, b.page, b.n, CASE WHEN v.level IS NOT NULL AND length(b.text) <= 120 THEN 'heading' WHEN like[b.text;{BULLET}]! OR like[b.text;{NUMBERED}]! THEN 'list' ELSE 'paragraph' END AS type FROM blocks AS b LEFT JOIN levels AS v ON b.doc_id = v.doc_id AND b.page = v.page AND b.size = v.size"),
-    # joins
-    ("J1_fill_text", ["blocks", "fills"], "SELECT f.doc_id, f.page, f.f, substr(agg[trim(b.text); ' '; b.n]!, 1, 60) AS text FROM fills AS f JOIN blocks AS b ON f.doc_id = b.doc_id AND f.page = b.page AND b.x >= f.x - 1 AND b.y >= f.y - 1 AND b.y + b.h <= f.y + f.h + 1 GROUP BY f.doc_id, f.page, f.f"),
-    ("J2_in_table", ["blocks", "fills"], "SELECT b.doc_id, b.page, b.n FROM blocks AS b LEFT SEMI JOIN fills AS f ON f.doc_id = b.doc_id AND f.page = b.page AND b.x + b.w / 2 BETWEEN f.x AND f.x + f.w AND b.y + b.h / 2 BETWEEN f.y AND f.y + f.h"),
-    ("J3_nested_in", ["fills"], "SELECT a.doc_id, a.page, a.f, min(b.f) AS nested_in FROM fills AS a JOIN fills AS b ON a.doc_id = b.doc_id AND a.page = b.page AND a.f <> b.f AND a.y >= b.y - 120 AND a.y + a.h <= b.y + b.h + 120 GROUP BY a.doc_id, a.page, a.f"),
-    ("J4_nearest_band", ["blocks"], ", b AS (SELECT 0 AS idx, 72 AS x0 UNION ALL SELECT 1, 201 UNION ALL SELECT 2, 330) SELECT l.doc_id, l.n, min_by(b.idx, abs(l.x + l.n % 200 - b.x0) * 10 + b.idx) AS band FROM blocks AS l JOIN b ON l.x > 0 AND b.x0 > 0 GROUP BY l.doc_id, l.n"),
-    ("J5_figure_gaps", ["blocks", "fills"], "SELECT b.doc_id, b.page, b.n FROM blocks AS b LEFT ANTI JOIN fills AS f ON b.doc_id = f.doc_id AND b.page = f.page AND b.y < f.y + f.h AND f.y < b.y + 60"),
-    ("J6_match_fill", ["raw_lines"], """, f AS (SELECT doc_id, n AS f, line FROM raw_lines WHERE n < 3), w AS (SELECT doc_id, n, word FROM (SELECT doc_id, n, lower(substr(line, 1, 8)) AS word FROM raw_lines)), g AS (SELECT doc_id, f, lower(substr(line, 1, 8)) AS word FROM f), s AS (SELECT w.doc_id, w.n, g.f, count(*) * 2 AS score FROM w JOIN g ON w.doc_id = g.doc_id AND w.word = g.word GROUP BY w.doc_id, w.n, g.f)
-        SELECT doc_id, n, max_by(f, score * 100 - f) AS fill, max(score) AS score FROM s WHERE score >= 2 GROUP BY doc_id, n"""),
-    ("J7_missing_fills", ["fills"], ", palette AS (SELECT '#3C78D8' AS fill UNION ALL SELECT '#F9CB9C') SELECT DISTINCT f.fill FROM fills AS f LEFT ANTI JOIN palette AS p ON f.fill = p.fill"),
-    ("J8_coverage", ["page_words", "block_words"], ", h AS (SELECT p.page_id, count(b.word) AS hits, count(*) AS n FROM page_words AS p LEFT JOIN block_words AS b ON p.page_id = b.page_id AND p.word = b.word GROUP BY p.page_id) SELECT page_id, hits, n, hits * 10 >= n * 6 AS ok FROM h"),
-    ("J9_unreferenced", ["blocks", "fills"], "SELECT f.doc_id, f.page, f.f FROM fills AS f LEFT ANTI JOIN blocks AS b ON f.doc_id = b.doc_id AND f.page = b.page AND f.f = b.n"),
-    ("J10_document_model", ["page_state", "attempts"], "SELECT s.doc_id, s.page, s.status, min(a.attempt) AS manifest FROM page_state AS s JOIN attempts AS a ON s.doc_id = a.doc_id AND s.page = a.page AND a.ok WHERE s.status = 'completed' GROUP BY s.doc_id, s.page, s.status"),
-    ("J11_hints", ["page_state", "fills"], "SELECT DISTINCT doc_id, page, 'missing words' AS hint FROM page_state WHERE status = 'failed' UNION ALL SELECT DISTINCT doc_id, page, 'missing fill' AS hint FROM fills WHERE fill = '#111111'"),
-    ("J12_picture_page", ["fills"], "SELECT doc_id, page, f, row_number() OVER (PARTITION BY doc_id, page ORDER BY f) AS picture FROM fills"),
-    ("J13_deref", ["fills"], ", r AS (SELECT doc_id, page, concat('#/fills/', CAST(f AS STRING)) AS ref FROM fills) SELECT r.doc_id, r.page, r.ref, f.fill FROM r JOIN fills AS f ON r.doc_id = f.doc_id AND r.page = f.page AND r.ref = concat('#/fills/', CAST(f.f AS STRING))"),
-    ("J16_covered", ["cells"], ", s AS (SELECT t, r, c, lead(c) OVER (PARTITION BY t, r ORDER BY c) AS next_c FROM cells) SELECT t, r, c, next_c IS NOT NULL AND next_c = c + 1 AS blocked FROM s"),
-    ("J17_nested_columns", ["cells"], ", s AS (SELECT t, r, CAST(sum(CASE c WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END) AS INT) AS m FROM cells GROUP BY t, r) SELECT a.t, bool_and((a.m & b.m) = a.m OR (a.m & b.m) = b.m) AS nested FROM s AS a JOIN s AS b ON a.t = b.t GROUP BY a.t"),
-    ("J18_remove_running", ["running"], ", g AS (SELECT band, rx[raw;'[0-9]+';'#']! AS k FROM running GROUP BY band, rx[raw;'[0-9]+';'#']! HAVING count(DISTINCT page) >= 2) SELECT r.page, r.k FROM running AS r LEFT ANTI JOIN g ON r.band = g.band AND rx[r.raw;'[0-9]+';'#']! = g.k"),
-    # aggregates
-    ("A1_page_stats", ["layout"], "SELECT doc_id, page, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS blocks, count(CASE WHEN size > 11 THEN 1 END) AS large FROM layout GROUP BY doc_id, page"),
+    ("F24_injected", ["page_box", "fills", "borders", "frames"], r""", f AS (SELECT doc_id, page, count(*) AS n, agg[fill; ','; f]! AS fills FROM fills GROUP BY doc_id, page)
+        SELECT p.doc_id, p.page, coalesce(f.n, 0) AS n_fills, f.fills, b.color AS border_color, b.width AS border_width, r.color AS frame_color, r.width AS frame_width FROM page_box AS p LEFT JOIN f ON p.doc_id = f.doc_id AND p.page = f.page LEFT JOIN borders AS b ON p.doc_id = b.doc_id AND p.page = b.page AND b.place = 1 LEFT JOIN frames AS r ON p.doc_id = r.doc_id AND p.page = r.page"""),
+    ("F25_prompt_tag", ["layout", "body"], r"SELECT l.doc_id, l.page, l.n, CASE WHEN l.size * 100 >= o.body * 115 THEN concat(' [HEADING ~', CAST(l.size AS STRING), 'pt]') WHEN l.flags >= 16 OR lower(l.font) LIKE '%bold%' OR lower(l.font) LIKE '%black%' OR lower(l.font) LIKE '%heavy%' THEN ' [bold]' ELSE '' END AS tag FROM layout AS l JOIN body AS o ON l.doc_id = o.doc_id AND l.page = o.page WHERE trim(l.text) <> ''"),
+    ("F27_frame_wanted", ["page_box", "frames", "borders", "multi_pages"], r"SELECT p.doc_id, p.page, p.doc_id % 16 = 0 AS asked, p.doc_id % 16 = 0 OR r.d IS NOT NULL OR (m.multi AND b.color IS NOT NULL) AS frame_wanted FROM page_box AS p JOIN multi_pages AS m ON p.doc_id = m.doc_id AND p.page = m.page LEFT JOIN frames AS r ON p.doc_id = r.doc_id AND p.page = r.page LEFT JOIN borders AS b ON p.doc_id = b.doc_id AND p.page = b.page AND b.place = 1"),
+    ("F28_classify", ["layout", "blocks", "levels"], rf""", l AS (SELECT doc_id, page, block, count(CASE WHEN like[text;{BULLET}]! OR like[text;{NUMBERED}]! THEN 1 END) AS items, max_by(CASE WHEN like[text;{NUMBERED}]! THEN 1 ELSE 0 END, 0 - n) AS ordered FROM layout GROUP BY doc_id, page, block),
+        c AS (SELECT b.doc_id, b.page, b.n, b.y, b.x, b.text, v.level, l.ordered, CASE WHEN v.level IS NOT NULL AND b.n_lines <= 2 AND length(b.text) <= 120 THEN 'heading' WHEN l.items > 0 AND l.items >= b.n_lines - 1 THEN 'list' ELSE 'paragraph' END AS type
+        FROM blocks AS b JOIN l ON b.doc_id = l.doc_id AND b.page = l.page AND b.n = l.block LEFT JOIN levels AS v ON b.doc_id = v.doc_id AND b.page = v.page AND b.size = v.size) SELECT doc_id, page, n, type, CASE WHEN type = 'heading' THEN level END AS level, CASE WHEN type = 'list' THEN ordered = 1 END AS ordered FROM c"""),
+    ("J1_fill_text", ["fill_text"], r"SELECT doc_id, page, f, text FROM fill_text"),
+    ("J2_in_table", ["layout", "fills"], r"SELECT s.doc_id, s.page, s.n, min(t.f) AS in_table FROM layout AS s JOIN fills AS t ON t.doc_id = s.doc_id AND t.page = s.page AND s.x * 2 + s.w BETWEEN t.x * 2 AND (t.x + t.w) * 2 AND s.y * 2 + s.h BETWEEN t.y * 2 AND (t.y + t.h) * 2 WHERE trim(s.text) <> '' GROUP BY s.doc_id, s.page, s.n"),
+    ("J3_nested_in", ["fills"], r"SELECT a.doc_id, a.page, a.f, min(b.f) AS nested_in FROM fills AS a JOIN fills AS b ON a.doc_id = b.doc_id AND a.page = b.page AND a.f <> b.f AND b.x <= a.x + 2 AND b.y <= a.y + 2 AND b.x + b.w >= a.x + a.w - 2 AND b.y + b.h >= a.y + a.h - 2 GROUP BY a.doc_id, a.page, a.f"),
+    ("J4_nearest_band", ["blocks"], r""", g AS (SELECT doc_id, page, x, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id, page ORDER BY x) > 40 THEN 1 ELSE 0 END AS brk FROM (SELECT DISTINCT doc_id, page, x FROM blocks) AS d),
+        k AS (SELECT doc_id, page, x, CAST(sum(brk) OVER (PARTITION BY doc_id, page ORDER BY x) AS INT) AS band FROM g), bands AS (SELECT doc_id, page, band, min(x) AS x0, max(x) AS x1 FROM k GROUP BY doc_id, page, band), near AS (SELECT b.doc_id, b.page, b.n, s.band, row_number() OVER (PARTITION BY b.doc_id, b.page, b.n ORDER BY abs(b.x - s.x0), s.band) AS k FROM blocks AS b JOIN bands AS s ON b.doc_id = s.doc_id AND b.page = s.page) SELECT doc_id, page, n, band FROM near WHERE k = 1"""),
+    ("J5_figure_gaps", ["blocks", "images"], r", s AS (SELECT doc_id, page, n, text, y, lag(y + h) OVER (PARTITION BY doc_id, page ORDER BY y, x, n) AS above FROM blocks), c AS (SELECT doc_id, page, n, greatest(coalesce(above, 0), y - 500) AS top, y AS bottom FROM s WHERE like[lower(text);'^(fig[.]?|figure)\s*[0-9]+']! AND y - greatest(coalesce(above, 0), y - 500) >= 60) SELECT c.doc_id, c.page, c.n FROM c LEFT ANTI JOIN images AS i ON c.doc_id = i.doc_id AND c.page = i.page AND c.top < i.y + i.h AND i.y < c.bottom"),
+    ("J6_match_fill", ["blocks", "fill_text"], r""", bw AS (SELECT DISTINCT doc_id, page, n, word FROM (SELECT doc_id, page, n, each[lower(text);'[\p{L}\p{N}]{3,}']! AS word FROM blocks) AS q), fw AS (SELECT DISTINCT doc_id, page, f, word FROM (SELECT doc_id, page, f, each[lower(text);'[\p{L}\p{N}]{3,}']! AS word FROM fill_text WHERE fill IS NOT NULL) AS q),
+        bn AS (SELECT doc_id, page, n, count(*) AS c FROM bw GROUP BY doc_id, page, n), fn AS (SELECT doc_id, page, f, count(*) AS c FROM fw GROUP BY doc_id, page, f),
+        sh AS (SELECT b.doc_id, b.page, b.n, f.f, count(*) AS shared FROM bw AS b JOIN fw AS f ON b.doc_id = f.doc_id AND b.page = f.page AND b.word = f.word GROUP BY b.doc_id, b.page, b.n, f.f),
+        sc AS (SELECT sh.doc_id, sh.page, sh.n, sh.f, shared + CASE WHEN shared = least(bn.c, fn.c) THEN 1 ELSE 0 END AS score FROM sh JOIN bn ON sh.doc_id = bn.doc_id AND sh.page = bn.page AND sh.n = bn.n JOIN fn ON sh.doc_id = fn.doc_id AND sh.page = fn.page AND sh.f = fn.f),
+        best AS (SELECT doc_id, page, n, f, score, row_number() OVER (PARTITION BY doc_id, page, n ORDER BY score DESC, f) AS k FROM sc WHERE score >= 2) SELECT doc_id, page, n, f, score FROM sc WHERE score >= 2"""),
+    ("J7_missing_fills", ["fills", "frames", "blocks", "fill_text"], r""", bw AS (SELECT DISTINCT doc_id, page, n, word FROM (SELECT doc_id, page, n, each[lower(text);'[\p{L}\p{N}]{3,}']! AS word FROM blocks) AS q), fw AS (SELECT DISTINCT doc_id, page, f, word FROM (SELECT doc_id, page, f, each[lower(text);'[\p{L}\p{N}]{3,}']! AS word FROM fill_text WHERE fill IS NOT NULL) AS q),
+        bn AS (SELECT doc_id, page, n, count(*) AS c FROM bw GROUP BY doc_id, page, n), fn AS (SELECT doc_id, page, f, count(*) AS c FROM fw GROUP BY doc_id, page, f),
+        sh AS (SELECT b.doc_id, b.page, b.n, f.f, count(*) AS shared FROM bw AS b JOIN fw AS f ON b.doc_id = f.doc_id AND b.page = f.page AND b.word = f.word GROUP BY b.doc_id, b.page, b.n, f.f),
+        sc AS (SELECT sh.doc_id, sh.page, sh.n, sh.f, shared + CASE WHEN shared = least(bn.c, fn.c) THEN 1 ELSE 0 END AS score FROM sh JOIN bn ON sh.doc_id = bn.doc_id AND sh.page = bn.page AND sh.n = bn.n JOIN fn ON sh.doc_id = fn.doc_id AND sh.page = fn.page AND sh.f = fn.f),
+        best AS (SELECT doc_id, page, n, f, score, row_number() OVER (PARTITION BY doc_id, page, n ORDER BY score DESC, f) AS k FROM sc WHERE score >= 2), want AS (SELECT DISTINCT doc_id, page, upper(replace(fill, '#', '')) AS fill FROM fills UNION SELECT doc_id, page, upper(replace(color, '#', '')) FROM frames),
+        got AS (SELECT DISTINCT b.doc_id, b.page, upper(replace(t.fill, '#', '')) AS fill FROM best AS b JOIN fill_text AS t ON b.doc_id = t.doc_id AND b.page = t.page AND b.f = t.f WHERE b.k = 1) SELECT w.doc_id, w.page, w.fill FROM want AS w LEFT ANTI JOIN got AS g ON w.doc_id = g.doc_id AND w.page = g.page AND w.fill = g.fill"""),
+    ("J8_coverage", ["page_words", "block_words"], r", h AS (SELECT p.page_id, count(b.word) AS hits, count(*) AS n FROM page_words AS p LEFT JOIN block_words AS b ON p.page_id = b.page_id AND p.word = b.word GROUP BY p.page_id) SELECT p.page_id, coalesce(h.hits, 0) AS hits, coalesce(h.n, 0) AS n, coalesce(h.hits * 10 >= h.n * 6, true) AS ok FROM pages AS p LEFT JOIN h ON p.page_id = h.page_id"),
+    ("J9_unreferenced", ["images", "blocks"], r", a AS (SELECT doc_id, page, concat('img_', CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY i) AS STRING), '.png') AS asset FROM images), r AS (SELECT doc_id, page, 'img_1.png' AS asset FROM blocks WHERE n = 0 AND doc_id % 12 = 1) SELECT a.doc_id, a.page, a.asset FROM a LEFT ANTI JOIN r ON a.doc_id = r.doc_id AND a.page = r.page AND a.asset = r.asset"),
+    ("J10_document_model", ["page_state", "attempts"], r", m AS (SELECT doc_id, page, min(attempt) AS manifest FROM attempts WHERE ok GROUP BY doc_id, page) SELECT s.doc_id, s.page, s.status, m.manifest, m.manifest IS NULL AS missing, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.page) AS place FROM page_state AS s LEFT JOIN m ON s.doc_id = m.doc_id AND s.page = m.page"),
+    ("J11_hints", ["page_state", "fills", "frames", "images"], r""", gate AS (SELECT doc_id, page, status, rung FROM page_state WHERE status <> 'completed'),
+        c AS (SELECT doc_id, page, upper(replace(fill, '#', '')) AS hex FROM fills UNION SELECT doc_id, page, upper(replace(color, '#', '')) FROM frames)
+        SELECT DISTINCT c.doc_id, c.page, concat('injected fill #', c.hex, ' missing from output') AS hint FROM c JOIN gate AS g ON c.doc_id = g.doc_id WHERE c.hex = '111111'
+        UNION ALL SELECT i.doc_id, i.page, concat('page has ', CAST(count(*) AS STRING), ' extracted image(s)') FROM images AS i LEFT SEMI JOIN gate AS g ON i.doc_id = g.doc_id GROUP BY i.doc_id, i.page
+        UNION ALL SELECT doc_id, page, 'word coverage low overall' FROM gate WHERE coalesce(rung, 0) <> 1
+        UNION ALL SELECT DISTINCT doc_id, 0, 'table overflow' FROM gate WHERE status = 'failed'"""),
+    ("J12_picture_page", ["images", "page_box"], r"SELECT p.doc_id, p.page, i.i AS picture, concat('fig_', CAST(row_number() OVER (PARTITION BY p.doc_id, p.page ORDER BY i.i) AS STRING), '.png') AS file FROM page_box AS p JOIN images AS i ON p.doc_id = i.doc_id AND p.page = i.page"),
+    ("J13_deref", ["layout", "images"], r""", r AS (SELECT doc_id, page, concat('#/texts/', CAST(n AS STRING)) AS ref FROM layout UNION ALL SELECT doc_id, page, concat('#/pictures/', CAST(i AS STRING)) FROM images UNION ALL SELECT doc_id, page, '#/tables/99' FROM images),
+        s AS (SELECT doc_id, page, ref, rx[rx[ref;'^#/';'']!;'/.*$';'']! AS kind, CAST(rx[ref;'^.*/';'']! AS INT) AS idx FROM r), nodes AS (SELECT doc_id, page, 'texts' AS kind, n AS idx, text FROM layout UNION ALL SELECT doc_id, page, 'pictures', i, '' FROM images)
+        SELECT s.doc_id, s.page, s.ref, s.kind, s.idx, n.text FROM s JOIN nodes AS n ON s.doc_id = n.doc_id AND s.page = n.page AND s.kind = n.kind AND s.idx = n.idx"""),
+    ("J16_covered", ["cells"], r", s AS (SELECT t, r, c, x_end, lead(c) OVER (PARTITION BY t, r ORDER BY c) AS next_c FROM cells), k AS (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) SELECT s.t, s.r, s.c, k.k, s.next_c IS NOT NULL AND s.next_c <= k.k AS blocked FROM s JOIN k ON k.k > s.c WHERE 40 + k.k * 90 + 4 < s.x_end"),
+    ("J17_nested_columns", ["cells"], r""", s AS (SELECT t, r, CAST(sum(CASE c WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END) AS INT) AS m, count(*) AS c FROM cells GROUP BY t, r), d AS (SELECT DISTINCT t, m, c FROM s), o AS (SELECT t, m, lag(m) OVER (PARTITION BY t ORDER BY c, m) AS below FROM d)
+        SELECT t, bool_and(below IS NULL OR (m & below) = below) AS nested FROM o GROUP BY t"""),
+    ("J18_remove_running", ["margin_lines", "running_groups"], r"SELECT r.page, r.k FROM margin_lines AS r LEFT ANTI JOIN running_groups AS g ON r.band = g.band AND r.norm = g.norm WHERE NOT (r.furniture AND r.band IS NOT NULL)"),
+    ("A1_page_stats", ["layout", "images", "all_blocks"], r""", l AS (SELECT doc_id, page, sum(length(text)) AS chars, count(size) AS sized FROM layout GROUP BY doc_id, page), b AS (SELECT doc_id, page, count(*) AS n FROM all_blocks GROUP BY doc_id, page), i AS (SELECT doc_id, page, count(*) AS n FROM images GROUP BY doc_id, page)
+        SELECT l.doc_id, l.page, CAST(l.chars AS BIGINT) AS chars, b.n + coalesce(i.n, 0) AS blocks, coalesce(i.n, 0) AS images, l.sized AS sizes FROM l JOIN b ON l.doc_id = b.doc_id AND l.page = b.page LEFT JOIN i ON l.doc_id = i.doc_id AND l.page = i.page"""),
     ("A2_body_size", ["body"], "SELECT doc_id, page, body FROM body"),
-    ("A3_block_size", ["blocks"], ", s AS (SELECT doc_id, CAST(floor(n / 4) AS INT) AS b, size, sum(length(text)) AS wt, min(n) AS first_n FROM blocks GROUP BY doc_id, CAST(floor(n / 4) AS INT), size) SELECT doc_id, b, max_by(size, wt * 100000 - first_n) AS size FROM s GROUP BY doc_id, b"),
+    ("A3_block_size", ["layout"], r", s AS (SELECT doc_id, page, block, size, sum(length(text)) AS wt, min(n) AS first_n FROM layout GROUP BY doc_id, page, block, size) SELECT doc_id, page, block, max_by(size, wt * 100000 - first_n) AS size FROM s GROUP BY doc_id, page, block"),
     ("A4_heading_levels", ["levels"], "SELECT doc_id, page, size, level FROM levels"),
     ("A5_upper_median", ["blocks"], ", o AS (SELECT doc_id, page, length(text) AS v, row_number() OVER (PARTITION BY doc_id, page ORDER BY length(text)) - 1 AS i, count(*) OVER (PARTITION BY doc_id, page) AS c FROM blocks) SELECT doc_id, page, v AS median FROM o WHERE i = floor(c / 2)"),
-    ("A6_border_histogram", ["fills"], ", s AS (SELECT doc_id, fill, count(*) AS n, min(page * 10 + f) AS first_at FROM fills GROUP BY doc_id, fill) SELECT doc_id, fill, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_at) AS rank FROM s"),
-    ("A7_band_population", ["blocks"], "SELECT doc_id, page, x AS band, count(*) AS n FROM blocks GROUP BY doc_id, page, x HAVING count(*) >= 3"),
-    ("A8_running_elements", ["running"], "SELECT band, rx[raw;'[0-9]+';'#']! AS k, count(DISTINCT page) AS pages, min_by(raw, page) AS first_raw FROM running GROUP BY band, rx[raw;'[0-9]+';'#']! HAVING count(DISTINCT page) >= 2"),
-    ("A9_page_start", ["running"], ", v AS (SELECT CAST(raw AS INT) - (page % 3) AS start, page FROM running WHERE k = 1), s AS (SELECT start, count(*) AS n, max(page) AS last FROM v GROUP BY start) SELECT max_by(start, n * 1000000 - last) AS page_number_start FROM s"),
+    ("A6_border_histogram", ["borders"], r"SELECT doc_id, page, color, width, n, place FROM borders"),
+    ("A7_band_population", ["blocks"], r""", g AS (SELECT doc_id, page, x, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id, page ORDER BY x) > 40 THEN 1 ELSE 0 END AS brk FROM (SELECT DISTINCT doc_id, page, x FROM blocks) AS d),
+        k AS (SELECT doc_id, page, x, CAST(sum(brk) OVER (PARTITION BY doc_id, page ORDER BY x) AS INT) AS band FROM g), bands AS (SELECT doc_id, page, band, min(x) AS x0, max(x) AS x1 FROM k GROUP BY doc_id, page, band) SELECT s.doc_id, s.page, s.band, count(*) AS n FROM bands AS s JOIN blocks AS b ON b.doc_id = s.doc_id AND b.page = s.page AND b.x BETWEEN s.x0 - 1 AND s.x1 + 1 GROUP BY s.doc_id, s.page, s.band HAVING count(*) >= 3"""),
+    ("A8_running_elements", ["running_groups"], r"SELECT band, norm, pages, first_raw FROM running_groups"),
+    ("A9_page_start", ["margin_lines", "running_groups"], r""", o AS (SELECT page, CAST(dense_rank() OVER (ORDER BY page) AS INT) AS ordinal FROM (SELECT DISTINCT page FROM running) AS p), numbered AS (SELECT band, norm FROM running_groups WHERE band = 'footer' AND (like[first_raw;'^[0-9]+$']! OR like[lower(first_raw);'^[0-9]+\s+of\s+[0-9]+$']! OR like[lower(first_raw);'^page\s+[0-9]+(\s+of\s+[0-9]+)?$']!)),
+        v AS (SELECT m.norm, CAST(regexp_extract(m.raw, '[0-9]+', 0) AS INT) - (o.ordinal - 1) AS start, m.page FROM margin_lines AS m JOIN numbered AS n ON m.band = n.band AND m.norm = n.norm JOIN o ON m.page = o.page), s AS (SELECT norm, start, count(*) AS n, min(page) AS first_page FROM v GROUP BY norm, start)
+        SELECT norm, max_by(start, n * 1000000 - first_page) AS page_number_start FROM s GROUP BY norm"""),
     ("A10_numeric_columns", ["cells"], f"SELECT t, c, bool_and(like[text;{NUMERIC}]!) AS is_numeric FROM cells WHERE r > 1 AND text <> '' GROUP BY t, c"),
     ("A11_palette", ["fills"], ", s AS (SELECT fill, count(*) AS n FROM fills GROUP BY fill) SELECT fill, n, row_number() OVER (ORDER BY n DESC, fill) AS rank FROM s"),
     ("A12_word_counts", ["raw_lines"], "SELECT doc_id, CAST(sum(CASE WHEN trim(line) = '' THEN 0 ELSE length(trim(line)) - length(replace(trim(line), ' ', '')) + 1 END) AS BIGINT) AS words FROM raw_lines GROUP BY doc_id"),
@@ -91,39 +122,49 @@ OPS: list[tuple[str, list[str], str]] = [
     ("A14_session", ["page_state"], "SELECT status, count(*) AS pages, CAST(sum(tries) AS BIGINT) AS tries, count(CASE WHEN rung > 1 THEN 1 END) AS escalated FROM page_state GROUP BY status"),
     ("A15_type_counts", ["html_blocks"], "SELECT type, count(*) AS n FROM html_blocks GROUP BY type"),
     ("A16_ragged", ["cells"], ", s AS (SELECT t, r, count(*) AS width FROM cells GROUP BY t, r) SELECT t, count(CASE WHEN width < m THEN 1 END) AS ragged FROM (SELECT t, r, width, max(width) OVER (PARTITION BY t) AS m FROM s) AS q GROUP BY t"),
-    ("A17_cell_text", ["cells"], "SELECT t, r, agg[text; ' '; c, text]! AS text, bool_and(bold) AS bold, bool_or(italic) AS italic, max(x_end) AS x_end FROM cells GROUP BY t, r"),
+    ("A17_cell_text", ["layout"], r", s AS (SELECT *, flags >= 16 OR lower(font) LIKE '%bold%' AS is_bold, flags % 4 >= 2 OR lower(font) LIKE '%italic%' OR lower(font) LIKE '%oblique%' AS is_italic FROM layout WHERE trim(text) <> '') SELECT doc_id, page, block, CAST(floor(x / 8.0 + 0.5) * 8 AS INT) AS key, agg[trim(text); ' '; y, n]! AS text, bool_and(is_bold) AS bold, bool_or(is_italic) AS italic, max(x + w) AS x_end FROM s GROUP BY doc_id, page, block, CAST(floor(x / 8.0 + 0.5) * 8 AS INT)"),
     ("A18_bbox_union", ["blocks"], "SELECT doc_id, page, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM blocks GROUP BY doc_id, page"),
-    ("A19_dominant_font", ["blocks"], "SELECT doc_id, page, max_by(size, CAST(length(trim(text)) AS BIGINT) * 100000000 + size * 100000 - n) AS size FROM blocks GROUP BY doc_id, page"),
-    ("A20_verdict", ["page_state"], "SELECT doc_id, bool_and(status = 'completed') AS ok FROM page_state GROUP BY doc_id"),
-    ("A21_summary", ["blocks"], "SELECT doc_id, page, count(*) AS spans, count(CASE WHEN x > 200 THEN 1 END) AS right_spans FROM blocks GROUP BY doc_id, page"),
-    ("A22_images_embedded", ["fills", "page_state"], "SELECT s.doc_id, s.page, count(f.f) AS media, count(f.f) >= 2 AS ok FROM page_state AS s LEFT JOIN fills AS f ON s.doc_id = f.doc_id AND s.page = f.page GROUP BY s.doc_id, s.page"),
+    ("A19_dominant_font", ["layout"], r", d AS (SELECT doc_id, page, block, max_by(n, CAST(length(trim(text)) AS BIGINT) * 100000000 + size * 100000 - n) AS n FROM layout GROUP BY doc_id, page, block) SELECT d.doc_id, d.page, d.block, l.font, l.size, l.flags >= 16 OR lower(l.font) LIKE '%bold%' OR lower(l.font) LIKE '%black%' OR lower(l.font) LIKE '%heavy%' AS bold, l.flags % 4 >= 2 OR lower(l.font) LIKE '%italic%' OR lower(l.font) LIKE '%oblique%' AS italic FROM d JOIN layout AS l ON d.doc_id = l.doc_id AND d.n = l.n"),
+    ("A20_verdict", ["page_state", "images", "fills"], r""", checks AS (SELECT doc_id, 'pages completed' AS name, bool_and(status = 'completed') AS ok FROM page_state GROUP BY doc_id UNION ALL SELECT doc_id, 'fills present', count(CASE WHEN fill = '#111111' THEN 1 END) = 0 FROM fills GROUP BY doc_id UNION ALL SELECT doc_id, 'images embedded', count(*) <= 2 FROM images GROUP BY doc_id)
+        SELECT doc_id, bool_and(ok) AS ok, count(*) AS checks, count(CASE WHEN NOT ok THEN 1 END) AS failed FROM checks GROUP BY doc_id"""),
+    ("A21_summary", ["layout", "fills"], r""", t AS (SELECT s.doc_id, s.page, s.n FROM layout AS s LEFT SEMI JOIN fills AS t ON t.doc_id = s.doc_id AND t.page = s.page AND s.x * 2 + s.w BETWEEN t.x * 2 AND (t.x + t.w) * 2 AND s.y * 2 + s.h BETWEEN t.y * 2 AND (t.y + t.h) * 2 WHERE trim(s.text) <> ''), a AS (SELECT doc_id, count(CASE WHEN trim(text) <> '' THEN 1 END) AS spans, count(DISTINCT page) AS pages FROM layout GROUP BY doc_id),
+        b AS (SELECT doc_id, count(*) AS in_table FROM t GROUP BY doc_id), f AS (SELECT doc_id, count(*) AS tables FROM fills GROUP BY doc_id), n AS (SELECT a.doc_id, count(DISTINCT a.page * 100 + a.f) AS nested FROM fills AS a JOIN fills AS b ON a.doc_id = b.doc_id AND a.page = b.page AND a.f <> b.f AND b.x <= a.x + 2 AND b.y <= a.y + 2 AND b.x + b.w >= a.x + a.w - 2 AND b.y + b.h >= a.y + a.h - 2 GROUP BY a.doc_id)
+        SELECT a.doc_id, a.pages, a.spans, coalesce(b.in_table, 0) AS in_table, coalesce(f.tables, 0) AS tables, coalesce(n.nested, 0) AS nested FROM a LEFT JOIN b ON a.doc_id = b.doc_id LEFT JOIN f ON a.doc_id = f.doc_id LEFT JOIN n ON a.doc_id = n.doc_id"""),
+    ("A22_images_embedded", ["page_box", "images", "blocks"], r", e AS (SELECT doc_id, count(*) AS n FROM images GROUP BY doc_id), m AS (SELECT i.doc_id, count(*) AS n FROM images AS i JOIN page_box AS p ON i.doc_id = p.doc_id AND i.page = p.page WHERE i.page = 0 GROUP BY i.doc_id) SELECT d.doc_id, coalesce(m.n, 0) AS media, coalesce(e.n, 0) AS expected, coalesce(m.n, 0) >= coalesce(e.n, 0) AS ok FROM (SELECT DISTINCT doc_id FROM page_box) AS d LEFT JOIN e ON d.doc_id = e.doc_id LEFT JOIN m ON d.doc_id = m.doc_id"),
     ("A23_page_counts", ["layout", "blocks"], ", a AS (SELECT doc_id, count(DISTINCT page) AS n FROM layout GROUP BY doc_id), b AS (SELECT doc_id, count(DISTINCT page) AS n FROM blocks GROUP BY doc_id) SELECT a.doc_id, a.n AS original, coalesce(b.n, 0) AS rendered, a.n = coalesce(b.n, 0) AS same FROM a LEFT JOIN b ON a.doc_id = b.doc_id"),
-    # ordered operators
-    ("W1_gap_clusters", ["blocks"], """, v AS (SELECT doc_id, page, x + (n * 37) % 200 AS v, n FROM blocks), g AS (SELECT doc_id, page, v, n, CASE WHEN v - lag(v) OVER (PARTITION BY doc_id, page ORDER BY v, n) > 40 THEN 1 ELSE 0 END AS brk FROM v), c AS (SELECT doc_id, page, v, CAST(sum(brk) OVER (PARTITION BY doc_id, page ORDER BY v, n) AS INT) AS band FROM g)
-        SELECT doc_id, page, band, min(v) AS x0, max(v) AS x1, count(*) AS n FROM c GROUP BY doc_id, page, band"""),
-    ("W3_segments", ["blocks"], """, k AS (SELECT doc_id, page, n, y, CASE WHEN w = 460 THEN 'full' ELSE 'columns' END AS kind FROM blocks), b AS (SELECT doc_id, page, n, kind, CASE WHEN kind <> coalesce(lag(kind) OVER (PARTITION BY doc_id, page ORDER BY n), kind) THEN 1 ELSE 0 END AS brk FROM k), s AS (SELECT doc_id, page, n, kind, CAST(sum(brk) OVER (PARTITION BY doc_id, page ORDER BY n) AS INT) AS seg FROM b)
-        SELECT doc_id, page, seg, kind, count(*) AS blocks, min(n) AS first_n FROM s GROUP BY doc_id, page, seg, kind"""),
+    ("W1_gap_clusters", ["blocks"], r""", g AS (SELECT doc_id, page, x, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id, page ORDER BY x) > 40 THEN 1 ELSE 0 END AS brk FROM (SELECT DISTINCT doc_id, page, x FROM blocks) AS d),
+        k AS (SELECT doc_id, page, x, CAST(sum(brk) OVER (PARTITION BY doc_id, page ORDER BY x) AS INT) AS band FROM g), bands AS (SELECT doc_id, page, band, min(x) AS x0, max(x) AS x1 FROM k GROUP BY doc_id, page, band) SELECT s.doc_id, s.page, s.band, s.x0, s.x1, count(*) AS n FROM bands AS s JOIN blocks AS b ON b.doc_id = s.doc_id AND b.page = s.page AND b.x BETWEEN s.x0 AND s.x1 GROUP BY s.doc_id, s.page, s.band, s.x0, s.x1"""),
+    ("W3_segments", ["blocks"], r""", o AS (SELECT doc_id, page, n, w, row_number() OVER (PARTITION BY doc_id, page ORDER BY w, n) - 1 AS i, count(*) OVER (PARTITION BY doc_id, page) AS c FROM blocks), m AS (SELECT doc_id, page, max(CASE WHEN i = floor(c / 2) THEN w END) AS m FROM o GROUP BY doc_id, page), k AS (SELECT b.doc_id, b.page, b.n, b.x, b.y, CASE WHEN b.w * 10 >= m.m * 16 THEN 'full' ELSE 'columns' END AS kind FROM blocks AS b JOIN m ON b.doc_id = m.doc_id AND b.page = m.page), r AS (SELECT *, CASE WHEN kind <> coalesce(lag(kind) OVER (PARTITION BY doc_id, page ORDER BY y, x, n), kind) THEN 1 ELSE 0 END AS brk FROM k), s AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY doc_id, page ORDER BY y, x, n) AS INT) AS seg FROM r)
+        SELECT doc_id, page, seg, kind, count(*) AS blocks, min(y) AS y FROM s GROUP BY doc_id, page, seg, kind"""),
     ("W5_column_span", ["cells"], ", s AS (SELECT t, r, c, x_end, coalesce(lead(c) OVER (PARTITION BY t, r ORDER BY c), 4) AS next_c FROM cells), k AS (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) SELECT s.t, s.r, s.c, 1 + count(k.k) AS span FROM s LEFT JOIN k ON k.k > s.c AND k.k < s.next_c AND 40 + k.k * 90 + 4 < s.x_end GROUP BY s.t, s.r, s.c"),
-    ("W6_row_assembly", ["cells"], """, s AS (SELECT t, r, c, row_number() OVER (PARTITION BY t ORDER BY r, c) AS i, (r + c) % 3 = 0 AS is_left FROM cells), b AS (SELECT *, CASE WHEN is_left AND NOT coalesce(lag(is_left) OVER (PARTITION BY t ORDER BY i), false) AND coalesce(sum(CASE WHEN is_left THEN 1 ELSE 0 END) OVER (PARTITION BY t ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 THEN 1 ELSE 0 END AS brk FROM s)
+    ("W6_row_assembly", ["cells"], r""", l AS (SELECT t, r, c, CAST(floor(x / 8.0 + 0.5) * 8 AS INT) AS key, row_number() OVER (PARTITION BY t ORDER BY r, c) AS i FROM cells), f AS (SELECT t, min_by(key, i) AS leftmost FROM l GROUP BY t),
+        s AS (SELECT l.t, l.i, l.key = f.leftmost AS is_left, lag(l.key = f.leftmost) OVER (PARTITION BY l.t ORDER BY l.i) AS was_left FROM l JOIN f ON l.t = f.t),
+        b AS (SELECT t, i, CASE WHEN is_left AND was_left IS NOT NULL AND NOT was_left AND sum(CASE WHEN is_left THEN 1 ELSE 0 END) OVER (PARTITION BY t ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 1 ELSE 0 END AS brk FROM s)
         SELECT t, i, CAST(sum(brk) OVER (PARTITION BY t ORDER BY i) AS INT) AS row_id FROM b"""),
-    ("W7_relative_widths", ["cells"], ", b AS (SELECT t, c, min(x) AS x0, max(x_end) AS x1 FROM cells GROUP BY t, c) SELECT t, c, coalesce(lead(x0) OVER (PARTITION BY t ORDER BY c) - x0, greatest(x1 - x0 + 60, 60)) AS width FROM b"),
-    ("W8_list_coalescing", ["blocks"], f""", k AS (SELECT doc_id, page, n, text, CASE WHEN like[text;{BULLET}]! THEN 'bullet' WHEN like[text;{NUMBERED}]! THEN 'ordered' ELSE 'paragraph' END AS kind FROM blocks), b AS (SELECT *, CASE WHEN kind <> 'paragraph' AND kind = lag(kind) OVER (PARTITION BY doc_id, page ORDER BY n) THEN 0 ELSE 1 END AS brk FROM k), s AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY doc_id, page ORDER BY n) AS INT) AS g FROM b)
-        SELECT doc_id, page, g, kind, count(*) AS items, agg[text; '|'; n]! AS text FROM s GROUP BY doc_id, page, g, kind"""),
-    ("W9_break_mark", ["layout"], ", s AS (SELECT doc_id, page, n, trim(text) = '' OR w = 460 AS consumed FROM layout) SELECT doc_id, page, n, coalesce(lag(consumed) OVER (PARTITION BY doc_id, page ORDER BY n), false) AND NOT consumed AS break_before FROM s"),
-    ("W10_figure_gaps", ["blocks"], ", s AS (SELECT doc_id, page, n, text, y, lag(y + h) OVER (PARTITION BY doc_id, page ORDER BY y, n) AS bottom FROM blocks) SELECT doc_id, page, n, greatest(coalesce(bottom, 0), y - 500) AS top, y AS bottom FROM s WHERE like[lower(text);'^(fig[.]?|figure) *[0-9]+']! AND y - greatest(coalesce(bottom, 0), y - 500) >= 60"),
-    ("W11_xy_cut", ["blocks"], ", s AS (SELECT doc_id, page, n, y, CASE WHEN w = 460 THEN 1 ELSE 0 END AS sp, CASE WHEN x + w / 2 < 306 THEN 'L' ELSE 'R' END AS side FROM blocks) SELECT doc_id, page, n, CAST(sum(sp) OVER (PARTITION BY doc_id, page ORDER BY y, n) AS INT) AS band, side FROM s"),
-    ("W12_page_attach", ["layout"], ", s AS (SELECT doc_id, n, CASE WHEN n % 3 <> 1 THEN page + 1 END AS p, page FROM layout) SELECT doc_id, n, coalesce(max(p) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS page_no FROM s"),
+    ("W7_relative_widths", ["cells"], r""", g AS (SELECT t, x, CASE WHEN x - lag(x) OVER (PARTITION BY t ORDER BY x) > 20 THEN 1 ELSE 0 END AS brk FROM (SELECT DISTINCT t, x FROM cells) AS d), k AS (SELECT t, x, CAST(sum(brk) OVER (PARTITION BY t ORDER BY x) AS INT) AS band FROM g), b AS (SELECT t, band, min(x) AS x0, max(x) AS x1 FROM k GROUP BY t, band)
+        SELECT t, band, coalesce(lead(x0) OVER (PARTITION BY t ORDER BY band) - x0, greatest(x1 - x0 + 60, 60)) AS width FROM b"""),
+    ("W8_list_coalescing", ["layout", "blocks", "levels"], rf""", l AS (SELECT doc_id, page, block, count(CASE WHEN like[text;{BULLET}]! OR like[text;{NUMBERED}]! THEN 1 END) AS items, max_by(CASE WHEN like[text;{NUMBERED}]! THEN 1 ELSE 0 END, 0 - n) AS ordered FROM layout GROUP BY doc_id, page, block),
+        c AS (SELECT b.doc_id, b.page, b.n, b.y, b.x, b.text, v.level, l.ordered, CASE WHEN v.level IS NOT NULL AND b.n_lines <= 2 AND length(b.text) <= 120 THEN 'heading' WHEN l.items > 0 AND l.items >= b.n_lines - 1 THEN 'list' ELSE 'paragraph' END AS type
+        FROM blocks AS b JOIN l ON b.doc_id = l.doc_id AND b.page = l.page AND b.n = l.block LEFT JOIN levels AS v ON b.doc_id = v.doc_id AND b.page = v.page AND b.size = v.size), b AS (SELECT *, CASE WHEN type = 'list' AND lag(type) OVER (PARTITION BY doc_id, page ORDER BY y, x, n) = 'list' AND ordered = lag(ordered) OVER (PARTITION BY doc_id, page ORDER BY y, x, n) THEN 0 ELSE 1 END AS brk FROM c), s AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY doc_id, page ORDER BY y, x, n) AS INT) AS g FROM b),
+        i AS (SELECT s.doc_id, s.page, s.g, s.type, s.ordered, s.y, s.x, s.n AS bn, l.n, trim(rx[rx[l.text;'^\s*[•·▪◦‣*-]\s+';'']!;'^\s*[0-9]+[.)]\s+';'']!) AS item FROM s JOIN layout AS l ON s.doc_id = l.doc_id AND s.page = l.page AND s.n = l.block WHERE s.type = 'list')
+        SELECT doc_id, page, g, min(ordered) = 1 AS ordered, count(*) AS items, agg[item; '|'; y, x, bn, n]! AS text FROM i WHERE item <> '' GROUP BY doc_id, page, g"""),
+    ("W9_break_mark", ["layout", "fills", "all_blocks"], r""", t AS (SELECT DISTINCT b.doc_id, b.page, b.n FROM all_blocks AS b JOIN fills AS t ON t.doc_id = b.doc_id AND t.page = b.page AND b.x * 2 + b.w BETWEEN t.x * 2 AND (t.x + t.w) * 2 AND b.y * 2 + b.h BETWEEN t.y * 2 AND (t.y + t.h) * 2),
+        s AS (SELECT b.doc_id, b.page, b.n, b.y, b.x, t.n IS NOT NULL AS consumed FROM all_blocks AS b LEFT JOIN t ON b.doc_id = t.doc_id AND b.page = t.page AND b.n = t.n WHERE b.n_full > 0 OR t.n IS NOT NULL) SELECT doc_id, page, n, consumed, coalesce(lag(consumed) OVER (PARTITION BY doc_id, page ORDER BY y, x, n), false) AND NOT consumed AS break_before FROM s"""),
+    ("W10_figure_gaps", ["blocks", "images", "page_box"], r", s AS (SELECT doc_id, page, n, text, y, lag(y + h) OVER (PARTITION BY doc_id, page ORDER BY y, x, n) AS above FROM blocks), c AS (SELECT doc_id, page, n, greatest(coalesce(above, 0), y - 500) AS top, y AS bottom FROM s WHERE like[lower(text);'^(fig[.]?|figure)\s*[0-9]+']! AND y - greatest(coalesce(above, 0), y - 500) >= 60), k AS (SELECT * FROM c LEFT ANTI JOIN images AS i ON c.doc_id = i.doc_id AND c.page = i.page AND c.top < i.y + i.h AND i.y < c.bottom) SELECT k.doc_id, k.page, k.n, 72 AS x, k.top AS y, p.width - 144 AS w, k.bottom - k.top AS h, concat('fig_', CAST(row_number() OVER (PARTITION BY k.doc_id, k.page ORDER BY k.bottom, k.n) AS STRING), '.png') AS asset FROM k JOIN page_box AS p ON k.doc_id = p.doc_id AND k.page = p.page"),
+    ("W11_xy_cut", ["blocks", "page_box"], r""", s AS (SELECT b.doc_id, b.page, b.n, b.y, CASE WHEN b.w * 100 > 62 * p.width OR (b.x * 100 < 45 * p.width AND (b.x + b.w) * 100 > 55 * p.width) THEN 1 ELSE 0 END AS sp, CASE WHEN b.x * 2 + b.w < p.width THEN 'L' ELSE 'R' END AS side, b.x * 2 + b.w AS cx FROM blocks AS b JOIN page_box AS p ON b.doc_id = p.doc_id AND b.page = p.page)
+        SELECT doc_id, page, n, sp = 1 AS spanning, CAST(sum(sp) OVER (PARTITION BY doc_id, page ORDER BY y, cx, n) AS INT) AS band, CASE WHEN sp = 0 THEN side END AS side FROM s"""),
+    ("W12_page_attach", ["layout"], r", s AS (SELECT doc_id, n, CASE WHEN trim(text) <> '' THEN page + 1 END AS p FROM layout) SELECT doc_id, n, coalesce(max(p) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS page_no FROM s"),
     ("W13_page_ordinal", ["page_state"], "SELECT doc_id, page, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY page) AS INT) AS ordinal FROM page_state"),
-    ("W14_first_style", ["attempts"], "SELECT doc_id, min_by(rung, attempt) AS style FROM attempts WHERE ok GROUP BY doc_id"),
-    ("W15_page_breaks", ["blocks"], "SELECT doc_id, page, n, row_number() OVER (PARTITION BY doc_id, page ORDER BY n) = 1 AND page > min(page) OVER (PARTITION BY doc_id) AS next_page FROM blocks"),
+    ("W14_first_style", ["attempts"], r"SELECT doc_id, min_by(rung, page * 100000000 + attempt) AS style, min_by(code, page * 100000000 + attempt) AS start FROM attempts WHERE ok GROUP BY doc_id"),
+    ("W15_page_breaks", ["blocks"], r", s AS (SELECT doc_id, page, n, y, row_number() OVER (PARTITION BY doc_id, page ORDER BY y, x, n) AS k, min(page) OVER (PARTITION BY doc_id) AS first_page FROM blocks) SELECT doc_id, page, n, CASE WHEN k = 1 AND page > first_page THEN 'NEXT_PAGE' ELSE 'CONTINUOUS' END AS type FROM s"),
     ("W18_exact_widths", ["cells"], ", s AS (SELECT DISTINCT t, c FROM cells), q AS (SELECT t, c, count(*) OVER (PARTITION BY t) AS k, row_number() OVER (PARTITION BY t ORDER BY c) AS i FROM s) SELECT t, c, CAST(CASE WHEN i = k THEN 9360 - floor(9360 / k) * (k - 1) ELSE floor(9360 / k) END AS INT) AS width FROM q"),
-    ("W19_asset_numbers", ["fills"], "SELECT doc_id, page, f, concat('img_', CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, f) AS STRING)) AS asset FROM fills"),
-    ("W20_column_order", ["blocks"], "SELECT doc_id, page, n, row_number() OVER (PARTITION BY doc_id, page ORDER BY x, y, n) AS place FROM blocks"),
+    ("W19_asset_numbers", ["images"], r"SELECT doc_id, page, i, concat('img_', CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY i) AS STRING), '.png') AS asset FROM images"),
+    ("W20_column_order", ["blocks"], r""", g AS (SELECT doc_id, page, x, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id, page ORDER BY x) > 40 THEN 1 ELSE 0 END AS brk FROM (SELECT DISTINCT doc_id, page, x FROM blocks) AS d),
+        k AS (SELECT doc_id, page, x, CAST(sum(brk) OVER (PARTITION BY doc_id, page ORDER BY x) AS INT) AS band FROM g), bands AS (SELECT doc_id, page, band, min(x) AS x0, max(x) AS x1 FROM k GROUP BY doc_id, page, band), near AS (SELECT b.doc_id, b.page, b.n, b.y, s.band, row_number() OVER (PARTITION BY b.doc_id, b.page, b.n ORDER BY abs(b.x - s.x0), s.band) AS k FROM blocks AS b JOIN bands AS s ON b.doc_id = s.doc_id AND b.page = s.page) SELECT doc_id, page, n, band, row_number() OVER (PARTITION BY doc_id, page ORDER BY band, y, n) AS place FROM near WHERE k = 1"""),
     ("W21_numbering", ["html_blocks"], "SELECT page_id, i, concat(CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS STRING), '. ', text) AS numbered, concat('• ', text) AS bulleted FROM html_blocks WHERE type = 'list'"),
-    # order and sets
     ("O1_reading_order", ["blocks"], ", s AS (SELECT doc_id, page, n, x, y, CASE WHEN y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y, n) > 4 THEN 1 ELSE 0 END AS brk FROM blocks), g AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, page ORDER BY y, n) AS isl FROM s) SELECT doc_id, page, n, row_number() OVER (PARTITION BY doc_id, page ORDER BY isl, x, n) AS place FROM g"),
     ("O2_bottom_up_order", ["blocks"], "SELECT doc_id, page, n, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC, x, n) AS place FROM blocks"),
-    ("O3_largest_frame", ["fills"], "SELECT doc_id, page, max_by(f, w * (h + f % 2) * 10 - f) AS frame FROM fills GROUP BY doc_id, page"),
+    ("O3_largest_frame", ["frames"], r"SELECT doc_id, page, d, color, width FROM frames"),
     ("O5_first_issues", ["page_state"], ", s AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM page_state WHERE status <> 'completed') SELECT doc_id, page FROM s WHERE i <= 3"),
     ("O6_merge_segments", ["blocks", "fills"], ", u AS (SELECT doc_id, page, y, 1 AS kind, n AS idx FROM blocks UNION ALL SELECT doc_id, page, y, 2, f FROM fills) SELECT doc_id, page, kind, idx, row_number() OVER (PARTITION BY doc_id, page ORDER BY y, kind, idx) AS place FROM u"),
     ("O7_page_order", ["page_state"], "SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS place FROM page_state"),
@@ -132,34 +173,35 @@ OPS: list[tuple[str, list[str], str]] = [
     ("E3_except", ["page_words", "block_words"], "SELECT page_id, word FROM page_words EXCEPT SELECT page_id, word FROM block_words"),
     ("E4_subset", ["page_words", "block_words"], "SELECT p.page_id, count(b.word) = count(*) AS contained FROM page_words AS p LEFT JOIN block_words AS b ON p.page_id = b.page_id AND p.word = b.word GROUP BY p.page_id"),
     ("E5_distinct", ["fills"], "SELECT DISTINCT doc_id, fill FROM fills"),
-    # functions
     ("X1_significant_words", ["doc_words"], "SELECT doc_id, count(*) AS words FROM doc_words GROUP BY doc_id"),
     ("X2_norm", ["raw_lines"], "SELECT doc_id, n, trim(rx[rx[lower(line);'[0-9]+';'#']!;'\\s+';' ']!) AS norm FROM raw_lines"),
     ("X5_escape", ["raw_lines"], "SELECT doc_id, n, replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM raw_lines"),
     ("X7_row_split", ["raw_lines"], "SELECT doc_id, n, length(line) - length(replace(line, '|', '')) AS bars, like[line;'^[ |:-]+$']! AS separator FROM raw_lines"),
     ("X12_pad", ["layout"], "SELECT doc_id, page, n, lpad(CAST(n AS STRING), 4, '0') AS padded FROM layout"),
     ("X13_flatten", ["html_blocks"], "SELECT page_id, agg[text; ' '; i]! AS text FROM html_blocks GROUP BY page_id"),
-    ("X15_norm_hex", ["fills"], "SELECT doc_id, page, f, lpad(substr(upper(replace(fill, '#', '')), 1, 6), 6, '0') AS hex FROM fills"),
-    ("X16_contrast", ["fills"], "SELECT doc_id, page, f, CASE fill WHEN '#F9CB9C' THEN CASE WHEN 299 * 249 + 587 * 203 + 114 * 156 < 550 * 255 THEN 'FFFFFF' ELSE '1A1A1A' END WHEN '#3C78D8' THEN CASE WHEN 299 * 60 + 587 * 120 + 114 * 216 < 550 * 255 THEN 'FFFFFF' ELSE '1A1A1A' END ELSE 'FFFFFF' END AS text_color FROM fills"),
-    ("X17_border_size", ["layout"], "SELECT doc_id, n, CAST(greatest(2, floor(n % 9 * 8 / 10.0 + 0.5)) AS INT) AS size FROM layout"),
+    ("X15_norm_hex", ["fills"], r"SELECT doc_id, page, f, lpad(substr(upper(rx[fill;'^#';'']!), 1, 6), 6, '0') AS hex, lpad(substr(upper(rx[substr(fill, 1, 4);'^#';'']!), 1, 6), 6, '0') AS short_hex FROM fills"),
+    ("X16_contrast", ["drawings"], r", c AS (SELECT doc_id, page, d, lpad(hex(CAST((doc_id * 7919 + d * 104729) % 16777216 AS BIGINT)), 6, '0') AS h FROM drawings) SELECT doc_id, page, d, h, CASE WHEN 299 * ((instr('0123456789ABCDEF', substr(h, 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 2, 1)) - 1) + 587 * ((instr('0123456789ABCDEF', substr(h, 3, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 4, 1)) - 1) + 114 * ((instr('0123456789ABCDEF', substr(h, 5, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 6, 1)) - 1) < 550 * 255 THEN 'FFFFFF' ELSE '1A1A1A' END AS text_color FROM c"),
+    ("X17_border_size", ["drawings"], r"SELECT doc_id, page, d, width, CAST(greatest(2, floor(CASE WHEN width IS NULL OR width = 0 THEN 1 ELSE width END * 8 + 0.5)) AS INT) AS size FROM drawings WHERE stroke IS NOT NULL"),
     ("X18_tokens", ["documents"], "SELECT doc_id, CAST(floor(length(text) / 4.0 + 0.5) AS BIGINT) AS tokens FROM documents"),
     ("X21_image_fit", ["fills"], "SELECT doc_id, page, f, CASE WHEN w > 250 THEN 250 ELSE w END AS w, CAST(CASE WHEN w > 250 THEN floor(h * 250.0 / w + 0.5) ELSE h END AS INT) AS h FROM fills"),
     ("X22_bucket", ["layout"], "SELECT doc_id, n, CAST(floor(x / 8.0 + 0.5) * 8 AS INT) AS b8, CAST(floor(x / 5.0 + 0.5) * 5 AS INT) AS b5 FROM layout"),
     ("X23_dpi", ["layout"], "SELECT doc_id, n, CAST(greatest(72, least(200, floor(1400 * 72 / w))) AS INT) AS dpi FROM layout"),
-    ("X24_flags", ["layout"], "SELECT doc_id, n, (n & 16) > 0 AS bold, (n & 2) > 0 AS italic FROM layout"),
-    # orchestration
+    ("X24_flags", ["layout"], r"SELECT doc_id, page, n, (flags & 16) > 0 OR lower(font) LIKE '%bold%' OR lower(font) LIKE '%black%' OR lower(font) LIKE '%heavy%' AS bold, (flags & 2) > 0 OR lower(font) LIKE '%italic%' OR lower(font) LIKE '%oblique%' AS italic, (flags & 16) > 0 OR font LIKE '%Bold%' AS span_bold FROM layout"),
     ("T1_state", ["page_state"], "SELECT doc_id, page, status, tries FROM page_state"),
     ("T3_resume", ["layout", "page_state"], ", p AS (SELECT DISTINCT doc_id, page FROM layout) SELECT p.doc_id, p.page FROM p LEFT ANTI JOIN page_state AS s ON p.doc_id = s.doc_id AND p.page = s.page AND s.status = 'completed'"),
-    ("T4_ladder", ["attempts"], "SELECT doc_id, page, min_by(rung, rank * 1000000 + attempt) AS rung FROM attempts WHERE ok GROUP BY doc_id, page"),
+    ("T4_ladder", ["attempts"], r", o AS (SELECT doc_id, page, rung, rank, attempt, ok, row_number() OVER (PARTITION BY doc_id, page, rung ORDER BY attempt) AS k FROM attempts), a AS (SELECT * FROM o WHERE k <= CASE WHEN rung = 'json' THEN 2 ELSE 1 END) SELECT doc_id, page, min_by(rung, rank * 1000000 + attempt) AS rung, min(rank) > 1 AS escalated FROM a WHERE ok GROUP BY doc_id, page"),
     ("T7_image_floor", ["attempts"], "SELECT doc_id, page, coalesce(min_by(CASE WHEN ok THEN rung END, CASE WHEN ok THEN rank * 1000000 + attempt END), 'image') AS rung FROM attempts GROUP BY doc_id, page"),
     ("T9_candidates", ["attempts"], "SELECT doc_id, min_by(rung, rank * 1000000 + attempt) AS chosen FROM attempts WHERE ok GROUP BY doc_id"),
-    ("T10_retry_class", ["attempts"], "SELECT attempt, code, CASE WHEN code BETWEEN 400 AND 409 THEN CASE WHEN attempt % 7 = 0 THEN 'retry' ELSE 'fatal' END ELSE 'retry' END AS class FROM attempts"),
-    ("T11_render_fallback", ["page_state"], "SELECT doc_id, page, CASE WHEN rung IS NULL THEN 'plain paragraphs' ELSE 'layout' END AS rendered, rung IS NULL AS warned FROM page_state"),
-    # further small forms
-    ("F20_asset_name", ["pages"], "SELECT page_id, rx[url;'^.*/';'']! AS name FROM pages"),
-    ("O4_best_fill", ["blocks", "fills"], """, s AS (SELECT b.doc_id, b.page, b.n, f.f, row_number() OVER (PARTITION BY b.doc_id, b.page, b.n ORDER BY least(b.y + b.h, f.y + f.h) - greatest(b.y, f.y) DESC, f.f) AS k
-        FROM blocks AS b JOIN fills AS f ON b.doc_id = f.doc_id AND b.page = f.page AND b.y < f.y + f.h AND f.y < b.y + b.h) SELECT doc_id, page, n, f FROM s WHERE k = 1"""),
-    ("X6_json_slice", ["events"], ", s AS (SELECT event_id, concat('Result: ', props, ' end') AS raw FROM events WHERE props IS NOT NULL) SELECT event_id, substr(raw, instr(raw, '{'), length(raw) - instr(reverse(raw), '}') + 2 - instr(raw, '{')) AS layout FROM s"),
-    ("X10_caption_label", ["blocks"], "SELECT doc_id, n, regexp_extract(text, '^((Figure|Table) [0-9]+)[.:]? *(.*)$', 1) AS label, regexp_extract(text, '^((Figure|Table) [0-9]+)[.:]? *(.*)$', 3) AS caption FROM blocks WHERE text LIKE 'Figure %' OR text LIKE 'Table %'"),
-    ("X14_rgb_hex", ["fills"], "SELECT doc_id, page, f, concat('#', lpad(hex(CAST((doc_id * 7919 + f * 104729) % 16777216 AS BIGINT)), 6, '0')) AS hex FROM fills"),
+    ("T10_retry_class", ["attempts"], r"SELECT attempt, code, message, CASE WHEN message LIKE 'Cancel%' OR message LIKE 'AbortError%' THEN 'fatal' WHEN message LIKE '%tool_use_failed%' THEN 'retry' WHEN code IN (400, 401, 402, 403, 404, 405, 406, 407, 409) THEN 'fatal' ELSE 'retry' END AS class FROM attempts"),
+    ("T11_render_fallback", ["page_state", "html_blocks"], r"SELECT s.doc_id, s.page, CASE WHEN s.rung IS NOT NULL AND s.status = 'completed' THEN 'layout' ELSE 'plain paragraphs' END AS rendered, count(CASE WHEN h.text <> '' THEN 1 END) AS paragraphs, s.rung IS NULL OR s.status <> 'completed' AS warned FROM page_state AS s LEFT JOIN html_blocks AS h ON h.page_id = s.doc_id GROUP BY s.doc_id, s.page, s.rung, s.status"),
+    ("F20_asset_name", ["images"], r", a AS (SELECT doc_id, page, concat('assets/page_', lpad(CAST(page + 1 AS STRING), 4, '0'), '/img_', CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY i) AS STRING), '.png') AS path FROM images) SELECT doc_id, page, path, rx[path;'^.*/';'']! AS name FROM a"),
+    ("O4_best_fill", ["blocks", "fill_text"], r""", bw AS (SELECT DISTINCT doc_id, page, n, word FROM (SELECT doc_id, page, n, each[lower(text);'[\p{L}\p{N}]{3,}']! AS word FROM blocks) AS q), fw AS (SELECT DISTINCT doc_id, page, f, word FROM (SELECT doc_id, page, f, each[lower(text);'[\p{L}\p{N}]{3,}']! AS word FROM fill_text WHERE fill IS NOT NULL) AS q),
+        bn AS (SELECT doc_id, page, n, count(*) AS c FROM bw GROUP BY doc_id, page, n), fn AS (SELECT doc_id, page, f, count(*) AS c FROM fw GROUP BY doc_id, page, f),
+        sh AS (SELECT b.doc_id, b.page, b.n, f.f, count(*) AS shared FROM bw AS b JOIN fw AS f ON b.doc_id = f.doc_id AND b.page = f.page AND b.word = f.word GROUP BY b.doc_id, b.page, b.n, f.f),
+        sc AS (SELECT sh.doc_id, sh.page, sh.n, sh.f, shared + CASE WHEN shared = least(bn.c, fn.c) THEN 1 ELSE 0 END AS score FROM sh JOIN bn ON sh.doc_id = bn.doc_id AND sh.page = bn.page AND sh.n = bn.n JOIN fn ON sh.doc_id = fn.doc_id AND sh.page = fn.page AND sh.f = fn.f),
+        best AS (SELECT doc_id, page, n, f, score, row_number() OVER (PARTITION BY doc_id, page, n ORDER BY score DESC, f) AS k FROM sc WHERE score >= 2) SELECT b.doc_id, b.page, b.n, b.f, upper(replace(t.fill, '#', '')) AS fill FROM best AS b JOIN fill_text AS t ON b.doc_id = t.doc_id AND b.page = t.page AND b.f = t.f WHERE b.k = 1"""),
+    ("X6_json_slice", ["events"], r""", s AS (SELECT event_id, concat(CASE WHEN event_id % 2 = 0 THEN concat('```json', chr(10)) ELSE 'Result: ' END, props, CASE WHEN event_id % 2 = 0 THEN concat(chr(10), '```') ELSE ' end' END) AS raw FROM events WHERE props IS NOT NULL), f AS (SELECT event_id, trim(rx[rx[raw;'^```[a-zA-Z]*\s*';'']!;'```\s*$';'']!) AS raw FROM s)
+        SELECT event_id, CASE WHEN instr(raw, '{') > 0 AND length(raw) - instr(reverse(raw), '}') + 1 > instr(raw, '{') THEN substr(raw, instr(raw, '{'), length(raw) - instr(reverse(raw), '}') + 2 - instr(raw, '{')) END AS layout FROM f"""),
+    ("X10_caption_label", ["blocks"], r"SELECT doc_id, page, n, regexp_extract(text, '^((?:Figure|Table|Fig[.]) *[0-9]+)[.:]? *', 1) AS label, trim(rx[text;'^(Figure|Table|Fig[.]) *[0-9]+[.:]? *';'']!) AS caption FROM blocks WHERE like[text;'^(Figure|Table|Fig[.]) *[0-9]+']!"),
+    ("X14_rgb_hex", ["drawings"], r", c AS (SELECT doc_id, page, d, CAST((doc_id * 37 + d * 91) % 256 AS INT) AS r, CAST((doc_id * 53 + d * 17) % 256 AS INT) AS g, CAST((doc_id * 11 + d * 201) % 256 AS INT) AS b FROM drawings) SELECT doc_id, page, d, concat('#', lpad(hex(CAST(r * 65536 + g * 256 + b AS BIGINT)), 6, '0')) AS hex, concat('#', lower(lpad(hex(CAST(r * 65536 + g * 256 + b AS BIGINT)), 6, '0'))) AS hex_of_int FROM c"),
 ]

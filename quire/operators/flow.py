@@ -1,66 +1,57 @@
-"""Operators that fold over the blocks of a band, page or section in order, where the state is more than a window can hold."""
+"""Operators over the blocks of a band, page, section or document in order.
+
+Row shapes and table regions are windows; paragraph merging, pagination and flattening carry a state that no window holds and fold
+over one band or document at a time.
+"""
 
 from __future__ import annotations
 
-from collections import Counter
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GAP_FACTOR, LEAST_GAP, SAME_SIZE = 1.8, 6.0, 0.5
+#: Of paragraphs the gap in median gaps and its least in points, the usual gap, the sizes that are alike;
+#: of tables the gap after a row, rows, the gap between cells, heights that are alike.
+GAP_FACTOR, LEAST_GAP, USUAL_GAP, SAME_SIZE = 1.8, 6.0, 4.0, 0.5
 ROW_GAP, LEAST_ROWS, CELL_GAP, SAME_Y = 30.0, 3, 25.0, 2.0
 
 
-def paragraph_ids(y: list[float], h: list[float], size: list[float | None], breaks: list[bool]) -> list[int]:
-    """Number of the paragraph each block of a band belongs to; blocks are in order of y."""
-    gaps = sorted(b - (a + k) for a, k, b in zip(y, h, y[1:], strict=False))
-    limit = max(GAP_FACTOR * (gaps[len(gaps) // 2] if gaps else 4.0), LEAST_GAP)
-    out, bottom, sizes = [], 0.0, Counter()
-    for top, high, font, brk in zip(y, h, size, breaks, strict=True):
-        usual = sizes.most_common(1)[0][0] if sizes else None
-        alike = usual is None or font is None or abs(usual - font) < SAME_SIZE
-        if out and top - bottom <= limit and alike and not brk:
-            out.append(out[-1])
-            bottom = max(bottom, top + high)
-        else:
-            out.append(out[-1] + 1 if out else 0)
-            bottom, sizes = top + high, Counter()
-        if font is not None:
-            sizes[font] += 1
-    return out
-
-
-def table_regions(tops: list[float], bottoms: list[float], is_row: list[bool]) -> list[tuple[int, int]]:
-    """First and last index of runs of blocks in reading order with LEAST_ROWS row-shaped ones or more.
-
-    Blocks that overlap the row at hand, or follow it within ROW_GAP, belong to it; so do those just before that overlap its first.
-    """
-    found, done = [], 0
-    starts = [i for i, r in enumerate(is_row) if r]
-    for at in starts:
-        if at < done:
-            continue
-        last, rows, top, bottom = at, 1, tops[at], bottoms[at]
-        for j in range(at + 1, len(tops)):
-            if is_row[j]:
-                rows, top, bottom = rows + 1, tops[j], bottoms[j]
-            elif tops[j] < bottom and top < bottoms[j] or 0 <= tops[j] - bottom < ROW_GAP:
-                top, bottom = min(top, tops[j]), max(bottom, bottoms[j])
-            else:
-                break
-            last = j
-        first = at
-        while first and tops[first - 1] < bottoms[first] and tops[first] < bottoms[first - 1]:
-            first -= 1
-        if rows >= LEAST_ROWS:
-            found.append((first, last))
-        done = last + 1
-    return found
+@dataclass
+class Paragraph:
+    """What has been merged so far: where it ends, and how many characters have which size."""
+
+    bottom: float
+    weights: dict[float, int] = field(default_factory=dict)
+
+    def takes(self, top: float, size: float | None, limit: float) -> bool:
+        usual = max(self.weights, key=self.weights.get) if self.weights else None
+        return top - self.bottom <= limit and (usual is None or size is None or abs(usual - size) < SAME_SIZE)
+
+    def add(self, bottom: float, size: float | None, chars: int) -> None:
+        self.bottom = max(self.bottom, bottom)
+        if size is not None:
+            self.weights[size] = self.weights.get(size, 0) + chars
+
+
+def paragraph_ids(y: list[float], h: list[float], size: list[float | None], breaks: list[bool], chars: list[int] | None = None) -> list[int]:
+    """Number of the paragraph each block of a band belongs to; blocks are in order of y. chars: lengths of their texts, as weights of sizes."""
+    bottoms = [a + b for a, b in zip(y, h, strict=True)]
+    gaps = sorted(top - end for top, end in zip(y[1:], bottoms, strict=False))
+    limit = max(GAP_FACTOR * (gaps[len(gaps) // 2] if gaps else USUAL_GAP), LEAST_GAP)
+    done: list[Paragraph] = []
+    ids = []
+    for top, bottom, font, cut, n in zip(y, bottoms, size, breaks, chars or [1] * len(y), strict=True):
+        if cut or not done or not done[-1].takes(top, font, limit):
+            done.append(Paragraph(bottom))
+        done[-1].add(bottom, font, n)
+        ids.append(len(done) - 1)
+    return ids
 
 
 def merged_paragraphs(blocks: DataFrame, band: list[str]) -> DataFrame:
-    """band, paragraph, box, text of blocks (n, x, y, w, h, size, text, breaks) merged within each band. Null size fits any.
+    """band, paragraph, box, text, blocks of blocks (n, x, y, w, h, size, text, breaks) merged within each band. Null size fits any.
 
     One band of a page is held at a time.
     """
@@ -70,7 +61,9 @@ def merged_paragraphs(blocks: DataFrame, band: list[str]) -> DataFrame:
     def number(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["y", "n"], kind="stable")
         sizes = [None if pd.isna(s) else float(s) for s in group["size"]]
-        group["paragraph"] = paragraph_ids([float(v) for v in group["y"]], [float(v) for v in group["h"]], sizes, [bool(b) if not pd.isna(b) else False for b in group["breaks"]])
+        texts = [0 if pd.isna(t) else len(t) for t in group["text"]]
+        cuts = group["breaks"].fillna(False).astype(bool).tolist()
+        group["paragraph"] = paragraph_ids(group["y"].astype(float).tolist(), group["h"].astype(float).tolist(), sizes, cuts, texts)
         return group[[*names, "paragraph"]]
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", paragraph int"
@@ -80,69 +73,96 @@ def merged_paragraphs(blocks: DataFrame, band: list[str]) -> DataFrame:
     return rows.groupBy(*band, "paragraph").agg(*box, F.array_join(lines, " ").alias("text"), F.count("*").alias("blocks"))
 
 
-def row_shaped(lines: DataFrame, block: list[str]) -> DataFrame:
-    """block, is_row: whether lines (x, y, w, text) at one height, two or more, lie CELL_GAP apart. Heights are those of the first line seen within SAME_Y."""
-    kinds = dict(lines.dtypes)
+def row_shaped(lines: DataFrame, block: list[str], order: str = "x") -> DataFrame:
+    """block, is_row: whether two or more lines (x, y, w, text) at one height lie CELL_GAP apart, all of them. A block without text has no row.
 
-    def shape(group: pd.DataFrame) -> pd.DataFrame:
-        levels: list[list] = []
-        for line in group.sort_values(["y", "x"], kind="stable").itertuples():
-            level = next((g for g in levels if abs(g[0].y - line.y) <= SAME_Y), None)
-            if level is None:
-                levels.append(level := [])
-            level.append(line)
-        ordered = [sorted(g, key=lambda s: s.x) for g in levels if len(g) > 1]
-        is_row = any(all(b.x - (a.x + a.w) >= CELL_GAP for a, b in zip(g, g[1:], strict=False)) for g in ordered)
-        return group[block].head(1).assign(is_row=is_row)
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in block) + ", is_row boolean"
-    return lines.filter(F.trim("text") != "").select(*block, "x", "y", "w").groupBy(*block).applyInPandas(shape, schema)
+    The height of a line is that of the first one, in the order given, within SAME_Y of it.
+    """
+    full = lines.filter(F.trim("text") != "")
+    one = F.struct(F.col(order).alias("o"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("w").cast("double").alias("w"))
+    held = full.groupBy(*block).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    heights = F.aggregate("all", F.array().cast("array<double>"), lambda seen, s: F.when(F.exists(seen, lambda v: F.abs(v - s["y"]) <= SAME_Y), seen).otherwise(F.concat(seen, F.array(s["y"]))))
+    each = held.withColumn("heights", heights).select(*block, "heights", F.explode("all").alias("s"))
+    each = each.select(*block, F.filter("heights", lambda v: F.abs(v - F.col("s.y")) <= SAME_Y)[0].alias("height"), "s.x", "s.w")
+    before = Window.partitionBy(*block, "height").orderBy("x")
+    gaps = each.withColumn("gap", F.col("x") - F.lag(F.col("x") + F.col("w")).over(before))
+    rows = gaps.groupBy(*block, "height").agg(((F.count("gap") > 0) & (F.coalesce(F.min("gap"), F.lit(0.0)) >= CELL_GAP)).alias("is_row"))
+    return rows.groupBy(*block).agg(F.bool_or("is_row").alias("is_row"))
 
 
 def regions(blocks: DataFrame, page: list[str]) -> DataFrame:
-    """page, region, first, last (values of n) of blocks (n, y, h, is_row) in order of n."""
-    kinds = dict(blocks.dtypes)
-
-    def find(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n", kind="stable")
-        n, y = list(group["n"]), [float(v) for v in group["y"]]
-        got = table_regions(y, [a + float(b) for a, b in zip(y, group["h"], strict=True)], [bool(r) if not pd.isna(r) else False for r in group["is_row"]])
-        key = {c: group[c].iloc[0] for c in page}
-        return pd.DataFrame([{**key, "region": i, "first": n[a], "last": n[b]} for i, (a, b) in enumerate(got)], columns=[*page, "region", "first", "last"])
+    """page, region, first, last (values of n) of the tables among blocks (n, y, h, is_row) in order of n.
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in page) + f", region int, first {kinds['n']}, last {kinds['n']}"
-    return blocks.select(*page, "n", "y", "h", "is_row").groupBy(*page).applyInPandas(find, schema)
+    A row-shaped block heads a stretch that reaches to the next one. Of a stretch those blocks are attached that overlap the range of
+    what is attached already or follow it within ROW_GAP, up to the first that does neither; a stretch with such a one ends its table. Tables
+    have LEAST_ROWS heads or more, and begin with the blocks just before that overlap one another and the first head.
+    """
+    order = Window.partitionBy(*page).orderBy("n")
+    tops = blocks.select(*page, "n", F.col("y").cast("double").alias("top"), (F.col("y") + F.col("h")).cast("double").alias("bottom"), F.coalesce("is_row", F.lit(False)).alias("head"))
+    chained = (F.lag("top").over(order) < F.col("bottom")) & (F.col("top") < F.lag("bottom").over(order))
+    tops = tops.withColumn("chained", F.coalesce(chained, F.lit(False))).withColumn("begin", F.max(F.when(~F.col("chained"), F.col("n"))).over(order))
+    tops = tops.withColumn("stretch", F.sum(F.col("head").cast("int")).over(order)).filter("stretch > 0")
+    within = Window.partitionBy(*page, "stretch").orderBy("n")
+    so_far = within.rowsBetween(Window.unboundedPreceding, -1)
+    high, low = F.min("top").over(so_far), F.max("bottom").over(so_far)
+    touches = ((F.col("top") < low) & (high < F.col("bottom"))) | ((F.col("top") - low >= 0) & (F.col("top") - low < ROW_GAP))
+    tops = tops.withColumn("loose", ~F.col("head") & ~touches).withColumn("ended", F.max(F.col("loose").cast("int")).over(within))
+    stretches = tops.groupBy(*page, "stretch").agg(F.max("ended").alias("ended"), F.max(F.when(F.col("ended") == 0, F.col("n"))).alias("last"), F.max(F.when(F.col("head"), F.col("begin"))).alias("first"))
+    by_stretch = Window.partitionBy(*page).orderBy("stretch")
+    tables = stretches.withColumn("table", F.sum(F.coalesce(F.lag("ended").over(by_stretch), F.lit(1))).over(by_stretch))
+    found = tables.groupBy(*page, "table").agg(F.min_by("first", "stretch").alias("first"), F.max("last").alias("last"), F.count("*").alias("rows")).filter(F.col("rows") >= LEAST_ROWS)
+    number = F.row_number().over(Window.partitionBy(*page).orderBy("table")) - 1
+    return found.select(*page, number.alias("region"), "first", "last")
+
+
+@dataclass
+class Cursor:
+    """Where the next line falls: page and column from 1, and how far down the column it is."""
+
+    page: int = 0
+    column: int = 1
+    down: float = 0.0
+    columns: int = 1
+    room: float = 0.0
+
+    def section(self, columns: int, room: float) -> None:
+        self.page, self.column, self.down, self.columns, self.room = self.page + 1, 1, 0.0, max(1, columns), room
+
+    def turn(self) -> None:
+        last = self.column >= self.columns
+        self.page, self.column, self.down = (self.page + 1, 1, 0.0) if last else (self.page, self.column + 1, 0.0)
+
+    def put(self, height: float) -> None:
+        if self.down > 0 and self.down + height > self.room:
+            self.turn()
+        self.down += height
 
 
 def pagination(blocks: DataFrame, doc: str = "doc") -> DataFrame:
     """doc, section, n, page, page_end, column: where blocks fall as they flow through columns and pages.
 
     Blocks have section, n, kind (text or unit), lines, line_h, before, after, forced and, of the section, columns and room (the height).
-    A text flows line by line; a unit, as a table row, moves whole. Every section begins on a new page; page and column
-    are those where a block begins and ends.
+    A text flows line by line; a unit, as a table row, moves whole. Every section begins on a new page. page is the one at hand when
+    a block comes up, after a forced break; page_end and column are those where it ends.
     """
     kind = dict(blocks.dtypes)[doc]
     names = ["section", "n", "kind", "lines", "line_h", "before", "after", "forced", "columns", "room"]
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
-        page, column, y, section, out = 0, 1, 0.0, object(), []
-
+        at, section, out = Cursor(), None, []
         for b in group.sort_values(["section", "n"], kind="stable").itertuples():
-            if b.section != section:
-                page, column, y, section = page + 1, 1, 0.0, b.section
-            turn = bool(b.forced)
-            begin = None
-            y += 0.0 if turn else float(b.before)
-            steps = [float(b.line_h)] * int(b.lines) if b.kind == "text" else [float(b.lines) * float(b.line_h)]
-            for step in steps:
-                if turn or y + step > b.room and y > 0:
-                    page, column = (page, column + 1) if column < b.columns else (page + 1, 1)
-                    y = float(b.before) if turn else 0.0
-                    turn = False
-                begin = begin or page
-                y += step
-            y += float(b.after)
-            out.append((getattr(b, doc), b.section, b.n, begin or page, page, column))
+            if section != b.section:
+                section = b.section
+                at.section(int(b.columns), float(b.room))
+            if b.forced:
+                at.turn()
+            begin = at.page
+            at.down += float(b.before)
+            height = float(b.line_h)
+            for piece in [height] * int(b.lines) if b.kind == "text" else [height * float(b.lines)]:
+                at.put(piece)
+            at.down += float(b.after)
+            out.append((getattr(b, doc), b.section, b.n, begin, at.page, at.column))
         return pd.DataFrame(out, columns=[doc, "section", "n", "page", "page_end", "column"])
 
     return blocks.select(doc, *names).groupBy(doc).applyInPandas(place, f"`{doc}` {kind}, section int, n int, page int, page_end int, column int")
@@ -151,19 +171,21 @@ def pagination(blocks: DataFrame, doc: str = "doc") -> DataFrame:
 def flattened(children: DataFrame, root: str = "root") -> DataFrame:
     """doc, ref, place: leaves below the root in reading order, from rows (doc, parent, pos, ref, is_group).
 
-    A path is walked per level with a join, so depth bounds the rounds; references into a group already on the path, missing parents and
-    cycles lead nowhere. Paths are fixed-width, so that they sort as text.
+    One document's tree is walked at a time. References into a group already on the path, missing parents and cycles lead nowhere.
     """
-    step = F.lpad(F.col("pos").cast("string"), 10, "0")
-    edges = children.select("doc", "parent", "ref", "is_group", step.alias("step"))
-    level = edges.filter(F.col("parent") == root).select("doc", "ref", "is_group", F.col("step").alias("path"), F.array("ref").alias("seen"))
-    leaves = level.filter("not is_group")
-    while True:
-        level = level.filter("is_group").select("doc", F.col("ref").alias("parent"), "path", "seen").join(edges, ["doc", "parent"]).filter("not array_contains(seen, ref)")
-        level = level.select("doc", "ref", "is_group", F.concat_ws(".", "path", "step").alias("path"), F.concat("seen", F.array("ref")).alias("seen"))
-        if not level.limit(1).count():
-            break
-        leaves = leaves.unionByName(level.filter("not is_group"))
-    places = leaves.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("path", "ref"))).alias("all"))
-    return places.select("doc", F.posexplode("all").alias("place", "one")).select("doc", "one.ref", "place")
+    kind = dict(children.dtypes)["doc"]
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        below: dict[str, list] = {}
+        for r in group.sort_values("pos", kind="stable").itertuples():
+            below.setdefault(r.parent, []).append((r.ref, bool(r.is_group)))
+        leaves, todo = [], [(root, True, frozenset())]
+        while todo:
+            ref, is_group, path = todo.pop()
+            if is_group:
+                todo += [(r, g, path | {ref}) for r, g in reversed(below.get(ref, [])) if not (g and r in path | {ref})]
+            else:
+                leaves.append(ref)
+        return pd.DataFrame({"doc": group["doc"].iloc[0], "ref": leaves, "place": range(len(leaves))})
 
+    return children.select("doc", "parent", "pos", "ref", "is_group").groupBy("doc").applyInPandas(walk, f"doc {kind}, ref string, place int")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -24,8 +25,12 @@ REQUIRED = ("[Content_Types].xml", "_rels/.rels", "word/document.xml")
 MAIN, STYLES = "word/document.xml", "word/styles.xml"
 
 
-def parts(files: DataFrame) -> DataFrame:
-    """One row per member of the archives in (path, content), in archive order; error where content is no archive."""
+#: Most bytes that a part may unpack to; a declaration of entities, which can grow without bound, is not read at all.
+LARGEST = 256 << 20
+
+
+def parts(files: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """One row per member of the archives in (path, content), in archive order; error where content is no archive, or a member is torn or too large."""
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in PARTS.split(", ")]
@@ -33,11 +38,19 @@ def parts(files: DataFrame) -> DataFrame:
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-                        for pos, name in enumerate(z.namelist()):
-                            yield pd.DataFrame([(path, pos, name, z.read(name), None)], columns=columns)
-                except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:
+                        for pos, info in enumerate(z.infolist()):
+                            yield pd.DataFrame([(path, pos, info.filename, *member(z, info))], columns=columns)
+                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, ValueError) as e:
                     yield pd.DataFrame([(path, None, None, None, str(e))], columns=columns)
 
+    def member(z: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+        try:
+            with z.open(info) as f:
+                content = f.read(largest + 1)
+        except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError) as e:
+            return None, str(e) or type(e).__name__
+        return (content, None) if len(content) <= largest else (None, f"larger than {largest} bytes")
+
     return files.select("path", "content").mapInPandas(unzip, PARTS)
 
 
@@ -48,6 +61,8 @@ def local(name: str) -> str:
 def rows_of(path: str, pos: int, part: str, content: bytes) -> list[tuple]:
     """Node rows of a part in document order; a malformed part has one row with id null and the error."""
     try:
+        if b"<!ENTITY" in (content or b""):
+            raise ValueError("declares entities")
         root = ElementTree.fromstring(content or b"")
     except (ElementTree.ParseError, ValueError, LookupError) as e:
         return [(path, pos, part, None, None, None, None, None, None, None, None, None, None, None, str(e))]
@@ -75,7 +90,7 @@ def nodes(of_parts: DataFrame) -> DataFrame:
                     found[c] = found[c].astype("Int32")
                 yield found
 
-    return of_parts.filter(F.col("part").rlike(r"\.(xml|rels)$")).select("path", "pos", "part", "content").mapInPandas(parse, NODES)
+    return of_parts.filter(F.col("part").rlike(r"\.(xml|rels)$") & F.col("error").isNull()).select("path", "pos", "part", "content").mapInPandas(parse, NODES)
 
 
 def malformed(of_nodes: DataFrame) -> DataFrame:

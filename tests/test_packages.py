@@ -92,22 +92,54 @@ def test_round_trip(spark):
 def test_folds():
     assert flow.paragraph_ids([0, 12, 24, 60, 72], [10] * 5, [11, 11, 11, 11, 14], [False] * 5) == [0, 0, 0, 1, 2]
     assert flow.paragraph_ids([0, 12], [10, 10], [None, 11], [False, True]) == [0, 1]
+    # 14 has more characters than 11 twice, so the paragraph is of size 14
+    assert flow.paragraph_ids([0, 11, 22, 33], [10] * 4, [11, None, 14, 14], [False] * 4, [5, 5, 90, 5]) == [0, 0, 1, 1]
+    assert flow.paragraph_ids([0, 11, 22], [10] * 3, [11, 11.4, 11.4], [False] * 3, [5, 90, 5]) == [0, 0, 0]
+
+
+def regions(spark, tops, bottoms, is_row):
+    frame = spark.createDataFrame([("p", i, *x) for i, x in enumerate(zip(tops, [b - t for t, b in zip(tops, bottoms)], is_row))], "page string, n int, y int, h int, is_row boolean")
+    return rows(flow.regions(frame, ["page"]), "region", "first", "last")
+
+
+def test_regions(spark):
     tops = [0, 20, 40, 60, 200]
-    assert flow.table_regions(tops, [t + 10 for t in tops], [False, True, True, True, False]) == [(1, 3)]
-    assert flow.table_regions([0, 5, 20, 40], [10, 15, 30, 50], [False, True, True, True]) == [(0, 3)]
-    assert flow.table_regions(tops, [t + 10 for t in tops], [True, True, False, False, False]) == []
+    after = [t + 10 for t in tops]
+    assert regions(spark, tops, after, [False, True, True, True, False]) == [(0, 1, 3)]
+    assert regions(spark, [0, 5, 20, 40], [10, 15, 30, 50], [False, True, True, True]) == [(0, 0, 3)]
+    assert regions(spark, tops, after, [True, True, False, False, False]) == []
+    # a paragraph far below ends the first table; the second has a wrapped line attached
+    tops = [0, 20, 40, 300, 400, 420, 440, 455]
+    assert regions(spark, tops, [t + 10 for t in tops], [True, True, True, False, True, True, True, False]) == [(0, 0, 2), (1, 4, 7)]
 
 
 def test_flow(spark):
     lines = spark.createDataFrame([(1, 0.0, 0.0, 20.0, "a"), (1, 60.0, 1.0, 20.0, "b"), (2, 0.0, 0.0, 20.0, "a"), (2, 28.0, 0.0, 20.0, "b"), (3, 0.0, 0.0, 5.0, " ")], "n int, x double, y double, w double, text string")
     assert rows(flow.row_shaped(lines, ["n"]), "n", "is_row") == [(1, True), (2, False)]
+    three = spark.createDataFrame([(1, 0, 10, 0, 20, "a"), (1, 1, 12, 60, 20, "b"), (1, 2, 14, 120, 20, "c"), (2, 0, 10, 0, 20, "a"), (2, 1, 10, 60, 20, "b"), (2, 2, 10, 90, 20, "c")], "b int, o int, y int, x int, w int, text string")
+    assert rows(flow.row_shaped(three, ["b"], "o"), "b", "is_row") == [(1, True), (2, False)]
     blocks = [("d", 0, 0, "text", 5, 10.0, 0.0, 0.0, False, 2, 30.0), ("d", 0, 1, "unit", 2, 10.0, 0.0, 0.0, False, 2, 30.0), ("d", 1, 0, "text", 1, 10.0, 0.0, 0.0, True, 1, 30.0)]
     frame = spark.createDataFrame(blocks, "doc string, section int, n int, kind string, lines int, line_h double, before double, after double, forced boolean, columns int, room double")
-    assert rows(flow.pagination(frame), "section", "n", "page", "page_end", "column") == [(0, 0, 1, 1, 2), (0, 1, 2, 2, 1), (1, 0, 4, 4, 1)]
+    assert rows(flow.pagination(frame), "section", "n", "page", "page_end", "column") == [(0, 0, 1, 1, 2), (0, 1, 1, 2, 1), (1, 0, 4, 4, 1)]
     edges = spark.createDataFrame([("d", "root", 0, "g", True), ("d", "root", 1, "z", False), ("d", "g", 0, "b", False), ("d", "g", 1, "g", True), ("d", "g", 2, "a", False)], "doc string, parent string, pos int, ref string, is_group boolean")
     assert rows(flow.flattened(edges), "place", "ref") == [(0, "b"), (1, "a"), (2, "z")]
 
 
+def test_torn_packages_stop_nothing(spark):
+    whole = bytearray(archive())
+    with zipfile.ZipFile(io.BytesIO(bytes(whole))) as z:
+        at = z.getinfo("word/styles.xml").header_offset
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.xml", "<a>" + "x" * 5000 + "</a>")
+    torn = bytearray(packed.getvalue())
+    torn[40:50] = b"\xff" * 10
+    files = spark.createDataFrame([("cut", bytes(whole[:at])), ("torn", bytes(torn)), ("big", packed.getvalue()), ("bomb", archive(**{"word/x.xml": '<!DOCTYPE a [<!ENTITY b "c">]><a>&b;</a>'}))], "path string, content binary")
+    got = packages.parts(files, 4000).filter("error is not null")
+    assert {r.path for r in got.collect()} == {"cut", "torn", "big"}
+    assert rows(packages.malformed(packages.nodes(packages.parts(files))), "path", "part") == [("bomb", "word/x.xml")]
+
+
 def test_functions(spark):
     one = spark.createDataFrame([("By Lee et al. and et al.", "Page 3 of 12, 2024", '<img src="a.png"><img src="http://x/b">', None)], "t string, f string, h string, z string")
     r = one.select(text.et_al_runs(F.col("t")).alias("t"), text.footer_pieces(F.col("f")).alias("f"), text.absolute_images(F.col("h"), "/base/").alias("h"), text.fallback_paragraphs(F.col("z")).alias("z")).first()
@@ -120,4 +152,5 @@ def test_functions(spark):
     width = metrics.text_width(F.lit("Hi"), F.lit(10.0), F.lit(None).cast("string"), F.lit(False))
     wrapped = metrics.wrapped_lines(F.lit("aaaa aaaa aaaa"), F.lit(10.0), F.lit("none"), F.lit(False), F.lit(50.0))
     r = one.select(width.alias("w"), wrapped.alias("l"), metrics.line_height(F.lit(" Calibri ")).alias("h"), metrics.wrapped_lines(F.col("z"), F.lit(1.0), F.lit(None).cast("string"), F.lit(False), F.lit(1.0)).alias("e")).first()
+    assert {c: metrics.BOLD[ord(c) - 32] for c in "345Y]"} == {"3": 611, "4": 654, "5": 615, "Y": 660, "]": 415}
     assert r.w == pytest.approx(9.65) and (r.l, r.h, r.e) == (2, 1.15, 1)

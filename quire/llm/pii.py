@@ -1,32 +1,42 @@
 """PII: fixed patterns plus information-theoretic sanitisation.
 
 Protected entities are the values that the patterns find. A term (a word of 3 letters or more, as written) reveals an entity e
-as far as pointwise mutual information says: PMI(t; e) = log p(t, e) / (p(t) p(e)), estimated over the texts of
-the corpus that hold both; equal texts count once, so copies are no evidence. Joint counts are lowered by
-DISCOUNT, so an entity of one text counts, and its evidence less than that of many. A term whose PMI
-reaches ALPHA of the information content -log p(e) discloses e. Disclosing
-terms are added as kind term wherever they occur: removed if PMI reaches REMOVE of it, else generalised.
-
-Offsets are code points, end exclusive. A null text counts as empty. Every row gives a row, repeated or not.
-Runs are scanned in linear time, also in very long texts. Candidate terms reach the
-tasks as a set while they are at most TERMS; beyond it words are joined.
+as far as pointwise mutual information says: PMI(t; e) = log p(t, e) / (p(t) p(e)), with probabilities counted exactly over
+all rows: n_term rows hold the word, n_entity the entity, n both (the word outside the pattern matches). Joint
+counts are lowered by DISCOUNT, so an entity of one text counts, and its evidence less than that of many. A term whose PMI
+reaches ALPHA of the information content -log p(e) discloses e. Disclosing terms are added as kind term wherever they
+occur outside pattern matches: removed if PMI reaches REMOVE of it, else generalised.
+
+Scans: the texts with entities give their words; every text adds to a count of these words, one row a word and task; disclosing words
+are looked up in every text. Words reach the tasks as a Bloom filter of fixed size, which passes all of them and few others, and a join
+settles what it passes; so neither scan depends on how many there are. Entities that occur in the same rows are counted as one, so a text with a long list of them gives each word once.
+
+Offsets are code points, end exclusive. A null text counts as empty: no spans. Every row gives a row, repeated or not, with or
+without doc_id, as no step joins on doc_id; other columns are passed on under their names. Runs are scanned in linear
+time, also in very long texts. An empty table gives no rows. A term that reveals two entities counts with the larger share.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import saved, small, table
+from .common import forget, fresh, saved, table
+from .jaccard import mix
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 DISCOUNT, ALPHA, REMOVE = 0.5, 0.8, 0.97
-TERMS = 200_000
+#: Words counted in a task before they are handed on; log2 of the bits of a filter.
+COUNTED, BITS = 100_000, 26
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -72,101 +82,151 @@ def entity(kind: int, value: str) -> str:
     return f"{kind}:{re.sub(r'[^0-9]', '', value) if kind >= 2 else value.lower()}"
 
 
-def context_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, term, text) for each entity and term of its text; term is empty once per entity and text."""
+def outside(spans: list[tuple[int, int, int]]):
+    """A test whether a stretch of text overlaps none of the spans."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_right(starts, b - 1) - 1
+        return i < 0 or ends[i] <= a
+
+    return free
+
+
+def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts with entities: (entities, terms outside them), each distinct."""
     for batch in batches:
-        rows: list[tuple[str, str, bytes]] = []
+        found, terms = [], []
         for text in batch.column(0).to_pylist():
             spans = base_spans(text) if text else []
-            if not spans:
-                continue
-            digest = hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
-            taken = [(a, b) for _, a, b in spans]
-            terms = {m[0] for m in WORD.finditer(text) if not any(a < m.end() and m.start() < b for a, b in taken)}
-            found = {entity(k, text[a:b]) for k, a, b in spans}
-            rows += [(e, w, digest) for e in found for w in {"", *terms}]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], ["entity", "term", "text"])
+            if spans:
+                free = outside(spans)
+                found.append(sorted({entity(k, text[a:b]) for k, a, b in spans}))
+                terms.append(sorted({m[0] for m in WORD.finditer(text) if free(*m.span())}))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string()))], ["entities", "terms"])
 
 
-SPANS = "array<struct<kind:int,start:int,end:int>>"
-ROW = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-WORDS = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+def bits(words: list[str]) -> np.ndarray:
+    """Three places in a filter for each word."""
+    x = mix(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)) + np.uint64(1))
+    top = np.uint64(64 - BITS)
+    return np.stack((x >> top, (x << np.uint64(BITS)) >> top, mix(x) >> top), 1).astype(np.int64)
 
 
-def scanner(terms: frozenset[str]):
-    """Arrow function: doc_id, text to doc_id, base spans, occurrences of the terms outside them, MD5 of a text with any."""
+def bloom(terms: DataFrame) -> np.ndarray:
+    """A filter of the column term, bytes of 8 bits; at most 2 ** (BITS - 6) words of it reach the driver, however many terms there are."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(bits(b.column(0).to_pylist()))
+            mask = np.left_shift(np.int64(1), at % 64)
+            yield pa.RecordBatch.from_arrays([pa.array(at // 64), pa.array(mask)], ["slot", "mask"])
+
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    got = terms.select("term").mapInArrow(places, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out[got.column("slot").to_numpy()] = got.column("mask").to_numpy()
+    return out.view(np.uint8)
+
+
+def passed(words: set[str], filter_bytes: np.ndarray) -> list[str]:
+    """Those of the words that the filter has."""
+    listed = list(words)
+    if not listed:
+        return []
+    at = bits(listed)
+    ok = ((filter_bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)
+    return [listed[i] for i in np.flatnonzero(ok)]
+
+
+def word_counter(filter_bytes: np.ndarray):
+    """Arrow function: text to (term, n), rows of the task with that word, of the words that the filter has."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, words, digests = [], [], []
-            for text in batch.column(1).to_pylist():
-                spans = base_spans(text) if text else []
-                base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                hits = []
-                if terms and text and not terms.isdisjoint(WORD.findall(text)):
-                    taken = [(a, b) for _, a, b in spans]
-                    hits = [{"term": m[0], "start": m.start(), "end": m.end()} for m in WORD.finditer(text) if m[0] in terms and not any(a < m.end() and m.start() < b for a, b in taken)]
-                words.append(hits)
-                digests.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest() if hits else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(ROW)), pa.array(words, pa.list_(WORDS)), pa.array(digests, pa.binary())], ["doc_id", "base", "words", "digest"])
+            for text in batch.column(0).to_pylist():
+                if text:
+                    seen.update(passed(set(WORD.findall(text)), filter_bytes))
+                if len(seen) > COUNTED:
+                    yield out()
+                    seen.clear()
+        if seen:
+            yield out()
 
-    return scan
+    return count
+
+
+def disclosing(docs: DataFrame) -> DataFrame:
+    """(term, share) of the terms that disclose an entity; share: the largest discounted PMI(t; e) / -log p(e), near 1 if the term occurs only with e."""
+    texts = docs.select("text").filter("text is not null")
+    held = saved(texts.mapInArrow(contexts, "entities array<string>, terms array<string>").withColumn("rid", F.monotonically_increasing_id()))
+    n_texts = float(max(1, texts.count()))
+    each = held.select("rid", F.explode("entities").alias("entity"))
+    kinds = each.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("rid")).alias("rows"))
+    classes = saved(each.join(kinds, "entity").select("rid", "n_entity", "rows").distinct())
+    pairs = held.select("rid", F.explode("terms").alias("term")).join(classes, "rid").groupBy("term", "n_entity", "rows").agg(F.count("*").alias("n"))
+    content = F.log(F.lit(n_texts) / F.col("n_entity"))
+
+    def share(n_term):
+        pmi = F.log((F.col("n") - DISCOUNT) * n_texts / (n_term * F.col("n_entity")))
+        return F.least(F.lit(1.0), F.when(content > 0, pmi / content).otherwise(0.0))
 
+    # no term occurs in fewer rows than the pair does, so pairs below ALPHA even then need no count
+    pairs = saved(pairs.filter(share(F.col("n")) >= ALPHA).select("term", "n", "n_entity").distinct())
+    counts = texts.mapInArrow(word_counter(bloom(pairs)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    found = saved(pairs.join(counts, "term").groupBy("term").agg(F.max(share(F.col("n_term"))).alias("share")).filter(F.col("share") >= ALPHA))
+    forget(held, classes, pairs)
+    return found
 
-def disclosing(docs: DataFrame, terms_limit: int = TERMS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, base, words, rid) per row of docs, and (term, share) of the terms that disclose an entity.
-
-    share: the largest discounted PMI(t; e) / -log p(e), near 1 if the term occurs only with e.
-    """
-    pairs = saved(docs.select("text").mapInArrow(context_pairs, "entity string, term string, text binary").distinct())
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n"))
-    known = saved(joint)
-    seen = known.filter("term = ''").select("entity", F.col("n").alias("n_entity"))
-    candidates = saved(known.filter("term <> ''").select("term").distinct())
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, base {SPANS}, words array<struct<term:string,start:int,end:int>>, digest binary"
-    few = candidates.limit(terms_limit + 1).collect()
-    plain = docs.select("doc_id", "text")
-    if len(few) <= terms_limit:
-        rows = plain.mapInArrow(scanner(frozenset(r["term"] for r in few)), schema).withColumn("rid", F.monotonically_increasing_id())
-        rows = saved(rows)
-    else:
-        rows = saved(with_joined_words(plain, candidates, schema))
-    n_term = rows.filter("digest is not null").select("digest", F.explode(F.array_distinct(F.transform("words", lambda x: x["term"]))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    n_texts = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("m")).agg(F.approx_count_distinct("m", 0.01).alias("n")).first()["n"] or 1
-    both = known.filter("term <> ''").join(seen, "entity").join(n_term, "term")
-    pmi = F.log((F.col("n") - DISCOUNT) * float(n_texts) / (F.col("n_term") * F.col("n_entity")))
-    content = F.log(float(n_texts) / F.col("n_entity"))
-    share = F.least(F.lit(1.0), F.when(content > 0, pmi / content).otherwise(0.0))
-    return rows, both.groupBy("term").agg(F.max(share).alias("share")).filter(F.col("share") >= ALPHA)
-
-
-def with_joined_words(plain: DataFrame, candidates: DataFrame, schema: str) -> DataFrame:
-    """What scanner() gives, for candidates too many for a set in each task."""
-    words = "array<struct<term:string,start:int,end:int>>"
-
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+ROW = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("remove", pa.bool_())])
+HIT = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+SPANS, HITS = "array<struct<kind:int,start:int,end:int,remove:boolean>>", "array<struct<term:string,start:int,end:int>>"
+
+
+def scanner(at: int, filter_bytes: np.ndarray, names: list[str], kept: list[int]):
+    """Arrow function: the columns kept, the pattern matches, and the words outside them that the filter has."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in batch.column(1).to_pylist()]
-            base, found = [], []
-            for text in batch.column(1).to_pylist():
+            base, words = [], []
+            for text in batch.column(at).to_pylist():
                 spans = base_spans(text) if text else []
-                base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                found.append([{"term": m[0], "start": m.start(), "end": m.end()} for m in WORD.finditer(text or "") if not any(a < m.end() and m.start() < b for _, a, b in spans)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(ROW)), pa.array(found, pa.list_(WORDS)), pa.array(digests, pa.binary())], ["doc_id", "base", "words", "digest"])
+                base.append([{"kind": k, "start": a, "end": b, "remove": False} for k, a, b in spans])
+                some = set(passed(set(WORD.findall(text)), filter_bytes)) if text else set()
+                free = outside(spans)
+                words.append([{"term": m[0], "start": m.start(), "end": m.end()} for m in WORD.finditer(text) if m[0] in some and free(*m.span())] if some else [])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(base, pa.list_(ROW)), pa.array(words, pa.list_(HIT))], [*(batch.schema.names[i] for i in kept), *names])
 
-    rows = saved(plain.mapInArrow(every, schema).withColumn("rid", F.monotonically_increasing_id()))
-    hits = rows.select("rid", F.explode("words").alias("x")).select("rid", "x.*").join(candidates, "term")
-    hits = hits.groupBy("rid").agg(F.collect_list(F.struct("term", "start", "end")).alias("words"))
-    return rows.drop("words").join(hits, "rid", "left").select("doc_id", "base", F.coalesce("words", F.array().cast(words)).alias("words"), F.when(F.col("words").isNotNull(), F.col("digest")).alias("digest"), "rid")
+    return scan
 
 
-def private_spans(docs: DataFrame, terms_limit: int = TERMS) -> DataFrame:
-    """doc_id, rid, base and spans (kind, start, end, remove) of every row."""
-    rows, terms = disclosing(docs, terms_limit)
-    added = rows.filter(F.size("words") > 0).select("rid", F.explode("words").alias("x")).select("rid", "x.*").join(small(saved(terms)), "term")
-    added = added.groupBy("rid").agg(F.collect_list(F.struct(F.lit(KINDS.index("term")).alias("kind"), "start", "end", (F.col("share") >= REMOVE).alias("remove"))).alias("added"))
-    own = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(False).alias("remove")))
-    return rows.join(added, "rid", "left").select("doc_id", "rid", "base", F.when(F.col("added").isNull(), own).otherwise(F.array_sort(F.concat(own, "added"))).alias("spans"))
+def private_spans(docs: DataFrame, names: tuple[str, str] = ("base", "spans"), keep_text: bool = True) -> DataFrame:
+    """docs (without text, if not kept) with the pattern matches and all spans (kind, start, end, remove), by kind and start, in two columns of those names."""
+    terms = disclosing(docs)
+    kept = [i for i, c in enumerate(docs.columns) if keep_text or c != "text"]
+    base, hits, rid = fresh(docs, names[0], "hits", "rid")
+    schema = T.StructType([docs.schema.fields[i] for i in kept])
+    for name, kind in ((base, SPANS), (hits, HITS)):
+        schema = schema.add(name, T.StructType.fromDDL(f"x {kind}")[0].dataType)
+    rows = docs.mapInArrow(scanner(docs.columns.index("text"), bloom(terms), [base, hits], kept), schema)
+    rows = saved(rows.withColumn(rid, F.monotonically_increasing_id()))
+    found = rows.filter(F.size(hits) > 0).select(F.col(rid).alias("rid"), F.explode(hits).alias("x")).select("rid", "x.*").join(terms, "term")
+    span = F.struct(F.lit(KINDS.index("term")).alias("kind"), "start", "end", (F.col("share") >= REMOVE).alias("remove"))
+    added = found.groupBy("rid").agg(F.array_sort(F.collect_list(span)).alias(hits)).withColumnRenamed("rid", rid)
+    out = rows.drop(hits).join(added, rid, "left")
+    both = F.when(F.col(hits).isNull(), F.col(base)).otherwise(F.concat(base, hits))
+    return out.select(*[docs.columns[i] for i in kept], F.col(base).alias(names[0]), both.alias(names[1]))
 
 
 def sanitised(text: str | None, spans: list) -> str | None:
@@ -184,16 +244,17 @@ def sanitised(text: str | None, spans: list) -> str | None:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with text sanitised; doc_id must tell rows apart."""
-    spans = private_spans(docs).select("doc_id", F.struct("spans").alias("_s"))
+    """docs with text sanitised, row by row: entities and generalised terms give way to their kind, removed terms to nothing."""
+    names = tuple(fresh(docs, "base", "spans"))
+    spans = private_spans(docs, names).drop(names[0])
+    at, wide = docs.columns.index("text"), len(docs.columns)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            i, j = b.schema.get_field_index("text"), b.schema.get_field_index("_s")
-            new = [sanitised(t, s["spans"] if s else []) for t, s in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if k == i else c for k, c in enumerate(b.columns) if k != j], [n for k, n in enumerate(b.schema.names) if k != j])
+            new = pa.array([sanitised(t, s) for t, s in zip(b.column(at).to_pylist(), b.column(wide).to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([new if k == at else b.column(k) for k in range(wide)], b.schema.names[:wide])
 
-    return docs.join(spans, "doc_id", "left").select(*docs.columns, "_s").mapInArrow(clean, docs.schema)
+    return spans.mapInArrow(clean, docs.schema)
 
 
 def written(spans: Column) -> Column:
@@ -203,5 +264,5 @@ def written(spans: Column) -> Column:
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
     n = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
-    found = private_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = private_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return found.select("doc_id", *[n(i).alias(f"n_{KINDS[i]}") for i in range(4)], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

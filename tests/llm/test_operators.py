@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -99,16 +100,62 @@ def test_pii_base_spans():
         assert [(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(text)] == brute_base(text), text
 
 
-def test_pii_terms_by_both_paths(spark):
-    rows = [(i, f"number {i} of Zaphod Quill is q{i % 2}@mail.example today") for i in range(8)] + [(100 + i, f"number {i} is fine today") for i in range(60)] + ODD
-    results = []
-    for limit in (pii.TERMS, 0):
-        got = {(r.doc_id, str(r.spans)) for r in pii.private_spans(docs(spark, rows), limit).collect()}
-        results.append(got)
-    assert results[0] == results[1]
+def brute_terms(rows):
+    """PMI counted by hand: term to its share."""
+    word = re.compile(r"[^\W\d_]{3,}")
+    texts = [t for _, t in rows if t is not None]
+    holds, joint, of_entity = {}, {}, {}
+    for t in texts:
+        spans = [(a, b) for _, a, b in brute_base(t)]
+        for w in set(word.findall(t)):
+            holds[w] = holds.get(w, 0) + 1
+        names = {pii.entity(pii.KINDS.index(k), t[a:b]) for k, a, b in brute_base(t)}
+        terms = {m[0] for m in word.finditer(t) if all(b <= m.start() or m.end() <= a for a, b in spans)}
+        for e in names:
+            of_entity[e] = of_entity.get(e, 0) + 1
+            for w in terms:
+                joint[e, w] = joint.get((e, w), 0) + 1
+    out = {}
+    for (e, w), n in joint.items():
+        content = math.log(len(texts) / of_entity[e])
+        share = min(1.0, math.log((n - pii.DISCOUNT) * len(texts) / (holds[w] * of_entity[e])) / content) if content > 0 else 0.0
+        if share >= pii.ALPHA:
+            out[w] = max(share, out.get(w, 0.0))
+    return out
+
+
+PRIVATE = [(i, f"number {i} of Zaphod Quill is q@mail.example today mail") for i in range(8)] + [(100 + i, f"number {i} is fine today") for i in range(60)] + [(7, "Solo a@b.co +1 212 555 0100 Solo")] * 2
+
+
+def test_pii_terms_against_brute_force(spark):
+    rows = PRIVATE + ODD
+    got = {r.term: r.share for r in pii.disclosing(docs(spark, rows)).collect()}
+    assert got == pytest.approx(brute_terms(rows)) and "Zaphod" in got and "today" not in got
+
+
+def test_pii_spans_against_brute_force(spark):
+    rows = PRIVATE + ODD
+    terms = brute_terms(rows)
+    want = []
+    for i, t in rows:
+        base = brute_base(t or "")
+        more = [("term", *m.span()) for m in re.finditer(r"[^\W\d_]{3,}", t or "") if m[0] in terms and all(b <= m.start() or m.end() <= a for _, a, b in base)]
+        want.append((str(i), base + more))
+    got = [(str(r.doc_id), [(pii.KINDS[x.kind], x.start, x.end) for x in r.spans]) for r in pii.private_spans(docs(spark, rows)).collect()]
+    assert sorted(got) == sorted(want)
     assert pii.sanitised("a b@c.d e", [{"kind": 0, "start": 2, "end": 7, "remove": False}]) == "a [EMAIL] e"
 
 
+def test_sanitise_keeps_rows_and_columns(spark):
+    rows = [(None, "write to x@y.zz"), (None, "write to x@y.zz"), (1, "write to me"), (1, "write to me"), (2, None), (3, "")]
+    d = docs(spark, rows).selectExpr("*", "1 as base", "2 as spans", "3 as rid", "4 as words")
+    got = pii.sanitise(d)
+    assert got.columns == d.columns
+    texts = sorted(str(r.text) for r in got.collect())
+    assert len(texts) == len(rows) and not any("@" in t for t in texts) and texts.count("write to me") == 2
+    assert pii.sanitise(docs(spark, [])).count() == 0 and pii.private_spans(docs(spark, [])).count() == 0
+
+
 def brute_secrets(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
@@ -125,6 +172,53 @@ def test_secrets(spark):
     assert sorted((str(r.doc_id), r.b) for r in got) == want
 
 
+def brute_battery(token):
+    """(k, squares, deviates of uniformity, runs, serial correlation) in numpy."""
+    letters = next(a for _, a in secrets.ENCODINGS if set(token) <= set(a))
+    v = np.array([letters.index(c) for c in token], float)
+    n, k = len(v), len(letters)
+    c = np.bincount(v.astype(int), minlength=k)
+    even = (((c - n / k) ** 2 / (n / k)).sum() - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    up = v > (k - 1) / 2
+    a, b = up.sum(), (~up).sum()
+    e = 2 * a * b / n + 1
+    var = (e - 1) * (e - 2) / (n - 1)
+    runs = (1 + (up[1:] != up[:-1]).sum() - e) / math.sqrt(var) if a and b and var > 0 else 99.0
+    d = v - v.mean()
+    serial = ((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * math.sqrt(n) if (d * d).sum() else 99.0
+    return [k, (c * c).sum(), even, runs, serial]
+
+
+def test_battery_against_numpy(spark):
+    rng = random.Random(9)
+    made = ["".join(rng.choice(a) for _ in range(rng.randrange(20, 90))) for _, a in secrets.ENCODINGS for _ in range(6)]
+    made += ["a" * 40, "abcdefghijklmnopqrstuvwxyz0123456789", "internationalizationofthings"]
+    rows = [(i, f"see {t} now") for i, t in enumerate(made)]
+    got = {r.doc_id: r.tested for r in secrets.scanned(docs(spark, rows)).collect()}
+    seen = 0
+    for i, t in enumerate(made):
+        for x in got[i]:
+            assert [x.k, x.squares, x.even, x.runs, x.serial] == pytest.approx(brute_battery(t)), t
+            seen += 1
+    assert seen >= 50  # hex tokens are pattern matches
+
+
+def test_thresholds_are_those_of_benjamini_and_hochberg():
+    rng = np.random.default_rng(2)
+    p = np.concatenate((rng.uniform(size=900), rng.uniform(0, 1e-4, 100)))
+    cells = np.floor(-50 * np.log10(p)).astype(int)
+    at = secrets.thresholds([{"band": 0, "cell": int(c), "n": int(k)} for c, k in zip(*np.unique(cells, return_counts=True), strict=True)], 0.05)[0]
+    s = np.sort(p)
+    exact = max(k for k in range(1, 1001) if s[k - 1] <= 0.05 * k / 1000)
+    assert abs((p <= at).sum() - exact) <= 20
+
+
+def test_secrets_of_odd_tables(spark):
+    assert secrets.secrets(docs(spark, [])).count() == 0
+    d = docs(spark, ODD).selectExpr("*", "1 as base", "2 as tokens", "3 as low")
+    assert secrets.secrets(d).count() == len(ODD)
+
+
 def test_random_tokens_are_found(spark):
     rng = np.random.default_rng(0)
     alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
@@ -139,6 +233,55 @@ def test_line_dedup(spark):
     assert got[2] == ("x\ny", 4, 2) and got[1] == ("a\nb\nc\n\nd", 4, 0) and got[3] == ("b\nz", 2, 0)
 
 
+def brute_lines(rows, min_lines, min_words):
+    """Numbers of the lines that go, by comparing every run with every earlier one."""
+    seqs = [(i, [x for x in (t or "").split("\n") if x.strip(" ")]) for i, t in sorted(rows)]
+    places = [(i, k, s) for i, s in seqs for k in range(len(s))]
+    gone = {i: set() for i, _ in seqs}
+    for n in (1, min_lines):
+        seen = set()
+        for i, k, s in places:
+            run = tuple(s[k : k + n])
+            if len(run) == n and (n > 1 or min_lines == 1 or len(run[0].split()) >= min_words):
+                if run in seen:
+                    gone[i] |= set(range(k, k + n))
+                seen.add(run)
+    return gone
+
+
+@pytest.mark.parametrize("min_lines", [1, 2, 3, 5])
+def test_line_runs_against_brute_force(spark, min_lines):
+    rng = random.Random(min_lines)
+    long = " ".join(["w"] * 6)
+    rows = [(i, "\n".join(rng.choice(["a", "b", "c", "d", "", long, f"u{i}"]) for _ in range(rng.randrange(14)))) for i in range(12)]
+    rows += [(20, rows[3][1]), (21, rows[3][1] + "\n" + rows[4][1])]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs(spark, rows), min_lines, 6).collect()}
+    gone = brute_lines(rows, min_lines, 6)
+    for i, t in rows:
+        kept, k = [], 0
+        for x in t.split("\n"):
+            if not x.strip():
+                kept.append(x)
+            else:
+                kept += [x] * (k not in gone[i])
+                k += 1
+        assert got[i] == ("\n".join(kept) if gone[i] else t, len(gone[i])), i
+
+
+def test_line_runs_are_maximal(spark):
+    rows = [(1, "\n".join(f"l{k}" for k in range(40))), (2, "x\n" + "\n".join(f"l{k}" for k in range(5, 28)) + "\ny"), (3, "z\nl1\nl2\nl3\nq")]
+    got = {(r.doc_id, r.line, r.lines, r.source.doc_id, r.source.line) for r in line_dedup.runs(docs(spark, rows)).collect()}
+    assert got == {(2, 1, 23, 1, 5), (3, 1, 3, 1, 1)}
+
+
+def test_line_dedup_of_odd_tables(spark):
+    d = docs(spark, ODD).selectExpr("*", "1 as n_lines", "2 as removed", "3 as twin")
+    assert line_dedup.dedup_lines(d).count() == len(ODD)
+    assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+    got = [r.text for r in line_dedup.dedup_lines(docs(spark, [(1, "a\nb"), (1, "a\nb"), (1, "a\nb\nc")])).collect()]
+    assert sorted(got) in (["a\nb", "a\nb", "c"], ["", "", "a\nb\nc"])
+
+
 def test_decontamination(spark):
     item = " ".join(f"w{i}" for i in range(20))
     bench = spark.createDataFrame([(1, item), (2, "two words"), (3, None), (4, "")], "item_id long, text string")
@@ -147,6 +290,42 @@ def test_decontamination(spark):
     assert got == {(1, 1): 16, (3, 2): 1}
 
 
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 5, 6, 8, 9, 12, 20, 33, 40, 70, 150])]
+    items += [(3, items[5][1]), (50, None), (51, ""), (None, "v1 v2"), (52, items[9][1])]
+    rows = []
+    for i in range(60):
+        parts = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(40))) for _ in range(2)]
+        w = (rng.choice(items[:14])[1]).split()
+        for _ in range(rng.randrange(1 + len(w) // 10)):
+            w[rng.randrange(len(w))] = "zz"
+        rows.append((i, f"{parts[0]}  {' '.join(w).upper()}\t{parts[1]}"))
+    rows += [*ODD, (7, rows[3][1])]
+
+    def grams(text, k):
+        w = words(text)
+        return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+
+    want = {}
+    for d, text in rows:
+        for item, t in items:
+            w = words(t)
+            if d is None or item is None or not w:
+                continue
+            k = min(5, len(w))
+            own = grams(t, k)
+            both = len(own & grams(text, k))
+            if 100 * both >= 75 * len(own):
+                want[d, item] = max(want.get((d, item), (0.0,)), (both / len(own), both, len(own)))
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as item", "2 as h")
+    got = {(r.doc_id, r.item_id): (r.containment, r.n_hits, r.n_item_shingles) for r in decontamination.contained(docs(spark, rows).selectExpr("*", "1 as k"), bench).collect()}
+    assert got == want and len(want) > 60
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.contained(docs(spark, rows), empty).count() == 0 == decontamination.contained(docs(spark, []), bench).count()
+
+
 def test_mixing_meets_its_targets(spark):
     d = spark.range(4000).selectExpr("id as doc_id", "'t' as text", "'en' as lang", "if(id % 10 = 0, 'rare', 'common') as source")
     got = {r.source: r["count"] for r in mixing.replicate(d).groupBy("source").count().collect()}
@@ -213,5 +392,4 @@ def test_media_finds_small_crops_of_large_images(spark):
 def test_pii_terms_of_entities_seen_once(spark):
     filler = " ".join(["the number is fine today and so on"] * 3)
     rows = [(i, f"the number is fine today and so on {i}") for i in range(400)] + [(1000, f"Zaphod {filler} zq@mail.example")]
-    got = {r.term for r in pii.disclosing(docs(spark, rows))[1].collect()}
-    assert got == {"Zaphod"}
+    assert {r.term for r in pii.disclosing(docs(spark, rows)).collect()} == {"Zaphod"}

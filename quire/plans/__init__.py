@@ -69,7 +69,10 @@ def query(needs: list[str], sql: str):
 QUERIES = {name: query(needs, sql) for name, needs, sql in OPS}
 ORACLES = {name: text_of(needs, sql, "duck") for name, needs, sql in OPS}
 
-from . import packages  # noqa: E402  (uses query)
+from . import documents, packages  # noqa: E402  (use query)
 
-QUERIES |= packages.QUERIES
-ORACLES |= packages.ORACLES
+for more in (packages, documents):
+    for name in more.QUERIES:
+        ORACLES.pop(name, None)
+    QUERIES |= more.QUERIES
+    ORACLES |= more.ORACLES

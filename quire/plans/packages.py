@@ -64,15 +64,6 @@ def flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLOCKS = query(["blocks"], "SELECT doc_id, page, n, x, y, w, h, text FROM blocks")
 
 
-def merged_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = BLOCKS(spark, sf_dir).withColumns({"size": F.lit(11.0), "breaks": F.lit(False), "band": F.col("x")})
-    return flow.merged_paragraphs(blocks, ["doc_id", "page", "band"])
-
-
-def table_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.regions(BLOCKS(spark, sf_dir).withColumn("is_row", F.col("n") % 3 == 0), ["doc_id", "page"])
-
-
 def pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.lit(11.0)
     font = F.lit("calibri")
@@ -100,8 +91,6 @@ QUERIES = {
     "S11_package_parts": package_parts,
     "R1_style_chains": style_chains,
     "R2_flattened": flattened,
-    "W2_merged_paragraphs": merged_paragraphs,
-    "W4_table_regions": table_regions,
     "W17_pagination": pagination,
 }
 ORACLES = {

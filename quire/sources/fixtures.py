@@ -27,10 +27,11 @@ SPLIT = {
 #: (name, text, what it builds on); {key} is taken from SPLIT.
 PARTS = [
     ("raw_lines", "{lines}", []),
-    ("placed", """SELECT *, doc_id % 3 = 0 AND doc_id % 4 <> 0 AND (doc_id + b) % 5 = 0 AS celled, (doc_id + b) % 17 = 0 AS wide, doc_id % 4 = 0 AS two FROM
-        (SELECT doc_id, CAST(floor(n / 40) AS INT) AS page, n, CAST(n % 40 AS INT) AS k, CASE WHEN doc_id % 3 = 0 THEN CAST(floor((n % 40) / 2) AS INT) ELSE CAST(n % 40 AS INT) END AS b, line FROM raw_lines) AS l""", ["raw_lines"]),
+    ("placed", """SELECT *, doc_id % 3 = 0 AND doc_id % 4 <> 0 AND (doc_id + b) % 5 = 0 AND b < 1000 AS celled, (doc_id + b) % 17 = 0 AND b < 1000 AS wide, doc_id % 4 = 0 AS two FROM
+        (SELECT doc_id, CAST(floor(n / 40) AS INT) AS page, n, CAST(n % 40 AS INT) AS k, CASE WHEN doc_id % 3 = 0 THEN CAST(floor((n % 40) / 2) AS INT) ELSE CAST(n % 40 AS INT) END AS b, line FROM raw_lines
+        UNION ALL SELECT doc_id, 0, CAST(1000000 + j AS INT), CAST(40 + j AS INT), CAST(1000 + j AS INT), concat('Item ', CAST(j AS STRING)) FROM documents CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) AS js WHERE doc_id % 8 = 5) AS l""", ["raw_lines"]),
     ("layout", """SELECT doc_id, page, n, b AS block,
-        CASE WHEN celled AND k % 2 = 1 THEN 300 WHEN two AND NOT wide AND b % 2 = 1 THEN 330 ELSE 72 END AS x,
+        CASE WHEN celled AND k % 2 = 1 THEN 300 WHEN (two OR b >= 1000) AND NOT wide AND b % 2 = 1 THEN 330 ELSE 72 END AS x,
         60 + (CASE WHEN celled AND k % 2 = 1 THEN k - 1 ELSE k END) * 16 + CAST(floor(k / 8) AS INT) * 24 + CASE WHEN doc_id % 5 = 1 AND k >= 20 THEN 70 ELSE 0 END AS y,
         CASE WHEN celled THEN 150 WHEN wide THEN 460 WHEN two THEN 220 ELSE 400 END AS w, 12 AS h,
         CASE WHEN n = 0 THEN 18 WHEN (doc_id * 7 + b * 13) % 11 = 0 THEN 14 ELSE 11 END AS size,
@@ -40,10 +41,9 @@ PARTS = [
              WHEN (doc_id + n) % 9 = 1 THEN concat(CASE n % 4 WHEN 0 THEN '• ' WHEN 1 THEN '- ' WHEN 2 THEN '* ' ELSE '  ‣ ' END, line)
              WHEN (doc_id + n) % 9 = 2 THEN concat(CAST(n AS STRING), CASE WHEN n % 2 = 0 THEN '. ' ELSE ') ' END, line)
              WHEN (doc_id + n) % 23 = 3 THEN concat(CASE WHEN n % 2 = 0 THEN 'Figure ' ELSE 'fig.' END, CAST(n AS STRING), ' ', line)
-             WHEN doc_id % 8 = 3 AND n % 3 = 1 THEN concat('Revenue 1,316,892 ', CAST(n AS STRING), '.5 12% ')
-             WHEN doc_id % 8 = 5 THEN concat('Item ', CAST(n AS STRING))
-             WHEN (doc_id + n) % 13 = 5 THEN '  ' ELSE line END AS text
-        FROM placed""", ["placed"]),
+             WHEN doc_id % 8 = 3 AND n % 3 = 1 THEN concat('Revenue 1,316,892 ', CAST(n AS STRING), '.5 12% ', line)
+             ELSE line END AS text
+        FROM (SELECT * FROM placed UNION ALL SELECT doc_id, page, n + 2000000, k + 20, b + 2000, '  ', false, wide, two FROM placed WHERE (doc_id + n) % 13 = 5) AS both_kinds""", ["placed"]),
     ("page_box", "SELECT DISTINCT doc_id, page, 612 AS width, 860 AS height FROM layout", ["layout"]),
     ("images", "SELECT doc_id, page, 0 AS i, 100 AS x, 60 + CAST(doc_id * 13 % 400 AS INT) AS y, 200 AS w, 120 AS h FROM page_box WHERE doc_id % 6 = 1", ["page_box"]),
     ("all_blocks", """SELECT doc_id, page, block AS n, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, max(size) AS size, count(*) AS n_lines,

@@ -81,14 +81,24 @@ def rows_of(path: str, pos: int, part: str, content: bytes) -> list[tuple]:
 def nodes(of_parts: DataFrame) -> DataFrame:
     """One row per node of every .xml and .rels part."""
 
+    columns = [c.split()[0] for c in NODES.split(", ")]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        found = pd.DataFrame(rows, columns=columns)
+        for c in ("id", "parent", "depth", *ENCLOSING):
+            found[c] = found[c].astype("Int32")
+        return found
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in NODES.split(", ")]
+        held: list[tuple] = []
         for b in batches:
             for row in b.itertuples(index=False):
-                found = pd.DataFrame(rows_of(*row), columns=columns)
-                for c in ("id", "parent", "depth", *ENCLOSING):
-                    found[c] = found[c].astype("Int32")
-                yield found
+                held += rows_of(*row)
+                if len(held) > 20_000:
+                    yield frame(held)
+                    held = []
+        if held:
+            yield frame(held)
 
     return of_parts.filter(F.col("part").rlike(r"\.(xml|rels)$") & F.col("error").isNull()).select("path", "pos", "part", "content").mapInPandas(parse, NODES)
 

@@ -3,8 +3,8 @@
 Corners (Harris) are found on several scales; each is described by 256 binary intensity tests turned by its orientation (the direction of
 its intensity centroid). Descriptors meet in TABLES hash tables, each keyed by KEY bits drawn at random, so
 two that differ in d bits share a bucket with chance 1 - (1 - (1 - d / BITS) ** KEY) ** TABLES if the bits fall at random; images that meet are compared descriptor by descriptor and linked if at least
-INLIERS matches agree on one similarity transform. Crops, shifts, turns, rescaling and changes of brightness
-keep enough corners. Equal images are one class; in a bucket of many images only links to the first are tried until
+INLIERS matches, and SHARE of the corners of the image with fewer, agree on one similarity transform. Crops, shifts, turns by any angle,
+rescaling and changes of brightness keep enough corners of pictures from about 80 pixels a side; smaller ones have too few. Equal images are one class; in a bucket of many images only links to the first are tried until
 components are known, then the pairs left between components.
 
 Formats: binary PGM and PPM, and 8-bit non-interlaced PNG. A null, empty or unreadable image has no corners and links with nothing, except that
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import saved, table
 from .jaccard import all_links, bucket_pairs, mix
 
-SCALES, CORNERS, CELL, RADIUS, BITS, TABLES, KEY = (1.0, 0.75, 0.5625), 16, 32, 7, 256, 16, 32
-#: Largest Hamming distance of a match, largest error of an inlier in pixels, inliers asked for.
-HAMMING, ERROR, INLIERS = 40, 3.0, 6
+SCALES, CORNERS, CELL, RADIUS, BITS, TABLES, KEY = (1.0, 0.841, 0.707, 0.595, 0.5), 16, 32, 7, 256, 16, 28
+#: Largest Hamming distance of a match, largest error of an inlier in pixels; inliers asked for, and as a share of the corners of the image with fewer.
+HAMMING, ERROR, INLIERS, SHARE = 48, 3.0, 6, 0.1
 #: x, y, scale, angle of a corner, then its descriptor.
 CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "u1", BITS // 8)])
 
@@ -169,6 +169,10 @@ def buckets(k: np.ndarray) -> np.ndarray:
     return np.unique(mix(parts ^ mix(np.arange(1, TABLES + 1, dtype=np.uint64))))
 
 
+def copied(a: np.ndarray, b: np.ndarray) -> bool:
+    return agree(a, b) >= max(INLIERS, SHARE * min(len(a), len(b)))
+
+
 def agree(a: np.ndarray, b: np.ndarray) -> int:
     """The most matches that one similarity transform from a to b explains."""
     if len(a) < INLIERS or len(b) < INLIERS:
@@ -217,7 +221,7 @@ def table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (u, v, ku, kv) to the linked pairs."""
     for b in batches:
-        ok = pa.array([agree(np.frombuffer(x, CORNER), np.frombuffer(y, CORNER)) >= INLIERS for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+        ok = pa.array([copied(np.frombuffer(x, CORNER), np.frombuffer(y, CORNER)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["u", "v"])
 
 

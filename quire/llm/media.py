@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import saved, table
 from .jaccard import all_links, bucket_pairs, mix
 
-SCALES, CORNERS, CELL, RADIUS, BITS, TABLES, KEY = (1.0, 0.841, 0.707, 0.595, 0.5), 16, 32, 7, 256, 16, 28
+SCALES, CORNERS, CELL, RADIUS, BITS, TABLES, KEY = (1.0, 0.75, 0.5625), 16, 32, 7, 256, 16, 32
 #: Largest Hamming distance of a match, largest error of an inlier in pixels; inliers asked for, and as a share of the corners of the image with fewer.
-HAMMING, ERROR, INLIERS, SHARE = 48, 3.0, 6, 0.1
+HAMMING, ERROR, INLIERS, SHARE = 40, 3.0, 6, 0.1
 #: x, y, scale, angle of a corner, then its descriptor.
 CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "u1", BITS // 8)])
 

@@ -1,8 +1,11 @@
 """Copies among images, by local descriptors.
 
 Corners (Harris) are found on several scales; each is described by 256 binary intensity tests turned by its orientation (the direction of
-its intensity centroid). Descriptors meet in TABLES hash tables, each keyed by KEY bits drawn at random, so
-two that differ in d bits share a bucket with chance 1 - (1 - (1 - d / BITS) ** KEY) ** TABLES if the bits fall at random; images that meet are compared descriptor by descriptor and linked if at least
+its intensity centroid). A corner is indexed together with each of its MATES nearest corners of the same scale, in TABLES hash tables keyed by KEY
+bits of either descriptor, drawn at random, and by how the two lie to each other: their turns and their distance, in bins whose borders
+differ by table. Two images meet where such pairs share a bucket, differ in at most ALIKE of SKETCH bits of either descriptor and lie alike;
+only these leave the bucket. One descriptor alone says too little: smooth pictures have many like corners, and candidates would grow with the
+square of the images. Images that meet are compared descriptor by descriptor and linked if at least
 INLIERS matches, and SHARE of the corners of the image with fewer, agree on one similarity transform. Crops, shifts, turns by any angle,
 rescaling and changes of brightness keep enough corners of pictures from about 80 pixels a side; smaller ones have too few. Equal images are one class; in a bucket of many images only links to the first are tried until
 components are known, then the pairs left between components.
@@ -18,17 +21,23 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
-from .jaccard import all_links, bucket_pairs, mix
+from .common import forget, freed, saved, table
+from .jaccard import all_links, mix
 
-SCALES, CORNERS, CELL, RADIUS, BITS, TABLES, KEY = (1.0, 0.75, 0.5625), 16, 32, 7, 256, 16, 32
+SCALES, CORNERS, CELL, RADIUS, BITS, TABLES, KEY = (1.0, 0.75, 0.5625), 16, 32, 7, 256, 6, 10
+#: Mates of a corner, from NEAR pixels of its scale on, sought within REACH at first; bins of a turn, octaves of a bin of distances.
+MATES, NEAR, REACH, TURNS, OCTAVES = 3, 6.0, 64.0, 6, 0.6
+#: What pairs of corners that meet may differ in: bits of SKETCH of either descriptor, 1024ths of a turn (of the orientations, of the direction), hundredths of an octave.
+SKETCH, ALIKE, ORIENTATION, DIRECTION, DISTANCE = 64, 14, 65, 49, 25
+#: Pairs of corners in a bucket from which on only those with its first are tried at once; passes over the index, which bound its disk.
+LARGE, PASSES = 64, 2
 #: Largest Hamming distance of a match, largest error of an inlier in pixels; inliers asked for, and as a share of the corners of the image with fewer.
 HAMMING, ERROR, INLIERS, SHARE = 40, 3.0, 6, 0.1
 #: x, y, scale, angle of a corner, then its descriptor.
@@ -153,20 +162,74 @@ def corners(image: np.ndarray | None) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, CORNER)
 
 
-@lru_cache(maxsize=1)
-def keys() -> np.ndarray:
-    """The bits of each table."""
-    rng = np.random.default_rng(13)
-    return np.stack([rng.permutation(BITS)[:KEY] for _ in range(TABLES)])
+#: A pair of corners in the index: bucket, class of the image, part of either descriptor, and how they lie, ten bits each.
+PAIR = np.dtype([("sig", "<i8"), ("cls", "<i8"), ("one", "<u8"), ("two", "<u8"), ("form", "<i4")])
 
 
-def buckets(k: np.ndarray) -> np.ndarray:
-    """A hash of every table's part of every descriptor."""
-    if not len(k):
-        return np.zeros(0, np.uint64)
-    bits = np.unpackbits(k["bits"], axis=1)
-    parts = bits[:, keys()].astype(np.uint64) @ (np.uint64(1) << np.arange(KEY, dtype=np.uint64))
-    return np.unique(mix(parts ^ mix(np.arange(1, TABLES + 1, dtype=np.uint64))))
+@lru_cache(maxsize=1)
+def keys() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bits of either descriptor and the borders of the bins of each table, and the bits of the sketch."""
+    rng = np.random.default_rng(13)
+    bits = np.stack([np.stack([rng.permutation(BITS)[:KEY] for _ in range(2)]) for _ in range(TABLES)])
+    return bits, rng.random((TABLES, 3)), rng.permutation(BITS)[:SKETCH]
+
+
+def mates(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each corner with its MATES nearest of the same scale; strips are widened until they hold as many."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for s in np.unique(k["scale"]):
+        at = np.flatnonzero(k["scale"] == s)
+        at = at[np.argsort(k["y"][at], kind="stable")]
+        z = (k["x"][at] + 1j * k["y"][at]) * s
+        todo, reach = np.arange(len(at)), REACH
+        while len(todo) and len(at) > 1:
+            whole, left = reach > np.ptp(z.real) + np.ptp(z.imag), []
+            for part in np.split(todo, range(256, len(todo), 256)):
+                lo, hi = np.searchsorted(z.imag, (z.imag[part[0]] - reach, z.imag[part[-1]] + reach))
+                lo, hi = (0, len(at)) if whole else (lo, hi)
+                d = np.abs(z[part, None] - z[None, lo:hi])
+                d[(d < NEAR) | (not whole and d > reach)] = np.inf
+                n = min(MATES, d.shape[1])
+                o = np.argsort(d, axis=1, kind="stable")[:, :n]
+                ok = np.isfinite(np.take_along_axis(d, o, 1))
+                full = ok.sum(1) == MATES if not whole else np.ones(len(part), bool)
+                r, c = np.nonzero(ok & full[:, None])
+                found.append((at[part[r]], at[lo + o[r, c]]))
+                left.append(part[~full])
+            todo, reach = np.concatenate(left), reach * 2
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
+
+
+def pairs_of(k: np.ndarray, cls: int, tables: range) -> np.ndarray:
+    """The rows of the index that an image has in these tables."""
+    i, j = mates(k)
+    out = np.zeros((len(i), len(tables)), PAIR)
+    if not len(i):
+        return out.ravel()
+    bits, (drawn, border, sketch) = np.unpackbits(k["bits"], axis=1), keys()
+    step = (k["x"] + 1j * k["y"])[j] * k["scale"][j] - (k["x"] + 1j * k["y"])[i] * k["scale"][i]
+    turn, way, far = (k["angle"][j] - k["angle"][i]) / (2 * np.pi) % 1, (np.angle(step) - k["angle"][i]) / (2 * np.pi) % 1, np.log2(np.abs(step))
+    parts = np.ascontiguousarray(np.packbits(bits[:, sketch], axis=1)).view("<u8")[:, 0]
+    out["cls"], out["one"], out["two"] = cls, parts[i, None], parts[j, None]
+    whole = [(x * 1024).astype(int) & 1023 for x in (turn, way)]
+    out["form"] = (whole[0] | whole[1] << 10 | np.minimum(far * 100, 1023).astype(int) << 20)[:, None]
+    power = np.uint64(1) << np.arange(KEY, dtype=np.uint64)
+    for n, t in enumerate(tables):
+        bins = [np.floor((x * TURNS + border[t, q]) % TURNS) for q, x in enumerate((turn, way))] + [np.floor(far / OCTAVES + border[t, 2])]
+        key = mix(np.full(len(i), t + 1, np.uint64))
+        for part in (bits[i][:, drawn[t, 0]].astype(np.uint64) @ power, bits[j][:, drawn[t, 1]].astype(np.uint64) @ power, *(x.astype(np.uint64) for x in bins)):
+            key = mix(key ^ part)
+        out["sig"][:, n] = key.view(np.int64)
+    return out.ravel()
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of corners of different images differ as little as asked."""
+    ok = (x["cls"] != y["cls"]) & (np.bitwise_count(x["one"] ^ y["one"]) <= ALIKE) & (np.bitwise_count(x["two"] ^ y["two"]) <= ALIKE)
+    for shift, most in ((0, ORIENTATION), (10, DIRECTION)):
+        d = ((x["form"] >> shift) - (y["form"] >> shift)) & 1023
+        ok &= np.minimum(d, 1024 - d) <= most
+    return ok & (np.abs((x["form"] >> 20) - (y["form"] >> 20)) <= DISTANCE)
 
 
 def copied(a: np.ndarray, b: np.ndarray) -> bool:
@@ -210,12 +273,83 @@ def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(k) for k in found], pa.int64()), pa.array([class_of(x) for x in images], pa.int64()), pa.array([k.tobytes() for k in found], pa.binary())], ["id", "n_corners", "cls", "corners"])
 
 
-def table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def record(b: pa.RecordBatch, kind: np.dtype) -> np.ndarray:
+    out = np.zeros(b.num_rows, kind)
+    for i, name in enumerate(kind.names):
+        out[name] = b.column(i).to_numpy().view(kind[name])
+    return out
+
+
+def columns(x: np.ndarray, names: tuple[str, ...]) -> list[pa.Array]:
+    """As signed numbers, the only ones that Spark has."""
+    return [pa.array(np.ascontiguousarray(x[n]).view(f"i{x.dtype[n].itemsize}")) for n in names]
+
+
+def indexed(tables: range):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cls, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if len(x := pairs_of(np.frombuffer(k, CORNER), cls, tables)):
+                    yield pa.RecordBatch.from_arrays(columns(x, PAIR.names), list(PAIR.names))
+
+    return rows
+
+
+MEETING = ["a", "b", "big", "one", "two", "form"]
+
+
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of the index sorted by sig: the pairs (a < b) of images that meet, big false, and the rows of large buckets as (sig, cls), big true.
+
+    No more is held than a batch and the open bucket, of a large one its first row.
+    """
+
+    def linked(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ok = alike(x, y)
+        if ok.any():
+            p = np.unique(np.sort(np.stack((x["cls"][ok], y["cls"][ok]), 1), axis=1), axis=0)
+            none = np.zeros(len(p), np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(p[:, i])) for i in range(2)), pa.array(none != 0), pa.array(none), pa.array(none), pa.array(none.astype(np.int32))], MEETING)
+
+    def large(x: np.ndarray) -> pa.RecordBatch:
+        sig, cls, *rest = columns(x, PAIR.names)
+        return pa.RecordBatch.from_arrays([sig, cls, pa.array(np.full(len(x), True)), *rest], MEETING)
+
+    def closed(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(x):
+            return
+        start = np.flatnonzero(np.append(True, x["sig"][1:] != x["sig"][:-1]))
+        size = np.diff(np.append(start, len(x)))
+        of = np.repeat(size, size)
+        if (big := of > LARGE).any():
+            yield large(x[big])
+            yield from linked(x[np.repeat(start, size)][big], x[big])
+        x = x[~big]
+        for d in range(1, min(LARGE, len(x))):
+            same = np.flatnonzero(x["sig"][d:] == x["sig"][:-d])
+            if not len(same):
+                break
+            yield from linked(x[same], x[same + d])
+
+    first, rest = None, np.zeros(0, PAIR)
     for b in batches:
-        sigs = [buckets(np.frombuffer(k, CORNER)) for k in b.column(1).to_pylist()]
-        n = [len(s) for s in sigs]
-        cls = np.repeat(b.column(0).to_numpy(), n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs or [np.zeros(0, np.uint64)]).view(np.int64)), pa.array(cls)], ["sig", "cls"])
+        x = np.concatenate((rest, record(b, PAIR)))
+        if first is not None:
+            n = np.searchsorted(x["sig"], first["sig"][0], "right")
+            if n:
+                yield large(x[:n])
+                yield from linked(np.repeat(first, n), x[:n])
+            x = x[n:]
+        rest = x[:0]
+        if not len(x):
+            continue
+        tail = np.searchsorted(x["sig"], x["sig"][-1])
+        yield from closed(x[:tail])
+        first, rest = None, x[tail:]
+        if len(rest) > LARGE:
+            yield from closed(rest)
+            first, rest = rest[:1].copy(), x[:0]
+    yield from closed(rest)
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,24 +359,31 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["u", "v"])
 
 
+#: A row of a large bucket with the component of its image.
+PLACED = np.dtype([*PAIR.descr, ("comp", "<i8")])
+
+
 def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (sig, cls, comp) sorted by sig: the pairs of different components."""
-    sig, held = None, []
+    """From rows PLACED sorted by sig: the pairs of images of different components that meet, each once a bucket and image."""
 
-    def compare() -> Iterator[pa.RecordBatch]:
-        cls, comp = (np.array([x[i] for x in held], np.int64) for i in range(2))
-        for i in range(len(held) - 1):
-            at = cls[i + 1 :][comp[i + 1 :] != comp[i]]
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(at, cls[i])), pa.array(np.maximum(at, cls[i]))], ["a", "b"])
+    def compare(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(len(x) - 1):
+            y = x[i + 1 :]
+            y = y[y["comp"] != x["comp"][i]]
+            if len(y) and len(at := np.unique(y["cls"][alike(np.repeat(x[i : i + 1], len(y)), y)])):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(at, x["cls"][i])), pa.array(np.maximum(at, x["cls"][i]))], ["a", "b"])
 
+    parts: list[np.ndarray] = []
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[0] != sig:
-                yield from compare()
-                sig, held = row[0], []
-            held.append(row[1:])
-    yield from compare()
+        x = record(b, PLACED)
+        for part in np.split(x, np.flatnonzero(x["sig"][1:] != x["sig"][:-1]) + 1):
+            if parts and len(part) and part["sig"][0] != parts[0]["sig"][0]:
+                yield from compare(np.concatenate(parts))
+                parts = []
+            if len(part):
+                parts.append(part)
+    if parts:
+        yield from compare(np.concatenate(parts))
 
 
 def copies(images: DataFrame) -> DataFrame:
@@ -250,8 +391,12 @@ def copies(images: DataFrame) -> DataFrame:
     images = images.select("id", "image")
     rows = saved(images.mapInArrow(described, f"id {dict(images.dtypes)['id']}, n_corners long, cls long, corners binary"))
     reps = saved(rows.filter("id is not null and cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("corners").alias("corners")))
-    index = reps.select("cls", "corners").mapInArrow(table_rows, "sig long, cls long")
-    found = saved(index.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(bucket_pairs, "a long, b long, big boolean"))
+    passes = []
+    for n in range(PASSES):
+        index = reps.select("cls", "corners").mapInArrow(indexed(range(n * TABLES // PASSES, (n + 1) * TABLES // PASSES)), "sig long, cls long, one long, two long, form int")
+        passes.append(saved(index.repartition("sig").sortWithinPartitions("sig").mapInArrow(meetings, "a long, b long, big boolean, one long, two long, form int")))
+        freed(reps.sparkSession)
+    found = reduce(DataFrame.unionByName, passes)
     one = reps.select("cls", "corners")
 
     def tested(pairs: DataFrame) -> DataFrame:
@@ -260,11 +405,12 @@ def copies(images: DataFrame) -> DataFrame:
 
     tried = saved(found.filter("not big").select("a", "b").distinct())
     groups = all_links(tested, tried)
-    large = found.filter("big").select(F.col("a").alias("sig"), F.col("b").alias("cls"))
-    placed = saved(large.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("comp")))
+    large = found.filter("big").select(F.col("a").alias("sig"), F.col("b").alias("cls"), "one", "two", "form")
+    placed = saved(large.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select(*PAIR.names, F.coalesce("component", "cls").alias("comp")))
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig")
-    more = placed.join(mixed, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig").mapInArrow(crossing, "a long, b long").distinct()
+    more = placed.join(mixed, "sig", "left_semi").select(*PLACED.names).repartition("sig").sortWithinPartitions("sig").mapInArrow(crossing, "a long, b long").distinct()
     more = saved(more.join(tried, ["a", "b"], "left_anti"))
+    forget(*passes, placed)
     groups = all_links(tested, more, groups)
     least = groups.withColumnRenamed("node", "cls").join(reps.select("cls", "rep"), "cls")
     of_class = least.join(least.groupBy("component").agg(F.min("rep").alias("first")), "component").select("cls", "first")

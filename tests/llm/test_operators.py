@@ -5,6 +5,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm import decontamination, jaccard, language, line_dedup, media, mixing, pii, secrets, sharding, toxicity
@@ -360,15 +361,40 @@ def test_media_finds_edits(change):
     assert media.decoded(b"junk") is None and not len(media.corners(None))
 
 
-def test_descriptors_that_differ_meet():
+def test_pairs_of_corners_that_differ_meet():
+    """Pairs whose descriptors differ in half the bits allowed, through index rows: more than half share a bucket and pass."""
     rng = np.random.default_rng(6)
-    a = np.zeros(400, media.CORNER)
-    a["bits"] = rng.integers(0, 256, a["bits"].shape)
-    b = a.copy()
-    for row in b["bits"]:
-        row ^= np.packbits(np.isin(np.arange(media.BITS), rng.permutation(media.BITS)[: media.HAMMING // 2]))
-    met = [bool(set(media.buckets(a[i : i + 1]).tolist()) & set(media.buckets(b[i : i + 1]).tolist())) for i in range(len(a))]
-    assert sum(met) > len(met) / 2
+    met = 0
+    for _ in range(200):
+        a = np.zeros(2, media.CORNER)
+        a["bits"], a["x"], a["scale"], a["angle"] = rng.integers(0, 256, a["bits"].shape), [0, rng.uniform(8, 40)], 1, rng.uniform(-3, 3, 2)
+        b = a.copy()
+        for row in b["bits"]:
+            row ^= np.packbits(np.isin(np.arange(media.BITS), rng.permutation(media.BITS)[: media.HAMMING // 2]))
+        x, y = (media.pairs_of(k, n, range(media.TABLES)) for n, k in enumerate((a, b)))
+        same = x["sig"] == y["sig"]
+        met += bool((same & media.alike(x, y)).any())
+    assert met > 100
+
+
+def test_meetings_are_those_of_all_pairs():
+    """Whatever the batches, small buckets give all pairs that are alike, large ones those with the first row and their rows."""
+    rng = np.random.default_rng(4)
+    x = np.zeros(3000, media.PAIR)
+    x["sig"] = np.sort(np.where(rng.random(3000) < 0.2, 7, rng.integers(0, 400, 3000)))
+    x["cls"], x["one"], x["form"] = rng.integers(0, 500, 3000), rng.integers(0, 2, 3000) * (2**40 - 1), rng.integers(0, 2, 3000) * 300
+    want, rows = set(), 0
+    for sig in np.unique(x["sig"]):
+        b = x[x["sig"] == sig]
+        rows += len(b) * (len(b) > media.LARGE)
+        for i in range(1 if len(b) > media.LARGE else len(b)):
+            at = b["cls"][i + 1 :][media.alike(np.repeat(b[i : i + 1], len(b) - i - 1), b[i + 1 :])]
+            want |= {(min(c, b["cls"][i]), max(c, b["cls"][i])) for c in at}
+    for cut in (3000, 97, 10):
+        batches = [pa.RecordBatch.from_arrays(media.columns(x[i : i + cut], media.PAIR.names), list(media.PAIR.names)) for i in range(0, 3000, cut)]
+        got = pa.Table.from_batches(list(media.meetings(iter(batches)))).to_pandas()
+        assert set(got[~got.big][["a", "b"]].itertuples(index=False, name=None)) == want
+        assert got.big.sum() == rows
 
 
 def turned(a, degrees):

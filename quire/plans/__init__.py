@@ -69,9 +69,9 @@ def query(needs: list[str], sql: str):
 QUERIES = {name: query(needs, sql) for name, needs, sql in OPS}
 ORACLES = {name: text_of(needs, sql, "duck") for name, needs, sql in OPS}
 
-from . import documents, packages  # noqa: E402  (use query)
+from . import documents, packages, structure  # noqa: E402  (use query)
 
-for more in (packages, documents):
+for more in (packages, documents, structure):
     for name in more.QUERIES:
         ORACLES.pop(name, None)
     QUERIES |= more.QUERIES

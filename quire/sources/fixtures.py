@@ -27,6 +27,9 @@ SPLIT = {
 #: (name, text, what it builds on); {key} is taken from SPLIT.
 PARTS = [
     ("raw_lines", "{lines}", []),
+    ("markdown_lines", """SELECT doc_id, n, CASE (doc_id + n * 5) % 23 WHEN 0 THEN concat('## ', line) WHEN 1 THEN concat('- ', line) WHEN 2 THEN concat('  - ', line) WHEN 3 THEN concat('     1. ', line) WHEN 4 THEN ''
+        WHEN 5 THEN '```py' WHEN 20 THEN CASE WHEN doc_id % 5 = 0 THEN '````' ELSE '```' END WHEN 14 THEN '~~~' WHEN 19 THEN '~~~~' WHEN 6 THEN concat('| ', line, ' | b |') WHEN 11 THEN '| --- | :--- |' WHEN 16 THEN concat('x | ', line)
+        WHEN 12 THEN concat('    ', line) WHEN 13 THEN concat('10) ', line) WHEN 17 THEN '  ' WHEN 18 THEN '![picture](a.png)' ELSE line END AS line FROM raw_lines""", ["raw_lines"]),
     ("placed", """SELECT *, doc_id % 3 = 0 AND doc_id % 4 <> 0 AND (doc_id + b) % 5 = 0 AND b < 1000 AS celled, (doc_id + b) % 17 = 0 AND b < 1000 AS wide, doc_id % 4 = 0 AS two FROM
         (SELECT doc_id, CAST(floor(n / 40) AS INT) AS page, n, CAST(n % 40 AS INT) AS k, CASE WHEN doc_id % 3 = 0 THEN CAST(floor((n % 40) / 2) AS INT) ELSE CAST(n % 40 AS INT) END AS b, line FROM raw_lines
         UNION ALL SELECT doc_id, 0, CAST(1000000 + j AS INT), CAST(40 + j AS INT), CAST(1000 + j AS INT), concat('Item ', CAST(j AS STRING)) FROM documents CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) AS js WHERE doc_id % 8 = 5) AS l""", ["raw_lines"]),

@@ -58,3 +58,24 @@ def wrapped_lines(text: Column, size: Column, font: Column, bold: Column, room:
         return F.struct((a["lines"] + F.when(breaks, 1).otherwise(0)).alias("lines"), F.when(breaks, w).otherwise(wider).cast("double").alias("at"))
 
     return F.aggregate(widths, F.struct(F.lit(1).alias("lines"), F.lit(0.0).alias("at")), step, lambda a: a["lines"])
+
+
+def wrapped_runs(runs: Column, room: Column) -> Column:
+    """lines, size, font of an array of runs (text, size, font, bold) wrapped as one text: words are cut at blanks and where runs meet, and measured in their
+    own typeface; a blank before a word is as wide as one of the word's run. size is the largest, font that of the last run of this size. Without runs 1 line of 11 points."""
+    some = F.coalesce(F.size(runs) > 0, F.lit(False))
+
+    def measured(r: Column) -> Column:
+        of = lambda t: F.coalesce(text_width(t, r["size"], r["font"], r["bold"]), F.lit(0.0))
+        return F.transform(F.split(F.coalesce(r["text"], F.lit("")), " "), lambda w: F.struct(of(w).cast("double").alias("w"), of(F.lit(" ")).cast("double").alias("s")))
+
+    def step(a: Column, w: Column) -> Column:
+        wider = a["at"] + F.when(a["at"] > 0, w["s"]).otherwise(0.0) + w["w"]
+        breaks = (wider > room) & (a["at"] > 0)
+        return F.struct((a["lines"] + F.when(breaks, 1).otherwise(0)).alias("lines"), F.when(breaks, w["w"]).otherwise(wider).alias("at"))
+
+    lines = F.aggregate(F.flatten(F.transform(runs, measured)), F.struct(F.lit(1).alias("lines"), F.lit(0.0).alias("at")), step, lambda a: a["lines"])
+    size = F.array_max(F.transform(runs, lambda r: r["size"]))
+    font = F.element_at(F.filter(runs, lambda r: r["size"] == size), -1)["font"]
+    usual = F.lit(DEFAULT_FONT)
+    return F.struct(F.when(some, lines).otherwise(1).alias("lines"), F.when(some & (size > 0), size).otherwise(F.lit(11.0)).cast("double").alias("size"), F.when(some, F.coalesce(F.nullif(font, F.lit("")), usual)).otherwise(usual).alias("font"))

@@ -1,11 +1,13 @@
 """Operators over the blocks of a band, page, section or document in order.
 
-Row shapes and table regions are windows; paragraph merging, pagination and flattening carry a state that no window holds and fold
-over one band or document at a time.
+Row shapes and table regions are windows; paragraph merging carries a state that no window holds and folds over one band at a time.
+Pagination folds over runs of blocks whose effects compose.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -115,57 +117,140 @@ def regions(blocks: DataFrame, page: list[str]) -> DataFrame:
     return found.select(*page, number.alias("region"), "first", "last")
 
 
-@dataclass
-class Cursor:
-    """Where the next line falls: page and column from 1, and how far down the column it is."""
-
-    page: int = 0
-    column: int = 1
-    down: float = 0.0
-    columns: int = 1
-    room: float = 0.0
-
-    def section(self, columns: int, room: float) -> None:
-        self.page, self.column, self.down, self.columns, self.room = self.page + 1, 1, 0.0, max(1, columns), room
+#: Places of n that flow as one, and the unit of lengths, in points: whole numbers, so that sums don't depend on how they are split.
+CHUNK, UNIT = 4096, 1e-6
 
-    def turn(self) -> None:
-        last = self.column >= self.columns
-        self.page, self.column, self.down = (self.page + 1, 1, 0.0) if last else (self.page, self.column + 1, 0.0)
 
-    def put(self, height: float) -> None:
-        if self.down > 0 and self.down + height > self.room:
-            self.turn()
-        self.down += height
+@dataclass(frozen=True)
+class Fall:
+    """What a run of pieces does to a column that is filled up to some height: how many columns it turns, and the height in the last.
 
+    fresh: from an empty column. steps: (limit, turns, height) for columns filled above the limit; limits fall, the first that is passed counts.
+    last: for those that pass none; without turns the height is added.
+    """
 
-def pagination(blocks: DataFrame, doc: str = "doc") -> DataFrame:
+    fresh: tuple[int, int]
+    steps: list[tuple[int, int, int]]
+    last: tuple[int, int]
+
+    @classmethod
+    def of(cls, pieces: list[tuple[str, int]], room: int) -> Fall:
+        """Pieces are (put, height), which must fit or turn the column unless it is empty, (skip, height) and (turn, 0)."""
+        known: dict[int, tuple[int, int]] = {}
+
+        def column(i: int) -> tuple[int | None, int]:
+            """Where the next column begins after one that is empty before piece i (null: nowhere), and the height reached."""
+            down = 0
+            for j in range(i, len(pieces)):
+                kind, h = pieces[j]
+                if kind == "turn":
+                    return j + 1, 0
+                if kind == "put" and down and down + h > room:
+                    return j, 0
+                down += h
+            return None, down
+
+        def rest(i: int) -> tuple[int, int]:
+            path, down = [], 0
+            while i is not None and i not in known:
+                path.append(i)
+                i, down = column(i)
+            turns, down = known[i] if i is not None else (-1, down)
+            for k in reversed(path):
+                turns += 1
+                known[k] = (turns, down)
+            return known[path[0]] if path else (turns, down)
+
+        fresh, steps, total, least = rest(0), [], 0, None
+        for j, (kind, h) in enumerate(pieces):
+            if kind == "turn":
+                turns, down = rest(j + 1)
+                return cls(fresh, steps, (turns + 1, down))
+            limit = room - total - h
+            if kind == "put" and (least is None or limit < least):
+                turns, down = rest(j)
+                steps.append((limit, turns + 1, down))
+                least = limit
+                if limit <= 0:
+                    break
+            total += h
+        return cls(fresh, steps, (0, total))
+
+    def after(self, turns: int, down: int) -> tuple[int, int]:
+        if not down:
+            return turns + self.fresh[0], self.fresh[1]
+        more, at = next(((t, d) for limit, t, d in self.steps if down > limit), self.last)
+        return turns + more, at if more else down + at
+
+
+def block_pieces(b) -> Iterator[tuple[str, int]]:
+    """What a row of pagination() is made of, after a forced break."""
+    whole = lambda x: 0 if pd.isna(x) else round(float(x) / UNIT)
+    yield "skip", whole(b.before)
+    lines = 0 if pd.isna(b.lines) else int(b.lines)
+    yield from [("put", whole(b.line_h))] * lines if b.kind == "text" else [("put", whole(b.line_h) * lines)]
+    if whole(b.extra):
+        yield "put", whole(b.extra)
+    yield "skip", whole(b.after)
+
+
+def pagination(blocks: DataFrame, doc: str = "doc", chunk: int = CHUNK) -> DataFrame:
     """doc, section, n, page, page_end, column: where blocks fall as they flow through columns and pages.
 
-    Blocks have section, n, kind (text or unit), lines, line_h, before, after, forced and, of the section, columns and room (the height).
+    Blocks have section, n, kind (text or unit), lines, line_h, before, after, forced, extra (the height of what follows the lines, if the column is there) and, of the section, columns and room (the height).
     A text flows line by line; a unit, as a table row, moves whole. Every section begins on a new page. page is the one at hand when
-    a block comes up, after a forced break; page_end and column are those where it ends.
+    a block comes up, after a forced break; page_end and column are those where it ends. Blocks of the same n / chunk flow as one; what each run of
+    blocks does to a column (Fall) tells where the next begins, so a long section spreads over tasks; sections of one run need no such step.
     """
-    kind = dict(blocks.dtypes)[doc]
+    kinds = dict(blocks.dtypes)
     names = ["section", "n", "kind", "lines", "line_h", "before", "after", "forced", "columns", "room"]
+    key = [doc, "section", "run"]
+    extra = F.col("extra").cast("double") if "extra" in kinds else F.lit(0.0)
+    rows = blocks.select(doc, *names, extra.alias("extra")).withColumn("run", F.floor(F.col("n") / chunk).cast("long"))
+    typed = f"`{doc}` {kinds[doc]}, section {kinds['section']}, run long"
+
+    def pieces_of(group: pd.DataFrame) -> tuple[list[tuple[str, int]], int]:
+        out: list[tuple[str, int]] = []
+        for b in group.sort_values("n", kind="stable").itertuples():
+            out += [("turn", 0)] * bool(b.forced) + list(block_pieces(b))
+        return out, round(float(group["room"].iloc[0]) / UNIT)
+
+    def fall(group: pd.DataFrame) -> pd.DataFrame:
+        f = Fall.of(*pieces_of(group))
+        return group[key].iloc[:1].assign(fall=json.dumps([f.fresh, f.steps, f.last]))
+
+    def follow(group: pd.DataFrame) -> pd.DataFrame:
+        at, starts = (0, 0), []
+        group = group.sort_values("run")
+        for text in group["fall"]:
+            starts.append(at)
+            fresh, steps, last = json.loads(text)
+            at = Fall(tuple(fresh), [tuple(x) for x in steps], tuple(last)).after(*at)
+        return group[key].assign(turns=[t for t, _ in starts], down=[d for _, d in starts])
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
-        at, section, out = Cursor(), None, []
-        for b in group.sort_values(["section", "n"], kind="stable").itertuples():
-            if section != b.section:
-                section = b.section
-                at.section(int(b.columns), float(b.room))
+        room = round(float(group["room"].iloc[0]) / UNIT)
+        turns, down = (0, 0) if pd.isna(group["turns"].iloc[0]) else (int(group["turns"].iloc[0]), int(group["down"].iloc[0]))
+        out = []
+        for b in group.sort_values("n", kind="stable").itertuples():
             if b.forced:
-                at.turn()
-            begin = at.page
-            at.down += float(b.before)
-            height = float(b.line_h)
-            for piece in [height] * int(b.lines) if b.kind == "text" else [height * float(b.lines)]:
-                at.put(piece)
-            at.down += float(b.after)
-            out.append((getattr(b, doc), b.section, b.n, begin, at.page, at.column))
-        return pd.DataFrame(out, columns=[doc, "section", "n", "page", "page_end", "column"])
-
-    return blocks.select(doc, *names).groupBy(doc).applyInPandas(place, f"`{doc}` {kind}, section int, n int, page int, page_end int, column int")
+                turns, down = turns + 1, 0
+            begin = turns
+            for kind, h in block_pieces(b):
+                if kind == "put" and down and down + h > room:
+                    turns, down = turns + 1, 0
+                down += h
+            out.append((getattr(b, doc), b.section, b.n, max(1, int(b.columns)), begin, turns))
+        return pd.DataFrame(out, columns=[doc, "section", "n", "columns", "begin", "end"])
+
+    several = rows.groupBy(doc, "section").agg(F.min("run").alias("least"), F.max("run").alias("most")).filter("least < most").select(doc, "section")
+    starts = rows.join(several, [doc, "section"], "left_semi").groupBy(*key).applyInPandas(fall, f"{typed}, fall string").groupBy(doc, "section").applyInPandas(follow, f"{typed}, turns long, down long")
+    placed = rows.join(starts, key, "left").groupBy(*key).applyInPandas(place, f"`{doc}` {kinds[doc]}, section {kinds['section']}, n {kinds['n']}, columns int, begin int, end int")
+    pages = placed.groupBy(doc, "section").agg((F.floor(F.max(F.col("end") / F.col("columns"))) + 1).alias("pages"))
+    before = F.coalesce(F.sum("pages").over(Window.partitionBy(doc).orderBy("section").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    page = lambda at: (F.col("base") + F.floor(F.col(at) / F.col("columns")) + 1).cast("int")
+    based = placed.join(pages.select(doc, "section", before.alias("base")), [doc, "section"])
+    return based.select(doc, "section", "n", page("begin").alias("page"), page("end").alias("page_end"), (F.col("end") % F.col("columns") + 1).cast("int").alias("column"))
 
 
 def flattened(children: DataFrame, root: str = "root") -> DataFrame:

@@ -17,8 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.intervals import covering
+
 PARTS = "path string, pos int, part string, content binary, error string"
-NODES = "path string, pos int, part string, id int, parent int, depth int, tag string, attrs map<string,string>, text string, p int, r int, tbl int, tr int, tc int, error string"
+NODES = "path string, pos int, part string, id int, last int, parent int, depth int, tag string, attrs map<string,string>, text string, p int, r int, tbl int, tr int, tc int, error string"
+#: Nodes are numbered in document order; what lies below a node has the numbers after its id up to its last.
 #: The innermost enclosing node of these tags, the node itself included, is on every row.
 ENCLOSING = ("p", "r", "tbl", "tr", "tc")
 REQUIRED = ("[Content_Types].xml", "_rels/.rels", "word/document.xml")
@@ -65,7 +68,7 @@ def rows_of(path: str, pos: int, part: str, content: bytes) -> list[tuple]:
             raise ValueError("declares entities")
         root = ElementTree.fromstring(content or b"")
     except (ElementTree.ParseError, ValueError, LookupError) as e:
-        return [(path, pos, part, None, None, None, None, None, None, None, None, None, None, None, str(e))]
+        return [(path, pos, part, *[None] * 12, str(e))]
     out: list[tuple] = []
     todo = [(root, None, 0, dict.fromkeys(ENCLOSING))]
     while todo:
@@ -75,7 +78,11 @@ def rows_of(path: str, pos: int, part: str, content: bytes) -> list[tuple]:
             around = {**around, tag: number}
         out.append((path, pos, part, number, parent, depth, tag, {local(k): v for k, v in el.attrib.items()}, el.text, *(around[t] for t in ENCLOSING), None))
         todo += [(child, number, depth + 1, around) for child in reversed(el)]
-    return out
+    last = list(range(len(out)))
+    for row in reversed(out):
+        if row[4] is not None:
+            last[row[4]] = max(last[row[4]], last[row[3]])
+    return [(*row[:4], end, *row[4:]) for row, end in zip(out, last, strict=True)]
 
 
 def nodes(of_parts: DataFrame) -> DataFrame:
@@ -85,7 +92,7 @@ def nodes(of_parts: DataFrame) -> DataFrame:
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         found = pd.DataFrame(rows, columns=columns)
-        for c in ("id", "parent", "depth", *ENCLOSING):
+        for c in ("id", "last", "parent", "depth", *ENCLOSING):
             found[c] = found[c].astype("Int32")
         return found
 
@@ -298,6 +305,86 @@ def cells(of_nodes: DataFrame) -> DataFrame:
     return places.join(inner, ["path", "tc"], "left").join(outer, ["path", "tbl"]).withColumn("span", F.coalesce("span", F.lit(1)))
 
 
+def enclosing_cells(of_nodes: DataFrame) -> DataFrame:
+    """path, tc, outer: every cell with each cell that it lies in, itself among them, however deep."""
+    own = of_nodes.filter((F.col("part") == MAIN) & (F.col("tag") == "tc")).select("path", "id", "last")
+    return covering(own.select("path", F.col("id").alias("tc")), own.select("path", F.col("id").alias("outer"), F.col("id").alias("lo"), F.col("last").alias("hi")), ["path"], "tc").select("path", "tc", "outer")
+
+
+def words(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+
+
+def tables(of_nodes: DataFrame) -> DataFrame:
+    """path, tbl, depth (1 in the body), outer (the table it lies in), rows, columns, cells, merged (cells that span or are merged), and with all tables inside it
+    cells_within, words_within and images_within."""
+    main = of_nodes.filter(F.col("part") == MAIN)
+    own = main.filter("tag = 'tbl'").select("path", F.col("id").alias("tbl"), "last", F.col("tc").alias("in_cell"))
+    around = covering(own.select("path", "tbl"), own.select("path", F.col("tbl").alias("outer"), F.col("tbl").alias("lo"), F.col("last").alias("hi")), ["path"], "tbl").select("path", "tbl", "outer")
+    grid = main.filter("tag = 'gridCol'").groupBy("path", "tbl").agg(F.count("*").alias("grid"))
+    cell = cells(of_nodes)
+    shape = cell.groupBy("path", "tbl").agg(F.countDistinct("tr").alias("rows"), F.count("*").alias("cells"), F.count_if((F.col("span") > 1) | F.col("merge").isNotNull()).alias("merged"), F.min_by("tr", "tr").alias("first"))
+    first = cell.groupBy("path", "tbl", "tr").agg(F.count("*").alias("n")).groupBy("path", "tbl").agg(F.min_by("n", "tr").alias("first_cells"))
+    text = paragraphs(of_nodes).filter("tbl is not null").groupBy("path", "tbl").agg(F.sum(words(F.col("text"))).alias("words"), F.sum("images").alias("images"))
+    each = shape.drop("first").join(text, ["path", "tbl"], "left")
+    within = around.join(each.select("path", "tbl", "cells", "words", "images"), ["path", "tbl"], "left").groupBy("path", F.col("outer").alias("tbl")).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"{c}_within") for c in ("cells", "words", "images")])
+    deep = around.groupBy("path", "tbl").agg(F.count("*").alias("depth"), F.max(F.when(F.col("outer") < F.col("tbl"), F.col("outer"))).alias("outer"))
+    found = deep.join(within, ["path", "tbl"]).join(each, ["path", "tbl"], "left").join(grid, ["path", "tbl"], "left").join(first, ["path", "tbl"], "left")
+    none = F.lit(0).cast("long")
+    return found.select("path", "tbl", "depth", "outer", *[F.coalesce(c, none).alias(c) for c in ("rows",)], F.coalesce("grid", "first_cells", none).alias("columns"), *[F.coalesce(c, none).alias(c) for c in ("cells", "merged")], "cells_within", "words_within", "images_within")
+
+
+def cell_texts(of_nodes: DataFrame) -> DataFrame:
+    """path, tc, text, images: of each cell its own paragraphs, then those of the tables in it, cell by cell in order; texts joined by a blank, empty ones left out."""
+    own = paragraphs(of_nodes).filter("tc is not null").select("path", "tc", F.col("id").alias("p"), "text", "images")
+    chains = enclosing_cells(of_nodes)
+    inner = chains.groupBy("path", "tc").agg(F.array_sort(F.collect_list("outer")).alias("chain"))
+    placed = chains.join(own, ["path", "tc"]).join(inner, ["path", "tc"])
+    # a paragraph of the cell itself comes before one in a cell within, whatever their places
+    below = F.filter("chain", lambda c: c > F.col("outer"))
+    place = F.concat(F.flatten(F.transform(below, lambda c: F.array(F.lit(1), c))), F.array(F.lit(0), F.col("p")))
+    full = placed.groupBy("path", F.col("outer").alias("tc")).agg(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct(place.alias("place"), "text")))).alias("texts"), F.sum("images").alias("images"))
+    every = of_nodes.filter((F.col("part") == MAIN) & (F.col("tag") == "tc")).select("path", F.col("id").alias("tc"))
+    return every.join(full, ["path", "tc"], "left").select("path", "tc", F.coalesce(F.array_join("texts.text", " "), F.lit("")).alias("text"), F.coalesce("images", F.lit(0).cast("long")).alias("images"))
+
+
+#: Properties that a run has.
+RUN_KEYS = ["font", "size_pt", "bold", "italic", "color", "highlight", "fill"]
+
+
+def by_owner(props: DataFrame, *owner: str) -> DataFrame:
+    return props.groupBy(*owner).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("props"))
+
+
+def runs(of_nodes: DataFrame) -> DataFrame:
+    """path, p, r, text, images (how many), image_pt (their heights), page_break and RUN_KEYS of the runs of the main part that hold text or images.
+
+    A property is the run's own, else that of the paragraph's style and what it is based on, else the document's default; a typeface may be
+    named by the theme. Size is 11 and the typeface the fallback where nothing says more.
+    """
+    main, slots = of_nodes.filter(F.col("part") == MAIN), theme(of_nodes)
+    single = lambda props, *owner: by_owner(props.groupBy(*owner, "key").agg(F.max("value").alias("value")), *owner)
+    direct = single(themed(properties(main).filter("kind = 'run'").drop("part"), slots), "path", "owner").select("path", F.col("owner").alias("r"), F.col("props").alias("direct"))
+    styled = single(themed(resolved_styles(of_nodes).filter("kind = 'run'"), slots), "path", "style").select("path", "style", F.col("props").alias("styled"))
+    style = paragraph_properties(of_nodes).filter("key = 'style'").select("path", F.col("id").alias("p"), F.col("value").alias("style"))
+    holder = of_nodes.filter((F.col("part") == STYLES) & (F.col("tag") == "rPrDefault")).select("path", F.col("id").alias("owner"))
+    default = single(themed(properties(of_nodes.filter(F.col("part") == STYLES)).filter("kind = 'run'").join(holder, ["path", "owner"], "left_semi").drop("part"), slots), "path").withColumnRenamed("props", "default")
+    attr = F.col("attrs")
+    held = main.filter("r is not null and tag in ('t', 'blip', 'ext', 'br')").groupBy("path", "r").agg(
+        F.array_sort(F.collect_list(F.when((F.col("tag") == "t") & F.col("text").isNotNull(), F.struct("id", "text")))).alias("texts"),
+        F.count_if(F.col("tag") == "blip").alias("images"),
+        F.min_by(F.when(F.col("tag") == "ext", attr["cy"].try_cast("double") / 12700), F.when((F.col("tag") == "ext") & attr["cy"].isNotNull(), F.col("id"))).alias("high"),
+        F.coalesce(F.bool_or((F.col("tag") == "br") & (attr["type"] == "page")), F.lit(False)).alias("page_break"),
+    )
+    rows = main.filter("tag = 'r' and p is not null").select("path", "p", F.col("id").alias("r")).join(held, ["path", "r"], "left").join(direct, ["path", "r"], "left").join(style, ["path", "p"], "left").join(styled, ["path", "style"], "left").join(default, "path", "left").join(default_font(of_nodes).select("path", F.col("font").alias("usual")), "path", "left")
+    value = lambda k: F.coalesce(F.col("direct")[k], F.col("styled")[k], F.col("default")[k])
+    typed = {"font": F.coalesce(value("font"), F.col("usual")), "size_pt": F.coalesce(value("size_pt").cast("double"), F.lit(11.0)), "bold": F.coalesce(value("bold") == "true", F.lit(False)), "italic": F.coalesce(value("italic") == "true", F.lit(False))}
+    images = F.coalesce("images", F.lit(0).cast("long"))
+    text = F.coalesce(F.array_join("texts.text", ""), F.lit(""))
+    out = rows.select("path", "p", "r", text.alias("text"), images.alias("images"), (images * F.coalesce("high", F.lit(0.0))).alias("image_pt"), F.coalesce("page_break", F.lit(False)).alias("page_break"), *[typed.get(k, value(k)).alias(k) for k in RUN_KEYS])
+    return out.filter("text <> '' or images > 0 or page_break")
+
+
 def too_wide(of_nodes: DataFrame, slack: float = 1.03) -> DataFrame:
     """path, tbl, width_pt, room_pt of tables wider than the cell or the page body that holds them."""
     main = of_nodes.filter(F.col("part") == MAIN)
@@ -343,6 +430,6 @@ def counts(of_nodes: DataFrame, of_parts: DataFrame) -> DataFrame:
         F.count_if((F.col("part") == STYLES) & (F.col("tag") == "style")).alias("styles"),
         F.count_if(main & (F.col("tag") == "shd") & F.col("tc").isNotNull() & F.col("p").isNull() & (F.lower(F.col("attrs")["fill"]) != "auto")).alias("shaded_cells"),
     )
-    words = paragraphs(of_nodes).groupBy("path").agg(F.sum(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))).alias("words"))
+    text = paragraphs(of_nodes).groupBy("path").agg(F.sum(words(F.col("text"))).alias("words"))
     files = of_parts.filter("part like 'word/media/%'").groupBy("path").agg(F.count("*").alias("media"))
-    return tally.join(words, "path", "left").join(files, "path", "left").fillna(0, ["words", "media"])
+    return tally.join(text, "path", "left").join(files, "path", "left").fillna(0, ["words", "media"])

@@ -2,7 +2,11 @@
 
 import random
 
-from quire.operators import markdown
+from pyspark.sql import functions as F
+
+from quire.functions import metrics
+from quire.operators import estimate, flow, intervals, markdown
+from quire.sources import packages
 
 PARTS = ["# h", "- a", "  - b", "    - c", "12. x", "text", "  more", "", "", "```", "````py", "~~~", "| a | b |", "|--|--|", "x | y", "![a](b)", "   deep", "a\tb"]
 
@@ -65,3 +69,155 @@ def test_changes_compose():
             at = markdown.Change.of(lines[a : b + 1]).applied(at)
         held = lambda r: (r.leaf, r.leaf in "`~" and r.run, r.leaf != "none" and r.open, r.items, r.count)
         assert held(at) == held(whole)
+
+
+# ---- what lies in what
+
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+
+
+def p(*texts, props=""):
+    return f"<w:p>{props}" + "".join(f"<w:r><w:t>{t}</w:t></w:r>" for t in texts) + "</w:p>"
+
+
+def table(*tr):
+    return "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{c}</w:tc>" for c in cells) + "</w:tr>" for cells in tr) + "</w:tbl>"
+
+
+def parsed(spark, body, styles=None, path="d"):
+    held = [(path, 0, "word/document.xml", f"<w:document {W}><w:body>{body}</w:body></w:document>".encode(), None)]
+    if styles:
+        held.append((path, 1, "word/styles.xml", f"<w:styles {W}>{styles}</w:styles>".encode(), None))
+    return packages.nodes(spark.createDataFrame(held, packages.PARTS)).cache()
+
+
+def test_points_in_intervals(spark):
+    pick = random.Random(6)
+    spans = [(pick.choice("ab"), i, lo, lo + pick.randrange(0, 300)) for i in range(200) for lo in [pick.randrange(0, 900)]] + [("a", 900, 5, 4), ("a", 901, None, 4), ("b", 902, 0, 2**31 - 2)]
+    dots = [(pick.choice("abc"), j, pick.randrange(0, 1200)) for j in range(300)] + [("a", 950, None), ("b", 951, 2**31 - 2)]
+    got = intervals.covering(spark.createDataFrame(dots, "k string, j int, at int"), spark.createDataFrame(spans, "k string, i int, lo int, hi int"), ["k"])
+    want = sorted((j, i) for k, j, at in dots for q, i, lo, hi in spans if k == q and None not in (at, lo) and lo <= at <= hi)
+    assert rows(got, "j", "i") == want
+    none = spark.createDataFrame([], "k string, i int, lo int, hi int")
+    assert intervals.covering(spark.createDataFrame(dots, "k string, j int, at int"), none, ["k"]).count() == 0
+
+
+def test_node_numbers(spark):
+    nodes = parsed(spark, p("a") + table([p("b") + table([p("c")]) + p("d")]))
+    held = {r["id"]: r for r in nodes.collect()}
+    for n in held.values():  # what lies below is what has the node among its parents
+        below = set()
+        for m in held.values():
+            up = m["parent"]
+            while up is not None and up != n["id"]:
+                up = held[up]["parent"]
+            if up == n["id"]:
+                below.add(m["id"])
+        assert below == set(range(n["id"] + 1, n["last"] + 1))
+
+
+def test_tables_in_tables(spark):
+    deep = table([p("three words here"), p("x")])
+    mid = table([p("own") + deep + p("after it"), p("second")], [p("third")])
+    nodes = parsed(spark, p("before") + table([p("left one"), mid + p("after mid"), ""]) + table(["<w:tcPr><w:gridSpan w:val='2'/></w:tcPr>" + p("wide")], ["<w:tcPr><w:vMerge/></w:tcPr>" + p(""), p("n")]))
+    got = packages.tables(nodes).orderBy("tbl").collect()
+    assert [(r["depth"], r["rows"], r["columns"], r["cells"], r["merged"], r["cells_within"], r["words_within"]) for r in got] == [(1, 1, 3, 3, 0, 8, 13), (2, 2, 2, 3, 0, 5, 9), (3, 1, 2, 2, 0, 2, 4), (1, 2, 1, 3, 2, 3, 2)]
+    assert [r["outer"] for r in got] == [None, got[0]["tbl"], got[1]["tbl"], None]
+    texts = [r["text"] for r in packages.cell_texts(nodes).orderBy("tc").collect()]
+    assert texts == ["left one", "after mid own after it three words here x second third", "own after it three words here x", "three words here", "x", "second", "third", "", "wide", "", "n"]
+
+
+def test_runs(spark):
+    styles = "<w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:ascii='Arial'/><w:sz w:val='20'/></w:rPr></w:rPrDefault></w:docDefaults><w:style w:styleId='A'><w:rPr><w:b/><w:sz w:val='30'/></w:rPr></w:style><w:style w:styleId='B'><w:basedOn w:val='A'/><w:rPr><w:i/></w:rPr></w:style>"
+    body = "<w:p><w:pPr><w:pStyle w:val='B'/></w:pPr><w:r><w:t>one </w:t></w:r><w:r><w:rPr><w:b w:val='0'/><w:rFonts w:ascii='Georgia'/></w:rPr><w:t>two</w:t><w:t> more</w:t></w:r><w:r/></w:p>" + "<w:p><w:r><w:drawing><a:ext cx='12700' cy='25400'/><a:blip/></w:drawing><w:br w:type='page'/></w:r></w:p>"
+    got = packages.runs(parsed(spark, body, styles)).orderBy("r").collect()
+    assert [(r["text"], r["font"], r["size_pt"], r["bold"], r["italic"], r["images"], r["image_pt"], r["page_break"]) for r in got] == [
+        ("one ", "Arial", 15.0, True, True, 0, 0.0, False),
+        ("two more", "Georgia", 15.0, False, True, 0, 0.0, False),
+        ("", "Arial", 10.0, False, False, 1, 2.0, True),
+    ]
+
+
+# ---- wrapping and flow
+
+
+def plain_wrap(runs, room):
+    """One word after the other, in floats."""
+    width = lambda t, r: sum(({True: metrics.BOLD, False: metrics.REGULAR}[r[3]][ord(c) - 32]) for c in t) / 1000 * r[1] * metrics.SCALE.get(r[2], 1.0)
+    lines, at = 1, 0.0
+    for r in runs:
+        for w in r[0].split(" "):
+            gap = width(" ", r) if at > 0 else 0.0
+            if at + gap + width(w, r) > room and at > 0:
+                lines, at = lines + 1, width(w, r)
+            else:
+                at = at + gap + width(w, r)
+    return lines
+
+
+def test_mixed_runs(spark):
+    pick = random.Random(8)
+    cases = [[("".join(pick.choice("ab iW") for _ in range(pick.randrange(0, 30))), pick.choice([8.0, 11.0, 20.0]), pick.choice(["arial", "georgia", "unknown"]), pick.random() < 0.5) for _ in range(pick.randrange(1, 5))] for _ in range(80)]
+    rooms = [pick.uniform(20, 300) for _ in cases]
+    df = spark.createDataFrame([(i, c, r) for i, (c, r) in enumerate(zip(cases, rooms, strict=True))], "i int, runs array<struct<text: string, size: double, font: string, bold: boolean>>, room double")
+    got = {r["i"]: r["of"] for r in df.select("i", metrics.wrapped_runs(F.col("runs"), F.col("room")).alias("of")).collect()}
+    for i, (c, room) in enumerate(zip(cases, rooms, strict=True)):
+        size = max(r[1] for r in c)
+        assert (got[i]["lines"], got[i]["size"], got[i]["font"]) == (plain_wrap(c, room), size, [r[2] for r in c if r[1] == size][-1])
+    # "aaaa" of 10 points, then a blank and "aaaa" of 20: 4 * 5.72 + 3.4 + 4 * 11.44 = 72.04 wide
+    hand = [("aaaa", 10.0, "x", False), ("aaaa", 20.0, "y", False)]
+    df = spark.createDataFrame([(hand, 72.05), (hand, 72.0), ([], 10.0), (None, 10.0)], "runs array<struct<text: string, size: double, font: string, bold: boolean>>, room double")
+    assert [tuple(r["of"]) for r in df.select(metrics.wrapped_runs(F.col("runs"), F.col("room")).alias("of")).collect()] == [(1, 20.0, "y"), (2, 20.0, "y"), (1, 11.0, metrics.DEFAULT_FONT), (1, 11.0, metrics.DEFAULT_FONT)]
+
+
+def poured(pieces, room, turns, down):
+    for kind, h in pieces:
+        if kind == "turn":
+            turns, down = turns + 1, 0
+            continue
+        if kind == "put" and down and down + h > room:
+            turns, down = turns + 1, 0
+        down += h
+    return turns, down
+
+
+def test_falls_compose():
+    pick = random.Random(9)
+    for _ in range(3000):
+        pieces = [pick.choice([("put", pick.randrange(0, 9)), ("put", 4), ("skip", pick.randrange(0, 4)), ("put", pick.choice([3, 30])), ("turn", 0)] if pick.random() < 0.2 else [("put", pick.randrange(1, 9))]) for _ in range(pick.randrange(0, 40))]
+        cut = pick.randrange(len(pieces) + 1)
+        for start in (0, 0.5, 1, 5, 11, 19, 20, 25):
+            first = flow.Fall.of(pieces[:cut], 20).after(3, start)
+            assert first == poured(pieces[:cut], 20, 3, start)
+            assert flow.Fall.of(pieces[cut:], 20).after(*first) == poured(pieces, 20, 3, start)
+
+
+def test_pagination_in_runs(spark):
+    """However the blocks are cut, they fall where one cursor puts them."""
+    pick = random.Random(10)
+    blocks = [(d, s, n, pick.choice(["text", "text", "unit"]), pick.randrange(0, 9), pick.choice([10.0, 12.65, 13.1]), pick.choice([0.0, 6.0]), pick.choice([0.0, 3.3]), pick.random() < 0.05, 1 + s % 3, 100.0, pick.choice([0.0, 0.0, 40.0])) for d in "ab" for s in range(3) for n in range(pick.randrange(1, 60))]
+    df = spark.createDataFrame(blocks, "doc string, section int, n int, kind string, lines int, line_h double, before double, after double, forced boolean, columns int, room double, extra double")
+    want, page, section = [], 0, None
+    for d, s, n, kind, lines, line_h, before, after, forced, columns, room, extra in blocks:
+        if (d, s) != section:
+            page = page + turns // section_columns + 1 if section and section[0] == d else 1  # noqa: F821
+            section, section_columns, turns, down = (d, s), columns, 0, 0
+        turns, down = poured([("turn", 0)] * forced, 100e6, turns, down)
+        begin = turns
+        whole = [round(x * 1e6) for x in (before, line_h, extra, after)]
+        pieces = [("skip", whole[0])] + ([("put", whole[1])] * lines if kind == "text" else [("put", whole[1] * lines)]) + [("put", whole[2])] * (extra > 0) + [("skip", whole[3])]
+        turns, down = poured(pieces, 100e6, turns, down)
+        want.append((d, s, n, page + begin // columns, page + turns // columns, turns % columns + 1))
+    for chunk in (1, 7, 4096):
+        assert rows(flow.pagination(df, "doc", chunk), "doc", "section", "n", "page", "page_end", "column") == sorted(want)
+
+
+def test_placements(spark):
+    """A section of two columns, then one with a table; 11 points of the default typeface are 13.86 high."""
+    narrow = "<w:pPr><w:sectPr><w:pgSz w:w='4000' w:h='1554'/><w:pgMar w:top='400' w:bottom='600' w:left='200' w:right='200'/><w:cols w:num='2' w:space='200'/></w:sectPr></w:pPr>"
+    body = p("a") + p("b") + p("c", props=narrow) + p("d") + table([p("x"), p("y") + p("z")], [p("w")]) + "<w:sectPr/>"
+    styles = "<w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:ascii='Plus Jakarta Sans'/></w:rPr></w:rPrDefault></w:docDefaults>"
+    got = estimate.placements(parsed(spark, body, styles)).orderBy("block").collect()
+    assert [(r["kind"], r["section"], r["page"], r["page_end"], r["column"], r["lines"], r["height_pt"]) for r in got] == [
+        ("paragraph", 0, 1, 1, 1, 1, 13.9), ("paragraph", 0, 1, 1, 2, 1, 13.9), ("paragraph", 0, 1, 2, 1, 1, 13.9), ("paragraph", 1, 3, 3, 1, 1, 13.9), ("table", 1, 3, 3, 1, 2, 49.6),
+    ]

@@ -24,7 +24,7 @@ DEFAULT_FONT, DEFAULT_HEIGHT = "plus jakarta sans", 1.26
 
 
 def literal(of: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in of.items() for x in pair])
+    return F.expr("map(" + ", ".join(f"'{k}', {v}D" for k, v in of.items()) + ")")
 
 
 def name(font: Column) -> Column:
@@ -38,7 +38,7 @@ def line_height(font: Column) -> Column:
 
 def units(text: Column, bold: Column) -> Column:
     """Width in thousandths of an em of the typeface of the tables, an integer."""
-    of = lambda table, average: F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: a + F.when(c == "", 0).otherwise(F.coalesce(F.get(F.array(*map(F.lit, table)), F.ascii(c) - 32), F.lit(average))))
+    of = lambda table, average: F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: a + F.when(c == "", 0).otherwise(F.coalesce(F.get(F.expr(f"array({', '.join(map(str, table))})"), F.ascii(c) - 32), F.lit(average))))
     return F.when(F.coalesce(bold, F.lit(False)), of(BOLD, AVERAGE_BOLD)).otherwise(of(REGULAR, AVERAGE))
 
 

@@ -1,11 +1,15 @@
-"""Queries over what has depth: Markdown blocks. Oracles step through the same lines one by one."""
+"""Queries over what has depth or flows: Markdown blocks, tables in tables, runs, wrapped lines and pages. Oracles start from the lines of the documents and step
+through them one by one."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.operators import markdown
+from quire.functions import metrics
+from quire.operators import estimate, markdown
+from quire.sources import packages
+from quire.sources.store import stored
 
 from . import fixture, text_of
 
@@ -55,5 +59,193 @@ k AS (SELECT doc_id, block, min(n) AS first, max(CASE WHEN kind NOT IN ('more',
 SELECT doc_id, block, parent, kind, CAST(level AS INT) AS level, ordered, first, CASE WHEN kind = 'code' THEN coalesce(array_to_string(body, chr(10)), '') WHEN kind = 'row' THEN array_to_string([trim(c) for c in string_split(regexp_replace(body[1], '^\||\|$', '', 'g'), '|')], chr(9))
     WHEN kind <> 'table' THEN trim(regexp_replace(array_to_string(body, ' '), '\s+', ' ', 'g')) END AS text FROM k"""
 
-QUERIES = {"S17_markdown_blocks": markdown_blocks}
-ORACLES = {"S17_markdown_blocks": oracle(["markdown_lines"], MARKDOWN)}
+# ---- packages with tables in tables, styles, themes and sections
+
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+
+
+def joined(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def escaped(text: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", " ")
+
+
+def paragraph(text: Column, section: str = "") -> Column:
+    """In the style of the document, its first word bold and in a typeface of its own."""
+    first = F.substring_index(text, " ", 1)
+    rest = F.substring(text, F.length(first) + 2, F.length(text))
+    run = lambda t: joined("<w:t xml:space='preserve'>", escaped(t), "</w:t></w:r>")
+    return joined("<w:p><w:pPr><w:pStyle w:val='S", (F.col("doc_id") % 4).cast("string"), "'/>", section, "</w:pPr><w:r><w:rPr><w:b/><w:rFonts w:ascii='Georgia'/></w:rPr>", run(joined(first, " ")), F.when(rest != "", joined("<w:r>", run(rest))).otherwise(""), "</w:p>")
+
+
+def cell(inside: Column, props: str = "") -> Column:
+    return joined(f"<w:tc><w:tcPr><w:tcW w:w='4000' w:type='dxa'/>{props}</w:tcPr>", inside, "</w:tc>")
+
+
+def row(*cells: Column) -> Column:
+    return joined("<w:tr>", *cells, "</w:tr>")
+
+
+def table(*rows: Column) -> Column:
+    return joined("<w:tbl>", *rows, "</w:tbl>")
+
+
+def line_xml() -> Column:
+    """A line as a paragraph, as tables three deep (n % 8 = 3), as a table with merged cells (n % 8 = 5), or as the end of a section of two columns (n % 20 = 10)."""
+    line, first, n = F.col("line"), F.substring_index("line", " ", 1), F.col("n")
+    third = F.when(n % 16 == 3, table(row(cell(paragraph(line))))).otherwise("")
+    deep = table(row(cell(paragraph(line)), cell(joined(table(row(cell(paragraph(first)), cell(joined(third, paragraph(F.lit("end")))))), "<w:p/>"))))
+    merged = table(row(cell(paragraph(line), "<w:gridSpan w:val='2'/>")), row(cell(paragraph(first), "<w:vMerge w:val='restart'/>"), cell(paragraph(F.lit("")), "<w:vMerge/>")))
+    return F.when(n % 8 == 3, deep).when(n % 8 == 5, merged).when(n % 20 == 10, paragraph(line, "<w:sectPr><w:cols w:num='2'/></w:sectPr>")).otherwise(paragraph(line))
+
+
+STYLES = (
+    "<w:style w:styleId='S0'/><w:style w:styleId='S1'><w:basedOn w:val='S0'/><w:rPr><w:sz w:val='28'/></w:rPr></w:style><w:style w:styleId='S2'><w:basedOn w:val='S1'/><w:rPr><w:i/></w:rPr></w:style>"
+    "<w:style w:styleId='S3'><w:basedOn w:val='S2'/><w:pPr><w:spacing w:before='120' w:after='60'/><w:ind w:left='360'/></w:pPr></w:style></w:styles>"
+)
+#: The nodes of a session and folder, written once.
+NODES: dict[tuple[str, str], DataFrame] = {}
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as packages: every other one names its typeface through the theme, every third is landscape, styles go by doc_id % 4."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in NODES:
+        lines = fixture(spark, sf_dir, "raw_lines").select("doc_id", "n", line_xml().alias("xml"))
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "xml"))), lambda x: x["xml"]), "")
+        d = F.col("doc_id")
+        last = joined("<w:sectPr>", F.when(d % 3 == 0, "<w:pgSz w:w='15840' w:h='12240'/>").otherwise(""), "<w:pgMar w:left='", (720 + 360 * (d % 3)).cast("string"), "'/></w:sectPr>")
+        face = F.when(d % 2 == 0, "<w:rFonts w:ascii='Arial'/>").otherwise("<w:rFonts w:asciiTheme='minorHAnsi'/>")
+        held = {
+            "word/document.xml": joined(f"<w:document {W}><w:body>", F.col("body"), last, "</w:body></w:document>"),
+            "word/styles.xml": joined(f"<w:styles {W}><w:docDefaults><w:rPrDefault><w:rPr>", face, "<w:sz w:val='22'/></w:rPr></w:rPrDefault></w:docDefaults>", STYLES),
+            "word/theme/theme1.xml": F.lit(f"<a:theme {W}><a:fontScheme><a:minorFont><a:latin typeface='Cambria'/></a:minorFont></a:fontScheme></a:theme>"),
+        }
+        parts = F.posexplode(F.array(*[F.struct(F.lit(k).alias("part"), F.encode(v, "utf-8").alias("content")) for k, v in held.items()])).alias("pos", "of")
+        made = lines.groupBy("doc_id").agg(body.alias("body")).select(d.cast("string").alias("path"), "doc_id", "body").select("path", parts)
+        NODES[key] = stored(packages.nodes(made.select("path", "pos", "of.part", "of.content", F.lit(None).cast("string").alias("error"))))
+    return NODES[key]
+
+
+def nested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("path").orderBy("tbl"))
+    return packages.tables(nodes(spark, sf_dir)).select("path", place.alias("place"), "depth", "rows", "columns", "cells", "merged", "cells_within", "words_within")
+
+
+def cell_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("path").orderBy("tc"))
+    return packages.cell_texts(nodes(spark, sf_dir)).select("path", place.alias("place"), "text")
+
+
+def run_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("path").orderBy("r"))
+    return packages.runs(nodes(spark, sf_dir)).select("path", place.alias("place"), "text", "font", "size_pt", "bold", "italic")
+
+
+def words_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the body (0) and of tables by how deep they lie."""
+    of = nodes(spark, sf_dir)
+    each = packages.paragraphs(of).groupBy("path", "tbl").agg(F.sum(packages.words(F.col("text"))).alias("words"))
+    return each.join(packages.tables(of).select("path", "tbl", "depth"), ["path", "tbl"], "left").groupBy("path", F.coalesce("depth", F.lit(0).cast("long")).alias("depth")).agg(F.sum("words").alias("words"))
+
+
+def mixed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose first word is bold Georgia and the rest Arial of another size, wrapped within 200 points."""
+    first = F.substring_index("line", " ", 1)
+    run = lambda t, size, font, bold: F.struct(t.alias("text"), size.cast("double").alias("size"), F.lit(font).alias("font"), F.lit(bold).alias("bold"))
+    runs = F.array(run(joined(first, " "), 9 + F.col("n") % 4, "Georgia", True), run(F.substring(F.col("line"), F.length(first) + 2, F.length("line")), F.lit(10), "Arial", False))
+    of = metrics.wrapped_runs(runs, F.lit(200.0))
+    return fixture(spark, sf_dir, "raw_lines").withColumn("of", of).select("doc_id", "n", "of.lines", "of.size", "of.font")
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("path").orderBy("block"))
+    return estimate.placements(nodes(spark, sf_dir)).select("path", place.alias("place"), "kind", "section", "page", "page_end", "column", "lines")
+
+
+WORDS = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
+FIRST = "string_split(line, ' ')[1]"
+REST = f"substr(line, length({FIRST}) + 2)"
+#: The texts of the paragraphs of a line, in order, with the depth of the table each is in.
+TEXTS = f"CASE WHEN n % 8 = 3 THEN list_concat([{{'t': line, 'd': 1}}, {{'t': {FIRST}, 'd': 2}}], CASE WHEN n % 16 = 3 THEN [{{'t': line, 'd': 3}}] ELSE [] END, [{{'t': 'end', 'd': 2}}]) WHEN n % 8 = 5 THEN [{{'t': line, 'd': 1}}, {{'t': {FIRST}, 'd': 1}}, {{'t': '', 'd': 1}}] ELSE [{{'t': line, 'd': 0}}] END"
+TABLES = f"""SELECT doc_id, n, k, t.* FROM (SELECT *, unnest(ts) AS t, generate_subscripts(ts, 1) AS k FROM (SELECT *, CASE WHEN n % 8 = 3 THEN list_concat(
+    [{{'depth': 1, 'rows': 1, 'columns': 2, 'cells': 2, 'merged': 0, 'cells_within': 4 + d, 'words_within': w * (1 + d) + f + 1}}, {{'depth': 2, 'rows': 1, 'columns': 2, 'cells': 2, 'merged': 0, 'cells_within': 2 + d, 'words_within': w * d + f + 1}}],
+    CASE WHEN d = 1 THEN [{{'depth': 3, 'rows': 1, 'columns': 1, 'cells': 1, 'merged': 0, 'cells_within': 1, 'words_within': w}}] ELSE [] END)
+    ELSE [{{'depth': 1, 'rows': 2, 'columns': 1, 'cells': 3, 'merged': 3, 'cells_within': 3, 'words_within': w + f}}] END AS ts
+    FROM (SELECT doc_id, n, {WORDS.format("line")} AS w, {WORDS.format(FIRST)} AS f, CASE WHEN n % 16 = 3 THEN 1 ELSE 0 END AS d FROM raw_lines WHERE n % 8 IN (3, 5)) AS q) AS r) AS s"""
+def said(t: str) -> str:
+    """The text of a paragraph of text t, which has a blank after its first word."""
+    return f"(CASE WHEN length({t}) = length(string_split({t}, ' ')[1]) THEN {t} || ' ' ELSE {t} END)"
+
+
+#: The texts of the cells of a line, in order.
+INNER = f"array_to_string(list_concat([{said(FIRST)}], CASE WHEN n % 16 = 3 THEN ['end ', {said('line')}] ELSE ['end '] END), ' ')"
+CELLS = f"CASE WHEN n % 8 = 3 THEN list_concat([{said('line')}, {INNER}, {said(FIRST)}], CASE WHEN n % 16 = 3 THEN ['end ' || ' ' || {said('line')}, {said('line')}] ELSE ['end '] END) ELSE [{said('line')}, {said(FIRST)}, ' '] END"
+
+
+def units_sql(text: str, bold: str) -> str:
+    of = lambda table, usual: f"list_sum([CASE WHEN c = '' THEN 0 WHEN ascii(c) BETWEEN 32 AND 126 THEN {table}[ascii(c) - 31] ELSE {usual} END for c in list_prepend('', string_split({text}, ''))])"
+    return f"(CASE WHEN {bold} THEN {of(metrics.BOLD, metrics.AVERAGE_BOLD)} ELSE {of(metrics.REGULAR, metrics.AVERAGE)} END)"
+
+
+def wrap_sql(runs: str, room: str) -> str:
+    """Lines of a list of structs (t, size, scale, bold): words are stepped through, the width so far beside each."""
+    words = f"flatten(list_transform({runs}, lambda r: list_transform(string_split(r.t, ' '), lambda w: {{'l': 0, 'c': 0::DOUBLE, 'w': {units_sql('w', 'r.bold')} / 1000 * r.size * r.scale, 's': (CASE WHEN r.bold THEN {metrics.BOLD[0]} ELSE {metrics.REGULAR[0]} END) / 1000 * r.size * r.scale}})))"
+    wider = "a.c + (CASE WHEN a.c > 0 THEN x.s ELSE 0 END) + x.w"
+    return f"list_reduce(list_prepend({{'l': 1, 'c': 0::DOUBLE, 'w': 0::DOUBLE, 's': 0::DOUBLE}}, {words}), lambda a, x: {{'l': a.l + CASE WHEN {wider} > {room} AND a.c > 0 THEN 1 ELSE 0 END, 'c': CASE WHEN {wider} > {room} AND a.c > 0 THEN x.w ELSE {wider} END, 'w': 0::DOUBLE, 's': 0::DOUBLE}}).l"
+
+
+def styled_sql(t: str) -> str:
+    """The runs of a paragraph of text t."""
+    first, size = f"string_split({t}, ' ')[1]", "(CASE WHEN doc_id % 4 = 0 THEN 11 ELSE 14 END)::DOUBLE"
+    rest = f"substr({t}, length({first}) + 2)"
+    return f"list_concat([{{'t': {first} || ' ', 'size': {size}, 'scale': 0.91::DOUBLE, 'bold': true}}], CASE WHEN {rest} <> '' THEN [{{'t': {rest}, 'size': {size}, 'scale': (CASE WHEN doc_id % 2 = 0 THEN 0.90 ELSE 0.85 END)::DOUBLE, 'bold': false}}] ELSE [] END)"
+
+
+def height_sql(t: str) -> str:
+    """The height of a line of a paragraph of text t."""
+    return f"((CASE WHEN doc_id % 4 = 0 THEN 11 ELSE 14 END)::DOUBLE * (CASE WHEN substr({t}, length(string_split({t}, ' ')[1]) + 2) = '' THEN 1.14 WHEN doc_id % 2 = 0 THEN 1.15 ELSE 1.17 END)::DOUBLE)"
+
+
+MIXED = f"[{{'t': {FIRST} || ' ', 'size': (9 + n % 4)::DOUBLE, 'scale': 0.91::DOUBLE, 'bold': true}}, {{'t': {REST}, 'size': 10::DOUBLE, 'scale': 0.90::DOUBLE, 'bold': false}}]"
+#: Rows in the order of the body, wrapped and measured; then one after the other let down the columns.
+PLACED = f"""
+, d AS (SELECT doc_id, n, line, sum(CASE WHEN n % 20 = 10 AND n % 8 NOT IN (3, 5) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, max(n) FILTER (WHERE n % 20 = 10) OVER (PARTITION BY doc_id) AS cut FROM raw_lines),
+g AS (SELECT doc_id, n, line, CAST(coalesce(before, 0) AS INT) AS section, n <= coalesce(cut, -1) AS two,
+    (CASE WHEN n <= coalesce(cut, -1) THEN (612.0 - 72 - 72 - 36) / 2 ELSE (CASE WHEN doc_id % 3 = 0 THEN 792.0 ELSE 612.0 END) - 72 - (720 + 360 * (doc_id % 3)) / 20.0 END)::DOUBLE AS w,
+    (CASE WHEN n <= coalesce(cut, -1) OR doc_id % 3 <> 0 THEN 648 ELSE 468 END) * 1000000::BIGINT AS room FROM d),
+b AS (SELECT *, n * 4::BIGINT AS ord, 'paragraph' AS kind, {wrap_sql(styled_sql("line"), "(w - CASE WHEN doc_id % 4 = 3 THEN 18 ELSE 0 END)")} AS lines, {height_sql("line")} AS h, (CASE WHEN doc_id % 4 = 3 THEN 6000000 ELSE 0 END)::BIGINT AS bef, (CASE WHEN doc_id % 4 = 3 THEN 3000000 ELSE 0 END)::BIGINT AS aft FROM g WHERE n % 8 NOT IN (3, 5)
+    UNION ALL SELECT *, n * 4, 'table', 1, greatest({wrap_sql(styled_sql("line"), "189.2")} * {height_sql("line")} + 4, CASE WHEN n % 8 = 3 THEN 11 * 1.26::DOUBLE + 4 ELSE 0 END), 0, 0 FROM g WHERE n % 8 IN (3, 5)
+    UNION ALL SELECT *, n * 4 + 1, 'table', 1, greatest({wrap_sql(styled_sql(FIRST), "189.2")} * {height_sql(FIRST)} + 4, {wrap_sql(styled_sql("''"), "189.2")} * {height_sql("''")} + 4), 0, 0 FROM g WHERE n % 8 = 5),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i, CAST(round(h * 1000000) AS BIGINT) AS m FROM b),
+f AS (SELECT doc_id, 0::BIGINT AS i, -1 AS section, 0::BIGINT AS base, 0::BIGINT AS begun, 0::BIGINT AS turns, 0::BIGINT AS down, 1 AS c FROM (SELECT DISTINCT doc_id FROM o)
+    UNION ALL SELECT doc_id, i, section, base, begun, e.t, e.d + aft, c FROM (SELECT *, list_reduce(list_prepend({{'t': begun, 'd': fell + bef}}, list_transform(range(lines), lambda x: {{'t': 0::BIGINT, 'd': m}})), lambda a, x: {{'t': a.t + CASE WHEN a.d > 0 AND a.d + x.d > room THEN 1 ELSE 0 END, 'd': CASE WHEN a.d > 0 AND a.d + x.d > room THEN x.d ELSE a.d + x.d END}}) AS e FROM (
+        SELECT o.doc_id, o.i, o.section, o.lines, o.m, o.room, o.bef, o.aft, CASE WHEN o.two THEN 2 ELSE 1 END AS c, CASE WHEN o.section = f.section THEN f.base WHEN f.section = -1 THEN 0 ELSE f.base + f.turns // f.c + 1 END AS base, CASE WHEN o.section = f.section THEN f.turns ELSE 0 END AS begun, CASE WHEN o.section = f.section THEN f.down ELSE 0 END AS fell
+        FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i + 1) AS q) AS r)
+SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY n) AS INT) AS place, kind, section, page, page_end, "column", lines FROM (SELECT CAST(f.doc_id AS VARCHAR) AS path, o.n, o.kind, o.section, CAST(min(f.base + f.begun // f.c + 1) AS INT) AS page, CAST(max(f.base + f.turns // f.c + 1) AS INT) AS page_end, CAST(max_by(f.turns % f.c + 1, f.i) AS INT) AS "column", CAST(sum(o.lines) AS INT) AS lines FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i GROUP BY ALL) AS z"""
+PARAGRAPHS = f"SELECT doc_id, n, unnest({TEXTS}) AS p, generate_subscripts({TEXTS}, 1) AS k FROM raw_lines"
+LONGS = "depth rows columns cells merged cells_within words_within".split()
+
+QUERIES = {
+    "S17_markdown_blocks": markdown_blocks,
+    "R3_nested_tables": nested_tables,
+    "R3_cell_texts": cell_texts,
+    "R5_runs": run_walk,
+    "A12_words_by_depth": words_by_depth,
+    "W16_mixed_runs": mixed_runs,
+    "W17_placements": placed,
+}
+ORACLES = {
+    "S17_markdown_blocks": oracle(["markdown_lines"], MARKDOWN),
+    "R3_nested_tables": oracle(["raw_lines"], f"SELECT CAST(doc_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, k) AS INT) AS place, {', '.join(f'CAST(x.{c} AS BIGINT) AS {c}' for c in LONGS)} FROM ({TABLES}) AS x"),
+    "R3_cell_texts": oracle(["raw_lines"], f"SELECT CAST(doc_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, k) AS INT) AS place, text FROM (SELECT doc_id, n, generate_subscripts({CELLS}, 1) AS k, unnest({CELLS}) AS text FROM raw_lines WHERE n % 8 IN (3, 5)) AS c"),
+    "R5_runs": oracle(["raw_lines"], f"""SELECT CAST(doc_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, k, j) AS INT) AS place, text, CASE WHEN j = 0 THEN 'Georgia' WHEN doc_id % 2 = 0 THEN 'Arial' ELSE 'Cambria' END AS font, CASE WHEN doc_id % 4 = 0 THEN 11.0 ELSE 14.0 END::DOUBLE AS size_pt, j = 0 AS bold, doc_id % 4 >= 2 AS italic
+        FROM (SELECT doc_id, n, k, 0 AS j, string_split(p.t, ' ')[1] || ' ' AS text FROM ({PARAGRAPHS}) AS a UNION ALL SELECT doc_id, n, k, 1, substr(p.t, length(string_split(p.t, ' ')[1]) + 2) FROM ({PARAGRAPHS}) AS b) AS r WHERE text <> ''"""),
+    "A12_words_by_depth": oracle(["raw_lines"], f"SELECT CAST(doc_id AS VARCHAR) AS path, p.d::BIGINT AS depth, CAST(sum({WORDS.format('p.t')}) AS BIGINT) AS words FROM ({PARAGRAPHS}) AS a GROUP BY ALL"),
+    "W16_mixed_runs": oracle(["raw_lines"], f"SELECT doc_id, n, {wrap_sql(MIXED, '200')} AS lines, greatest(9 + n % 4, 10)::DOUBLE AS size, CASE WHEN n % 4 > 1 THEN 'Georgia' ELSE 'Arial' END AS font FROM raw_lines"),
+    "W17_placements": oracle(["raw_lines"], PLACED),
+}

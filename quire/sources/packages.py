@@ -11,6 +11,7 @@ import posixpath
 import zipfile
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -147,8 +148,9 @@ def points(value: Column, per: float = 20.0) -> Column:
     return (value.try_cast("double") / per).cast("string")
 
 
-def properties(of_nodes: DataFrame) -> DataFrame:
-    """(path, part, owner, kind, key, value): run and paragraph properties of the nodes that hold an rPr or pPr."""
+@lru_cache(maxsize=1)
+def property_entries() -> Column:
+    """The properties that a node below an rPr or pPr tells, as an array of (key, value); a null value is none."""
     a, tag = F.col("attrs"), F.col("tag")
     val = a["val"]
     on = F.when(F.coalesce(val, F.lit("true")).isin("false", "0", "none"), "false").otherwise("true")
@@ -172,9 +174,13 @@ def properties(of_nodes: DataFrame) -> DataFrame:
         "shading_pattern": F.when((tag == "shd") & ~val.isin("clear", "nil"), val),
         "style": F.when(tag.isin("pStyle", "rStyle"), val),
     }
-    holders = of_nodes.filter("tag in ('rPr', 'pPr')").select("path", "part", F.col("id").alias("parent"), F.col("parent").alias("owner"), F.when(tag == "rPr", "run").otherwise("para").alias("kind"))
-    listed = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in entries.items()])
-    rows = of_nodes.join(holders, ["path", "part", "parent"]).select("path", "part", "owner", "kind", F.explode(listed).alias("e"))
+    return F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in entries.items()])
+
+
+def properties(of_nodes: DataFrame) -> DataFrame:
+    """(path, part, owner, kind, key, value): run and paragraph properties of the nodes that hold an rPr or pPr."""
+    holders = of_nodes.filter("tag in ('rPr', 'pPr')").selectExpr("path", "part", "id AS parent", "parent AS owner", "CASE WHEN tag = 'rPr' THEN 'run' ELSE 'para' END AS kind")
+    rows = of_nodes.join(holders, ["path", "part", "parent"]).select("path", "part", "owner", "kind", F.explode(property_entries()).alias("e"))
     return rows.select("path", "part", "owner", "kind", "e.key", "e.value").filter("value is not null")
 
 

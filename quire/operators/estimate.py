@@ -76,12 +76,12 @@ def flow_rows(of_nodes: DataFrame) -> DataFrame:
     lines = sectioned(cell.groupBy("path", F.col("tbl").alias("block"), F.col("tr").alias("id")).agg(F.max(height).alias("line_h")), of_nodes)
     none = F.lit(0.0)
     units = lines.select("path", "block", "id", F.lit("unit").alias("kind"), "section", F.lit(1).alias("lines"), "line_h", none.alias("before"), none.alias("after"), none.alias("extra"), F.lit(False).alias("forced"), "columns", F.col("h").alias("room"))
-    return stored(texts.unionByName(units))
+    return texts.unionByName(units)
 
 
 def placements(of_nodes: DataFrame, chunk: int = flow.CHUNK) -> DataFrame:
     """path, block, kind (paragraph or table), section, page, page_end, column (where it ends), lines (rows of a table), height_pt of the blocks of the body."""
-    rows = flow_rows(of_nodes)
+    rows = stored(flow_rows(of_nodes))
     placed = flow.pagination(rows.withColumnRenamed("id", "n"), "path", chunk)
     of = rows.select("path", "section", F.col("id").alias("n"), "block", "kind", "lines", (F.col("lines") * F.col("line_h") + F.col("extra")).alias("height_pt"))
     joined = placed.join(of, ["path", "section", "n"])

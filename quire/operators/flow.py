@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ranks import numbered
+from quire.sources.store import stored
+
 #: Of paragraphs the gap in median gaps and its least in points, the usual gap, the sizes that are alike;
 #: of tables the gap after a row, rows, the gap between cells, heights that are alike.
 GAP_FACTOR, LEAST_GAP, USUAL_GAP, SAME_SIZE = 1.8, 6.0, 4.0, 0.5
@@ -206,7 +209,7 @@ def pagination(blocks: DataFrame, doc: str = "doc", chunk: int = CHUNK) -> DataF
     names = ["section", "n", "kind", "lines", "line_h", "before", "after", "forced", "columns", "room"]
     key = [doc, "section", "run"]
     extra = F.col("extra").cast("double") if "extra" in kinds else F.lit(0.0)
-    rows = blocks.select(doc, *names, extra.alias("extra")).withColumn("run", F.floor(F.col("n") / chunk).cast("long"))
+    rows = stored(blocks.select(doc, *names, extra.alias("extra")).withColumn("run", F.floor(F.col("n") / chunk).cast("long")))
     typed = f"`{doc}` {kinds[doc]}, section {kinds['section']}, run long"
 
     def pieces_of(group: pd.DataFrame) -> tuple[list[tuple[str, int]], int]:
@@ -256,8 +259,44 @@ def pagination(blocks: DataFrame, doc: str = "doc", chunk: int = CHUNK) -> DataF
 def flattened(children: DataFrame, root: str = "root") -> DataFrame:
     """doc, ref, place: leaves below the root in reading order, from rows (doc, parent, pos, ref, is_group).
 
-    One document's tree is walked at a time. References into a group already on the path, missing parents and cycles lead nowhere.
+    Where every group is referred to once, places come from list ranking (`ranked_leaves`), in rounds that double. Documents in which some group is referred to
+    again are walked, one at a time, as its leaves are read each time. References into a group already on the path, missing parents and cycles lead nowhere.
+    """
+    rows = children.select("doc", "parent", "pos", "ref", "is_group")
+    again = rows.filter("is_group").groupBy("doc", "ref").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | (F.col("ref") == root)).select("doc").distinct()
+    return ranked_leaves(rows.join(again, "doc", "left_anti"), root).unionByName(walked(rows.join(again, "doc", "left_semi"), root))
+
+
+#: Where a list of steps ends: after the root's last child, or in a group that nothing refers to.
+DONE, LOST = -1, -2
+
+
+def ranked_leaves(rows: DataFrame, root: str) -> DataFrame:
+    """flattened() of trees, by pointer jumping over the tour through them.
+
+    Each reference is entered and left once, which makes two steps 2 g and 2 g + 1 of reference g; each step knows the next. In every round a step adds what the
+    one it points to has counted, and points to where that points, so lists of n steps are done after log2 n rounds; what is left then runs in circles.
     """
+    edges = stored(numbered(rows, ["doc", "parent", "pos", "ref"], "g"))
+    after = F.lead("g").over(Window.partitionBy("doc", "parent").orderBy("g"))
+    first = edges.groupBy("doc", F.col("parent").alias("ref")).agg(F.min("g").alias("child"))
+    up = edges.filter("is_group").select("doc", F.col("ref").alias("parent"), F.col("g").alias("up"))
+    known = edges.withColumn("after", after).join(first, ["doc", "ref"], "left").join(up, ["doc", "parent"], "left")
+    inward = F.when(F.col("is_group") & F.col("child").isNotNull(), 2 * F.col("child")).otherwise(2 * F.col("g") + 1)
+    outward = F.when(F.col("after").isNotNull(), 2 * F.col("after")).when(F.col("parent") == root, F.lit(DONE)).otherwise(F.coalesce(2 * F.col("up") + 1, F.lit(LOST)))
+    steps = F.array(F.struct((2 * F.col("g")).alias("step"), inward.cast("long").alias("to"), (~F.col("is_group")).cast("long").alias("n")), F.struct((2 * F.col("g") + 1).alias("step"), outward.cast("long").alias("to"), F.lit(0).cast("long").alias("n")))
+    at, open_before = stored(known.select(F.explode(steps).alias("s")).select("s.*")), None
+    while (still := at.filter("to >= 0").count()) and still != open_before:
+        ahead = at.select(F.col("step").alias("to"), F.col("to").alias("further"), F.col("n").alias("more"))
+        moved = at.filter("to >= 0").join(ahead, "to").select("step", F.col("further").alias("to"), (F.col("n") + F.col("more")).alias("n"))
+        at, open_before = stored(at.filter("to < 0").unionByName(moved)), still
+    counted = edges.filter("not is_group").join(at.filter(F.col("to") == DONE).select((F.col("step") / 2).cast("long").alias("g"), (F.col("step") % 2).alias("leaving"), "n").filter("leaving = 0"), "g")
+    whole = counted.groupBy("doc").agg(F.max("n").alias("all"))
+    return counted.join(whole, "doc").select("doc", "ref", (F.col("all") - F.col("n")).cast("int").alias("place"))
+
+
+def walked(children: DataFrame, root: str) -> DataFrame:
+    """flattened() of any document, held one at a time."""
     kind = dict(children.dtypes)["doc"]
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
@@ -271,6 +310,6 @@ def flattened(children: DataFrame, root: str = "root") -> DataFrame:
                 todo += [(r, g, path | {ref}) for r, g in reversed(below.get(ref, [])) if not (g and r in path | {ref})]
             else:
                 leaves.append(ref)
-        return pd.DataFrame({"doc": group["doc"].iloc[0], "ref": leaves, "place": range(len(leaves))})
+        return pd.DataFrame({"doc": pd.Series([group["doc"].iloc[0]] * len(leaves), dtype=object), "ref": pd.Series(leaves, dtype=object), "place": pd.Series(range(len(leaves)), dtype="int32")})
 
-    return children.select("doc", "parent", "pos", "ref", "is_group").groupBy("doc").applyInPandas(walk, f"doc {kind}, ref string, place int")
+    return children.groupBy("doc").applyInPandas(walk, f"doc {kind}, ref string, place int")

@@ -46,8 +46,10 @@ def apply(rule: str, **tables: DataFrame) -> DataFrame:
     tables: any of the relations that the rule needs, or of those they build on, by name (`layout` with one row a line is enough
     for most): columns as in quire.sources.fixtures.PARTS. Relations not given are derived from those given.
     """
-    needs, sql = RULES[rule]
     spark = next(iter(tables.values())).sparkSession
+    if rule in documents.OPERATED:
+        return documents.OPERATED[rule](lambda part: tables[part] if part in tables else bound(spark, text_of([part], f"SELECT * FROM {part}", "spark", tuple(tables)), tables))
+    needs, sql = RULES[rule]
     return bound(spark, text_of(needs, sql, "spark", tuple(tables)), tables)
 
 

@@ -35,7 +35,6 @@ OPS: list[tuple[str, list[str], str]] = [
         SELECT p.doc_id, p.page, concat('PAGE ', CAST(p.width AS STRING), 'x', CAST(p.height AS STRING), ' pt (body text ~', CAST(o.body AS STRING), '.0pt). Reading order:', CASE WHEN t.lines IS NULL THEN '' ELSE concat(chr(10), t.lines) END,
         CASE WHEN c.fills IS NULL THEN '' ELSE concat(chr(10), chr(10), 'FILLS', chr(10), c.fills) END, CASE WHEN r.borders IS NULL THEN '' ELSE concat(chr(10), 'BORDERS ', r.borders) END) AS prompt
         FROM page_box AS p JOIN body AS o ON p.doc_id = o.doc_id AND p.page = o.page LEFT JOIN t ON p.doc_id = t.doc_id AND p.page = t.page LEFT JOIN c ON p.doc_id = c.doc_id AND p.page = c.page LEFT JOIN r ON p.doc_id = r.doc_id AND p.page = r.page"""),
-    ("K8_page_json_rows", ["blocks"], "SELECT doc_id, page, count(*) AS blocks FROM blocks GROUP BY doc_id, page"),
     ("F1_nonblank", ["layout"], "SELECT doc_id, n, trim(text) <> '' AS has_text FROM layout"),
     ("F2_route", ["routes"], r"SELECT doc_id, page, llm, chars, mode, reason FROM routes"),
     ("F3_multi_column", ["multi_pages"], r"SELECT doc_id, page, multi FROM multi_pages"),
@@ -44,7 +43,6 @@ OPS: list[tuple[str, list[str], str]] = [
     ("F6_reroute", ["routes", "fills", "frames"], r""", v AS (SELECT doc_id, page, bool_or(has_fill) AS has_fill, bool_or(has_frame) AS has_frame FROM (SELECT doc_id, page, true AS has_fill, false AS has_frame FROM fills UNION ALL SELECT doc_id, page, false, true FROM frames) AS u GROUP BY doc_id, page)
         SELECT r.doc_id, r.page, r.llm, r.mode AS before, CASE WHEN r.mode = 'text' AND r.llm = 'auto' AND (coalesce(v.has_fill, false) OR coalesce(v.has_frame, false)) THEN 'llm' ELSE r.mode END AS mode,
         CASE WHEN r.mode = 'text' AND r.llm = 'auto' AND (coalesce(v.has_fill, false) OR coalesce(v.has_frame, false)) THEN concat('vector fills/frame present (', r.reason, ')') ELSE r.reason END AS reason FROM routes AS r LEFT JOIN v ON r.doc_id = v.doc_id AND r.page = v.page"""),
-    ("F7_row_shaped", ["cells"], ", g AS (SELECT t, r, x - lag(x_end) OVER (PARTITION BY t, r ORDER BY c) AS gap FROM cells) SELECT t, r, count(gap) >= 1 AND count(CASE WHEN gap < 25 THEN 1 END) = 0 AS row_shaped FROM g GROUP BY t, r"),
     ("F8_spanning", ["blocks", "page_box"], r"SELECT b.doc_id, b.page, b.n, b.w * 100 > 62 * p.width OR (b.x * 100 < 45 * p.width AND (b.x + b.w) * 100 > 55 * p.width) AS spanning FROM blocks AS b JOIN page_box AS p ON b.doc_id = p.doc_id AND b.page = p.page"),
     ("F9_margin_band", ["running"], r"SELECT page, k, CASE WHEN cy * 100 > 88 * page_h THEN 'header' WHEN cy * 100 < 12 * page_h THEN 'footer' END AS band FROM running"),
     ("F10_furniture", ["running"], r"SELECT page, k, layer = 'furniture' OR label IN ('page_header', 'page_footer') AS furniture FROM running"),
@@ -57,8 +55,6 @@ OPS: list[tuple[str, list[str], str]] = [
     ("F17_frame_candidate", ["drawings", "page_box"], r"SELECT d.doc_id, d.page, d.d, d.w * 100 >= 60 * p.width AND d.w < p.width - 1 AND d.h * 100 >= 60 * p.height AND d.h < p.height - 1 AS frame FROM drawings AS d JOIN page_box AS p ON d.doc_id = p.doc_id AND d.page = p.page WHERE d.stroke IS NOT NULL"),
     ("F18_has_text", ["layout"], "SELECT doc_id, page, count(CASE WHEN trim(text) <> '' THEN 1 END) > 0 AS has_text FROM layout GROUP BY doc_id, page"),
     ("F19_pending", ["page_state"], "SELECT doc_id, page, status FROM page_state WHERE status <> 'completed'"),
-    ("F22_column_bands", ["blocks"], """, o AS (SELECT doc_id, page, length(text) AS v, w, x, row_number() OVER (PARTITION BY doc_id, page ORDER BY length(text), n) - 1 AS i, count(*) OVER (PARTITION BY doc_id, page) AS c FROM blocks)
-        SELECT doc_id, page, max(CASE WHEN i = floor(c / 2) THEN v END) AS median_chars, max(c) >= 6 AND max(CASE WHEN i = floor(c / 2) THEN v END) >= 40 AND count(CASE WHEN x < 200 THEN 1 END) >= 3 AND count(CASE WHEN x > 200 THEN 1 END) >= 3 AS multi FROM o GROUP BY doc_id, page"""),
     ("F23_full_width", ["blocks"], """, o AS (SELECT doc_id, page, n, w, row_number() OVER (PARTITION BY doc_id, page ORDER BY w, n) - 1 AS i, count(*) OVER (PARTITION BY doc_id, page) AS c FROM blocks), m AS (SELECT doc_id, page, max(CASE WHEN i = floor(c / 2) THEN w END) AS m FROM o GROUP BY doc_id, page)
         SELECT b.doc_id, b.page, b.n, b.w * 10 >= m.m * 16 AS is_full FROM blocks AS b JOIN m ON b.doc_id = m.doc_id AND b.page = m.page"""),
     ("F24_injected", ["page_box", "fills", "borders", "frames"], r""", f AS (SELECT doc_id, page, count(*) AS n, agg[fill; ','; f]! AS fills FROM fills GROUP BY doc_id, page)
@@ -98,25 +94,21 @@ OPS: list[tuple[str, list[str], str]] = [
     ("J13_deref", ["layout", "images"], r""", r AS (SELECT doc_id, page, concat('#/texts/', CAST(n AS STRING)) AS ref FROM layout UNION ALL SELECT doc_id, page, concat('#/pictures/', CAST(i AS STRING)) FROM images UNION ALL SELECT doc_id, page, '#/tables/99' FROM images),
         s AS (SELECT doc_id, page, ref, rx[rx[ref;'^#/';'']!;'/.*$';'']! AS kind, CAST(rx[ref;'^.*/';'']! AS INT) AS idx FROM r), nodes AS (SELECT doc_id, page, 'texts' AS kind, n AS idx, text FROM layout UNION ALL SELECT doc_id, page, 'pictures', i, '' FROM images)
         SELECT s.doc_id, s.page, s.ref, s.kind, s.idx, n.text FROM s JOIN nodes AS n ON s.doc_id = n.doc_id AND s.page = n.page AND s.kind = n.kind AND s.idx = n.idx"""),
-    ("J16_covered", ["cells"], r", s AS (SELECT t, r, c, x_end, lead(c) OVER (PARTITION BY t, r ORDER BY c) AS next_c FROM cells), k AS (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) SELECT s.t, s.r, s.c, k.k, s.next_c IS NOT NULL AND s.next_c <= k.k AS blocked FROM s JOIN k ON k.k > s.c WHERE 40 + k.k * 90 + 4 < s.x_end"),
+    ("J16_covered", ["banded_cells", "cell_bands"], "SELECT s.t, s.r, s.c, b.band AS k, s.next_band IS NOT NULL AND s.next_band <= b.band AS blocked FROM banded_cells AS s JOIN cell_bands AS b ON b.t = s.t AND b.band > s.band AND b.x0 + 4 < s.x_end"),
     ("J17_nested_columns", ["cells"], r""", s AS (SELECT t, r, CAST(sum(CASE c WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END) AS INT) AS m, count(*) AS c FROM cells GROUP BY t, r), d AS (SELECT DISTINCT t, m, c FROM s), o AS (SELECT t, m, lag(m) OVER (PARTITION BY t ORDER BY c, m) AS below FROM d)
         SELECT t, bool_and(below IS NULL OR (m & below) = below) AS nested FROM o GROUP BY t"""),
     ("J18_remove_running", ["margin_lines", "running_groups"], r"SELECT r.page, r.k FROM margin_lines AS r LEFT ANTI JOIN running_groups AS g ON r.band = g.band AND r.norm = g.norm WHERE NOT (r.furniture AND r.band IS NOT NULL)"),
     ("A1_page_stats", ["layout", "images", "all_blocks"], r""", l AS (SELECT doc_id, page, sum(length(text)) AS chars, count(size) AS sized FROM layout GROUP BY doc_id, page), b AS (SELECT doc_id, page, count(*) AS n FROM all_blocks GROUP BY doc_id, page), i AS (SELECT doc_id, page, count(*) AS n FROM images GROUP BY doc_id, page)
         SELECT l.doc_id, l.page, CAST(l.chars AS BIGINT) AS chars, b.n + coalesce(i.n, 0) AS blocks, coalesce(i.n, 0) AS images, l.sized AS sizes FROM l JOIN b ON l.doc_id = b.doc_id AND l.page = b.page LEFT JOIN i ON l.doc_id = i.doc_id AND l.page = i.page"""),
     ("A2_body_size", ["body"], "SELECT doc_id, page, body FROM body"),
-    ("A3_block_size", ["layout"], r", s AS (SELECT doc_id, page, block, size, sum(length(text)) AS wt, min(n) AS first_n FROM layout GROUP BY doc_id, page, block, size) SELECT doc_id, page, block, max_by(size, wt * 100000 - first_n) AS size FROM s GROUP BY doc_id, page, block"),
+    ("A3_block_size", ["layout"], r", s AS (SELECT doc_id, page, block, size, sum(length(text)) AS wt, min(n) AS first_n FROM layout GROUP BY doc_id, page, block, size) SELECT doc_id, page, block, max_by(size, (wt, 0 - first_n)) AS size FROM s GROUP BY doc_id, page, block"),
     ("A4_heading_levels", ["levels"], "SELECT doc_id, page, size, level FROM levels"),
     ("A5_upper_median", ["blocks"], ", o AS (SELECT doc_id, page, length(text) AS v, row_number() OVER (PARTITION BY doc_id, page ORDER BY length(text)) - 1 AS i, count(*) OVER (PARTITION BY doc_id, page) AS c FROM blocks) SELECT doc_id, page, v AS median FROM o WHERE i = floor(c / 2)"),
     ("A6_border_histogram", ["borders"], r"SELECT doc_id, page, color, width, n, place FROM borders"),
     ("A7_band_population", ["blocks"], r""", g AS (SELECT doc_id, page, x, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id, page ORDER BY x) > 40 THEN 1 ELSE 0 END AS brk FROM (SELECT DISTINCT doc_id, page, x FROM blocks) AS d),
         k AS (SELECT doc_id, page, x, CAST(sum(brk) OVER (PARTITION BY doc_id, page ORDER BY x) AS INT) AS band FROM g), bands AS (SELECT doc_id, page, band, min(x) AS x0, max(x) AS x1 FROM k GROUP BY doc_id, page, band) SELECT s.doc_id, s.page, s.band, count(*) AS n FROM bands AS s JOIN blocks AS b ON b.doc_id = s.doc_id AND b.page = s.page AND b.x BETWEEN s.x0 - 1 AND s.x1 + 1 GROUP BY s.doc_id, s.page, s.band HAVING count(*) >= 3"""),
     ("A8_running_elements", ["running_groups"], r"SELECT band, norm, pages, first_raw FROM running_groups"),
-    ("A9_page_start", ["margin_lines", "running_groups"], r""", o AS (SELECT page, CAST(dense_rank() OVER (ORDER BY page) AS INT) AS ordinal FROM (SELECT DISTINCT page FROM running) AS p), numbered AS (SELECT band, norm FROM running_groups WHERE band = 'footer' AND (like[first_raw;'^[0-9]+$']! OR like[lower(first_raw);'^[0-9]+\s+of\s+[0-9]+$']! OR like[lower(first_raw);'^page\s+[0-9]+(\s+of\s+[0-9]+)?$']!)),
-        v AS (SELECT m.norm, CAST(regexp_extract(m.raw, '[0-9]+', 0) AS INT) - (o.ordinal - 1) AS start, m.page FROM margin_lines AS m JOIN numbered AS n ON m.band = n.band AND m.norm = n.norm JOIN o ON m.page = o.page), s AS (SELECT norm, start, count(*) AS n, min(page) AS first_page FROM v GROUP BY norm, start)
-        SELECT norm, max_by(start, n * 1000000 - first_page) AS page_number_start FROM s GROUP BY norm"""),
     ("A10_numeric_columns", ["cells"], f"SELECT t, c, bool_and(like[text;{NUMERIC}]!) AS is_numeric FROM cells WHERE r > 1 AND text <> '' GROUP BY t, c"),
-    ("A11_palette", ["fills"], ", s AS (SELECT fill, count(*) AS n FROM fills GROUP BY fill) SELECT fill, n, row_number() OVER (ORDER BY n DESC, fill) AS rank FROM s"),
     ("A12_word_counts", ["raw_lines"], "SELECT doc_id, CAST(sum(CASE WHEN trim(line) = '' THEN 0 ELSE length(trim(line)) - length(replace(trim(line), ' ', '')) + 1 END) AS BIGINT) AS words FROM raw_lines GROUP BY doc_id"),
     ("A13_distinct_words", ["page_words"], "SELECT word, count(*) AS pages FROM page_words GROUP BY word"),
     ("A14_session", ["page_state"], "SELECT status, count(*) AS pages, CAST(sum(tries) AS BIGINT) AS tries, count(CASE WHEN rung > 1 THEN 1 END) AS escalated FROM page_state GROUP BY status"),
@@ -124,7 +116,7 @@ OPS: list[tuple[str, list[str], str]] = [
     ("A16_ragged", ["cells"], ", s AS (SELECT t, r, count(*) AS width FROM cells GROUP BY t, r) SELECT t, count(CASE WHEN width < m THEN 1 END) AS ragged FROM (SELECT t, r, width, max(width) OVER (PARTITION BY t) AS m FROM s) AS q GROUP BY t"),
     ("A17_cell_text", ["layout"], r", s AS (SELECT *, flags >= 16 OR lower(font) LIKE '%bold%' AS is_bold, flags % 4 >= 2 OR lower(font) LIKE '%italic%' OR lower(font) LIKE '%oblique%' AS is_italic FROM layout WHERE trim(text) <> '') SELECT doc_id, page, block, CAST(floor(x / 8.0 + 0.5) * 8 AS INT) AS key, agg[trim(text); ' '; y, n]! AS text, bool_and(is_bold) AS bold, bool_or(is_italic) AS italic, max(x + w) AS x_end FROM s GROUP BY doc_id, page, block, CAST(floor(x / 8.0 + 0.5) * 8 AS INT)"),
     ("A18_bbox_union", ["blocks"], "SELECT doc_id, page, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM blocks GROUP BY doc_id, page"),
-    ("A19_dominant_font", ["layout"], r", d AS (SELECT doc_id, page, block, max_by(n, CAST(length(trim(text)) AS BIGINT) * 100000000 + size * 100000 - n) AS n FROM layout GROUP BY doc_id, page, block) SELECT d.doc_id, d.page, d.block, l.font, l.size, l.flags >= 16 OR lower(l.font) LIKE '%bold%' OR lower(l.font) LIKE '%black%' OR lower(l.font) LIKE '%heavy%' AS bold, l.flags % 4 >= 2 OR lower(l.font) LIKE '%italic%' OR lower(l.font) LIKE '%oblique%' AS italic FROM d JOIN layout AS l ON d.doc_id = l.doc_id AND d.n = l.n"),
+    ("A19_dominant_font", ["layout"], r", d AS (SELECT doc_id, page, block, max_by(n, (length(trim(text)), size, 0 - n)) AS n FROM layout GROUP BY doc_id, page, block) SELECT d.doc_id, d.page, d.block, l.font, l.size, l.flags >= 16 OR lower(l.font) LIKE '%bold%' OR lower(l.font) LIKE '%black%' OR lower(l.font) LIKE '%heavy%' AS bold, l.flags % 4 >= 2 OR lower(l.font) LIKE '%italic%' OR lower(l.font) LIKE '%oblique%' AS italic FROM d JOIN layout AS l ON d.doc_id = l.doc_id AND d.n = l.n"),
     ("A20_verdict", ["page_state", "images", "fills"], r""", checks AS (SELECT doc_id, 'pages completed' AS name, bool_and(status = 'completed') AS ok FROM page_state GROUP BY doc_id UNION ALL SELECT doc_id, 'fills present', count(CASE WHEN fill = '#111111' THEN 1 END) = 0 FROM fills GROUP BY doc_id UNION ALL SELECT doc_id, 'images embedded', count(*) <= 2 FROM images GROUP BY doc_id)
         SELECT doc_id, bool_and(ok) AS ok, count(*) AS checks, count(CASE WHEN NOT ok THEN 1 END) AS failed FROM checks GROUP BY doc_id"""),
     ("A21_summary", ["layout", "fills"], r""", t AS (SELECT s.doc_id, s.page, s.n FROM layout AS s LEFT SEMI JOIN fills AS t ON t.doc_id = s.doc_id AND t.page = s.page AND s.x * 2 + s.w BETWEEN t.x * 2 AND (t.x + t.w) * 2 AND s.y * 2 + s.h BETWEEN t.y * 2 AND (t.y + t.h) * 2 WHERE trim(s.text) <> ''), a AS (SELECT doc_id, count(CASE WHEN trim(text) <> '' THEN 1 END) AS spans, count(DISTINCT page) AS pages FROM layout GROUP BY doc_id),
@@ -136,13 +128,12 @@ OPS: list[tuple[str, list[str], str]] = [
         k AS (SELECT doc_id, page, x, CAST(sum(brk) OVER (PARTITION BY doc_id, page ORDER BY x) AS INT) AS band FROM g), bands AS (SELECT doc_id, page, band, min(x) AS x0, max(x) AS x1 FROM k GROUP BY doc_id, page, band) SELECT s.doc_id, s.page, s.band, s.x0, s.x1, count(*) AS n FROM bands AS s JOIN blocks AS b ON b.doc_id = s.doc_id AND b.page = s.page AND b.x BETWEEN s.x0 AND s.x1 GROUP BY s.doc_id, s.page, s.band, s.x0, s.x1"""),
     ("W3_segments", ["blocks"], r""", o AS (SELECT doc_id, page, n, w, row_number() OVER (PARTITION BY doc_id, page ORDER BY w, n) - 1 AS i, count(*) OVER (PARTITION BY doc_id, page) AS c FROM blocks), m AS (SELECT doc_id, page, max(CASE WHEN i = floor(c / 2) THEN w END) AS m FROM o GROUP BY doc_id, page), k AS (SELECT b.doc_id, b.page, b.n, b.x, b.y, CASE WHEN b.w * 10 >= m.m * 16 THEN 'full' ELSE 'columns' END AS kind FROM blocks AS b JOIN m ON b.doc_id = m.doc_id AND b.page = m.page), r AS (SELECT *, CASE WHEN kind <> coalesce(lag(kind) OVER (PARTITION BY doc_id, page ORDER BY y, x, n), kind) THEN 1 ELSE 0 END AS brk FROM k), s AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY doc_id, page ORDER BY y, x, n) AS INT) AS seg FROM r)
         SELECT doc_id, page, seg, kind, count(*) AS blocks, min(y) AS y FROM s GROUP BY doc_id, page, seg, kind"""),
-    ("W5_column_span", ["cells"], ", s AS (SELECT t, r, c, x_end, coalesce(lead(c) OVER (PARTITION BY t, r ORDER BY c), 4) AS next_c FROM cells), k AS (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) SELECT s.t, s.r, s.c, 1 + count(k.k) AS span FROM s LEFT JOIN k ON k.k > s.c AND k.k < s.next_c AND 40 + k.k * 90 + 4 < s.x_end GROUP BY s.t, s.r, s.c"),
+    ("W5_column_span", ["banded_cells", "cell_bands"], "SELECT s.t, s.r, s.c, 1 + count(b.band) AS span FROM banded_cells AS s LEFT JOIN cell_bands AS b ON b.t = s.t AND b.band > s.band AND (s.next_band IS NULL OR b.band < s.next_band) AND b.x0 + 4 < s.x_end GROUP BY s.t, s.r, s.c"),
     ("W6_row_assembly", ["cells"], r""", l AS (SELECT t, r, c, CAST(floor(x / 8.0 + 0.5) * 8 AS INT) AS key, row_number() OVER (PARTITION BY t ORDER BY r, c) AS i FROM cells), f AS (SELECT t, min_by(key, i) AS leftmost FROM l GROUP BY t),
         s AS (SELECT l.t, l.i, l.key = f.leftmost AS is_left, lag(l.key = f.leftmost) OVER (PARTITION BY l.t ORDER BY l.i) AS was_left FROM l JOIN f ON l.t = f.t),
         b AS (SELECT t, i, CASE WHEN is_left AND was_left IS NOT NULL AND NOT was_left AND sum(CASE WHEN is_left THEN 1 ELSE 0 END) OVER (PARTITION BY t ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 1 ELSE 0 END AS brk FROM s)
         SELECT t, i, CAST(sum(brk) OVER (PARTITION BY t ORDER BY i) AS INT) AS row_id FROM b"""),
-    ("W7_relative_widths", ["cells"], r""", g AS (SELECT t, x, CASE WHEN x - lag(x) OVER (PARTITION BY t ORDER BY x) > 20 THEN 1 ELSE 0 END AS brk FROM (SELECT DISTINCT t, x FROM cells) AS d), k AS (SELECT t, x, CAST(sum(brk) OVER (PARTITION BY t ORDER BY x) AS INT) AS band FROM g), b AS (SELECT t, band, min(x) AS x0, max(x) AS x1 FROM k GROUP BY t, band)
-        SELECT t, band, coalesce(lead(x0) OVER (PARTITION BY t ORDER BY band) - x0, greatest(x1 - x0 + 60, 60)) AS width FROM b"""),
+    ("W7_relative_widths", ["cell_bands"], "SELECT t, band, coalesce(lead(x0) OVER (PARTITION BY t ORDER BY band) - x0, greatest(x1 - x0 + 60, 60)) AS width FROM cell_bands"),
     ("W8_list_coalescing", ["layout", "blocks", "levels"], rf""", l AS (SELECT doc_id, page, block, count(CASE WHEN like[text;{BULLET}]! OR like[text;{NUMBERED}]! THEN 1 END) AS items, max_by(CASE WHEN like[text;{NUMBERED}]! THEN 1 ELSE 0 END, 0 - n) AS ordered FROM layout GROUP BY doc_id, page, block),
         c AS (SELECT b.doc_id, b.page, b.n, b.y, b.x, b.text, v.level, l.ordered, CASE WHEN v.level IS NOT NULL AND b.n_lines <= 2 AND length(b.text) <= 120 THEN 'heading' WHEN l.items > 0 AND l.items >= b.n_lines - 1 THEN 'list' ELSE 'paragraph' END AS type
         FROM blocks AS b JOIN l ON b.doc_id = l.doc_id AND b.page = l.page AND b.n = l.block LEFT JOIN levels AS v ON b.doc_id = v.doc_id AND b.page = v.page AND b.size = v.size), b AS (SELECT *, CASE WHEN type = 'list' AND lag(type) OVER (PARTITION BY doc_id, page ORDER BY y, x, n) = 'list' AND ordered = lag(ordered) OVER (PARTITION BY doc_id, page ORDER BY y, x, n) THEN 0 ELSE 1 END AS brk FROM c), s AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY doc_id, page ORDER BY y, x, n) AS INT) AS g FROM b),
@@ -155,7 +146,7 @@ OPS: list[tuple[str, list[str], str]] = [
         SELECT doc_id, page, n, sp = 1 AS spanning, CAST(sum(sp) OVER (PARTITION BY doc_id, page ORDER BY y, cx, n) AS INT) AS band, CASE WHEN sp = 0 THEN side END AS side FROM s"""),
     ("W12_page_attach", ["layout"], r", s AS (SELECT doc_id, n, CASE WHEN trim(text) <> '' THEN page + 1 END AS p FROM layout) SELECT doc_id, n, coalesce(max(p) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS page_no FROM s"),
     ("W13_page_ordinal", ["page_state"], "SELECT doc_id, page, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY page) AS INT) AS ordinal FROM page_state"),
-    ("W14_first_style", ["attempts"], r"SELECT doc_id, min_by(rung, page * 100000000 + attempt) AS style, min_by(code, page * 100000000 + attempt) AS start FROM attempts WHERE ok GROUP BY doc_id"),
+    ("W14_first_style", ["attempts"], r"SELECT doc_id, min_by(rung, (page, attempt)) AS style, min_by(code, (page, attempt)) AS start FROM attempts WHERE ok GROUP BY doc_id"),
     ("W15_page_breaks", ["blocks"], r", s AS (SELECT doc_id, page, n, y, row_number() OVER (PARTITION BY doc_id, page ORDER BY y, x, n) AS k, min(page) OVER (PARTITION BY doc_id) AS first_page FROM blocks) SELECT doc_id, page, n, CASE WHEN k = 1 AND page > first_page THEN 'NEXT_PAGE' ELSE 'CONTINUOUS' END AS type FROM s"),
     ("W18_exact_widths", ["cells"], ", s AS (SELECT DISTINCT t, c FROM cells), q AS (SELECT t, c, count(*) OVER (PARTITION BY t) AS k, row_number() OVER (PARTITION BY t ORDER BY c) AS i FROM s) SELECT t, c, CAST(CASE WHEN i = k THEN 9360 - floor(9360 / k) * (k - 1) ELSE floor(9360 / k) END AS INT) AS width FROM q"),
     ("W19_asset_numbers", ["images"], r"SELECT doc_id, page, i, concat('img_', CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY i) AS STRING), '.png') AS asset FROM images"),
@@ -187,13 +178,12 @@ OPS: list[tuple[str, list[str], str]] = [
     ("X22_bucket", ["layout"], "SELECT doc_id, n, CAST(floor(x / 8.0 + 0.5) * 8 AS INT) AS b8, CAST(floor(x / 5.0 + 0.5) * 5 AS INT) AS b5 FROM layout"),
     ("X23_dpi", ["layout"], "SELECT doc_id, n, CAST(greatest(72, least(200, floor(1400 * 72 / w))) AS INT) AS dpi FROM layout"),
     ("X24_flags", ["layout"], r"SELECT doc_id, page, n, (flags & 16) > 0 OR lower(font) LIKE '%bold%' OR lower(font) LIKE '%black%' OR lower(font) LIKE '%heavy%' AS bold, (flags & 2) > 0 OR lower(font) LIKE '%italic%' OR lower(font) LIKE '%oblique%' AS italic, (flags & 16) > 0 OR font LIKE '%Bold%' AS span_bold FROM layout"),
-    ("T1_state", ["page_state"], "SELECT doc_id, page, status, tries FROM page_state"),
     ("T3_resume", ["layout", "page_state"], ", p AS (SELECT DISTINCT doc_id, page FROM layout) SELECT p.doc_id, p.page FROM p LEFT ANTI JOIN page_state AS s ON p.doc_id = s.doc_id AND p.page = s.page AND s.status = 'completed'"),
-    ("T4_ladder", ["attempts"], r", o AS (SELECT doc_id, page, rung, rank, attempt, ok, row_number() OVER (PARTITION BY doc_id, page, rung ORDER BY attempt) AS k FROM attempts), a AS (SELECT * FROM o WHERE k <= CASE WHEN rung = 'json' THEN 2 ELSE 1 END) SELECT doc_id, page, min_by(rung, rank * 1000000 + attempt) AS rung, min(rank) > 1 AS escalated FROM a WHERE ok GROUP BY doc_id, page"),
-    ("T7_image_floor", ["attempts"], "SELECT doc_id, page, coalesce(min_by(CASE WHEN ok THEN rung END, CASE WHEN ok THEN rank * 1000000 + attempt END), 'image') AS rung FROM attempts GROUP BY doc_id, page"),
-    ("T9_candidates", ["attempts"], "SELECT doc_id, min_by(rung, rank * 1000000 + attempt) AS chosen FROM attempts WHERE ok GROUP BY doc_id"),
+    ("T4_ladder", ["attempts"], r", o AS (SELECT doc_id, page, rung, rank, attempt, ok, row_number() OVER (PARTITION BY doc_id, page, rung ORDER BY attempt) AS k FROM attempts), a AS (SELECT * FROM o WHERE k <= CASE WHEN rung = 'json' THEN 2 ELSE 1 END) SELECT doc_id, page, min_by(rung, (rank, attempt)) AS rung, min(rank) > 1 AS escalated FROM a WHERE ok GROUP BY doc_id, page"),
+    ("T7_image_floor", ["attempts"], "SELECT doc_id, page, coalesce(min_by(CASE WHEN ok THEN rung END, CASE WHEN ok THEN (rank, attempt) END), 'image') AS rung FROM attempts GROUP BY doc_id, page"),
+    ("T9_candidates", ["attempts"], "SELECT doc_id, min_by(rung, (rank, attempt)) AS chosen FROM attempts WHERE ok GROUP BY doc_id"),
     ("T10_retry_class", ["attempts"], r"SELECT attempt, code, message, CASE WHEN message LIKE 'Cancel%' OR message LIKE 'AbortError%' THEN 'fatal' WHEN message LIKE '%tool_use_failed%' THEN 'retry' WHEN code IN (400, 401, 402, 403, 404, 405, 406, 407, 409) THEN 'fatal' ELSE 'retry' END AS class FROM attempts"),
-    ("T11_render_fallback", ["page_state", "html_blocks"], r"SELECT s.doc_id, s.page, CASE WHEN s.rung IS NOT NULL AND s.status = 'completed' THEN 'layout' ELSE 'plain paragraphs' END AS rendered, count(CASE WHEN h.text <> '' THEN 1 END) AS paragraphs, s.rung IS NULL OR s.status <> 'completed' AS warned FROM page_state AS s LEFT JOIN html_blocks AS h ON h.page_id = s.doc_id GROUP BY s.doc_id, s.page, s.rung, s.status"),
+    ("T11_render_fallback", ["page_state", "blocks"], r"SELECT s.doc_id, s.page, CASE WHEN s.rung IS NOT NULL AND s.status = 'completed' THEN 'layout' ELSE 'plain paragraphs' END AS rendered, count(b.n) AS paragraphs, s.rung IS NULL OR s.status <> 'completed' AS warned FROM page_state AS s LEFT JOIN blocks AS b ON b.doc_id = s.doc_id AND b.page = s.page GROUP BY s.doc_id, s.page, s.rung, s.status"),
     ("F20_asset_name", ["images"], r", a AS (SELECT doc_id, page, concat('assets/page_', lpad(CAST(page + 1 AS STRING), 4, '0'), '/img_', CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY i) AS STRING), '.png') AS path FROM images) SELECT doc_id, page, path, rx[path;'^.*/';'']! AS name FROM a"),
     ("O4_best_fill", ["blocks", "fill_text"], r""", bw AS (SELECT DISTINCT doc_id, page, n, word FROM (SELECT doc_id, page, n, each[lower(text);'[\p{L}\p{N}]{3,}']! AS word FROM blocks) AS q), fw AS (SELECT DISTINCT doc_id, page, f, word FROM (SELECT doc_id, page, f, each[lower(text);'[\p{L}\p{N}]{3,}']! AS word FROM fill_text WHERE fill IS NOT NULL) AS q),
         bn AS (SELECT doc_id, page, n, count(*) AS c FROM bw GROUP BY doc_id, page, n), fn AS (SELECT doc_id, page, f, count(*) AS c FROM fw GROUP BY doc_id, page, f),

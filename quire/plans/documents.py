@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark import StorageLevel
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import metrics, text
 from quire.operators import flow, layout_json, orchestration, writer
+from quire.operators.ranks import numbered
 from quire.sources import packages, session, structured
 
 from . import fixture, text_of
@@ -27,13 +29,21 @@ def oracle(needs: list[str], sql: str) -> str:
 # ---- structured pages
 
 
-def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fixture(spark, sf_dir, "layout").withColumns({"bold": F.col("flags") >= 16, "italic": F.col("flags").bitwiseAND(2) > 0})
-    return structured.assembled(lines, fixture(spark, sf_dir, "page_box"), ["doc_id"], fixture(spark, sf_dir, "images"), fixture(spark, sf_dir, "fills"))
+#: Gives a relation by its name, from the fixtures or from tables of one's own.
+Relations = Callable[[str], DataFrame]
+
+
+def relations(spark: SparkSession, sf_dir: str) -> Relations:
+    return lambda part: fixture(spark, sf_dir, part)
+
+
+def page_json(of: Relations) -> DataFrame:
+    lines = of("layout").withColumns({"bold": F.col("flags") >= 16, "italic": F.col("flags").bitwiseAND(2) > 0})
+    return structured.assembled(lines, of("page_box"), ["doc_id"], of("images"), of("fills"))
 
 
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_json(spark, sf_dir).select("doc_id", structured.parsed(F.col("json")).alias("page"))
+    return page_json(relations(spark, sf_dir)).select("doc_id", structured.parsed(F.col("json")).alias("page"))
 
 
 def structured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +61,9 @@ def structured_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col("page_no").alias("page"), F.col("f").cast("int").alias("place"), "fill", *[F.col(c).cast("int").alias(c) for c in "xywh"])
 
 
-def page_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_json_rows(of: Relations) -> DataFrame:
     blocks = F.get_json_object("json", "$.structured.blocks")
-    return page_json(spark, sf_dir).select("doc_id", "page", F.json_array_length(blocks).cast("long").alias("blocks"), F.get_json_object("json", "$.size.height").cast("double").cast("int").alias("height"))
+    return page_json(of).select("doc_id", "page", F.json_array_length(blocks).cast("long").alias("blocks"), F.get_json_object("json", "$.size.height").cast("double").cast("int").alias("height"))
 
 
 # ---- folds
@@ -64,7 +74,11 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.row_shaped(fixture(spark, sf_dir, "layout"), ["doc_id", "page", "block"], "n")
+    return shapes(relations(spark, sf_dir))
+
+
+def shapes(of: Relations) -> DataFrame:
+    return flow.row_shaped(of("layout"), ["doc_id", "page", "block"], "n")
 
 
 def table_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,10 +91,10 @@ def merged_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.merged_paragraphs(rows, [*KEY, "band"])
 
 
-def column_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+def column_bands(of: Relations) -> DataFrame:
     """Whether a page has columns: enough blocks, long texts, narrow blocks that are no table rows, and two bands of three."""
-    shape = row_shaped(spark, sf_dir).withColumnRenamed("block", "n")
-    rows = blocks(spark, sf_dir).join(shape, [*KEY, "n"], "left").withColumn("chars", F.length("text"))
+    shape = shapes(of).withColumnRenamed("block", "n")
+    rows = of("blocks").join(shape, [*KEY, "n"], "left").withColumn("chars", F.length("text"))
     middle = lambda c: F.array_sort(F.collect_list(c))[F.floor(F.count("*") / 2).cast("int")]
     page = rows.groupBy(*KEY).agg(F.count("*").alias("blocks"), middle("chars").alias("median_chars"), middle("w").alias("median_w"))
     narrow = rows.join(page, KEY).filter((F.col("w") * 10 < F.col("median_w") * 16) & ~F.coalesce("is_row", F.lit(False)))
@@ -136,8 +150,20 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- orchestration
 
 
-def page_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orchestration.page_states(fixture(spark, sf_dir, "attempts"), KEY, "attempt")
+def page_state_machine(of: Relations) -> DataFrame:
+    return orchestration.page_states(of("attempts"), KEY, "attempt")
+
+
+def page_start(of: Relations) -> DataFrame:
+    """norm, page_number_start: of each running footer that is a page number the most frequent difference between its number and the place of its page."""
+    said = F.lower("first_raw")
+    number = F.col("first_raw").rlike("^[0-9]+$") | said.rlike(r"^[0-9]+\s+of\s+[0-9]+$") | said.rlike(r"^page\s+[0-9]+(\s+of\s+[0-9]+)?$")
+    footers = of("running_groups").filter((F.col("band") == "footer") & number).select("band", "norm")
+    places = numbered(of("running").select("page").distinct(), ["page"], "ordinal")
+    lines = of("margin_lines").join(footers, ["band", "norm"]).join(places, "page")
+    start = F.regexp_extract("raw", "[0-9]+", 0).cast("int") - F.col("ordinal")
+    tally = lines.groupBy("norm", start.cast("int").alias("start")).agg(F.count("*").alias("n"), F.min("page").alias("first_page"))
+    return tally.groupBy("norm").agg(F.max_by("start", F.struct("n", -F.col("first_page"))).alias("page_number_start"))
 
 
 def retry_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,6 +261,13 @@ def of_parts(use):
     return lambda spark, sf_dir: use(*filed(spark, sf_dir))
 
 
+def stretched(nodes: DataFrame) -> DataFrame:
+    """The nodes with the grid columns of every fourth document wider by 30 twips, so that tables of many columns don't fit."""
+    wide = (F.col("tag") == "gridCol") & (F.col("path").cast("long") % 4 == 0)
+    more = F.create_map(F.lit("w"), (F.col("attrs")["w"].cast("int") + 30).cast("string"))
+    return nodes.withColumn("attrs", F.when(wide, more).otherwise(F.col("attrs")))
+
+
 def themed_cases(parts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Three colours and a typeface of the theme, looked up in every package."""
     asked = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("fill_theme", "accent1"), ("fill_theme", "text1"), ("fill_theme", "accent6"), ("font_theme", "minorHAnsi"))])
@@ -246,13 +279,19 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring_index("text", " ", 3), F.lit(" et al. and "), F.col("source").cast("string"), F.lit(" et al.")).alias("t"))
 
 
+#: Rules that are operators; plans.apply runs them on tables of one's own too.
+OPERATED: dict[str, Callable[[Relations], DataFrame]] = {
+    "K8_page_json_rows": page_json_rows,
+    "F7_row_shaped": shapes,
+    "F22_column_bands": column_bands,
+    "T1_state": page_state_machine,
+    "A9_page_start": page_start,
+}
 QUERIES = {
     "S3_structured_lines": structured_lines,
     "S4_structured_blocks": structured_blocks,
     "S5_structured_fills": structured_fills,
-    "K8_page_json_rows": page_json_rows,
-    "F7_row_shaped": row_shaped,
-    "F22_column_bands": column_bands,
+    **{name: (lambda spark, sf_dir, rule=rule: rule(relations(spark, sf_dir))) for name, rule in OPERATED.items()},
     "W2_merged_paragraphs": merged_paragraphs,
     "W4_table_regions": table_regions,
     "W16_wrapped_lines": wrapped,
@@ -260,7 +299,6 @@ QUERIES = {
     "X27_layout_checks": layout_checks,
     "K2_layout_elements": layout_elements,
     "T6_commits": commits,
-    "T1_state": page_state_machine,
     "T2_retry_queue": retry_queue,
     "T5_manifests": manifests,
     "K15_worklist": worklist,
@@ -284,7 +322,7 @@ QUERIES = {
     "A11_palette": of_parts(lambda p, n: packages.properties(n).filter("key = 'fill'").groupBy("value").agg(F.count("*").alias("n"))),
     "X29_sections": of_parts(lambda p, n: packages.sections(n).select("path", "page_w_pt", "page_h_pt", "left_pt", "header_pt", "columns", "orientation")),
     "R3_cells": of_parts(lambda p, n: packages.cells(n).groupBy("path").agg(F.count("*").alias("cells"), F.countDistinct("tbl").alias("tables"))),
-    "R4_too_wide": of_parts(lambda p, n: packages.too_wide(n, 0.9).select("path", "width_pt")),
+    "R4_too_wide": of_parts(lambda p, n: packages.too_wide(stretched(n)).select("path", F.round("width_pt", 2).alias("width_pt"))),
     "R5_paragraphs": of_parts(lambda p, n: packages.paragraphs(n).filter("tbl is null").groupBy("path").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("chars"))),
     "X8_absolute_images": lambda spark, sf_dir: read(spark, sf_dir, "pages").select("page_id", text.absolute_images(F.concat(F.lit('<img src="a/b.png"> <img src="http://x/y.png"> '), "url"), "/base/").alias("html")),
     "X9_et_al": lambda spark, sf_dir: text_queries(spark, sf_dir).select("doc_id", F.size(F.filter(text.et_al_runs(F.col("t")), lambda r: r["italics"])).alias("marks"), F.array_join(F.transform(text.et_al_runs(F.col("t")), lambda r: r["text"]), "").alias("whole")),
@@ -297,6 +335,9 @@ ORACLES = {
     "S4_structured_blocks": oracle(["all_blocks", "images"], "SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY k, n) - 1 AS INT) AS block, type, x, y, w, h, n_lines FROM (SELECT doc_id, page, 0 AS k, n, 'text' AS type, x, y, w, h, CAST(n_lines AS INT) AS n_lines FROM all_blocks UNION ALL SELECT doc_id, page, 1, i, 'image', x, y, w, h, 0 FROM images) AS u"),
     "S5_structured_fills": oracle(["fills"], "SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY f) - 1 AS INT) AS place, fill, x, y, w, h FROM fills"),
     "K8_page_json_rows": oracle(["all_blocks", "images"], "SELECT doc_id, page, count(*) AS blocks, 860 AS height FROM (SELECT doc_id, page FROM all_blocks UNION ALL SELECT doc_id, page FROM images) AS u GROUP BY doc_id, page"),
+    "A9_page_start": oracle(["margin_lines", "running_groups"], r""", o AS (SELECT page, CAST(dense_rank() OVER (ORDER BY page) AS INT) AS ordinal FROM (SELECT DISTINCT page FROM running) AS p), numbered AS (SELECT band, norm FROM running_groups WHERE band = 'footer' AND (like[first_raw;'^[0-9]+$']! OR like[lower(first_raw);'^[0-9]+\s+of\s+[0-9]+$']! OR like[lower(first_raw);'^page\s+[0-9]+(\s+of\s+[0-9]+)?$']!)),
+        v AS (SELECT m.norm, CAST(regexp_extract(m.raw, '[0-9]+', 0) AS INT) - (o.ordinal - 1) AS start, m.page FROM margin_lines AS m JOIN numbered AS n ON m.band = n.band AND m.norm = n.norm JOIN o ON m.page = o.page), s AS (SELECT norm, start, count(*) AS n, min(page) AS first_page FROM v GROUP BY norm, start)
+        SELECT norm, max_by(start, (n, 0 - first_page)) AS page_number_start FROM s GROUP BY norm"""),
     "F7_row_shaped": oracle(["layout"], "SELECT doc_id, page, block, bool_or(n > 1 AND gap >= 25) AS is_row FROM (SELECT doc_id, page, block, y, count(*) AS n, min(x - before) AS gap FROM (SELECT *, lag(x + w) OVER (PARTITION BY doc_id, page, block, y ORDER BY x) AS before FROM layout WHERE trim(text) <> '') AS q GROUP BY doc_id, page, block, y) AS g GROUP BY doc_id, page, block").replace("bool_or(n > 1 AND gap >= 25)", "bool_or(coalesce(n > 1 AND gap >= 25, false))"),
     "F22_column_bands": oracle(["blocks", "layout"], """, r AS (SELECT doc_id, page, block AS n FROM layout WHERE trim(text) <> '' GROUP BY doc_id, page, block, y HAVING count(*) > 1), m AS (SELECT doc_id, page, count(*) AS c, list_sort(list(length(text)))[CAST(floor(count(*) / 2) AS INT) + 1] AS chars, list_sort(list(w))[CAST(floor(count(*) / 2) AS INT) + 1] AS w FROM blocks GROUP BY doc_id, page),
         k AS (SELECT b.doc_id, b.page, b.n, b.x FROM blocks AS b JOIN m ON b.doc_id = m.doc_id AND b.page = m.page WHERE b.w * 10 < m.w * 16 AND NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = b.doc_id AND r.page = b.page AND r.n = b.n)), x AS (SELECT doc_id, page, count(*) AS n, count(CASE WHEN x < 200 THEN 1 END) AS l, count(CASE WHEN x > 300 THEN 1 END) AS g FROM k GROUP BY doc_id, page)
@@ -331,7 +372,7 @@ ORACLES = {
     "A11_palette": oracle(["raw_lines"], "SELECT '#3C78D8' AS value, count(*) AS n FROM raw_lines WHERE doc_id % 5 <> 2 AND n % 9 = 2 AND n % 6 <> 5 HAVING count(*) > 0"),
     "X29_sections": "SELECT CAST(doc_id AS VARCHAR) AS path, 612.0::DOUBLE AS page_w_pt, 792.0::DOUBLE AS page_h_pt, 72.0::DOUBLE AS left_pt, 36.0::DOUBLE AS header_pt, 1 AS columns, 'portrait' AS orientation FROM documents WHERE doc_id % 5 <> 2",
     "R3_cells": oracle(["raw_lines"], "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(sum(len(string_split(line, ' '))) AS BIGINT) AS cells, count(*) AS tables FROM raw_lines WHERE doc_id % 5 <> 2 AND n % 6 = 5 GROUP BY doc_id"),
-    "R4_too_wide": oracle(["raw_lines"], "SELECT CAST(doc_id AS VARCHAR) AS path, CAST((9360 // len(string_split(line, ' '))) * len(string_split(line, ' ')) / 20.0 AS DOUBLE) AS width_pt FROM raw_lines WHERE doc_id % 5 <> 2 AND n % 6 = 5 AND (9360 // len(string_split(line, ' '))) * len(string_split(line, ' ')) / 20.0 > 0.9 * 468"),
+    "R4_too_wide": oracle(["raw_lines"], "SELECT CAST(doc_id AS VARCHAR) AS path, round(k * (9360 // k + 30) / 20.0::DOUBLE, 2) AS width_pt FROM (SELECT doc_id, len(string_split(line, ' ')) AS k FROM raw_lines WHERE doc_id % 5 <> 2 AND doc_id % 4 = 0 AND n % 6 = 5) AS q WHERE k * (9360 // k + 30) / 20.0 > 1.03 * 468"),
     "R5_paragraphs": oracle(["raw_lines"], "SELECT CAST(doc_id AS VARCHAR) AS path, count(*) AS paragraphs, CAST(sum(length(line)) AS BIGINT) AS chars FROM raw_lines WHERE doc_id % 5 <> 2 AND n % 6 <> 5 GROUP BY doc_id"),
     "X8_absolute_images": "SELECT page_id, '<img src=\"/base/a/b.png\"> <img src=\"http://x/y.png\"> ' || url AS html FROM pages",
     "X9_et_al": "SELECT doc_id, 2 AS marks, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') || ' et al. and ' || source || ' et al.' AS whole FROM documents",

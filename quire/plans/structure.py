@@ -193,10 +193,11 @@ def units_sql(text: str, bold: str) -> str:
 
 
 def wrap_sql(runs: str, room: str) -> str:
-    """Lines of a list of structs (t, size, scale, bold): words are stepped through, the width so far beside each."""
-    words = f"flatten(list_transform({runs}, lambda r: list_transform(string_split(r.t, ' '), lambda w: {{'l': 0, 'c': 0::DOUBLE, 'w': {units_sql('w', 'r.bold')} / 1000 * r.size * r.scale, 's': (CASE WHEN r.bold THEN {metrics.BOLD[0]} ELSE {metrics.REGULAR[0]} END) / 1000 * r.size * r.scale}})))"
-    wider = "a.c + (CASE WHEN a.c > 0 THEN x.s ELSE 0 END) + x.w"
-    return f"list_reduce(list_prepend({{'l': 1, 'c': 0::DOUBLE, 'w': 0::DOUBLE, 's': 0::DOUBLE}}, {words}), lambda a, x: {{'l': a.l + CASE WHEN {wider} > {room} AND a.c > 0 THEN 1 ELSE 0 END, 'c': CASE WHEN {wider} > {room} AND a.c > 0 THEN x.w ELSE {wider} END, 'w': 0::DOUBLE, 's': 0::DOUBLE}}).l"
+    """Lines of a list of structs (t, size, scale, bold): words are stepped through, the width so far beside each. Names end in _ to differ from any column's."""
+    words = f"flatten(list_transform({runs}, lambda r_: list_transform(string_split(r_.t, ' '), lambda w_: {{'l': 0, 'c': 0::DOUBLE, 'w': {units_sql('w_', 'r_.bold')} / 1000 * r_.size * r_.scale, 's': (CASE WHEN r_.bold THEN {metrics.BOLD[0]} ELSE {metrics.REGULAR[0]} END) / 1000 * r_.size * r_.scale}})))"
+    wider = "a_.c + (CASE WHEN a_.c > 0 THEN b_.s ELSE 0 END) + b_.w"
+    breaks = f"{wider} > {room} AND a_.c > 0"
+    return f"list_reduce(list_prepend({{'l': 1, 'c': 0::DOUBLE, 'w': 0::DOUBLE, 's': 0::DOUBLE}}, {words}), lambda a_, b_: {{'l': a_.l + CASE WHEN {breaks} THEN 1 ELSE 0 END, 'c': CASE WHEN {breaks} THEN b_.w ELSE {wider} END, 'w': 0::DOUBLE, 's': 0::DOUBLE}}).l"
 
 
 def styled_sql(t: str) -> str:
@@ -227,6 +228,16 @@ f AS (SELECT doc_id, 0::BIGINT AS i, -1 AS section, 0::BIGINT AS base, 0::BIGINT
         SELECT o.doc_id, o.i, o.section, o.lines, o.m, o.room, o.bef, o.aft, CASE WHEN o.two THEN 2 ELSE 1 END AS c, CASE WHEN o.section = f.section THEN f.base WHEN f.section = -1 THEN 0 ELSE f.base + f.turns // f.c + 1 END AS base, CASE WHEN o.section = f.section THEN f.turns ELSE 0 END AS begun, CASE WHEN o.section = f.section THEN f.down ELSE 0 END AS fell
         FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i + 1) AS q) AS r)
 SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY n) AS INT) AS place, kind, section, page, page_end, "column", lines FROM (SELECT CAST(f.doc_id AS VARCHAR) AS path, o.n, o.kind, o.section, CAST(min(f.base + f.begun // f.c + 1) AS INT) AS page, CAST(max(f.base + f.turns // f.c + 1) AS INT) AS page_end, CAST(max_by(f.turns % f.c + 1, f.i) AS INT) AS "column", CAST(sum(o.lines) AS INT) AS lines FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i GROUP BY ALL) AS z"""
+def plain(text: str, scale: float) -> str:
+    return f"[{{'t': {text}, 'size': 11::DOUBLE, 'scale': {scale}::DOUBLE, 'bold': false}}]"
+
+
+POURED = f"""
+, o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, n) AS i, {wrap_sql(plain('text', 0.87), '468')} AS lines FROM blocks),
+f AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS begun, 0::BIGINT AS turns, 0::BIGINT AS down FROM (SELECT DISTINCT doc_id FROM o)
+    UNION ALL SELECT doc_id, i, begun, e.t, e.d + 6000000 FROM (SELECT o.doc_id, o.i, f.turns AS begun, list_reduce(list_prepend({{'t': f.turns, 'd': f.down}}, list_transform(range(lines), lambda x: {{'t': 0::BIGINT, 'd': 12650000::BIGINT}})),
+        lambda a, x: {{'t': a.t + CASE WHEN a.d > 0 AND a.d + x.d > 648000000 THEN 1 ELSE 0 END, 'd': CASE WHEN a.d > 0 AND a.d + x.d > 648000000 THEN x.d ELSE a.d + x.d END}}) AS e FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i + 1) AS q)
+SELECT doc_id, 0 AS section, CAST(i AS INT) AS n, CAST(begun + 1 AS INT) AS page, CAST(turns + 1 AS INT) AS page_end, 1 AS "column" FROM f WHERE i > 0"""
 PARAGRAPHS = f"SELECT doc_id, n, unnest({TEXTS}) AS p, generate_subscripts({TEXTS}, 1) AS k FROM raw_lines"
 LONGS = "depth rows columns cells merged cells_within words_within".split()
 
@@ -248,4 +259,7 @@ ORACLES = {
     "A12_words_by_depth": oracle(["raw_lines"], f"SELECT CAST(doc_id AS VARCHAR) AS path, p.d::BIGINT AS depth, CAST(sum({WORDS.format('p.t')}) AS BIGINT) AS words FROM ({PARAGRAPHS}) AS a GROUP BY ALL"),
     "W16_mixed_runs": oracle(["raw_lines"], f"SELECT doc_id, n, {wrap_sql(MIXED, '200')} AS lines, greatest(9 + n % 4, 10)::DOUBLE AS size, CASE WHEN n % 4 > 1 THEN 'Georgia' ELSE 'Arial' END AS font FROM raw_lines"),
     "W17_placements": oracle(["raw_lines"], PLACED),
+    # of queries registered elsewhere
+    "W16_wrapped_lines": oracle(["layout"], f"SELECT doc_id, page, n, {wrap_sql(plain('text', 0.87), 'w')} AS lines FROM layout"),
+    "W17_pagination": oracle(["blocks"], POURED),
 }

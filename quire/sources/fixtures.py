@@ -52,7 +52,7 @@ PARTS = [
     ("all_blocks", """SELECT doc_id, page, block AS n, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, max(size) AS size, count(*) AS n_lines,
         count(CASE WHEN trim(text) <> '' THEN 1 END) AS n_full, trim(agg[trim(text); ' '; n]!) AS text FROM layout GROUP BY doc_id, page, block""", ["layout"]),
     ("blocks", "SELECT doc_id, page, n, x, y, w, h, size, n_lines, text FROM all_blocks WHERE n_full > 0", ["all_blocks"]),
-    ("body", """SELECT doc_id, page, max_by(size, weight * 100000 - first_n) AS body FROM
+    ("body", """SELECT doc_id, page, max_by(size, (weight, 0 - first_n)) AS body FROM
         (SELECT doc_id, page, size, sum(length(text)) AS weight, min(n) AS first_n FROM layout GROUP BY doc_id, page, size) AS s GROUP BY doc_id, page""", ["layout"]),
     ("levels", """SELECT doc_id, page, size, CAST(least(4, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY size DESC)) AS INT) AS level FROM
         (SELECT DISTINCT l.doc_id, l.page, l.size FROM layout AS l JOIN body AS o ON l.doc_id = o.doc_id AND l.page = o.page WHERE l.size * 100 >= o.body * 115) AS s""", ["layout", "body"]),
@@ -67,7 +67,7 @@ PARTS = [
     ("fills", "SELECT d.doc_id, d.page, d.d AS f, d.x, d.y, d.w, d.h, d.fill FROM drawings AS d JOIN page_box AS p ON d.doc_id = p.doc_id AND d.page = p.page WHERE d.fill IS NOT NULL AND NOT (d.w >= p.width - 2 AND d.h >= p.height - 2)", ["drawings", "page_box"]),
     ("borders", """SELECT doc_id, page, stroke AS color, width, n, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY n DESC, first_d) AS INT) AS place FROM
         (SELECT doc_id, page, stroke, width, count(*) AS n, min(d) AS first_d FROM drawings WHERE stroke IS NOT NULL GROUP BY doc_id, page, stroke, width) AS s""", ["drawings"]),
-    ("frames", """SELECT doc_id, page, max_by(d, w * h * 100 - d) AS d, max_by(stroke, w * h * 100 - d) AS color, max_by(width, w * h * 100 - d) AS width FROM
+    ("frames", """SELECT doc_id, page, max_by(d, (w * h, 0 - d)) AS d, max_by(stroke, (w * h, 0 - d)) AS color, max_by(width, (w * h, 0 - d)) AS width FROM
         (SELECT d.* FROM drawings AS d JOIN page_box AS p ON d.doc_id = p.doc_id AND d.page = p.page WHERE d.stroke IS NOT NULL AND d.w * 100 >= 60 * p.width AND d.w < p.width - 1 AND d.h * 100 >= 60 * p.height AND d.h < p.height - 1) AS c GROUP BY doc_id, page""", ["drawings", "page_box"]),
     ("words", "{line_words}", ["layout"]),
     ("fill_text", """SELECT f.doc_id, f.page, f.f, f.fill, coalesce(t.text, '') AS text FROM fills AS f LEFT JOIN (SELECT f.doc_id, f.page, f.f, substr(trim(agg[w.word; ' '; w.n, w.i]!), 1, 60) AS text FROM fills AS f JOIN words AS w
@@ -91,6 +91,10 @@ PARTS = [
         (l_partkey + c) % 2 = 0 AS bold, (l_suppkey + c) % 3 = 0 AS italic
         FROM lineitem CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) AS cs
         WHERE (c < 3 OR l_linenumber % 2 = 1) AND NOT (c = 2 AND (l_orderkey + l_linenumber) % 5 = 0)""", []),
+    ("cell_bands", """SELECT t, band, min(x) AS x0, max(x) AS x1 FROM (SELECT t, x, CAST(sum(brk) OVER (PARTITION BY t ORDER BY x) AS INT) AS band FROM
+        (SELECT t, x, CASE WHEN x - lag(x) OVER (PARTITION BY t ORDER BY x) > 25 THEN 1 ELSE 0 END AS brk FROM (SELECT DISTINCT t, x FROM cells) AS d) AS g) AS k GROUP BY t, band""", ["cells"]),
+    ("banded_cells", """SELECT c.t, c.r, c.c, c.x_end, b.band, min(b.band) OVER (PARTITION BY c.t, c.r ORDER BY b.band RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_band
+        FROM cells AS c JOIN cell_bands AS b ON c.t = b.t AND c.x >= b.x0 AND c.x <= b.x1""", ["cells", "cell_bands"]),
     ("attempts", """SELECT user_id AS doc_id, CAST(event_id % 20 AS INT) AS page, event_id AS attempt, CASE event_type WHEN 'click' THEN 'json' WHEN 'view' THEN 'json_escalated' WHEN 'purchase' THEN 'code_text' ELSE 'code_image' END AS rung,
         CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS rank, event_id % 3 = 0 AS ok, CAST(400 + event_id % 120 AS INT) AS code, CASE WHEN event_id % 7 = 0 THEN 'tool_use_failed' WHEN event_id % 31 = 5 THEN 'Cancel: stopped' ELSE 'status' END AS message FROM events""", []),
     ("page_state", """SELECT doc_id, page, CASE WHEN bool_or(ok) THEN 'completed' WHEN count(*) > 2 THEN 'failed' ELSE 'pending' END AS status, count(*) AS tries,

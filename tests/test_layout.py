@@ -31,7 +31,7 @@ def test_both_branches_of_the_slice(spark):
 
 
 def test_every_query_but_folds_has_an_oracle():
-    folds = {"W2_merged_paragraphs", "W4_table_regions", "W16_wrapped_lines", "W17_pagination", "T5_manifests", "K15_worklist"}
+    folds = {"W2_merged_paragraphs", "W4_table_regions", "T5_manifests", "K15_worklist"}
     assert set(plans.QUERIES) - set(plans.ORACLES) == folds  # tested by hand
 
 
@@ -112,6 +112,35 @@ def test_rules_on_tables_of_ones_own(spark):
     assert got(plans.apply("W10_figure_gaps", layout=caption, images=images, page_box=box(spark)), "n", "y", "h", "asset") == [(1, 12, 61, "fig_1.png")]
 
 
+def test_ties_and_order_hold_however_large_the_numbers(spark):
+    tries = spark.createDataFrame([(1, 0, 1_500_000, "json", 1, True, 200, "s"), (1, 0, 3, "json_escalated", 2, True, 201, "s"), (2, 0, 10**12, "code_text", 3, True, 202, "s"), (2, 1, 1, "json", 1, True, 203, "s")], "doc_id int, page int, attempt long, rung string, rank int, ok boolean, code int, message string")
+    assert got(plans.apply("T4_ladder", attempts=tries), "doc_id", "page", "rung", "escalated") == [(1, 0, "json", False), (2, 0, "code_text", True), (2, 1, "json", False)]
+    assert got(plans.apply("T9_candidates", attempts=tries), "doc_id", "chosen") == [(1, "json"), (2, "json")]
+    assert got(plans.apply("T7_image_floor", attempts=tries.withColumn("ok", tries["attempt"] > 3)), "doc_id", "page", "rung") == [(1, 0, "json"), (2, 0, "code_text"), (2, 1, "image")]
+    assert got(plans.apply("W14_first_style", attempts=tries), "doc_id", "style", "start") == [(1, "json_escalated", 201), (2, "code_text", 202)]
+    sizes = spark.createDataFrame([(1, 0, 0, 0, 72, 0, 9, 12, 11, 0, "Plain", "abcde"), (1, 0, 600_000, 0, 72, 0, 9, 12, 14, 0, "Plain", "abcdefghij"), (1, 1, 600_001, 1, 72, 0, 9, 12, 9, 0, "Plain", "abcde"), (1, 1, 700_000, 1, 72, 0, 9, 12, 8, 0, "Plain", "vwxyz")], LAYOUT)
+    assert got(plans.apply("A2_body_size", layout=sizes), "page", "body") == [(0, 14), (1, 9)]
+    assert got(plans.apply("A3_block_size", layout=sizes), "block", "size") == [(0, 14), (1, 9)]
+    assert got(plans.apply("A19_dominant_font", layout=sizes), "block", "size") == [(0, 14), (1, 9)]
+
+
+def test_bands_of_cells(spark):
+    """Starts at 40, 62 (a gap of 22: one band), 100 and 190; the second row spans from the first band into the last, the third is stopped by a cell."""
+    cells = spark.createDataFrame([(1, 1, 0, 40, 60), (1, 1, 1, 100, 120), (1, 1, 2, 190, 200), (1, 2, 0, 62, 250), (1, 3, 0, 40, 250), (1, 3, 2, 190, 210), (1, 4, 0, 40, 104)], "t int, r int, c int, x int, x_end int")
+    assert got(plans.apply("W7_relative_widths", cells=cells), "band", "width") == [(0, 60), (1, 90), (2, 60)]
+    assert got(plans.apply("W5_column_span", cells=cells), "r", "c", "span") == [(1, 0, 1), (1, 1, 1), (1, 2, 1), (2, 0, 3), (3, 0, 2), (3, 2, 1), (4, 0, 1)]
+    assert got(plans.apply("J16_covered", cells=cells), "r", "c", "k", "blocked") == [(2, 0, 1, False), (2, 0, 2, False), (3, 0, 1, False), (3, 0, 2, True)]
+
+
+def test_operators_on_tables_of_ones_own(spark):
+    x = "x" * 50
+    columns = layout(spark, [(i, 60 if i < 3 else 150, 20 * i, 60, x) for i in range(6)])
+    assert got(plans.apply("F22_column_bands", layout=columns), "multi") == [(True,)]  # bands at 60 and 150, wherever the middle of the page is
+    assert got(plans.apply("F7_row_shaped", layout=columns), "block", "is_row") == [(i, False) for i in range(6)]
+    running = spark.createDataFrame([(i * 3, 0, "body", "text", 20, 860, f"Page {i + 7}") for i in range(5)] + [(99, 0, "body", "text", 20, 860, "Page 5")], "page int, k int, layer string, label string, cy int, page_h int, raw string")
+    assert got(plans.apply("A9_page_start", running=running), "norm", "page_number_start") == [("page #", 7)]
+
+
 def test_queries_leave_no_views(spark):
     plans.QUERIES["S2_page_text"](spark, SF).count()
     assert not spark.catalog.listTables()

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quire.functions import metrics
-from quire.operators import estimate, flow, intervals, markdown
+from quire.operators import estimate, flow, intervals, markdown, ranks
 from quire.sources import packages
 
 PARTS = ["# h", "- a", "  - b", "    - c", "12. x", "text", "  more", "", "", "```", "````py", "~~~", "| a | b |", "|--|--|", "x | y", "![a](b)", "   deep", "a\tb"]
@@ -221,3 +221,31 @@ def test_placements(spark):
     assert [(r["kind"], r["section"], r["page"], r["page_end"], r["column"], r["lines"], r["height_pt"]) for r in got] == [
         ("paragraph", 0, 1, 1, 1, 1, 13.9), ("paragraph", 0, 1, 1, 2, 1, 13.9), ("paragraph", 0, 1, 2, 1, 1, 13.9), ("paragraph", 1, 3, 3, 1, 1, 13.9), ("table", 1, 3, 3, 1, 2, 49.6),
     ]
+
+
+# ---- order
+
+
+def test_numbered(spark):
+    pick = random.Random(11)
+    values = [pick.choice([None, *range(40)]) for _ in range(500)]
+    got = rows(ranks.numbered(spark.createDataFrame([(v,) for v in values], "v int"), ["v"]), "place", "v")
+    assert [g[0] for g in got] == list(range(500)) and [g[1] for g in got] == sorted(values, key=lambda v: (v is not None, v or 0))
+
+
+def test_leaves_by_list_ranking(spark):
+    """Random forests with circles, groups that nothing refers to and one very deep chain: the same leaves as a walk."""
+    pick = random.Random(12)
+    edges = []
+    for d in range(25):
+        groups = ["root"] + [f"g{i}" for i in range(pick.randrange(1, 12))]
+        for i, g in enumerate(groups[1:], 1):  # each group is referred to at most once: from one before it, from itself or one after it (a circle), or from nowhere
+            parent = pick.choice([*groups[:i], *groups[:i], *groups[1:], "gone"])
+            edges.append((f"d{d}", parent, pick.randrange(5) * 100 + i, g, True))
+        edges += [(f"d{d}", pick.choice(groups), pick.randrange(5) * 100 + 50 + i, pick.choice(["x", "y", f"l{i}"]), False) for i in range(pick.randrange(0, 30))]
+    edges += [("deep", "root" if i == 0 else f"c{i - 1}", 1, f"c{i}", True) for i in range(300)] + [("deep", f"c{i}", 1 + (i % 2) * -1, f"l{i}", False) for i in range(300)]
+    df = spark.createDataFrame(edges, "doc string, parent string, pos int, ref string, is_group boolean")
+    got, want = flow.ranked_leaves(df, "root"), flow.walked(df, "root")
+    assert rows(got, "doc", "place", "ref") == rows(want, "doc", "place", "ref") and got.count() > 300
+    assert rows(flow.flattened(df), "doc", "place", "ref") == rows(want, "doc", "place", "ref")
+    assert flow.flattened(df.limit(0)).count() == 0

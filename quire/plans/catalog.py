@@ -64,9 +64,6 @@ OPS: list[tuple[str, list[str], str]] = [
     ("F28_classify", ["layout", "blocks", "levels"], rf""", l AS (SELECT doc_id, page, block, count(CASE WHEN like[text;{BULLET}]! OR like[text;{NUMBERED}]! THEN 1 END) AS items, max_by(CASE WHEN like[text;{NUMBERED}]! THEN 1 ELSE 0 END, 0 - n) AS ordered FROM layout GROUP BY doc_id, page, block),
         c AS (SELECT b.doc_id, b.page, b.n, b.y, b.x, b.text, v.level, l.ordered, CASE WHEN v.level IS NOT NULL AND b.n_lines <= 2 AND length(b.text) <= 120 THEN 'heading' WHEN l.items > 0 AND l.items >= b.n_lines - 1 THEN 'list' ELSE 'paragraph' END AS type
         FROM blocks AS b JOIN l ON b.doc_id = l.doc_id AND b.page = l.page AND b.n = l.block LEFT JOIN levels AS v ON b.doc_id = v.doc_id AND b.page = v.page AND b.size = v.size) SELECT doc_id, page, n, type, CASE WHEN type = 'heading' THEN level END AS level, CASE WHEN type = 'list' THEN ordered = 1 END AS ordered FROM c"""),
-    ("J1_fill_text", ["fill_text"], r"SELECT doc_id, page, f, text FROM fill_text"),
-    ("J2_in_table", ["layout", "fills"], r"SELECT s.doc_id, s.page, s.n, min(t.f) AS in_table FROM layout AS s JOIN fills AS t ON t.doc_id = s.doc_id AND t.page = s.page AND s.x * 2 + s.w BETWEEN t.x * 2 AND (t.x + t.w) * 2 AND s.y * 2 + s.h BETWEEN t.y * 2 AND (t.y + t.h) * 2 WHERE trim(s.text) <> '' GROUP BY s.doc_id, s.page, s.n"),
-    ("J3_nested_in", ["fills"], r"SELECT a.doc_id, a.page, a.f, min(b.f) AS nested_in FROM fills AS a JOIN fills AS b ON a.doc_id = b.doc_id AND a.page = b.page AND a.f <> b.f AND b.x <= a.x + 2 AND b.y <= a.y + 2 AND b.x + b.w >= a.x + a.w - 2 AND b.y + b.h >= a.y + a.h - 2 GROUP BY a.doc_id, a.page, a.f"),
     ("J4_nearest_band", ["blocks"], r""", g AS (SELECT doc_id, page, x, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id, page ORDER BY x) > 40 THEN 1 ELSE 0 END AS brk FROM (SELECT DISTINCT doc_id, page, x FROM blocks) AS d),
         k AS (SELECT doc_id, page, x, CAST(sum(brk) OVER (PARTITION BY doc_id, page ORDER BY x) AS INT) AS band FROM g), bands AS (SELECT doc_id, page, band, min(x) AS x0, max(x) AS x1 FROM k GROUP BY doc_id, page, band), near AS (SELECT b.doc_id, b.page, b.n, s.band, row_number() OVER (PARTITION BY b.doc_id, b.page, b.n ORDER BY abs(b.x - s.x0), s.band) AS k FROM blocks AS b JOIN bands AS s ON b.doc_id = s.doc_id AND b.page = s.page) SELECT doc_id, page, n, band FROM near WHERE k = 1"""),
     ("J5_figure_gaps", ["blocks", "images"], r", s AS (SELECT doc_id, page, n, text, y, lag(y + h) OVER (PARTITION BY doc_id, page ORDER BY y, x, n) AS above FROM blocks), c AS (SELECT doc_id, page, n, greatest(coalesce(above, 0), y - 500) AS top, y AS bottom FROM s WHERE like[lower(text);'^(fig[.]?|figure)\s*[0-9]+']! AND y - greatest(coalesce(above, 0), y - 500) >= 60) SELECT c.doc_id, c.page, c.n FROM c LEFT ANTI JOIN images AS i ON c.doc_id = i.doc_id AND c.page = i.page AND c.top < i.y + i.h AND i.y < c.bottom"),

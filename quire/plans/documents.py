@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -12,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import metrics, text
-from quire.operators import flow, layout_json, orchestration, writer
+from quire.operators import flow, layout_json, orchestration, rectangles, writer
 from quire.operators.ranks import numbered
 from quire.sources import packages, session, structured
+from quire.sources.store import shared_folder
 
 from . import fixture, text_of
 from .packages import read
@@ -212,6 +214,14 @@ def sessions_started(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.page_rows(session.started(docs)).select("document", "totalPages", "page", "status", "manifest", "assets", F.col("sessionId").rlike("^[0-9]+-[0-9a-z]+$").alias("named"))
 
 
+def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page states saved as a session, then changed in a second version: what was pending is in progress."""
+    path = f"{shared_folder(spark)}/session-{uuid.uuid4().hex}"
+    session.save(fixture(spark, sf_dir, "page_state").select(*KEY, "status", "tries"), path)
+    version = session.changed(spark, path, lambda s: s.withColumn("status", F.when(F.col("status") == "pending", "in_progress").otherwise(F.col("status"))))
+    return session.load(spark, path).withColumn("version", F.lit(version))
+
+
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.Settings().overridden(["--dpi", "150", "--llm-mode", "none", "--no-gate"]).table(spark)
 
@@ -279,6 +289,33 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring_index("text", " ", 3), F.lit(" et al. and "), F.col("source").cast("string"), F.lit(" et al.")).alias("t"))
 
 
+def framed(rects: DataFrame, name: str, slack: int) -> DataFrame:
+    """doc_id, page, name (the rectangle's number) and its corners, moved outward by slack."""
+    return rects.select(*KEY, F.col("f").alias(name), (F.col("x") - slack).alias("x0"), (F.col("y") - slack).alias("y0"), (F.col("x") + F.col("w") + slack).alias("x1"), (F.col("y") + F.col("h") + slack).alias("y1"))
+
+
+def fill_text(of: Relations) -> DataFrame:
+    """The words inside each fill, one point of play on every side, in order, cut to 60 characters."""
+    words = of("words").select(*KEY, "n", "i", "word", F.col("x0").alias("px"), F.col("y0").alias("py"), F.col("x1").alias("qx"), F.col("y1").alias("qy"))
+    inside = rectangles.placed_in(words, framed(of("fills"), "f", 1), KEY).filter("qx <= x1 and qy <= y1")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "i", "word"))), lambda s: s["word"]), " ")
+    texts = inside.groupBy(*KEY, "f").agg(F.substring(F.trim(joined), 1, 60).alias("text"))
+    return of("fills").select(*KEY, "f").join(texts, [*KEY, "f"], "left").select(*KEY, "f", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def in_table(of: Relations) -> DataFrame:
+    """Lines whose centre lies in a rectangle, with the first such."""
+    centres = of("layout").filter("trim(text) <> ''").select(*KEY, "n", (F.col("x") + F.col("w") / 2).alias("px"), (F.col("y") + F.col("h") / 2).alias("py"))
+    return rectangles.placed_in(centres, framed(of("fills"), "f", 0), KEY).groupBy(*KEY, "n").agg(F.min("f").alias("in_table"))
+
+
+def nested_in(of: Relations) -> DataFrame:
+    """Rectangles that lie in another one, two points of play on every side, with the first such."""
+    inner = of("fills").select(*KEY, "f", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("x") + F.col("w")).alias("qx"), (F.col("y") + F.col("h")).alias("qy"))
+    inside = rectangles.placed_in(inner, framed(of("fills"), "outer", 2), KEY).filter("qx <= x1 and qy <= y1 and f <> outer")
+    return inside.groupBy(*KEY, "f").agg(F.min("outer").alias("nested_in"))
+
+
 #: Rules that are operators; plans.apply runs them on tables of one's own too.
 OPERATED: dict[str, Callable[[Relations], DataFrame]] = {
     "K8_page_json_rows": page_json_rows,
@@ -286,6 +323,9 @@ OPERATED: dict[str, Callable[[Relations], DataFrame]] = {
     "F22_column_bands": column_bands,
     "T1_state": page_state_machine,
     "A9_page_start": page_start,
+    "J1_fill_text": fill_text,
+    "J2_in_table": in_table,
+    "J3_nested_in": nested_in,
 }
 QUERIES = {
     "S3_structured_lines": structured_lines,
@@ -305,6 +345,7 @@ QUERIES = {
     "T8_fix_loop": fix_loop,
     "S18_session_rows": session_rows,
     "X30_sessions_started": sessions_started,
+    "K11_session_log": session_log,
     "S19_settings": settings,
     "S12_relationships": of_parts(lambda p, n: packages.relationships(n).select("path", "part", "rel_id", "target", "external")),
     "S13_styles": of_parts(lambda p, n: packages.styles(n).select("path", "style", "based_on")),
@@ -335,6 +376,9 @@ ORACLES = {
     "S4_structured_blocks": oracle(["all_blocks", "images"], "SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY k, n) - 1 AS INT) AS block, type, x, y, w, h, n_lines FROM (SELECT doc_id, page, 0 AS k, n, 'text' AS type, x, y, w, h, CAST(n_lines AS INT) AS n_lines FROM all_blocks UNION ALL SELECT doc_id, page, 1, i, 'image', x, y, w, h, 0 FROM images) AS u"),
     "S5_structured_fills": oracle(["fills"], "SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY f) - 1 AS INT) AS place, fill, x, y, w, h FROM fills"),
     "K8_page_json_rows": oracle(["all_blocks", "images"], "SELECT doc_id, page, count(*) AS blocks, 860 AS height FROM (SELECT doc_id, page FROM all_blocks UNION ALL SELECT doc_id, page FROM images) AS u GROUP BY doc_id, page"),
+    "J1_fill_text": oracle(["fill_text"], "SELECT doc_id, page, f, text FROM fill_text"),
+    "J2_in_table": oracle(["layout", "fills"], "SELECT s.doc_id, s.page, s.n, min(t.f) AS in_table FROM layout AS s JOIN fills AS t ON t.doc_id = s.doc_id AND t.page = s.page AND s.x * 2 + s.w BETWEEN t.x * 2 AND (t.x + t.w) * 2 AND s.y * 2 + s.h BETWEEN t.y * 2 AND (t.y + t.h) * 2 WHERE trim(s.text) <> '' GROUP BY s.doc_id, s.page, s.n"),
+    "J3_nested_in": oracle(["fills"], "SELECT a.doc_id, a.page, a.f, min(b.f) AS nested_in FROM fills AS a JOIN fills AS b ON a.doc_id = b.doc_id AND a.page = b.page AND a.f <> b.f AND b.x <= a.x + 2 AND b.y <= a.y + 2 AND b.x + b.w >= a.x + a.w - 2 AND b.y + b.h >= a.y + a.h - 2 GROUP BY a.doc_id, a.page, a.f"),
     "A9_page_start": oracle(["margin_lines", "running_groups"], r""", o AS (SELECT page, CAST(dense_rank() OVER (ORDER BY page) AS INT) AS ordinal FROM (SELECT DISTINCT page FROM running) AS p), numbered AS (SELECT band, norm FROM running_groups WHERE band = 'footer' AND (like[first_raw;'^[0-9]+$']! OR like[lower(first_raw);'^[0-9]+\s+of\s+[0-9]+$']! OR like[lower(first_raw);'^page\s+[0-9]+(\s+of\s+[0-9]+)?$']!)),
         v AS (SELECT m.norm, CAST(regexp_extract(m.raw, '[0-9]+', 0) AS INT) - (o.ordinal - 1) AS start, m.page FROM margin_lines AS m JOIN numbered AS n ON m.band = n.band AND m.norm = n.norm JOIN o ON m.page = o.page), s AS (SELECT norm, start, count(*) AS n, min(page) AS first_page FROM v GROUP BY norm, start)
         SELECT norm, max_by(start, (n, 0 - first_page)) AS page_number_start FROM s GROUP BY norm"""),
@@ -355,6 +399,7 @@ ORACLES = {
     "T8_fix_loop": oracle(["fills"], "SELECT doc_id, page, f AS hint FROM (SELECT doc_id, page, f, row_number() OVER (PARTITION BY doc_id, page ORDER BY f) AS k FROM fills) AS s WHERE k = 3"),
     "S18_session_rows": oracle(["page_state"], "SELECT CAST(doc_id AS VARCHAR) AS document, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS totalPages, page, status, CAST(tries AS INT) AS retryCount, chars FROM page_state"),
     "X30_sessions_started": oracle(["page_box"], "SELECT concat(CAST(doc_id AS STRING), '.pdf') AS document, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS totalPages, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page) AS INT) AS page, 'pending' AS status, concat('pages/page_', lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page) AS STRING), 4, '0'), '.json') AS manifest, concat('assets/page_', lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page) AS STRING), 4, '0')) AS assets, true AS named FROM page_box"),
+    "K11_session_log": oracle(["page_state"], "SELECT doc_id, page, CASE WHEN status = 'pending' THEN 'in_progress' ELSE status END AS status, tries, 2 AS version FROM page_state"),
     "S19_settings": "SELECT * FROM (VALUES ('dpi', '150'), ('min_chars_for_text', '90'), ('column_gap_pts', '40.0'), ('llm_mode', '\"none\"'), ('model', '\"sonnet\"'), ('escalation_model', '\"opus\"'), ('concurrency', '4'), ('retries', '1'), ('verify_retries', '1'), ('coverage_min', '0.6'), ('heading_ratio', '1.15'), ('compact_json', 'true'), ('gate', 'false'), ('fix_rounds', '2')) AS s(name, value)",
     "S12_relationships": "SELECT CAST(doc_id AS VARCHAR) AS path, r.part, 'rId1' AS rel_id, r.target, false AS \"external\" FROM documents, (VALUES ('_rels/.rels', 'word/document.xml'), ('word/_rels/document.xml.rels', 'word/styles.xml')) AS r(part, target)",
     "S13_styles": "SELECT CAST(doc_id AS VARCHAR) AS path, s.style, s.based_on FROM documents, (VALUES ('Heading1', 'Normal'), ('Heading2', 'Normal'), ('ListParagraph', 'Normal'), ('Normal', NULL)) AS s(style, based_on) WHERE doc_id % 3 <> 1",

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import metrics
-from quire.operators import estimate, markdown
+from quire.operators import estimate, markdown, sections
 from quire.sources import packages
 from quire.sources.store import stored
 
@@ -167,6 +167,27 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimate.placements(nodes(spark, sf_dir)).select("path", place.alias("place"), "kind", "section", "page", "page_end", "column", "lines")
 
 
+def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sections in JSON: of (doc_id + n) % 11, 0 to 5 are children that are null, a list, unknown, a ragged table, one with an empty cell, and one in a table."""
+    k, text = (F.col("doc_id") + F.col("n")) % 11, F.to_json(F.struct(F.lit("p").alias("t"), F.col("line").alias("text")))
+    one = lambda *children: joined('{"children": [', *children, "]}")
+    ragged = joined('{"t": "table", "rows": [{"cells": [', one(text), ', {"span": 2, "children": [', text, ']}]}, {"cells": [', one(text), "]}]}")
+    empty = joined('{"t": "table", "rows": [{"cells": [', one(text), ', {"children": []}]}]}')
+    nested = joined('{"t": "table", "rows": [{"cells": [', one(text, ", ", ragged), "]}]}")
+    child = F.when(k == 0, "null").when(k == 1, joined("[", text, "]")).when(k == 2, '{"t": "blob"}').when(k == 3, ragged).when(k == 4, empty).when(k == 5, nested).otherwise(text)
+    lines = fixture(spark, sf_dir, "raw_lines").select("doc_id", "n", child.alias("child"))
+    d = F.col("doc_id")
+    children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "child"))), lambda s: s["child"]), ", ")
+    made = lines.groupBy("doc_id").agg(children.alias("children"))
+    first = joined('{"properties": {"columns": ', F.when(d % 5 == 0, "2").otherwise("1"), '}, "children": [', F.col("children"), "]}")
+    more = F.when(d % 7 == 0, ', {"children": []}').when(d % 7 == 1, ', {"properties": {"type": "continuous"}, "children": []}').otherwise("")
+    return made.select(d.alias("doc"), F.when(d % 13 == 5, '{"sections": []}').when(d % 13 == 6, '{"sections": ').otherwise(joined('{"sections": [', first, more, "]}")).alias("json"))
+
+
+def section_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.issues(section_pages(spark, sf_dir)).withColumnRenamed("doc", "doc_id")
+
+
 WORDS = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
 FIRST = "string_split(line, ' ')[1]"
 REST = f"substr(line, length({FIRST}) + 2)"
@@ -249,6 +270,7 @@ QUERIES = {
     "A12_words_by_depth": words_by_depth,
     "W16_mixed_runs": mixed_runs,
     "W17_placements": placed,
+    "U5_section_issues": section_issues,
 }
 ORACLES = {
     "S17_markdown_blocks": oracle(["markdown_lines"], MARKDOWN),
@@ -259,6 +281,13 @@ ORACLES = {
     "A12_words_by_depth": oracle(["raw_lines"], f"SELECT CAST(doc_id AS VARCHAR) AS path, p.d::BIGINT AS depth, CAST(sum({WORDS.format('p.t')}) AS BIGINT) AS words FROM ({PARAGRAPHS}) AS a GROUP BY ALL"),
     "W16_mixed_runs": oracle(["raw_lines"], f"SELECT doc_id, n, {wrap_sql(MIXED, '200')} AS lines, greatest(9 + n % 4, 10)::DOUBLE AS size, CASE WHEN n % 4 > 1 THEN 'Georgia' ELSE 'Arial' END AS font FROM raw_lines"),
     "W17_placements": oracle(["raw_lines"], PLACED),
+    "U5_section_issues": oracle(["raw_lines"], """, d AS (SELECT DISTINCT doc_id FROM raw_lines), l AS (SELECT doc_id, (doc_id + n) % 11 AS k, doc_id % 5 = 0 AS two, concat('sections[0].children[', CAST(n AS STRING), ']') AS p FROM raw_lines WHERE doc_id % 13 NOT IN (5, 6))
+        SELECT doc_id, 'sections' AS path, 'error' AS severity, 'is empty, so the page would be blank' AS message FROM d WHERE doc_id % 13 = 5 UNION ALL SELECT doc_id, 'sections', 'error', 'is no JSON' FROM d WHERE doc_id % 13 = 6
+        UNION ALL SELECT doc_id, 'sections[1]', 'warning', 'begins a new page' FROM d WHERE doc_id % 7 = 0 AND doc_id % 13 NOT IN (5, 6)
+        UNION ALL SELECT doc_id, p, 'error', CASE k WHEN 0 THEN 'is null' WHEN 1 THEN 'is a list in a list' ELSE 'is of no known kind: blob' END FROM l WHERE k < 3
+        UNION ALL SELECT doc_id, p, 'warning', 'is a table in a section of columns' FROM l WHERE k IN (3, 4, 5) AND two
+        UNION ALL SELECT doc_id, concat(p, CASE WHEN k = 3 THEN '' ELSE '.rows[0].cells[0].children[1]' END, '.rows[1]'), 'warning', 'spans 1 columns of 3' FROM l WHERE k IN (3, 5)
+        UNION ALL SELECT doc_id, concat(p, '.rows[0].cells[1]'), 'warning', 'is an empty cell' FROM l WHERE k = 4"""),
     # of queries registered elsewhere
     "W16_wrapped_lines": oracle(["layout"], f"SELECT doc_id, page, n, {wrap_sql(plain('text', 0.87), 'w')} AS lines FROM layout"),
     "W17_pagination": oracle(["blocks"], POURED),

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,15 +93,77 @@ def session_json(page_states: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.to_json(F.struct(F.col(key).cast("string").alias("document"), F.size("pages").alias("totalPages"), "pages")).alias("json"))
 
 
-def save(page_states: DataFrame, path: str) -> None:
-    """The whole state as a table under a new name, then a pointer to it, so that readers never see half of one."""
+class Conflict(Exception):
+    """Another writer has committed the version that was to be written."""
+
+
+def claimed(spark: SparkSession, target: str, content: str) -> bool:
+    """Makes a file with this content unless there is one of its name; False if there is. Of several writers one succeeds, and readers see all of it or nothing.
+
+    The content goes to a file of another name first, which is then linked (local and mounted folders) or renamed (file systems whose rename keeps what
+    exists, as HDFS) to the target.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    aside = hadoop.Path(f"{target}.{uuid.uuid4().hex}")
+    system = aside.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = system.create(aside)
+    out.write(bytearray(content.encode()))
+    out.close()
+    try:
+        if system.getUri().getScheme() != "file":
+            return system.rename(aside, hadoop.Path(target))
+        os.link(aside.toUri().getPath(), hadoop.Path(target).toUri().getPath())
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        system.delete(aside, False)
+
+
+def versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """The committed versions, from 1, and the file of each."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/log")
+    system = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not system.exists(folder):
+        return {}
+    names = [f.getPath().getName() for f in system.listStatus(folder)]
+    return {int(n[:-5]): f"{path}/log/{n}" for n in names if re.fullmatch(r"\d{20}\.json", n)}
+
+
+def save(page_states: DataFrame, path: str, version: int | None = None) -> int:
+    """Commits the whole state as the version given (the next one if none is), which it returns: a table under a new name, then an entry of the log that names it.
+
+    Conflict if that version exists by then; the state that was there stays. A writer that dies before the entry leaves a table that nobody reads.
+    """
+    spark = page_states.sparkSession
+    version = version or max(versions(spark, path), default=0) + 1
+    if version > 1 and version - 1 not in versions(spark, path):
+        raise ValueError(f"there is no version {version - 1} of {path}")
     name = f"state-{uuid.uuid4().hex}"
     page_states.write.parquet(f"{path}/{name}")
-    page_states.sparkSession.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
-
-
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/current').first()[0]}")
+    if not claimed(spark, f"{path}/log/{version:020d}.json", json.dumps({"version": version, "state": name})):
+        raise Conflict(f"version {version} of {path} exists")
+    return version
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The state of a version, the latest if none is given."""
+    known = versions(spark, path)
+    if not known:
+        raise FileNotFoundError(f"no session is saved in {path}")
+    entry = json.loads(spark.read.text(known[version or max(known)], wholetext=True).first()[0])
+    return spark.read.parquet(f"{path}/{entry['state']}")
+
+
+def changed(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], tries: int = 10) -> int:
+    """Commits change(latest state) and returns its version; begins again from the newer state where another writer was first, so no change is lost."""
+    for _ in range(tries):
+        at = max(versions(spark, path), default=0)
+        try:
+            return save(change(load(spark, path, at)), path, at + 1)
+        except Conflict:
+            continue
+    raise Conflict(f"{path} changed {tries} times meanwhile")
 
 
 def manifests(of_files: DataFrame, json: str = "json") -> DataFrame:

@@ -1,12 +1,17 @@
 """Operators over what has depth, against hand-worked cases and plain walks."""
 
+import os
 import random
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import metrics
-from quire.operators import estimate, flow, intervals, markdown, ranks
-from quire.sources import packages
+from quire.operators import estimate, flow, intervals, markdown, ranks, rectangles, sections
+from quire.sources import packages, session
+from quire.streaming import watched
 
 PARTS = ["# h", "- a", "  - b", "    - c", "12. x", "text", "  more", "", "", "```", "````py", "~~~", "| a | b |", "|--|--|", "x | y", "![a](b)", "   deep", "a\tb"]
 
@@ -249,3 +254,117 @@ def test_leaves_by_list_ranking(spark):
     assert rows(got, "doc", "place", "ref") == rows(want, "doc", "place", "ref") and got.count() > 300
     assert rows(flow.flattened(df), "doc", "place", "ref") == rows(want, "doc", "place", "ref")
     assert flow.flattened(df.limit(0)).count() == 0
+
+
+# ---- rectangles
+
+
+def test_points_in_rectangles(spark):
+    pick = random.Random(13)
+    rects = [(pick.choice("ab"), i, x, y, x + pick.choice([0, 1, 5, 90, 900]), y + pick.choice([0, 2, 60, 700])) for i in range(150) for x, y in [(pick.randrange(-50, 800), pick.randrange(-50, 800))]] + [("a", 900, 5, 5, 4, 9), ("a", 901, None, 0, 1, 1)]
+    dots = [(pick.choice("abc"), j, pick.randrange(-60, 900) / 2, pick.randrange(-60, 900) / 2) for j in range(400)] + [("a", 950, None, 3.0)]
+    got = rectangles.placed_in(spark.createDataFrame(dots, "k string, j int, px double, py double"), spark.createDataFrame(rects, "k string, i int, x0 int, y0 int, x1 int, y1 int"), ["k"])
+    want = sorted((j, i) for k, j, px, py in dots for q, i, x0, y0, x1, y1 in rects if k == q and None not in (px, x0) and x0 <= px <= x1 and y0 <= py <= y1)
+    assert rows(got, "j", "i") == want and len(want) > 50
+
+
+def test_dense_page_is_not_all_pairs(spark):
+    """40,000 words and 400 fills of one page: what meets in tiles is a small multiple of what matches."""
+    words = spark.range(40_000).selectExpr("1 AS k", "id AS j", "(id % 200) * 3.0 AS px", "(id div 200) * 4.0 AS py")
+    fills = spark.range(400).selectExpr("1 AS k", "id AS i", "cast((id % 20) * 30 AS int) AS x0", "cast((id div 20) * 40 AS int) AS y0", "cast((id % 20) * 30 + 25 AS int) AS x1", "cast((id div 20) * 40 + 30 AS int) AS y1")
+    found = rectangles.placed_in(words, fills, ["k"])
+    n = found.count()
+    plan = found._jdf.queryExecution().toString()
+    assert n == 400 * 9 * 8 and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+# ---- sections
+
+
+def test_section_issues(spark):
+    p, deep = '{"t": "p", "text": "x"}', '{"t": "p"}'
+    for _ in range(4):
+        deep = '{"t": "table", "rows": [{"cells": [{"children": [' + deep + "]}]}]}"
+    pages = {
+        "sound": '{"sections": [{"properties": {"columns": 2}, "children": [%s, {"t": "h"}]}, {"properties": {"type": "continuous"}, "children": []}]}' % p,
+        "no json": "{", "null": None, "no list": '{"sections": {"children": []}}', "none": '{"sections": []}', "other": '{"pages": []}',
+        "odd": '{"sections": [null, 3, {"properties": {"type": "continuous"}, "children": [null, [%s], {"t": "x"}, {}, "text"]}, {"children": 1}]}' % p,
+        "ragged": '{"sections": [{"children": [{"t": "table", "rows": [{"cells": [{"span": 2, "children": [%s]}, {"children": [%s]}]}, {"cells": [{"children": []}, {}]}]}]}]}' % (p, p),
+        "columns": '{"sections": [{"properties": {"columns": 2}, "children": [{"t": "table", "rows": [{"cells": [{"children": [%s]}]}]}]}]}' % deep,
+    }
+    got = rows(sections.issues(spark.createDataFrame(list(pages.items()), "doc string, json string"), deepest=3), "doc", "path", "severity", "message")
+    inside = lambda n: "sections[0].children[0]" + ".rows[0].cells[0].children[0]" * n
+    assert got == sorted([
+        ("no json", "sections", "error", "is no JSON"), ("null", "sections", "error", "is no JSON"), ("no list", "sections", "error", "is no list"), ("other", "sections", "error", "is no list"), ("none", "sections", "error", "is empty, so the page would be blank"),
+        ("odd", "sections[0]", "error", "is no object"), ("odd", "sections[1]", "error", "is no object"), ("odd", "sections[2].children[0]", "error", "is null"), ("odd", "sections[2].children[1]", "error", "is a list in a list"),
+        ("odd", "sections[2].children[2]", "error", "is of no known kind: x"), ("odd", "sections[2].children[3]", "error", "is of no known kind: object"), ("odd", "sections[2].children[4]", "error", "is of no known kind: string"),
+        ("odd", "sections[3]", "warning", "begins a new page"), ("odd", "sections[3].children", "error", "is no list"),
+        ("ragged", inside(0) + ".rows[1]", "warning", "spans 2 columns of 3"), ("ragged", inside(0) + ".rows[1].cells[0]", "warning", "is an empty cell"), ("ragged", inside(0) + ".rows[1].cells[1]", "warning", "is an empty cell"),
+        ("columns", inside(0), "warning", "is a table in a section of columns"), ("columns", inside(3), "error", "lies deeper than 3 tables"),
+    ])
+
+
+# ---- sessions
+
+
+def test_of_two_writers_one_commits(spark, tmp_path):
+    states = spark.createDataFrame([(1, "pending")], "page int, status string")
+    with pytest.raises(FileNotFoundError):
+        session.load(spark, str(tmp_path))
+    assert session.save(states, str(tmp_path)) == 1
+    taken = []
+
+    def write(k):
+        try:
+            session.save(states.withColumn("by", F.lit(k)), str(tmp_path), 2)
+            taken.append(k)
+        except session.Conflict:
+            pass
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(4)))
+    assert len(taken) == 1 and session.load(spark, str(tmp_path)).first()["by"] == taken[0]
+    # a writer that dies after its table and before its entry changes nothing, and hinders nobody
+    states.withColumn("by", F.lit(99)).write.parquet(f"{tmp_path}/state-dead")
+    assert session.load(spark, str(tmp_path)).first()["by"] == taken[0] and session.load(spark, str(tmp_path), 1).columns == ["page", "status"]
+    with pytest.raises(ValueError):
+        session.save(states, str(tmp_path), 9)
+    assert sorted(n for n in os.listdir(tmp_path / "log") if not n.startswith(".")) == [f"{v:020d}.json" for v in (1, 2)]
+
+
+def test_no_change_is_lost(spark, tmp_path):
+    session.save(spark.createDataFrame([(0,)], "n int"), str(tmp_path))
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda _: session.changed(spark, str(tmp_path), lambda s: s.withColumn("n", F.col("n") + 1)), range(3)))
+    assert session.load(spark, str(tmp_path)).first()["n"] == 3 and max(session.versions(spark, str(tmp_path))) == 4
+
+
+def test_silent_workers_fail_by_timer(spark, tmp_path):
+    """Reports of one file a batch: page 0 succeeds at its second try, page 1 starts and falls silent twice, page 2 was completed in the session before."""
+    minute = lambda m: datetime(2024, 1, 1, 0, 0) + timedelta(minutes=m)
+    batches = [
+        [(1, 0, minute(0), "started"), (1, 0, minute(1), "failed"), (1, 1, minute(0), "started"), (1, 2, minute(0), "started")],
+        [(1, 0, minute(2), "started"), (1, 0, minute(3), "ok"), (2, 0, minute(9), "started")],
+        [(1, 1, minute(10), "started"), (2, 0, minute(10), "ok")],
+        [(3, 0, minute(30), "ok")], [(3, 0, minute(31), "ok")],
+    ]
+    schema = "doc_id long, page int, at timestamp, what string"
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.parquet(f"{tmp_path}/made{i}")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part = next((tmp_path / f"made{i}").glob("*.parquet"))
+        os.rename(part, tmp_path / f"in/{i}.parquet")
+        os.utime(tmp_path / f"in/{i}.parquet", (1e9 + i, 1e9 + i))
+    saved = spark.createDataFrame([(1, 2, "completed", 0)], "doc_id long, page int, status string, failures int")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", watched.PROVIDER)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        run = watched.watched(stream, saved).writeStream.outputMode("update").format("memory").queryName("page_changes").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        run.awaitTermination(200)
+        got = spark.table("page_changes").collect()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    of = lambda d, p: [(r["status"], r["retry_count"], r["error"]) for r in got if (r["doc_id"], r["page"]) == (d, p)]
+    assert of(1, 0) == [("in_progress", 0, None), ("pending", 1, "worker failed"), ("in_progress", 1, None), ("completed", 1, None)]
+    assert of(1, 1) == [("in_progress", 0, None), ("pending", 1, "worker timed out"), ("in_progress", 1, None), ("failed", 2, "worker timed out")]
+    assert of(1, 2) == [] and of(2, 0) == [("in_progress", 0, None), ("completed", 0, None)]

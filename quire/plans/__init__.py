@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.sources.fixtures import PARTS, prefix, translated
+from quire.sources.store import stored
 
 from .catalog import OPS
 
@@ -58,12 +59,38 @@ def fixture(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
     return query([part], f"SELECT * FROM {part}")(spark, sf_dir)
 
 
-def query(needs: list[str], sql: str):
-    spark_sql = text_of(needs, sql, "spark")
+#: Relations that many rules read: written once for a session and folder, so that no plan reads or splits the texts again.
+STORED = ("layout", "all_blocks", "body", "words", "drawings", "fill_text", "html_blocks", "cells", "running")
+KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, part)
+    if key not in KEPT:
+        KEPT[key] = stored(query([part], f"SELECT * FROM {part}", made=part)(spark, sf_dir))
+    return KEPT[key]
+
+
+def met(needs: list[str], made: str = "") -> tuple[str, ...]:
+    """The stored relations that the needs come down to, except the one being made."""
+    on, found, seen, todo = {name: on for name, _, on in PARTS}, [], set(), list(needs)
+    while todo:
+        part = todo.pop()
+        if part in STORED and part != made:
+            found.append(part)
+        elif part not in seen:
+            todo += on.get(part, [])
+        seen.add(part)
+    return tuple(dict.fromkeys(found))
+
+
+def query(needs: list[str], sql: str, made: str = ""):
+    given = met(needs, made)
+    spark_sql = text_of(needs, sql, "spark", given)
     read = [t for t in TABLES if re.search(rf"\b{t}\b", spark_sql)]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return bound(spark, spark_sql, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in read})
+        return bound(spark, spark_sql, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in read} | {p: kept(spark, sf_dir, p) for p in given})
 
     return run
 

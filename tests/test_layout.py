@@ -141,6 +141,13 @@ def test_operators_on_tables_of_ones_own(spark):
     assert got(plans.apply("A9_page_start", running=running), "norm", "page_number_start") == [("page #", 7)]
 
 
+@pytest.mark.parametrize("name", ["F2_route", "K13_text_prompt", "J6_match_fill", "T5_manifests", "A9_page_start", "W8_list_coalescing"])
+def test_texts_are_read_once(spark, name):
+    """Rules read the stored relations, and none of their plans brings all rows to one task."""
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "Exchange SinglePartition" not in plan
+
+
 def test_queries_leave_no_views(spark):
     plans.QUERIES["S2_page_text"](spark, SF).count()
     assert not spark.catalog.listTables()

@@ -39,13 +39,17 @@ def relations(spark: SparkSession, sf_dir: str) -> Relations:
     return lambda part: fixture(spark, sf_dir, part)
 
 
-def page_json(of: Relations) -> DataFrame:
+def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_pages(relations(spark, sf_dir))
+
+
+def json_pages(of: Relations) -> DataFrame:
     lines = of("layout").withColumns({"bold": F.col("flags") >= 16, "italic": F.col("flags").bitwiseAND(2) > 0})
     return structured.assembled(lines, of("page_box"), ["doc_id"], of("images"), of("fills"))
 
 
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_json(relations(spark, sf_dir)).select("doc_id", structured.parsed(F.col("json")).alias("page"))
+    return page_json(spark, sf_dir).select("doc_id", structured.parsed(F.col("json")).alias("page"))
 
 
 def structured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +69,7 @@ def structured_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_json_rows(of: Relations) -> DataFrame:
     blocks = F.get_json_object("json", "$.structured.blocks")
-    return page_json(of).select("doc_id", "page", F.json_array_length(blocks).cast("long").alias("blocks"), F.get_json_object("json", "$.size.height").cast("double").cast("int").alias("height"))
+    return json_pages(of).select("doc_id", "page", F.json_array_length(blocks).cast("long").alias("blocks"), F.get_json_object("json", "$.size.height").cast("double").cast("int").alias("height"))
 
 
 # ---- folds

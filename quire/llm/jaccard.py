@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from itertools import combinations
 from math import comb, erfc, exp, sqrt
 
@@ -60,45 +61,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> S31)
 
 
-#: Random numbers of the bytes, alike for A-Z and a-z, 0 for blanks; an odd base and its inverse modulo 2 ** 64.
+#: Bytes that words consist of; bytes from which on a word is long.
 SOLID = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
-BYTE_VALUES = mix(np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) * GOLDEN + np.uint64(1)) * SOLID
-BASE = 0x2545F4914F6CDD1D
-INVERSE = pow(BASE, -1, 1 << 64)
+LONG = 64
+#: A random number for each byte at each place of a short word (LONG rows of 256), alike for A-Z and a-z, 0 for blanks.
+BYTE_VALUES = mix((np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) + np.arange(1, 1 + LONG, dtype=np.uint64)[:, None] * np.uint64(256)) * GOLDEN) * SOLID
 #: Of the words of a shingle.
 PLACES = mix(np.arange(1, 1 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
-@lru_cache(maxsize=None)
-def powers(base: int, bits: int) -> np.ndarray:
-    """base ** i modulo 2 ** 64 for i below 2 ** bits."""
-    out = np.ones(1, np.uint64)
-    for i in range(bits):
-        out = np.concatenate((out, out * np.array(pow(base, 1 << i, 1 << 64), np.uint64)))
-    return out
-
-
 def unique(x: np.ndarray) -> np.ndarray:
     """x sorted in place, without repeats."""
     x.sort()
     return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
+def word_hashes(a: np.ndarray) -> np.ndarray:
+    """A hash of every word of UTF-8 bytes, in order: a sum over bytes by their places, of long words a digest.
+
+    The numbers of two places have no relation, unlike powers of a base, whose sums agree for words built to that end.
+    """
+    solid = np.concatenate(([False], SOLID[a], [False]))
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    begins, ends = edges[::2], edges[1::2]
+    if not len(begins):
+        return np.zeros(0, np.uint64)
+    lengths = ends - begins
+    place = np.arange(begins[0], len(a))
+    place -= np.repeat(begins, np.diff(begins, append=len(a)))
+    np.minimum(place, LONG - 1, out=place)
+    place <<= 8
+    place |= a[begins[0] :]
+    out = mix(np.add.reduceat(BYTE_VALUES.take(place), begins - begins[0]))
+    for i in np.flatnonzero(lengths > LONG):
+        out[i] = int.from_bytes(blake2b(a[begins[i] : ends[i]].tobytes().lower(), digest_size=8).digest(), "little")
+    return out
+
+
 def tokens(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes."""
     if not text:
         return np.zeros(0, np.uint64)
     a = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    solid = SOLID[a]
-    begins = solid.copy()
-    begins[1:] &= ~solid[:-1]
-    begins = np.flatnonzero(begins)
-    if not len(begins):
-        return np.zeros(0, np.uint64)
-    bits = max(16, len(a).bit_length())
-    values = BYTE_VALUES[a]
-    values *= powers(BASE, bits)[: len(a)]
-    words = mix(np.add.reduceat(values, begins) * powers(INVERSE, bits)[begins])
+    words = word_hashes(a)
+    if not len(words):
+        return words
     k = min(WORDS, len(words))
     h = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):

@@ -60,6 +60,24 @@ def test_jaccard_null_ids_and_empty_table(spark):
     assert jaccard.linked(docs(spark, [])).count() == 0
 
 
+def test_jaccard_words_built_to_collide_stay_apart(spark):
+    """Words in the order of Thue and Morse have equal sums over powers of any base modulo a power of two."""
+    rows = []
+    for k in (5, 6, 7, 10, 11, 12, 14):
+        order = [bin(i).count("1") & 1 for i in range(1 << k)]
+        rows += [(len(rows) + j, "".join("ab"[bit ^ j] for bit in order)) for j in (0, 1)]
+    assert {r.doc_id: r.component_id for r in jaccard.linked(docs(spark, rows)).collect()} == {i: i for i, _ in rows}
+
+
+def test_jaccard_word_hashes_know_words_apart_and_alike():
+    rng = random.Random(9)
+    made = {"".join(rng.choice("abcAB\u00e9") for _ in range(rng.choice([1, 2, 3, 60, 63, 64, 65, 66, 130]))) for _ in range(2000)}
+    text = " \t".join(["", *made, *(w.swapcase() if w.isascii() else w for w in made), ""])
+    low = words(text)
+    got = jaccard.word_hashes(np.frombuffer(text.encode(), np.uint8)).tolist()
+    assert len(got) == len(low) and len(set(got)) == len(set(low)) == len(set(zip(got, low, strict=True)))
+
+
 def test_sharding(spark):
     rows = [(i, "t" * (i % 50) if i % 7 else "same") for i in range(300)] + ODD
     got = sharding.shards(docs(spark, rows)).collect()

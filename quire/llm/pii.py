@@ -3,8 +3,11 @@
 Protected entities are the values that the patterns find. A term (a word of 3 letters or more, as written) reveals an entity e
 as far as pointwise mutual information says: PMI(t; e) = log p(t, e) / (p(t) p(e)), with probabilities counted exactly over
 all rows: n_term rows hold the word, n_entity the entity, n both (the word outside the pattern matches). Joint
-counts are lowered by DISCOUNT, so an entity of one text counts, and its evidence less than that of many. A term whose PMI
-reaches ALPHA of the information content -log p(e) discloses e. Disclosing terms are added as kind term wherever they
+counts are lowered by DISCOUNT. A term whose PMI reaches ALPHA of the information content -log p(e) discloses e, if chance doesn't explain that
+they meet: with T words beside entities and E entities, T * E * P(X >= k) may be CHANCE at most, X Poisson with the mean n_term * n_entity / N
+that independence gives, k the contexts in which they meet. So fewer than CHANCE pairs of the whole corpus are expected to pass by chance,
+at every size, and what meets in one context only says nothing. Contexts are told apart by the smallest hash of their words,
+as near copies (Jaccard similarity s) share it with probability s and count as one then. Disclosing terms are added as kind term wherever they
 occur outside pattern matches: removed if PMI reaches REMOVE of it, else generalised.
 
 Scans: the texts with entities give their words; every text adds to a count of these words, one row a word and task; disclosing words
@@ -23,6 +26,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,10 @@ from .jaccard import mix
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 DISCOUNT, ALPHA, REMOVE = 0.5, 0.8, 0.97
+#: Pairs of a word and an entity that may pass by chance, in expectation.
+CHANCE = 0.05
+#: Contexts in which a pair must meet, however small the corpus; what meets once is no estimate.
+CONTEXTS = 2
 #: Words counted in a task before they are handed on; log2 of the bits of a filter.
 COUNTED, BITS = 100_000, 26
 
@@ -170,21 +178,29 @@ def disclosing(docs: DataFrame) -> DataFrame:
     """(term, share) of the terms that disclose an entity; share: the largest discounted PMI(t; e) / -log p(e), near 1 if the term occurs only with e."""
     texts = docs.select("text").filter("text is not null")
     held = saved(texts.mapInArrow(contexts, "entities array<string>, terms array<string>").withColumn("rid", F.monotonically_increasing_id()))
+    terms = held.select("rid", F.explode("terms").alias("term"), F.array_min(F.transform("terms", lambda t: F.xxhash64(t))).alias("context"))
     n_texts = float(max(1, texts.count()))
     each = held.select("rid", F.explode("entities").alias("entity"))
     kinds = each.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("rid")).alias("rows"))
     classes = saved(each.join(kinds, "entity").select("rid", "n_entity", "rows").distinct())
-    pairs = held.select("rid", F.explode("terms").alias("term")).join(classes, "rid").groupBy("term", "n_entity", "rows").agg(F.count("*").alias("n"))
+    tries = float(max(1, terms.agg(F.count_distinct("term")).first()[0] * classes.select("n_entity", "rows").distinct().count()))
+    pairs = terms.join(classes, "rid").groupBy("term", "n_entity", "rows").agg(F.count("*").alias("n"), F.count_distinct("context").alias("k"))
     content = F.log(F.lit(n_texts) / F.col("n_entity"))
 
     def share(n_term):
         pmi = F.log((F.col("n") - DISCOUNT) * n_texts / (n_term * F.col("n_entity")))
         return F.least(F.lit(1.0), F.when(content > 0, pmi / content).otherwise(0.0))
 
-    # no term occurs in fewer rows than the pair does, so pairs below ALPHA even then need no count
-    pairs = saved(pairs.filter(share(F.col("n")) >= ALPHA).select("term", "n", "n_entity").distinct())
+    def told(n_term):
+        """Whether a pair discloses; Chernoff's bound of the Poisson tail stands for the tail."""
+        mean = n_term * F.col("n_entity") / n_texts
+        tail = F.when(F.col("k") > mean, F.col("k") * (1 + F.log(mean / F.col("k"))) - mean).otherwise(0.0)
+        return (share(n_term) >= ALPHA) & (F.col("k") >= CONTEXTS) & (tail + log(tries) <= log(CHANCE))
+
+    # no term occurs in fewer rows than the pair does, so pairs that fail even then need no count
+    pairs = saved(pairs.filter(told(F.col("n"))).select("term", "n", "k", "n_entity").distinct())
     counts = texts.mapInArrow(word_counter(bloom(pairs)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    found = saved(pairs.join(counts, "term").groupBy("term").agg(F.max(share(F.col("n_term"))).alias("share")).filter(F.col("share") >= ALPHA))
+    found = saved(pairs.join(counts, "term").filter(told(F.col("n_term"))).groupBy("term").agg(F.max(share(F.col("n_term"))).alias("share")))
     forget(held, classes, pairs)
     return found
 

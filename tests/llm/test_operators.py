@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from quire.llm import decontamination, jaccard, language, line_dedup, media, mixing, pii, secrets, sharding, toxicity
 
@@ -119,30 +120,38 @@ def test_pii_base_spans():
 
 
 def brute_terms(rows):
-    """PMI counted by hand: term to its share."""
+    """PMI and the bound on chance counted by hand: term to its share."""
     word = re.compile(r"[^\W\d_]{3,}")
     texts = [t for _, t in rows if t is not None]
-    holds, joint, of_entity = {}, {}, {}
-    for t in texts:
+    holds, joint, of_entity, contexts, vocabulary, rows_of = {}, {}, {}, {}, set(), {}
+    signed = lambda w: (xxhash.xxh64(w.encode(), seed=42).intdigest() + 2**63) % 2**64 - 2**63
+    for i, t in enumerate(texts):
         spans = [(a, b) for _, a, b in brute_base(t)]
         for w in set(word.findall(t)):
             holds[w] = holds.get(w, 0) + 1
         names = {pii.entity(pii.KINDS.index(k), t[a:b]) for k, a, b in brute_base(t)}
         terms = {m[0] for m in word.finditer(t) if all(b <= m.start() or m.end() <= a for a, b in spans)}
+        vocabulary |= terms if names else set()
         for e in names:
             of_entity[e] = of_entity.get(e, 0) + 1
+            rows_of.setdefault(e, []).append(i)
             for w in terms:
                 joint[e, w] = joint.get((e, w), 0) + 1
-    out = {}
+                contexts.setdefault((e, w), set()).add(min(map(signed, terms)))
+    out, tries = {}, len(vocabulary) * len({tuple(r) for r in rows_of.values()})
     for (e, w), n in joint.items():
         content = math.log(len(texts) / of_entity[e])
         share = min(1.0, math.log((n - pii.DISCOUNT) * len(texts) / (holds[w] * of_entity[e])) / content) if content > 0 else 0.0
-        if share >= pii.ALPHA:
+        k, mean = len(contexts[e, w]), holds[w] * of_entity[e] / len(texts)
+        chance = math.exp(k - mean) * (mean / k) ** k if k > mean else 1.0
+        if share >= pii.ALPHA and k >= pii.CONTEXTS and tries * chance <= pii.CHANCE:
             out[w] = max(share, out.get(w, 0.0))
     return out
 
 
-PRIVATE = [(i, f"number {i} of Zaphod Quill is q@mail.example today mail") for i in range(8)] + [(100 + i, f"number {i} is fine today") for i in range(60)] + [(7, "Solo a@b.co +1 212 555 0100 Solo")] * 2
+AROUND = "amber birch cedar delta ember fjord grove heron".split()
+OWN = [" ".join(w + c for c in "abcdefghijklmnopqrstuvwxyz") for w in AROUND]
+PRIVATE = [(i, f"number {i} of {w} Zaphod Quill is q@mail.example today {w} mail") for i, w in enumerate(OWN)] + [(100 + i, f"number {i} is fine today") for i in range(300)] + [(7, "Solo a@b.co +1 212 555 0100 Solo")] * 2
 
 
 def test_pii_terms_against_brute_force(spark):
@@ -455,7 +464,10 @@ def test_media_finds_small_crops_of_large_images(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
-def test_pii_terms_of_entities_seen_once(spark):
+def test_pii_terms_seen_once_or_in_copies_only_disclose_nothing(spark):
     filler = " ".join(["the number is fine today and so on"] * 3)
-    rows = [(i, f"the number is fine today and so on {i}") for i in range(400)] + [(1000, f"Zaphod {filler} zq@mail.example")]
-    assert {r.term for r in pii.disclosing(docs(spark, rows)).collect()} == {"Zaphod"}
+    rows = [(i, f"the number is fine today and so on {i}") for i in range(400)]
+    once, often = f"Zaphod {filler} zq@mail.example", [f"Zaphod {w} {filler} zq@mail.example" for w in OWN]
+    found = lambda more: {r.term for r in pii.disclosing(docs(spark, rows + [(1000 + i, t) for i, t in enumerate(more)])).collect()}
+    assert found([once]) == found([once] * 8) == set()
+    assert found(often) == {"Zaphod"}

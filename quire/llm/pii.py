@@ -177,8 +177,10 @@ def word_counter(filter_bytes: np.ndarray):
 def disclosing(docs: DataFrame) -> DataFrame:
     """(term, share) of the terms that disclose an entity; share: the largest discounted PMI(t; e) / -log p(e), near 1 if the term occurs only with e."""
     texts = docs.select("text").filter("text is not null")
-    held = saved(texts.mapInArrow(contexts, "entities array<string>, terms array<string>").withColumn("rid", F.monotonically_increasing_id()))
-    terms = held.select("rid", F.explode("terms").alias("term"), F.array_min(F.transform("terms", lambda t: F.xxhash64(t))).alias("context"))
+    held = texts.mapInArrow(contexts, "entities array<string>, terms array<string>").withColumn("rid", F.monotonically_increasing_id())
+    # written with its context, which would be worked out anew for every word after the explosion
+    held = saved(held.withColumn("context", F.array_min(F.transform("terms", lambda t: F.xxhash64(t)))))
+    terms = held.select("rid", F.explode("terms").alias("term"), "context")
     n_texts = float(max(1, texts.count()))
     each = held.select("rid", F.explode("entities").alias("entity"))
     kinds = each.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("rid")).alias("rows"))
